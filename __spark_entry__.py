@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlab.functions.rounding import round_doubles
-from liftlab.operators import effects, population
+from liftlab.operators import balance, effects, population, validate
 from liftlab.plans import oracles
 from liftlab.sources.overlay import experiment_table
 from liftlab.spec import ExperimentSpec
@@ -51,6 +51,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda df: effects.transformed_outcome_summary(df, SPEC)),
         "observed_group_effect_by_segment": _rounded(
             lambda df: effects.observed_group_effect(df, "visit", by=["f4"])),
+        "continuous_balance": _rounded(lambda df: balance.continuous_balance(df, SPEC)),
+        "categorical_level_balance": _rounded(
+            lambda df: balance.categorical_level_balance(df, SPEC)),
+        "categorical_balance": _rounded(lambda df: balance.categorical_balance(df, SPEC)),
+        "balance_summary": _rounded(lambda df: balance.balance_summary(df, SPEC)),
+        "column_profile": _rounded(lambda df: validate.column_profile(df)),
+        "binary_profile": _rounded(lambda df: validate.binary_profile(df, SPEC)),
+        "logical_violations": _rounded(lambda df: validate.logical_violations(df, SPEC)),
+        "duplicate_rows": _rounded(validate.duplicate_rows),
+        "duplicate_rows_without_id": _rounded(
+            lambda df: validate.duplicate_rows(df.select(
+                *SPEC.categorical, *SPEC.binaries))),
+        "feature_cardinality": _rounded(lambda df: validate.feature_cardinality(df, SPEC)),
+        "approx_feature_cardinality": _rounded(
+            lambda df: validate.feature_cardinality(df, SPEC, exact=False)),
+        "table_equivalence": _rounded(
+            lambda df: validate.table_equivalence(df, validate.narrow_binaries(df, SPEC), SPEC)),
     }
 
 
@@ -64,4 +81,15 @@ def oracle_sql() -> dict[str, str]:
         "itt_effects_by_segment": oracles.itt_effects_by_segment(),
         "transformed_outcome_summary": oracles.transformed_outcome_summary(),
         "observed_group_effect_by_segment": oracles.observed_group_effect_by_segment(),
+        "continuous_balance": oracles.continuous_balance(),
+        "categorical_level_balance": oracles.categorical_level_balance(),
+        "categorical_balance": oracles.categorical_balance(),
+        "balance_summary": oracles.balance_summary(),
+        "column_profile": oracles.column_profile(),
+        "binary_profile": oracles.binary_profile(),
+        "logical_violations": oracles.logical_violations(),
+        "duplicate_rows": oracles.duplicate_rows(),
+        "duplicate_rows_without_id": oracles.duplicate_rows_features(),
+        "feature_cardinality": oracles.feature_cardinality(),
+        "table_equivalence": oracles.table_equivalence(),
     }

@@ -187,3 +187,234 @@ g AS (
   FROM exp GROUP BY f4
 )
 SELECT {_newcombe_select('f4, ', 'tp', 'tn', 'cp', 'cn')} FROM g""")
+
+
+# ---- balance -------------------------------------------------------------
+
+CONTINUOUS = ("f0", "f2", "f7", "f10")
+CATEGORICAL = ("f1", "f3", "f4", "f5", "f6", "f8", "f9", "f11")
+INF_SQL = num(float("inf"))
+
+
+def continuous_balance() -> str:
+    long = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x, treatment FROM exp" for f in CONTINUOUS)
+    return with_overlay(f""",
+long AS ({long}),
+g AS (
+  SELECT feature, AVG(x) FILTER (WHERE treatment = 1) AS m1,
+         AVG(x) FILTER (WHERE treatment = 0) AS m0,
+         STDDEV_SAMP(x) FILTER (WHERE treatment = 1) AS s1,
+         STDDEV_SAMP(x) FILTER (WHERE treatment = 0) AS s0
+  FROM long GROUP BY feature
+),
+h AS (
+  SELECT *, SQRT((s1 * s1 + s0 * s0) / 2) AS pooled FROM g
+),
+k AS (
+  SELECT *, CASE WHEN pooled > 0 THEN (m1 - m0) / pooled WHEN m1 = m0 THEN {num(0.0)}
+                 ELSE {INF_SQL} END AS smd FROM h
+)
+SELECT feature, {R('m1', 'treatment_mean')}, {R('m0', 'control_mean')},
+       {R('s1', 'treatment_standard_deviation')}, {R('s0', 'control_standard_deviation')},
+       {R('smd', 'standardized_mean_difference')},
+       {R('ABS(smd)', 'absolute_standardized_mean_difference')},
+       {R('CASE WHEN s0 <> 0 THEN (s1 * s1) / (s0 * s0) END', 'variance_ratio')}
+FROM k""")
+
+
+def _level_cte() -> str:
+    long = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS level, treatment FROM exp"
+        for f in CATEGORICAL)
+    return f""",
+clong AS ({long}),
+lc AS (
+  SELECT feature, level, COUNT(*) FILTER (WHERE treatment = 1) AS treatment_count,
+         COUNT(*) FILTER (WHERE treatment = 0) AS control_count
+  FROM clong GROUP BY feature, level
+),
+lt AS (
+  SELECT *, SUM(treatment_count) OVER (PARTITION BY feature) AS n1,
+         SUM(control_count) OVER (PARTITION BY feature) AS n0 FROM lc
+),
+lp AS (
+  SELECT *, treatment_count / n1 AS p1, control_count / n0 AS p0,
+         (treatment_count + control_count) / (n1 + n0) AS w FROM lt
+),
+ls AS (
+  SELECT *, SQRT((p1 * (1 - p1) + p0 * (1 - p0)) / 2) AS pooled FROM lp
+),
+lv AS (
+  SELECT *, CASE WHEN pooled > 0 THEN (p1 - p0) / pooled ELSE {num(0.0)} END AS smd FROM ls
+)"""
+
+
+def categorical_level_balance() -> str:
+    return with_overlay(f"""{_level_cte()}
+SELECT feature, level, treatment_count, control_count,
+       {R('p1', 'treatment_proportion')}, {R('p0', 'control_proportion')},
+       {R('smd', 'standardized_difference')}, {R('w', 'pooled_weight')}
+FROM lv""")
+
+
+def _categorical_feature_cte() -> str:
+    return f"""{_level_cte()},
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY ABS(smd) DESC, level ASC) AS rn
+  FROM lv
+),
+cf AS (
+  SELECT feature, COUNT(*) AS level_count, MAX(ABS(smd)) AS mx,
+         SQRT(SUM(w * smd * smd)) AS rms,
+         MAX(level) FILTER (WHERE rn = 1) AS lvl,
+         MAX(p1) FILTER (WHERE rn = 1) AS lp1, MAX(p0) FILTER (WHERE rn = 1) AS lp0,
+         MAX(smd) FILTER (WHERE rn = 1) AS lsmd
+  FROM ranked GROUP BY feature
+)"""
+
+
+def categorical_balance() -> str:
+    return with_overlay(f"""{_categorical_feature_cte()}
+SELECT feature, level_count, {R('mx', 'maximum_absolute_standardized_difference')},
+       {R('rms', 'weighted_rms_standardized_difference')}, lvl AS maximum_difference_level,
+       {R('lp1', 'maximum_level_treatment_proportion')},
+       {R('lp0', 'maximum_level_control_proportion')},
+       {R('lsmd', 'maximum_level_standardized_difference')}
+FROM cf""")
+
+
+def balance_summary(threshold: float = 0.10) -> str:
+    cont = continuous_balance().split("\nSELECT feature, ")[0]
+    # reuse the continuous CTE chain (ends at k), then add the categorical chain
+    cat = _categorical_feature_cte()
+    return f"""{cont}{cat},
+mx AS (
+  SELECT (SELECT MAX(ABS(smd)) FROM k) AS mc, (SELECT MAX(mx) FROM cf) AS mk
+)
+SELECT {R('mc', 'maximum_continuous_standardized_difference')},
+       {R('mk', 'maximum_categorical_standardized_difference')},
+       {R('GREATEST(mc, mk)', 'maximum_absolute_standardized_difference')},
+       GREATEST(mc, mk) < {num(threshold)} AS all_features_below_threshold,
+       {R(num(threshold), 'threshold')}
+FROM mx"""
+
+
+# ---- validation and profiles ----------------------------------------------
+
+NUMERIC_COLUMNS = (("id", "bigint"), ("f0", "double"), ("f2", "double"), ("f7", "double"),
+                   ("f10", "double"), ("treatment", "int"), ("exposure", "int"),
+                   ("visit", "int"), ("conversion", "int"))
+BINARIES = ("treatment", "exposure", "visit", "conversion")
+
+
+def _profile_select(table: str, col: str, dtype: str, dtype_label: str | None = None) -> str:
+    floating = dtype == "double"
+    fin = (f"CASE WHEN NOT ISNAN({col}) AND ABS({col}) <> {INF_SQL} THEN {col} END"
+           if floating else f"CAST({col} AS DOUBLE)")
+    nf = (f"COUNT(*) FILTER (WHERE ISNAN({col}) OR ABS({col}) = {INF_SQL})" if floating
+          else "CAST(0 AS BIGINT)")
+    return (f"SELECT '{col}' AS column_name, '{dtype_label or dtype}' AS dtype, "
+            f"COUNT(*) FILTER (WHERE {col} IS NULL) AS missing_count, {nf} AS nonfinite_count, "
+            f"MIN({fin}) AS minimum, MAX({fin}) AS maximum, AVG({fin}) AS mean, "
+            f"STDDEV_POP({fin}) AS standard_deviation FROM {table}")
+
+
+def column_profile() -> str:
+    body = " UNION ALL ".join(_profile_select("exp", c, t) for c, t in NUMERIC_COLUMNS)
+    return with_overlay(f""",
+p AS ({body})
+SELECT column_name, dtype, missing_count, nonfinite_count, {R('minimum', 'minimum')},
+       {R('maximum', 'maximum')}, {R('mean', 'mean')},
+       {R('standard_deviation', 'standard_deviation')}
+FROM p""")
+
+
+def binary_profile() -> str:
+    parts = []
+    for b in BINARIES:
+        c = f"CAST({b} AS DOUBLE)"
+        bad = f"{c} IS NOT NULL AND {c} NOT IN (0, 1)"
+        parts.append(
+            f"SELECT '{b}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS missing_count, "
+            f"COUNT(*) FILTER (WHERE {c} = 0) AS count_0, COUNT(*) FILTER (WHERE {c} = 1) AS count_1, "
+            f"COUNT(*) FILTER (WHERE {bad}) AS invalid_count, "
+            f"MIN(CASE WHEN {bad} THEN {c} END) AS invalid_minimum, "
+            f"MAX(CASE WHEN {bad} THEN {c} END) AS invalid_maximum FROM exp")
+    body = " UNION ALL ".join(parts)
+    return with_overlay(f""",
+p AS ({body})
+SELECT column_name, missing_count, count_0, count_1, invalid_count,
+       {R('invalid_minimum', 'invalid_minimum')}, {R('invalid_maximum', 'invalid_maximum')},
+       {R('CASE WHEN count_0 + count_1 > 0 THEN count_0 / (count_0 + count_1) END', 'proportion_0')},
+       {R('CASE WHEN count_0 + count_1 > 0 THEN count_1 / (count_0 + count_1) END', 'proportion_1')},
+       invalid_count = 0 AS valid
+FROM p""")
+
+
+def logical_violations() -> str:
+    return with_overlay("""
+SELECT 'conversion_without_visit' AS rule,
+       COUNT(*) FILTER (WHERE conversion = 1 AND visit <> 1) AS violation_count FROM exp
+UNION ALL
+SELECT 'exposure_without_treatment',
+       COUNT(*) FILTER (WHERE exposure = 1 AND treatment <> 1) FROM exp""")
+
+
+def duplicate_rows() -> str:
+    return with_overlay("""
+SELECT COUNT(*) AS row_count, (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM exp)) AS distinct_rows,
+       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM exp)) AS duplicate_full_rows
+FROM exp""")
+
+
+def duplicate_rows_features() -> str:
+    cols = ", ".join([*CATEGORICAL, *BINARIES])
+    return with_overlay(f""",
+d AS (SELECT DISTINCT {cols} FROM exp)
+SELECT (SELECT COUNT(*) FROM exp) AS row_count, COUNT(*) AS distinct_rows,
+       (SELECT COUNT(*) FROM exp) - COUNT(*) AS duplicate_full_rows FROM d""")
+
+
+def feature_cardinality() -> str:
+    body = " UNION ALL ".join(
+        f"SELECT 'f{i}' AS feature, COUNT(DISTINCT f{i}) AS cardinality FROM exp" for i in range(12))
+    return with_overlay(f"\n{body}")
+
+
+def table_equivalence() -> str:
+    right_cols = ", ".join(
+        [f"f{i}" for i in range(12)] + ["id"]
+        + [f"CAST({b} AS TINYINT) AS {b}" for b in BINARIES])
+    lp = " UNION ALL ".join(_profile_select("exp", c, t) for c, t in NUMERIC_COLUMNS)
+    rp = " UNION ALL ".join(
+        _profile_select("exp2", c, t, "tinyint" if c in BINARIES else t) for c, t in NUMERIC_COLUMNS)
+
+    def close(s: str) -> str:
+        a, b = f"l.{s}", f"r.{s}"
+        return (f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN TRUE WHEN {a} IS NULL OR {b} IS NULL "
+                f"THEN FALSE ELSE ABS({a} - {b}) <= GREATEST({num(1e-10)} * GREATEST(ABS({a}), "
+                f"ABS({b})), {num(1e-12)}) END")
+
+    stats = " AND ".join(close(s) for s in ("minimum", "maximum", "mean", "standard_deviation"))
+    feats = ", ".join(f"'f{i}'" for i in range(12))
+    bins = " UNION ALL ".join(
+        f"SELECT '{b}' AS c, COUNT(*) FILTER (WHERE {b} = 0) AS z, COUNT(*) FILTER (WHERE {b} = 1) AS o "
+        f"FROM {{t}}" for b in BINARIES)
+    return with_overlay(f""",
+exp2 AS (SELECT {right_cols} FROM exp),
+lp AS ({lp}), rp AS ({rp}),
+cmp AS (
+  SELECT COALESCE(l.column_name, r.column_name) AS column_name,
+         COALESCE(l.missing_count = r.missing_count, FALSE) AS missing_match,
+         {stats} AS statistics_match
+  FROM lp l FULL OUTER JOIN rp r ON l.column_name = r.column_name
+),
+lb AS ({bins.format(t='exp')}), rb AS ({bins.format(t='exp2')})
+SELECT 'row_count' AS check_name, (SELECT COUNT(*) FROM exp) = (SELECT COUNT(*) FROM exp2) AS passed
+UNION ALL SELECT 'column_names', TRUE
+UNION ALL SELECT 'missing_counts', COALESCE(BOOL_AND(missing_match), TRUE) FROM cmp
+UNION ALL SELECT 'binary_counts', COALESCE(BOOL_AND(COALESCE(lb.z = rb.z AND lb.o = rb.o, FALSE)), TRUE)
+          FROM lb FULL OUTER JOIN rb ON lb.c = rb.c
+UNION ALL SELECT 'feature_statistics', COALESCE(BOOL_AND(statistics_match), TRUE)
+          FROM cmp WHERE column_name IN ({feats})""")
