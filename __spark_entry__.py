@@ -15,9 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlab.functions.rounding import round_doubles
-from liftlab.operators import balance, effects, population, validate
+from liftlab.operators import balance, effects, population, ranking, validate
 from liftlab.plans import oracles
-from liftlab.sources.overlay import experiment_table
+from liftlab.sources.overlay import experiment_table, rule_scores
 from liftlab.spec import ExperimentSpec
 
 SPEC = ExperimentSpec()
@@ -39,6 +39,19 @@ def _rounded(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, st
     return run
 
 
+def _evaluation(outcome: str) -> Callable[[DataFrame], ranking.RankedEvaluation]:
+    def make(df: DataFrame) -> ranking.RankedEvaluation:
+        return ranking.RankedEvaluation(rule_scores(df), outcome=outcome, outcome_name=outcome)
+    return make
+
+
+def _ranked(outcome: str, table: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ev = _evaluation(outcome)(_exp(spark, sf_dir))
+        return round_doubles(getattr(ev, table)())
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "population_summary": _rounded(lambda df: population.population_summary(df, SPEC)),
@@ -68,6 +81,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda df: validate.feature_cardinality(df, SPEC, exact=False)),
         "table_equivalence": _rounded(
             lambda df: validate.table_equivalence(df, validate.narrow_binaries(df, SPEC), SPEC)),
+        "gain_curve": _ranked("visit", "gain_curve"),
+        "auuc": _ranked("visit", "auuc"),
+        "targeting_policy": _ranked("conversion", "targeting_policy"),
+        "uplift_deciles": _ranked("visit", "uplift_deciles"),
+        "cate_summary": _ranked("visit", "cate_summary"),
+        "predictive_diagnostics": _rounded(lambda df: ranking.predictive_diagnostics(
+            rule_scores(df), outcome="visit")),
     }
 
 
@@ -92,4 +112,10 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_rows_without_id": oracles.duplicate_rows_features(),
         "feature_cardinality": oracles.feature_cardinality(),
         "table_equivalence": oracles.table_equivalence(),
+        "gain_curve": oracles.gain_curve(),
+        "auuc": oracles.auuc(),
+        "targeting_policy": oracles.targeting_policy(),
+        "uplift_deciles": oracles.uplift_deciles(),
+        "cate_summary": oracles.cate_summary(),
+        "predictive_diagnostics": oracles.predictive_diagnostics(),
     }

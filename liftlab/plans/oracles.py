@@ -418,3 +418,164 @@ UNION ALL SELECT 'binary_counts', COALESCE(BOOL_AND(COALESCE(lb.z = rb.z AND lb.
           FROM lb FULL OUTER JOIN rb ON lb.c = rb.c
 UNION ALL SELECT 'feature_statistics', COALESCE(BOOL_AND(statistics_match), TRUE)
           FROM cmp WHERE column_name IN ({feats})""")
+
+
+# ---- ranking -----------------------------------------------------------------
+
+from liftlab.sources.overlay import RULE_P0_SQL, RULE_SCORES_SQL  # noqa: E402
+
+
+def _ranked_cte(outcome: str) -> str:
+    return f""",
+sc AS (SELECT id, {outcome} AS y, treatment AS t, {RULE_SCORES_SQL} AS score FROM exp),
+rk AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, id ASC) AS rnk FROM sc),
+tot AS (
+  SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE t = 1) AS tn, COUNT(*) FILTER (WHERE t = 0) AS cn,
+         COUNT(*) FILTER (WHERE t = 1 AND y = 1) AS tp, COUNT(*) FILTER (WHERE t = 0 AND y = 1) AS cp
+  FROM rk
+)"""
+
+
+def _z(tp: str, cp: str, p: float = 0.85) -> str:
+    return f"({tp} / {num(p)} - {cp} / {num(1 - p)})"
+
+
+def _gain_cte(outcome: str, points: int = 100) -> str:
+    return f"""{_ranked_cte(outcome)},
+pts AS (
+  SELECT range AS point,
+         CASE WHEN range = {points} THEN {num(1.0)} ELSE range * {num(1.0 / points)} END AS fraction
+  FROM range(0, {points + 1})
+),
+ptk AS (
+  SELECT point, fraction,
+         CASE WHEN point = 0 THEN 0 WHEN point = {points} THEN n
+              ELSE CAST(CEIL(fraction * n) AS BIGINT) END AS k,
+         n, tp AS all_tp, cp AS all_cp
+  FROM pts, tot
+),
+gc AS (
+  SELECT point, fraction, k, n, all_tp, all_cp,
+         COUNT(rk.id) FILTER (WHERE rk.t = 1 AND rk.y = 1) AS ctp,
+         COUNT(rk.id) FILTER (WHERE rk.t = 0 AND rk.y = 1) AS ccp
+  FROM ptk LEFT JOIN rk ON rk.rnk <= ptk.k
+  GROUP BY point, fraction, k, n, all_tp, all_cp
+),
+g2 AS (
+  SELECT *, {_z('ctp', 'ccp')} / n * {num(1e5)} AS policy,
+         {_z('all_tp', 'all_cp')} / n * {num(1e5)} AS treat_all FROM gc
+)"""
+
+
+def gain_curve() -> str:
+    return with_overlay(f"""{_gain_cte('visit')}
+SELECT point, {R('fraction', 'fraction')}, k AS targeted_count,
+       {R('policy', 'policy_gain_per_100000')},
+       {R('fraction * treat_all', 'random_gain_per_100000')},
+       {R('treat_all', 'treat_all_gain_per_100000')}
+FROM g2""")
+
+
+def auuc() -> str:
+    return with_overlay(f"""{_gain_cte('visit')},
+g3 AS (
+  SELECT *, policy - fraction * treat_all AS d,
+         LAG(policy - fraction * treat_all) OVER (ORDER BY point) AS d0,
+         LAG(fraction) OVER (ORDER BY point) AS f0
+  FROM g2
+)
+SELECT {R('SUM(CASE WHEN d0 IS NOT NULL THEN (d0 + d) / 2 * (fraction - f0) END)',
+          'auuc_above_random_per_100000')},
+       {R('MAX(treat_all)', 'treat_all_gain_per_100000')},
+       MAX(n) AS observations
+FROM g3""")
+
+
+def targeting_policy(fractions=(0.05, 0.10, 0.20, 0.30, 0.50, 1.00)) -> str:
+    vals = ", ".join(f"({num(f)})" for f in fractions)
+    return with_overlay(f"""{_ranked_cte('conversion')},
+fr AS (SELECT col0 AS fraction FROM (VALUES {vals})),
+fk AS (
+  SELECT fraction, LEAST(n, GREATEST(1, CAST(CEIL(fraction * n) AS BIGINT))) AS k,
+         n, tn AS all_tn, cn AS all_cn, tp AS all_tp, cp AS all_cp
+  FROM fr, tot
+),
+pc AS (
+  SELECT fraction, k, n, all_tn, all_cn, all_tp, all_cp,
+         COUNT(*) FILTER (WHERE rk.t = 1) AS tn, COUNT(*) FILTER (WHERE rk.t = 0) AS cn,
+         COUNT(*) FILTER (WHERE rk.t = 1 AND rk.y = 1) AS tp,
+         COUNT(*) FILTER (WHERE rk.t = 0 AND rk.y = 1) AS cp
+  FROM fk JOIN rk ON rk.rnk <= fk.k
+  GROUP BY fraction, k, n, all_tn, all_cn, all_tp, all_cp
+),
+pd AS (
+  SELECT *, (tp / tn - cp / cn) AS diff, (all_tp / all_tn - all_cp / all_cn) AS all_diff FROM pc
+)
+SELECT {R('fraction', 'fraction')}, k AS targeted_count,
+       {R('diff', 'estimated_incremental_outcome_rate_among_targeted')},
+       {R('diff * (k / n) * 100000', 'incremental_outcomes_per_100000_population')},
+       {R('all_diff * (k / n) * 100000', 'random_targeting_per_100000_population')},
+       {R('diff * (k / n) * 100000 - all_diff * (k / n) * 100000',
+          'incremental_outcomes_above_random_per_100000')},
+       {R(f"{_z('tp', 'cp')} / k", 'ipw_transformed_outcome_rate_among_targeted')},
+       {_newcombe_select('', 'tp', 'tn', 'cp', 'cn')},
+       cp < 20 AS insufficient_control_events, 20 AS control_event_threshold
+FROM pd""")
+
+
+def uplift_deciles() -> str:
+    return with_overlay(f"""{_ranked_cte('visit')},
+dt AS (SELECT *, NTILE(10) OVER (ORDER BY score DESC, id ASC) AS dec FROM rk),
+dg AS (
+  SELECT dec, COUNT(*) AS n, AVG(score) AS ms,
+         COUNT(*) FILTER (WHERE t = 1) AS tn, COUNT(*) FILTER (WHERE t = 0) AS cn,
+         COUNT(*) FILTER (WHERE t = 1 AND y = 1) AS tp, COUNT(*) FILTER (WHERE t = 0 AND y = 1) AS cp
+  FROM dt GROUP BY dec
+)
+SELECT CAST(dec AS INTEGER) AS rank, n AS observations, {R('ms', 'mean_predicted_uplift')},
+       {_newcombe_select('', 'tp', 'tn', 'cp', 'cn')},
+       FALSE AS insufficient_control_events, 20 AS control_event_threshold
+FROM dg""")
+
+
+def cate_summary() -> str:
+    qs = [("0.05", "percentile_05"), ("0.25", "percentile_25"), ("0.5", "median"),
+          ("0.75", "percentile_75"), ("0.95", "percentile_95")]
+    qsel = ", ".join(R(f"QUANTILE_CONT(score, {q})", name) for q, name in qs)
+    return with_overlay(f"""{_ranked_cte('visit')}
+SELECT {R('AVG(score)', 'mean')}, {R('STDDEV_POP(score)', 'standard_deviation')},
+       {R('MIN(score)', 'minimum')}, {qsel}, {R('MAX(score)', 'maximum')},
+       {R('AVG(CASE WHEN score > 0 THEN 1.0E0 ELSE 0.0E0 END)', 'proportion_positive')},
+       {R('AVG(CASE WHEN score < 0 THEN 1.0E0 ELSE 0.0E0 END)', 'proportion_negative')},
+       {R('(SELECT tp / tn - cp / cn FROM tot)', 'held_out_test_ate')},
+       {R('AVG(score) - (SELECT tp / tn - cp / cn FROM tot)', 'mean_minus_held_out_test_ate')}
+FROM rk""")
+
+
+def predictive_diagnostics() -> str:
+    return with_overlay(f""",
+sc AS (
+  SELECT id, visit AS y, treatment AS t, {RULE_P0_SQL} AS p0,
+         {RULE_P0_SQL} + {RULE_SCORES_SQL} AS p1 FROM exp
+),
+st AS (
+  SELECT 'overall' AS grp, id, y, CASE WHEN t = 1 THEN p1 ELSE p0 END AS p FROM sc
+  UNION ALL SELECT 'treated_p1', id, y, p1 FROM sc WHERE t = 1
+  UNION ALL SELECT 'control_p0', id, y, p0 FROM sc WHERE t = 0
+),
+rr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY p, id) AS r FROM st),
+ties AS (
+  SELECT grp, p, MIN(r) AS r0, MAX(r) AS r1, COUNT(*) FILTER (WHERE y = 1) AS pos FROM rr
+  GROUP BY grp, p
+),
+auc AS (
+  SELECT grp, SUM(pos) AS n1, SUM(pos * (r0 + r1)) / 2.0E0 AS rs FROM ties GROUP BY grp
+),
+ll AS (
+  SELECT grp, COUNT(*) AS observations, COUNT(*) FILTER (WHERE y = 1) AS positive,
+         AVG(-(y * LN(p) + (1 - y) * LN(1 - p))) AS log_loss
+  FROM st GROUP BY grp
+)
+SELECT ll.grp AS "group", observations, positive, {R('log_loss', 'log_loss')},
+       {R('CASE WHEN n1 > 0 AND observations - n1 > 0 THEN (rs - n1 * (n1 + 1) / 2.0E0) / (n1 * (observations - n1)) END', 'roc_auc')}
+FROM ll JOIN auc ON ll.grp = auc.grp""")

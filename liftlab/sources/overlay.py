@@ -145,3 +145,28 @@ exp AS (
 def with_overlay(sql_body: str) -> str:
     """Prefix a query with the overlay CTEs; the body reads table ``exp``."""
     return f"WITH {OVERLAY_SQL}\n{sql_body}"
+
+
+def rule_scores(df: DataFrame) -> DataFrame:
+    """Deterministic scores for SQL-checkable ranking queries.
+
+    ``score`` is a rule-based uplift guess (segment lift plus a hashed
+    tie-breaking part, with many exact ties), ``p0`` a control probability
+    and ``p1 = p0 + score``. Integer arithmetic and one division by a power
+    of ten, so every SQL engine produces the same doubles.
+    """
+    lift = (F.when(F.col("f4") == "BUILDING", 600)
+            .when(F.col("f3") == "1-URGENT", 300).otherwise(100))
+    noise = (F.col("id") * 7919) % 1000
+    p0_num = F.lit(1000) + (F.col("id") * 104729) % 500
+    return df.select(
+        "*",
+        ((lift * 1000 + noise) / F.lit(1.0e7)).alias("score"),
+        (p0_num / F.lit(1.0e4)).alias("p0"),
+    ).withColumn("p1", F.col("p0") + F.col("score"))
+
+
+RULE_SCORES_SQL = """
+  (CASE WHEN f4 = 'BUILDING' THEN 600 WHEN f3 = '1-URGENT' THEN 300 ELSE 100 END * 1000
+   + (id * 7919) % 1000) / 1.0E7"""
+RULE_P0_SQL = "(1000 + (id * 104729) % 500) / 1.0E4"
