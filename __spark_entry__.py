@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlab.functions.rounding import round_doubles
-from liftlab.operators import balance, effects, population, ranking, validate
+from liftlab.operators import (balance, effects, population, power, ranking, sampling,
+                               validate)
 from liftlab.plans import oracles
 from liftlab.sources.overlay import experiment_table, rule_scores
 from liftlab.spec import ExperimentSpec
@@ -88,6 +89,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cate_summary": _ranked("visit", "cate_summary"),
         "predictive_diagnostics": _rounded(lambda df: ranking.predictive_diagnostics(
             rule_scores(df), outcome="visit")),
+        "sample_rows": _rounded(lambda df: sampling.sample_rows(df, 5000, 42).select(
+            "id", "treatment", "visit", "conversion")),
+        "stratum_counts": _rounded(lambda df: sampling.stratum_counts(df, SPEC)),
+        "split_assignment": _rounded(lambda df: sampling.split_rows(df, 42, spec=SPEC).select(
+            "id", "stratum", "split")),
+        "split_summary": _rounded(lambda df: sampling.split_summary(
+            sampling.split_rows(df, 42, spec=SPEC), SPEC)),
+        "mde_grid": _rounded(lambda df: power.mde_grid(df, SPEC)),
+        "sample_size_grid": _rounded(lambda df: power.sample_size_grid(df, SPEC)),
     }
 
 
@@ -118,4 +128,10 @@ def oracle_sql() -> dict[str, str]:
         "uplift_deciles": oracles.uplift_deciles(),
         "cate_summary": oracles.cate_summary(),
         "predictive_diagnostics": oracles.predictive_diagnostics(),
+        "sample_rows": oracles.sample_rows(),
+        "stratum_counts": oracles.stratum_counts(),
+        "split_assignment": oracles.split_assignment(),
+        "split_summary": oracles.split_summary(),
+        "mde_grid": oracles.mde_grid(),
+        "sample_size_grid": oracles.sample_size_grid(),
     }

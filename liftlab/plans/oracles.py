@@ -579,3 +579,118 @@ ll AS (
 SELECT ll.grp AS "group", observations, positive, {R('log_loss', 'log_loss')},
        {R('CASE WHEN n1 > 0 AND observations - n1 > 0 THEN (rs - n1 * (n1 + 1) / 2.0E0) / (n1 * (observations - n1)) END', 'roc_auc')}
 FROM ll JOIN auc ON ll.grp = auc.grp""")
+
+
+# ---- sampling, splitting, power -----------------------------------------------
+
+from liftlab.functions.normal import detectable_shift  # noqa: E402
+from liftlab.operators.sampling import sample_key_sql  # noqa: E402
+
+
+def sample_rows(n: int = 5000, seed: int = 42) -> str:
+    return with_overlay(f""",
+k AS (SELECT id, treatment, visit, conversion, {sample_key_sql('id', seed)} AS key FROM exp),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY key, id) AS rn FROM k)
+SELECT id, treatment, visit, conversion FROM r WHERE rn <= {n}""")
+
+
+def _split_cte(seed: int = 42) -> str:
+    return f""",
+s0 AS (
+  SELECT id, treatment, visit, conversion,
+         CAST(4 * treatment + 2 * visit + conversion AS INTEGER) AS stratum,
+         {sample_key_sql('id', seed)} AS key
+  FROM exp
+),
+sc AS (SELECT stratum, COUNT(*) AS ns FROM s0 GROUP BY stratum),
+tot AS (SELECT SUM(ns) AS n, CAST(CEIL({num(0.4)} * SUM(ns)) AS BIGINT) AS nhold FROM sc),
+t1 AS (
+  SELECT stratum, ns, n - nhold AS ntrain, (ns * (n - nhold)) // n AS base,
+         (ns * (n - nhold)) % n AS rem
+  FROM sc, tot
+),
+t2 AS (
+  SELECT *, base + CASE WHEN ROW_NUMBER() OVER (ORDER BY rem DESC, stratum)
+                            <= ntrain - SUM(base) OVER () THEN 1 ELSE 0 END AS train
+  FROM t1
+),
+h1 AS (SELECT stratum, ns, train, ns - train AS hold, SUM(ns - train) OVER () AS nh FROM t2),
+h2 AS (SELECT *, CAST(CEIL({num(0.5)} * nh) AS BIGINT) AS ntest FROM h1),
+h3 AS (SELECT *, (hold * ntest) // nh AS tb, (hold * ntest) % nh AS trem FROM h2),
+h4 AS (
+  SELECT *, tb + CASE WHEN ROW_NUMBER() OVER (ORDER BY trem DESC, stratum)
+                          <= ntest - SUM(tb) OVER () THEN 1 ELSE 0 END AS test
+  FROM h3
+),
+rk AS (SELECT s0.*, ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY key, id) AS pos FROM s0),
+sp AS (
+  SELECT rk.id, rk.stratum, rk.treatment, rk.visit, rk.conversion,
+         CASE WHEN pos <= train THEN 'train' WHEN pos <= train + hold - test THEN 'validation'
+              ELSE 'test' END AS split
+  FROM rk JOIN h4 ON rk.stratum = h4.stratum
+)"""
+
+
+def split_assignment() -> str:
+    return with_overlay(f"""{_split_cte()}
+SELECT id, stratum, split FROM sp""")
+
+
+def split_summary() -> str:
+    sel = []
+    for o in ("visit", "conversion"):
+        sel += [f"COUNT(*) FILTER (WHERE {o} = 1) AS {o}_positive",
+                R(f"AVG(CAST({o} AS DOUBLE))", f"{o}_rate"),
+                f"COUNT(*) FILTER (WHERE {o} = 1 AND treatment = 1) AS {o}_treatment_positive",
+                R(f"AVG(CAST({o} AS DOUBLE)) FILTER (WHERE treatment = 1)", f"{o}_treatment_rate"),
+                f"COUNT(*) FILTER (WHERE {o} = 1 AND treatment = 0) AS {o}_control_positive",
+                R(f"AVG(CAST({o} AS DOUBLE)) FILTER (WHERE treatment = 0)", f"{o}_control_rate")]
+    return with_overlay(f"""{_split_cte()}
+SELECT split, COUNT(*) AS observations, COUNT(*) FILTER (WHERE treatment = 1) AS treatment_count,
+       COUNT(*) FILTER (WHERE treatment = 0) AS control_count,
+       {R('AVG(CAST(treatment AS DOUBLE))', 'treatment_rate')}, {', '.join(sel)}
+FROM sp GROUP BY split""")
+
+
+def stratum_counts() -> str:
+    return with_overlay("""
+SELECT CAST(4 * treatment + 2 * visit + conversion AS INTEGER) AS stratum, COUNT(*) AS rows
+FROM exp GROUP BY 1""")
+
+
+def mde_grid(powers=(0.8, 0.9), alpha: float = 0.05) -> str:
+    vals = ", ".join(f"({num(p)}, {num(alpha)}, {num(detectable_shift(p, alpha))})"
+                     for p in powers)
+    b, n1, n0 = "b", "treatment_count", "control_count"
+    h = f"(d * SQRT({num(1.0)} / {n1} + {num(1.0)} / {n0}))"
+    absolute = (f"CASE WHEN b > 0 AND b < 1 THEN POWER(SIN(({num(2.0)} * ASIN(SQRT(b)) + ABS({h}))"
+                f" / {num(2.0)}), 2) - b END")
+    return with_overlay(f""", {_pop_cte()}, {_counts_cte()},
+g AS (SELECT col0 AS power, col1 AS alpha, col2 AS d FROM (VALUES {vals})),
+m AS (SELECT outcome, treatment_count, control_count,
+             control_positive / control_count AS b FROM counts)
+SELECT outcome, {R('power', 'power')}, {R('alpha', 'alpha')}, {R('b', 'baseline_control_rate')},
+       treatment_count, control_count, {R(absolute, 'absolute_effect')},
+       {R(f'({absolute}) / b', 'relative_effect')},
+       {R(f'({absolute}) / b * 100', 'relative_effect_percent')}
+FROM m, g""")
+
+
+def sample_size_grid(targets=(0.001, 0.002, 0.005, 0.01), shares=(0.5, 0.85),
+                     powers=(0.8, 0.9), alpha: float = 0.05) -> str:
+    vals = ", ".join(f"({num(e)}, {num(s)}, {num(p)}, {num(alpha)}, "
+                     f"{num(detectable_shift(p, alpha))})"
+                     for e in targets for s in shares for p in powers)
+    h = f"ABS({num(2.0)} * ASIN(SQRT(b + e)) - {num(2.0)} * ASIN(SQRT(b)))"
+    ratio = f"(s / ({num(1.0)} - s))"
+    control = f"(POWER(d / {h}, 2) * ({num(1.0)} + {ratio}) / {ratio})"
+    total = (f"CASE WHEN b > 0 AND b < 1 AND b + e > 0 AND b + e < 1 AND {h} > 0 "
+             f"THEN CAST(CEIL({control} * ({num(1.0)} + {ratio})) AS BIGINT) END")
+    return with_overlay(f""", {_pop_cte()}, {_counts_cte()},
+g AS (SELECT col0 AS e, col1 AS s, col2 AS power, col3 AS alpha, col4 AS d
+      FROM (VALUES {vals})),
+m AS (SELECT outcome, control_positive / control_count AS b FROM counts)
+SELECT outcome, {R('e', 'target_absolute_effect')}, {R('s', 'treatment_share')},
+       {R('power', 'power')}, {R('alpha', 'alpha')}, {R('b', 'baseline_control_rate')},
+       {total} AS required_total_sample_size
+FROM m, g""")
