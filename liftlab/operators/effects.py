@@ -27,14 +27,15 @@ def _check_alpha(alpha: float) -> float:
     return ppf(1.0 - alpha / 2.0)
 
 
-def allocation_audit(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
-                     by: Sequence[str] = (), expected: float | None = None) -> DataFrame:
+def allocation_audit(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec(),
+                     by: Sequence[str] = (), expected: float | None = None,
+                     population: DataFrame | None = None) -> DataFrame:
     """Sample-ratio test of the treated share against the design share."""
     p = spec.expected_share if expected is None else expected
     if not 0 < p < 1:
         raise ValueError("Allocation inputs must define a nonempty valid design")
     by = _by(by)
-    pop = population_summary(df, spec, by)
+    pop = population if population is not None else population_summary(df, spec, by)
     return allocation_from_counts(pop, p, by)
 
 
@@ -115,11 +116,13 @@ def effects_from_counts(counts: DataFrame, alpha: float = 0.05,
     )
 
 
-def itt_effects(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
-                by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+def itt_effects(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec(),
+                by: Sequence[str] = (), alpha: float = 0.05,
+                population: DataFrame | None = None) -> DataFrame:
     """Intention-to-treat effect of assignment on every outcome."""
     by = _by(by)
-    counts = arm_counts(population_summary(df, spec, by), spec.outcomes, by)
+    pop = population if population is not None else population_summary(df, spec, by)
+    counts = arm_counts(pop, spec.outcomes, by)
     return effects_from_counts(counts, alpha, keep=[*by, "outcome"])
 
 

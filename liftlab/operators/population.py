@@ -57,11 +57,13 @@ def arm_counts(population: DataFrame, names: Sequence[str], by: Sequence[str] =
     return population.select(*by, "total_count", "treatment_count", "control_count", stacked)
 
 
-def outcome_descriptives(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
-                         by: Sequence[str] = ()) -> DataFrame:
+def outcome_descriptives(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec(),
+                         by: Sequence[str] = (), population: DataFrame | None = None
+                         ) -> DataFrame:
     """Overall / treated / control counts, positives and rates per outcome."""
     by = _by(by)
-    counts = arm_counts(population_summary(df, spec, by), spec.outcomes, by)
+    pop = population if population is not None else population_summary(df, spec, by)
+    counts = arm_counts(pop, spec.outcomes, by)
     return counts.select(
         *by, "outcome",
         F.col("total_count").alias("overall_count"),
@@ -74,13 +76,14 @@ def outcome_descriptives(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
     )
 
 
-def exposure_diagnostics(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
-                         by: Sequence[str] = ()) -> DataFrame:
+def exposure_diagnostics(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec(),
+                         by: Sequence[str] = (), population: DataFrame | None = None
+                         ) -> DataFrame:
     """Exposure rate per arm. Exposure follows assignment; descriptive only."""
     if not spec.exposure:
         raise ValueError("spec has no exposure column")
     by = _by(by)
-    pop = population_summary(df, spec, by)
+    pop = population if population is not None else population_summary(df, spec, by)
     e = spec.exposure
     return pop.select(
         *by,

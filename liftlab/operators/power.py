@@ -31,15 +31,17 @@ def _grid(items: Sequence[dict]) -> Column:
                                for it in items]))
 
 
-def mde_grid(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), by: Sequence[str] = (),
-             powers: Sequence[float] = POWERS, alpha: float = 0.05) -> DataFrame:
+def mde_grid(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec(),
+             by: Sequence[str] = (), powers: Sequence[float] = POWERS, alpha: float = 0.05,
+             population: DataFrame | None = None) -> DataFrame:
     """Absolute / relative MDE for the observed control rate and arm sizes.
 
     Null when the control rate is 0 or 1 or an arm is empty (the reference
     raises there; per segment a null with the inputs is more useful).
     """
     by = _by(by)
-    counts = arm_counts(population_summary(df, spec, by), spec.outcomes, by)
+    pop = population if population is not None else population_summary(df, spec, by)
+    counts = arm_counts(pop, spec.outcomes, by)
     grid = _grid([{"power": float(p), "alpha": float(alpha),
                    "_d": detectable_shift(float(p), float(alpha))} for p in powers])
     step = counts.select(*by, "outcome", "treatment_count", "control_count",
