@@ -15,9 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlab.functions.rounding import round_doubles
-from liftlab.operators import (balance, effects, population, power, ranking, sampling,
-                               validate)
-from liftlab.plans import oracles
+from liftlab.operators import (balance, effects, learners, population, power, ranking,
+                               sampling, validate)
+from liftlab.plans import charts, oracles
 from liftlab.sources.overlay import experiment_table, rule_scores
 from liftlab.spec import ExperimentSpec
 
@@ -53,6 +53,36 @@ def _ranked(outcome: str, table: str) -> Callable[[SparkSession, str], DataFrame
     return run
 
 
+def _uplift_scores(learner: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Held-out potential outcomes of one learner (visit, alpha 1e-4)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _exp(spark, sf_dir)
+        split = sampling.split_rows(df.select(SPEC.id, *SPEC.model_columns), 42, spec=SPEC)
+        train = split.where("split = 'train'")
+        pre = learners.fit_preprocessor(train, SPEC)
+        keep = [SPEC.id, SPEC.treatment, *SPEC.outcomes]
+        model = learners.LEARNERS[learner].fit(
+            learners.transform_features(pre, train, keep), "visit", alpha=1e-4)
+        test = learners.transform_features(pre, split.where("split = 'test'"), keep)
+        return round_doubles(learners.predict_uplift(model, test).select(
+            SPEC.id, SPEC.treatment, "visit", "p1", "p0", "cate"))
+    return run
+
+
+def _model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation AUUC of each regularisation candidate (T-learner, visit)."""
+    df = _exp(spark, sf_dir)
+    split = sampling.split_rows(df.select(SPEC.id, *SPEC.model_columns), 42, spec=SPEC)
+    train = split.where("split = 'train'")
+    pre = learners.fit_preprocessor(train, SPEC)
+    keep = [SPEC.id, SPEC.treatment, *SPEC.outcomes]
+    rep = learners.select_model("t_learner", learners.transform_features(pre, train, keep),
+                                learners.transform_features(
+                                    pre, split.where("split = 'validation'"), keep),
+                                "visit", spec=SPEC)
+    return learners.candidates_frame(spark, [rep]).drop("fit_seconds")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "population_summary": _rounded(lambda df: population.population_summary(df, SPEC)),
@@ -98,6 +128,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             sampling.split_rows(df, 42, spec=SPEC), SPEC)),
         "mde_grid": _rounded(lambda df: power.mde_grid(df, SPEC)),
         "sample_size_grid": _rounded(lambda df: power.sample_size_grid(df, SPEC)),
+        "chart_effects": _rounded(lambda df: charts.effect_points(effects.itt_effects(df, SPEC))),
+        "chart_balance": _rounded(lambda df: charts.balance_bars(
+            balance.continuous_balance(df, SPEC), balance.categorical_balance(df, SPEC))),
+        "s_learner_scores": _uplift_scores("s_learner"),
+        "t_learner_scores": _uplift_scores("t_learner"),
+        "uplift_model_selection": _model_selection,
+        "treatment_predictability": _rounded(
+            lambda df: learners.treatment_predictability(df, SPEC)),
     }
 
 
@@ -134,4 +172,6 @@ def oracle_sql() -> dict[str, str]:
         "split_summary": oracles.split_summary(),
         "mde_grid": oracles.mde_grid(),
         "sample_size_grid": oracles.sample_size_grid(),
+        "chart_effects": oracles.chart_effects(),
+        "chart_balance": oracles.chart_balance(),
     }

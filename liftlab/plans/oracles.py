@@ -694,3 +694,27 @@ SELECT outcome, {R('e', 'target_absolute_effect')}, {R('s', 'treatment_share')},
        {R('power', 'power')}, {R('alpha', 'alpha')}, {R('b', 'baseline_control_rate')},
        {total} AS required_total_sample_size
 FROM m, g""")
+
+
+# ---- chart-ready tables ---------------------------------------------------------
+
+def chart_effects() -> str:
+    zc = num(Z975)
+    return with_overlay(f""", {_pop_cte()}, {_counts_cte()},
+r AS (SELECT outcome, treatment_positive / treatment_count AS tr,
+             control_positive / control_count AS cr, treatment_count AS tn, control_count AS cn
+      FROM counts),
+s AS (SELECT *, tr - cr AS rd, SQRT(tr * (1 - tr) / tn + cr * (1 - cr) / cn) AS se FROM r)
+SELECT outcome, {R('rd * 100', 'effect_pp')},
+       {R(f'GREATEST({num(-1.0)}, rd - {zc} * se) * 100', 'ci_lower_pp')},
+       {R(f'LEAST({num(1.0)}, rd + {zc} * se) * 100', 'ci_upper_pp')}
+FROM s""")
+
+
+def chart_balance(threshold: float = 0.10) -> str:
+    cont = continuous_balance().split("\nSELECT feature, ")[0]
+    return f"""{cont}{_categorical_feature_cte()}
+SELECT feature, 'continuous' AS kind, {R('ABS(smd)', 'value')}, {R(num(threshold), 'threshold')}
+FROM k
+UNION ALL
+SELECT feature, 'categorical', {R('mx', 'value')}, {R(num(threshold), 'threshold')} FROM cf"""
