@@ -18,6 +18,9 @@ from liftlab.functions.rounding import round_doubles
 from liftlab.operators import (balance, effects, learners, population, power, ranking,
                                sampling, validate)
 from liftlab.plans import charts, oracles
+from liftlab.session import ensure_checkpoint_dir
+from liftlab.sources.ingest import prepare_dataset
+from liftlab.sources.manifest import file_manifest
 from liftlab.sources.overlay import experiment_table, rule_scores
 from liftlab.spec import ExperimentSpec
 
@@ -83,6 +86,27 @@ def _model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.candidates_frame(spark, [rep]).drop("fit_seconds")
 
 
+def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip: the numeric experiment table as gzip CSV, then prepare.
+
+    Scratch files go under the session's checkpoint folder (shared on a
+    cluster), in a fresh sub-folder per call.
+    """
+    import uuid
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prepare-{uuid.uuid4().hex}"
+    df = _exp(spark, sf_dir)
+    numeric = df.select("id", "f0", "f2", "f7", "f10",
+                        *[df[c].cast("double").alias(c) for c in ("f5", "f6", "f8", "f9", "f11")],
+                        *SPEC.binaries)
+    numeric.write.option("header", True).option("compression", "gzip").csv(f"{base}/raw")
+    report = prepare_dataset(spark, f"{base}/raw", f"{base}/experiment.parquet",
+                             spec=ExperimentSpec(features=("f0", "f2", "f7", "f10", "f5", "f6",
+                                                           "f8", "f9", "f11", "id"),
+                                                 continuous=("f0", "f2", "f7", "f10", "id"),
+                                                 categorical=("f5", "f6", "f8", "f9", "f11")))
+    return report["equivalence"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "population_summary": _rounded(lambda df: population.population_summary(df, SPEC)),
@@ -136,6 +160,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "uplift_model_selection": _model_selection,
         "treatment_predictability": _rounded(
             lambda df: learners.treatment_predictability(df, SPEC)),
+        "prepare_dataset": _prepare,
+        "file_manifest": lambda spark, sf_dir: file_manifest(spark, sf_dir, glob="*.parquet"),
     }
 
 

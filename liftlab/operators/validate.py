@@ -28,9 +28,9 @@ def _finite(c: Column, dt: T.DataType) -> Column:
     return c
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A1 + V6: per numeric column, missing and non-finite counts, and min,
-    max, mean and population sd over the finite values (null when none)."""
+def column_profile_aggs(df: DataFrame, columns: Sequence[str] | None = None
+                        ) -> tuple[list[Column], list[str]]:
+    """Named aggregates behind :func:`column_profile` (usable in ``observe``)."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = list(columns) if columns is not None else [
         n for n, dt in fields.items() if isinstance(dt, T.NumericType)]
@@ -44,35 +44,46 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         aggs += [F.count_if(c.isNull()).alias(f"miss_{i}"), nonfinite.alias(f"nf_{i}"),
                  F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"),
                  F.avg(x).alias(f"mean_{i}"), F.stddev_pop(x).alias(f"sd_{i}")]
-    wide = df.agg(*aggs)
+    return aggs, names
+
+
+def column_profile_from(wide: DataFrame, names: Sequence[str], dtypes: dict[str, str]
+                        ) -> DataFrame:
+    """Reshape the one-row aggregate to one row per column."""
     pieces = ", ".join(
-        f"'{n}', '{fields[n].simpleString()}', miss_{i}, nf_{i}, min_{i}, max_{i}, mean_{i}, sd_{i}"
+        f"'{n}', '{dtypes[n]}', miss_{i}, nf_{i}, min_{i}, max_{i}, mean_{i}, sd_{i}"
         for i, n in enumerate(names))
     return wide.select(F.expr(
         f"stack({len(names)}, {pieces}) AS (column_name, dtype, missing_count, nonfinite_count, "
         f"minimum, maximum, mean, standard_deviation)"))
 
 
-def binary_profile(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
-                   columns: Sequence[str] | None = None) -> DataFrame:
-    """A2 + V4: counts of 0 and 1, missing, and values outside {0, 1}.
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A1 + V6: per numeric column, missing and non-finite counts, and min,
+    max, mean and population sd over the finite values (null when none)."""
+    aggs, names = column_profile_aggs(df, columns)
+    dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return column_profile_from(df.agg(*aggs), names, dtypes)
 
-    0.0 and 1.0 are valid; null is missing, not invalid. Invalid values are
-    summarised by count, min and max (never collected as a set).
-    """
+
+def binary_profile_aggs(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
+                        columns: Sequence[str] | None = None) -> tuple[list[Column], list[str]]:
     names = list(columns) if columns is not None else list(spec.binaries)
     spec.require_columns(df, names)
     aggs = []
     for i, n in enumerate(names):
         c = F.col(n).cast("double")
         bad = c.isNotNull() & ~c.isin(0.0, 1.0)
-        aggs += [F.count_if(c.isNull()).alias(f"miss_{i}"),
+        aggs += [F.count_if(c.isNull()).alias(f"bmiss_{i}"),
                  F.count_if(c == 0.0).alias(f"zero_{i}"), F.count_if(c == 1.0).alias(f"one_{i}"),
                  F.count_if(bad).alias(f"bad_{i}"),
                  F.min(F.when(bad, c)).alias(f"badmin_{i}"),
                  F.max(F.when(bad, c)).alias(f"badmax_{i}")]
-    wide = df.agg(*aggs)
-    pieces = ", ".join(f"'{n}', miss_{i}, zero_{i}, one_{i}, bad_{i}, badmin_{i}, badmax_{i}"
+    return aggs, names
+
+
+def binary_profile_from(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    pieces = ", ".join(f"'{n}', bmiss_{i}, zero_{i}, one_{i}, bad_{i}, badmin_{i}, badmax_{i}"
                        for i, n in enumerate(names))
     long = wide.select(F.expr(
         f"stack({len(names)}, {pieces}) AS (column_name, missing_count, count_0, count_1, "
@@ -85,6 +96,17 @@ def binary_profile(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
         (F.col("invalid_count") == 0).alias("valid"))
 
 
+def binary_profile(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
+                   columns: Sequence[str] | None = None) -> DataFrame:
+    """A2 + V4: counts of 0 and 1, missing, and values outside {0, 1}.
+
+    0.0 and 1.0 are valid; null is missing, not invalid. Invalid values are
+    summarised by count, min and max (never collected as a set).
+    """
+    aggs, names = binary_profile_aggs(df, spec, columns)
+    return binary_profile_from(df.agg(*aggs), names)
+
+
 def assert_binary(profile: DataFrame) -> None:
     """Fail when any binary column holds a value outside {0, 1} (V4)."""
     bad = profile.where(F.col("invalid_count") > 0).select(
@@ -164,10 +186,11 @@ def table_summary(df: DataFrame, spec: ExperimentSpec = ExperimentSpec()) -> dic
 
 
 def profile_comparison(left: DataFrame, right: DataFrame,
-                       spec: ExperimentSpec = ExperimentSpec()) -> DataFrame:
+                       spec: ExperimentSpec = ExperimentSpec(), *,
+                       profiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per column: both profiles side by side and whether they agree."""
-    lp = column_profile(left).alias("l")
-    rp = column_profile(right).alias("r")
+    lprof, rprof = profiles or (column_profile(left), column_profile(right))
+    lp, rp = lprof.alias("l"), rprof.alias("r")
     joined = lp.join(rp, F.col("l.column_name") == F.col("r.column_name"), "full_outer")
     cols = [F.coalesce(F.col("l.column_name"), F.col("r.column_name")).alias("column_name"),
             F.col("l.column_name").isNotNull().alias("in_left"),
@@ -186,37 +209,47 @@ def profile_comparison(left: DataFrame, right: DataFrame,
                       stats_ok.alias("statistics_match"))
 
 
-def table_equivalence(left: DataFrame, right: DataFrame,
-                      spec: ExperimentSpec = ExperimentSpec()) -> DataFrame:
-    """Row count, column order, missing counts, binary counts and feature
-    statistics agree. One row per check (check_name, passed).
-
-    Each check is a one-row aggregate over small profile tables (or one
-    counting pass over both inputs); the checks are stacked with a union.
-    """
-    comp = profile_comparison(left, right, spec)
-    feats = list(spec.features)
+def equivalence_from_profiles(left_columns: DataFrame, right_columns: DataFrame,
+                              left_binaries: DataFrame, right_binaries: DataFrame,
+                              row_count_match: DataFrame, same_column_names: bool,
+                              features: Sequence[str]) -> DataFrame:
+    """C2 over precomputed profile tables: one row per (check_name, passed)."""
+    comp = profile_comparison(None, None, profiles=(left_columns, right_columns))
     missing = comp.agg(F.lit("missing_counts").alias("check_name"),
                        F.coalesce(F.bool_and("missing_match"), F.lit(True)).alias("passed"))
-    stats = comp.where(F.col("column_name").isin(*feats)).agg(
+    stats = comp.where(F.col("column_name").isin(*features)).agg(
         F.lit("feature_statistics").alias("check_name"),
         F.coalesce(F.bool_and("statistics_match"), F.lit(True)).alias("passed"))
-    lb = binary_profile(left, spec).select("column_name", "count_0", "count_1").alias("l")
-    rb = binary_profile(right, spec).select("column_name", "count_0", "count_1").alias("r")
+    lb = left_binaries.select("column_name", "count_0", "count_1").alias("l")
+    rb = right_binaries.select("column_name", "count_0", "count_1").alias("r")
     binaries = (lb.join(rb, F.col("l.column_name") == F.col("r.column_name"), "full_outer")
                 .agg(F.lit("binary_counts").alias("check_name"),
                      F.coalesce(F.bool_and(F.coalesce(
                          (F.col("l.count_0") == F.col("r.count_0"))
                          & (F.col("l.count_1") == F.col("r.count_1")), F.lit(False))),
                          F.lit(True)).alias("passed")))
+    names = row_count_match.select(F.lit("column_names").alias("check_name"),
+                                   F.lit(same_column_names).alias("passed"))
+    return (row_count_match.unionByName(names).unionByName(missing).unionByName(binaries)
+            .unionByName(stats))
+
+
+def table_equivalence(left: DataFrame, right: DataFrame,
+                      spec: ExperimentSpec = ExperimentSpec()) -> DataFrame:
+    """Row count, column order, missing counts, binary counts and feature
+    statistics agree. One row per check (check_name, passed).
+
+    Each check is a one-row aggregate over small profile tables (or one
+    counting pass over both inputs); the checks are stacked with a union.
+    """
     sides = (left.select(F.lit(0).alias("_side"))
              .unionByName(right.select(F.lit(1).alias("_side"))))
     rows = sides.agg(F.lit("row_count").alias("check_name"),
                      (F.count_if(F.col("_side") == 0) == F.count_if(F.col("_side") == 1)
                       ).alias("passed"))
-    names = rows.select(F.lit("column_names").alias("check_name"),
-                        F.lit(left.columns == right.columns).alias("passed"))
-    return rows.unionByName(names).unionByName(missing).unionByName(binaries).unionByName(stats)
+    return equivalence_from_profiles(
+        column_profile(left), column_profile(right), binary_profile(left, spec),
+        binary_profile(right, spec), rows, left.columns == right.columns, list(spec.features))
 
 
 def equivalence_passed(checks: DataFrame) -> bool:
