@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from liftlab.functions.rounding import round_doubles
 from liftlab.operators import (balance, effects, learners, population, power, ranking,
@@ -86,6 +87,50 @@ def _model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.candidates_frame(spark, [rep]).drop("fit_seconds")
 
 
+def _t_learner_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saturated T-learner check: one categorical feature (f4), almost no
+    regularisation, fitted on the training split. Each arm's model must
+    return the training cell rates, so probability x cell size gives back
+    the integer positives of every (cell, arm)."""
+    df = _exp(spark, sf_dir)
+    split = sampling.split_rows(df.select(SPEC.id, *SPEC.model_columns), 42, spec=SPEC)
+    train = split.where("split = 'train'")
+    spec = ExperimentSpec(features=("f4",), continuous=(), categorical=("f4",))
+    pre = learners.fit_preprocessor(train, spec)
+    X = learners.transform_features(pre, train, [SPEC.id, "f4", SPEC.treatment, "visit"])
+    model = learners.TLearner.fit(X, "visit", alpha=1e-10, max_iterations=300,
+                                  classifier=lambda a: learners.logistic(a, 300, 1e-12))
+    t = F.col(SPEC.treatment)
+    cells = model.predict(X).groupBy("f4").agg(
+        F.count_if(t == 1).alias("treated_rows"), F.count_if(t == 0).alias("control_rows"),
+        F.max("p1").alias("p1"), F.max("p0").alias("p0"))
+    return cells.select(
+        "f4", "treated_rows", "control_rows",
+        F.round(F.col("p1") * F.col("treated_rows")).cast("long").alias(
+            "recovered_treated_positives"),
+        F.round(F.col("p0") * F.col("control_rows")).cast("long").alias(
+            "recovered_control_positives"))
+
+
+def _chart_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _evaluation("visit")(_exp(spark, sf_dir))
+    return round_doubles(charts.gain_lines({("visit", "rule"): ev.gain_curve()}))
+
+
+def _chart_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _evaluation("conversion")(_exp(spark, sf_dir))
+    return round_doubles(charts.policy_bars({("conversion", "rule"): ev.targeting_policy()}))
+
+
+def _design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, columns and non-zeros of the training design matrix."""
+    df = _exp(spark, sf_dir)
+    split = sampling.split_rows(df.select(SPEC.id, *SPEC.model_columns), 42, spec=SPEC)
+    train = split.where("split = 'train'")
+    pre = learners.fit_preprocessor(train, SPEC)
+    return learners.design_size(learners.transform_features(pre, train, [SPEC.id]))
+
+
 def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: the numeric experiment table as gzip CSV, then prepare.
 
@@ -155,6 +200,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chart_effects": _rounded(lambda df: charts.effect_points(effects.itt_effects(df, SPEC))),
         "chart_balance": _rounded(lambda df: charts.balance_bars(
             balance.continuous_balance(df, SPEC), balance.categorical_balance(df, SPEC))),
+        "chart_sensitivity": _rounded(lambda df: charts.effect_vs_mde(
+            effects.itt_effects(df, SPEC), power.mde_grid(df, SPEC))),
+        "chart_gain": _chart_gain,
+        "chart_policy": _chart_policy,
+        "t_learner_cell_counts": _t_learner_cell_counts,
+        "design_matrix": _design_matrix,
         "s_learner_scores": _uplift_scores("s_learner"),
         "t_learner_scores": _uplift_scores("t_learner"),
         "uplift_model_selection": _model_selection,
@@ -200,4 +251,8 @@ def oracle_sql() -> dict[str, str]:
         "sample_size_grid": oracles.sample_size_grid(),
         "chart_effects": oracles.chart_effects(),
         "chart_balance": oracles.chart_balance(),
+        "chart_sensitivity": oracles.chart_sensitivity(),
+        "chart_gain": oracles.chart_gain(),
+        "chart_policy": oracles.chart_policy(),
+        "t_learner_cell_counts": oracles.t_learner_cell_counts(),
     }

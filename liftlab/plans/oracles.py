@@ -718,3 +718,52 @@ SELECT feature, 'continuous' AS kind, {R('ABS(smd)', 'value')}, {R(num(threshold
 FROM k
 UNION ALL
 SELECT feature, 'categorical', {R('mx', 'value')}, {R(num(threshold), 'threshold')} FROM cf"""
+
+
+def chart_sensitivity(powers=(0.8, 0.9), alpha: float = 0.05) -> str:
+    zc = num(Z975)
+    vals = ", ".join(f"({num(p)}, {num(detectable_shift(p, alpha))})" for p in powers)
+    h = f"(d * SQRT({num(1.0)} / tn + {num(1.0)} / cn))"
+    absolute = (f"CASE WHEN b > 0 AND b < 1 THEN POWER(SIN(({num(2.0)} * ASIN(SQRT(b)) + ABS({h}))"
+                f" / {num(2.0)}), 2) - b END")
+    return with_overlay(f""", {_pop_cte()}, {_counts_cte()},
+g AS (SELECT col0 AS power, col1 AS d FROM (VALUES {vals})),
+r AS (SELECT outcome, treatment_positive / treatment_count AS tr,
+             control_positive / control_count AS cr, control_positive / control_count AS b,
+             treatment_count AS tn, control_count AS cn
+      FROM counts),
+s AS (SELECT *, tr - cr AS rd, SQRT(tr * (1 - tr) / tn + cr * (1 - cr) / cn) AS se FROM r),
+m AS (SELECT outcome, MAX(CASE WHEN power = {num(powers[0])} THEN {absolute} END) AS m80,
+             MAX(CASE WHEN power = {num(powers[1])} THEN {absolute} END) AS m90
+      FROM r, g GROUP BY outcome)
+SELECT s.outcome, {R('rd * 100', 'effect_pp')},
+       {R(f'GREATEST({num(-1.0)}, rd - {zc} * se) * 100', 'ci_lower_pp')},
+       {R(f'LEAST({num(1.0)}, rd + {zc} * se) * 100', 'ci_upper_pp')},
+       {R('m80 * 100', 'mde_80_pp')}, {R('m90 * 100', 'mde_90_pp')}
+FROM s JOIN m ON s.outcome = m.outcome""")
+
+
+def chart_gain() -> str:
+    return f"""SELECT 'visit' AS outcome, 'rule' AS learner, fraction, policy_gain_per_100000,
+       random_gain_per_100000, treat_all_gain_per_100000
+FROM ({gain_curve()}) AS q"""
+
+
+def chart_policy() -> str:
+    return f"""SELECT 'conversion' AS outcome, 'rule' AS learner, fraction,
+       incremental_outcomes_per_100000_population, random_targeting_per_100000_population,
+       observed_difference_ci_lower, observed_difference_ci_upper, insufficient_control_events
+FROM ({targeting_policy()}) AS q"""
+
+
+def t_learner_cell_counts() -> str:
+    """Positives per (f4 cell, arm) of the training split: what a saturated
+    T-learner's probabilities times the cell sizes must give back."""
+    return with_overlay(f"""{_split_cte()}
+SELECT exp.f4, COUNT(*) FILTER (WHERE sp.treatment = 1) AS treated_rows,
+       COUNT(*) FILTER (WHERE sp.treatment = 0) AS control_rows,
+       COUNT(*) FILTER (WHERE sp.treatment = 1 AND sp.visit = 1) AS recovered_treated_positives,
+       COUNT(*) FILTER (WHERE sp.treatment = 0 AND sp.visit = 1) AS recovered_control_positives
+FROM sp JOIN exp ON sp.id = exp.id
+WHERE sp.split = 'train'
+GROUP BY exp.f4""")
