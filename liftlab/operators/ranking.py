@@ -52,12 +52,11 @@ def _partitions(spark: SparkSession, n: int | None) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
-              partitions: int | None = None) -> DataFrame:
-    """Append a 1-based global rank following ``order`` (must be a total order).
-
-    Cost: one range shuffle, one checkpoint write, one small count job.
-    """
+def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
+                      partitions: int | None = None, check_col: str | None = None
+                      ) -> tuple[DataFrame, int, int]:
+    """:func:`rank_rows` plus the row count and, for ``check_col``, the number
+    of null or NaN values, both taken from the per-partition count job."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     p = _partitions(spark, partitions)
@@ -65,19 +64,32 @@ def rank_rows(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
     fixed = ordered.checkpoint(eager=True)
     tagged = fixed.select("*", F.spark_partition_id().alias("_pid"),
                           F.monotonically_increasing_id().alias("_mid"))
-    counts = sorted((r[0], r[1]) for r in
-                    tagged.groupBy("_pid").agg(F.count(F.lit(1))).collect())
-    offsets, running = [], 0
-    for pid, c in counts:  # one row per partition: bounded by ``p``
+    bad = (F.count_if(F.col(check_col).isNull() | F.isnan(check_col)) if check_col
+           else F.lit(0).cast("long"))
+    counts = sorted((r[0], r[1], r[2]) for r in
+                    tagged.groupBy("_pid").agg(F.count(F.lit(1)), bad).collect())
+    offsets, running, invalid = [], 0, 0
+    for pid, c, b in counts:  # one row per partition: bounded by ``p``
         offsets.append((pid, running))
         running += c
+        invalid += b
     schema = T.StructType([T.StructField("_pid", T.IntegerType()),
                            T.StructField("_off", T.LongType())])
     off = spark.createDataFrame(offsets, schema)
     within = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(off), "_pid")
-            .withColumn(rank_col, F.col("_off") + within + F.lit(1))
-            .drop("_pid", "_mid", "_off"))
+    ranked = (tagged.join(F.broadcast(off), "_pid")
+              .withColumn(rank_col, F.col("_off") + within + F.lit(1))
+              .drop("_pid", "_mid", "_off"))
+    return ranked, running, invalid
+
+
+def rank_rows(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
+              partitions: int | None = None) -> DataFrame:
+    """Append a 1-based global rank following ``order`` (must be a total order).
+
+    Cost: one range shuffle, one checkpoint write, one small count job.
+    """
+    return rank_rows_counted(df, order, rank_col=rank_col, partitions=partitions)[0]
 
 
 def descending_score_order(score: str, id_col: str) -> list[Column]:
@@ -85,12 +97,6 @@ def descending_score_order(score: str, id_col: str) -> list[Column]:
     return [F.col(score).desc(), F.col(id_col).asc()]
 
 
-def _check_scores(df: DataFrame, score: str) -> None:
-    bad = df.agg(F.count_if(F.col(score).isNull() | F.isnan(score))).first()[0]
-    if bad:
-        raise ValidationError(f"{bad} scores are null or NaN; ranking needs real numbers")
-
-
 # ---- band counts ------------------------------------------------------------
 
 def band_counts(ranked: DataFrame, cuts: Sequence[int], *, outcome: str, treatment: str,
@@ -198,11 +204,11 @@ class RankedEvaluation:
         self.outcome_name = outcome_name or outcome
         self.signal = signal
         narrow = scored.select(id_col, score, outcome, treatment, *([signal] if signal else []))
-        if check_scores:
-            _check_scores(narrow, score)
-        self.ranked = rank_rows(narrow, descending_score_order(score, id_col),
-                                partitions=partitions)
-        self.n = self.ranked.count()
+        self.ranked, self.n, invalid = rank_rows_counted(
+            narrow, descending_score_order(score, id_col), partitions=partitions,
+            check_col=score if check_scores else None)
+        if invalid:
+            raise ValidationError(f"{invalid} scores are null or NaN; ranking needs real numbers")
         if self.n == 0:
             raise ValidationError("Ranking evaluation requires observations")
         self.curve = curve_counts(self.n, points)

@@ -141,3 +141,13 @@ def test_predictive_diagnostics_auc_with_ties(spark):
     assert out["control_p0"].roc_auc == pytest.approx(_auc(y[~m], p0[~m]), rel=1e-12)
     ll = -np.mean(y * np.log(fact) + (1 - y) * np.log(1 - fact))
     assert out["overall"].log_loss == pytest.approx(ll)
+
+
+def test_nan_and_null_scores_rejected(spark):
+    from liftlab.spec import ValidationError
+    nan = _frame(spark, [1.0, float("nan"), 0.5])
+    with pytest.raises(ValidationError, match="null or NaN"):
+        RankedEvaluation(nan)
+    null = nan.withColumn("score", F.when(F.col("id") == 0, None).otherwise(F.lit(0.3)))
+    with pytest.raises(ValidationError, match="1 scores"):
+        RankedEvaluation(null)
