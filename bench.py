@@ -85,7 +85,7 @@ def main() -> None:
     timed("split_summary", lambda: sampling.split_summary(
         sampling.split_rows(df, 42, spec=SPEC), SPEC).collect())
     timed("experiment_report", lambda: _collect_all(analyze_experiment(df, SPEC)))
-    timed("uplift_report", lambda: _collect_all(analyze_uplift(df, SPEC)))
+    timed("uplift_report", lambda: _collect_all(analyze_uplift(df, SPEC, parallelism=4)))
 
     raw = f"{scratch}/raw"
     numeric = df.select("id", "f0", "f2", "f7", "f10",

@@ -42,24 +42,32 @@ TARGETING_FRACTIONS = (0.05, 0.10, 0.20, 0.30, 0.50, 1.00)
 CURVE_POINTS = 100
 DECILE_GROUPS = 10
 CATE_QUANTILES = (0.05, 0.25, 0.50, 0.75, 0.95)
+# Rows of a narrow rank input (a few columns) per range partition, at most.
+RANK_ROWS_PER_PARTITION = 4_000_000
 
 
 # ---- R1: distributed global rank -----------------------------------------
 
-def _partitions(spark: SparkSession, n: int | None) -> int:
+def _partitions(spark: SparkSession, n: int | None, rows: int | None = None) -> int:
+    """Range partitions for a rank: explicit ``n``; else the shuffle setting,
+    raised so that no partition is planned above ``RANK_ROWS_PER_PARTITION``
+    rows when the caller already knows the row count."""
     if n:
         return int(n)
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if rows:
+        base = max(base, math.ceil(rows / RANK_ROWS_PER_PARTITION))
+    return base
 
 
 def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
-                      partitions: int | None = None, check_col: str | None = None
-                      ) -> tuple[DataFrame, int, int]:
+                      partitions: int | None = None, check_col: str | None = None,
+                      rows: int | None = None) -> tuple[DataFrame, int, int]:
     """:func:`rank_rows` plus the row count and, for ``check_col``, the number
     of null or NaN values, both taken from the per-partition count job."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    p = _partitions(spark, partitions)
+    p = _partitions(spark, partitions, rows)
     ordered = df.repartitionByRange(p, *order).sortWithinPartitions(*order)
     fixed = ordered.checkpoint(eager=True)
     tagged = fixed.select("*", F.spark_partition_id().alias("_pid"),
@@ -84,12 +92,14 @@ def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str =
 
 
 def rank_rows(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, rows: int | None = None) -> DataFrame:
     """Append a 1-based global rank following ``order`` (must be a total order).
 
     Cost: one range shuffle, one checkpoint write, one small count job.
+    ``rows`` (if known) sizes the range partitions.
     """
-    return rank_rows_counted(df, order, rank_col=rank_col, partitions=partitions)[0]
+    return rank_rows_counted(df, order, rank_col=rank_col, partitions=partitions,
+                             rows=rows)[0]
 
 
 def descending_score_order(score: str, id_col: str) -> list[Column]:

@@ -76,11 +76,12 @@ def sample_rows(df: DataFrame, n: int, seed: int, *, id_col: str = "id",
     threshold = min(TWO32, math.ceil((n + 8 * math.sqrt(n) + 64) / total * TWO32))
     while True:
         cand = keyed.where(F.col("_key") < F.lit(threshold))
-        if threshold >= TWO32 or cand.count() >= n:
+        found = cand.count() if threshold < TWO32 else total
+        if found >= n:
             break
         threshold = min(TWO32, threshold * 2)
     ranked = rank_rows(cand, [F.col("_key").asc(), F.col(id_col).asc()], rank_col="_rank",
-                       partitions=partitions)
+                       partitions=partitions, rows=found)
     return ranked.where(F.col("_rank") <= n).drop("_key", "_rank")
 
 
@@ -154,7 +155,8 @@ def split_rows(df: DataFrame, seed: int, *, spec: ExperimentSpec = ExperimentSpe
     cuts = df.sparkSession.createDataFrame(
         rows, "stratum int, _start long, _train_end long, _val_end long")
     ranked = rank_rows(strat, [F.col("stratum").asc(), F.col("_key").asc(),
-                               F.col(id_col).asc()], rank_col="_rank", partitions=partitions)
+                               F.col(id_col).asc()], rank_col="_rank", partitions=partitions,
+                       rows=offset)
     r = F.col("_rank")
     split = (F.when(r <= F.col("_train_end"), names[0])
              .when(r <= F.col("_val_end"), names[1]).otherwise(names[2]))

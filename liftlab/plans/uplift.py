@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -33,8 +34,14 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
                    alphas: Sequence[float] = learners.REGULARIZATION_CANDIDATES,
                    learner_names: Sequence[str] = LEARNER_NAMES,
                    outcomes: Sequence[str] | None = None,
-                   classifier: learners.ClassifierFactory | None = None) -> dict[str, DataFrame]:
+                   classifier: learners.ClassifierFactory | None = None,
+                   parallelism: int = 1) -> dict[str, DataFrame]:
+    """C5. ``parallelism`` > 1 runs the independent (outcome, learner) model
+    searches as concurrent Spark jobs from driver threads (as
+    ``CrossValidator(parallelism=...)`` does); results do not depend on it."""
     started = time.perf_counter()
+    if parallelism < 1:
+        raise ValueError("parallelism must be at least 1")
     if max_iterations <= 0:
         raise ValueError("Maximum iterations must be positive")
     outcomes = list(outcomes or spec.outcomes)
@@ -55,23 +62,32 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
     full_itt = {r["outcome"]: r["absolute_risk_difference"]
                 for r in effects.itt_effects(df, spec).select(
                     "outcome", "absolute_risk_difference").collect()}  # one row per outcome
+    def search(task: tuple[str, str]) -> learners.ModelReport:
+        outcome, name = task
+        rep = learners.select_model(name, matrices["train"], matrices["validation"],
+                                    outcome, spec=spec, alphas=alphas,
+                                    max_iterations=max_iterations, classifier=classifier)
+        return learners.evaluate_model(rep, matrices["test"], spec=spec,
+                                       full_benchmark_itt=full_itt.get(outcome))
+
+    tasks = [(outcome, name) for outcome in outcomes for name in learner_names]
+    if parallelism > 1 and len(tasks) > 1:
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as pool:
+            done = list(pool.map(search, tasks))
+    else:
+        done = [search(t) for t in tasks]
+
     reports, curves, policies = [], {}, {}
     tables: dict[str, list[DataFrame]] = {}
-    for outcome in outcomes:
-        for name in learner_names:
-            rep = learners.select_model(name, matrices["train"], matrices["validation"],
-                                        outcome, spec=spec, alphas=alphas,
-                                        max_iterations=max_iterations, classifier=classifier)
-            rep = learners.evaluate_model(rep, matrices["test"], spec=spec,
-                                          full_benchmark_itt=full_itt.get(outcome))
-            reports.append(rep)
-            curves[(outcome, name)] = rep.tables["gain_curve"]
-            policies[(outcome, name)] = rep.tables["targeting_policy"]
-            for key, t in rep.tables.items():
-                if key == "scores":
-                    continue
-                tables.setdefault(key, []).append(
-                    t.select(F.lit(outcome).alias("outcome"), F.lit(name).alias("learner"), "*"))
+    for (outcome, name), rep in zip(tasks, done):
+        reports.append(rep)
+        curves[(outcome, name)] = rep.tables["gain_curve"]
+        policies[(outcome, name)] = rep.tables["targeting_policy"]
+        for key, t in rep.tables.items():
+            if key == "scores":
+                continue
+            tables.setdefault(key, []).append(
+                t.select(F.lit(outcome).alias("outcome"), F.lit(name).alias("learner"), "*"))
 
     def union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
