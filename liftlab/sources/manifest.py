@@ -11,6 +11,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftlab.spec import ValidationError
+
+MAX_FILE_BYTES = 2**31 - 1
+
 
 def file_manifest(spark: SparkSession, path: str, *, glob: str | None = None,
                   expected: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
@@ -19,6 +23,12 @@ def file_manifest(spark: SparkSession, path: str, *, glob: str | None = None,
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
+    # Listing path and length reads no file content (the source prunes it).
+    too_big = files.where(F.col("length") >= MAX_FILE_BYTES).select("path").limit(5).collect()
+    if too_big:
+        raise ValidationError(
+            "Files too large to hash in one row (2 GiB limit): "
+            + ", ".join(r.path for r in too_big))
     out = files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("length").alias("size_bytes"),

@@ -64,3 +64,16 @@ def test_non_finite_values_fail(spark):
     raw = _write(d, "raw.csv.gz", "NaN,10.0,1,1,1,1\n2.5,20.0,0,0,0,0\n")
     with pytest.raises(ValidationError, match="nonfinite"):
         prepare_dataset(spark, raw, os.path.join(d, "out.parquet"))
+
+
+def test_file_manifest_checksums(spark):
+    import hashlib
+    from liftlab.sources.manifest import file_manifest
+    d = tempfile.mkdtemp(prefix="run-")
+    for name, body in (("a.bin", b"alpha"), ("b.bin", b"beta")):
+        with open(os.path.join(d, name), "wb") as fh:
+            fh.write(body)
+    expected = {"a.bin": hashlib.sha256(b"alpha").hexdigest().upper(), "b.bin": "0" * 64}
+    got = {r.file_name: r for r in file_manifest(spark, d, expected=expected).collect()}
+    assert got["a.bin"].size_bytes == 5 and got["a.bin"].checksum_matches
+    assert not got["b.bin"].checksum_matches
