@@ -321,7 +321,7 @@ def treatment_predictability(df: DataFrame, spec: ExperimentSpec = ExperimentSpe
     tr = transform_features(pre, train, [spec.id, spec.treatment]).withColumn(
         "_label", F.col(spec.treatment).cast("double"))
     te = transform_features(pre, test, [spec.id, spec.treatment])
-    lr = logistic(1.0 / (PREDICTABILITY_C * n_train), PREDICTABILITY_MAX_ITERATIONS, 1e-6,
+    lr = logistic(1.0 / (PREDICTABILITY_C * n_train), PREDICTABILITY_MAX_ITERATIONS, TOLERANCE,
                   label="_label")
     model, secs = _fit(lr, tr)
     scored = positive_probability(model, te, FEATURES, "p").withColumn(

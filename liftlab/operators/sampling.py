@@ -30,6 +30,8 @@ from liftlab.spec import ExperimentSpec, ValidationError
 # Fixed values of the split design.
 MODEL_SPLIT = (("train", 0.6), ("validation", 0.2), ("test", 0.2))
 MINIMUM_STRATUM_ROWS = 5
+# Stratum counts come to the driver and the cut table is broadcast: bound them.
+MAXIMUM_STRATA = 100_000
 KEY_MULTIPLIERS = (2654435761, 2246822519)
 SEED_STRIDE = 1000003
 
@@ -139,8 +141,11 @@ def split_rows(df: DataFrame, seed: int, *, spec: ExperimentSpec = ExperimentSpe
     key = stratum if stratum is not None else stratum_key(spec)
     strat = df.withColumn("stratum", key).withColumn(
         "_key", sample_key(F.col(id_col), seed, _integral(df, id_col)))
-    counts = {r["stratum"]: r["rows"] for r in
-              strat.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    per_stratum = strat.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows"))
+    head = per_stratum.limit(MAXIMUM_STRATA + 1).collect()
+    if len(head) > MAXIMUM_STRATA:
+        raise ValidationError(f"More than {MAXIMUM_STRATA} strata; use a coarser stratum key")
+    counts = {r["stratum"]: r["rows"] for r in head}
     if not counts:
         raise ValidationError("Cannot split an empty table")
     if min(counts.values()) < minimum:
