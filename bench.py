@@ -100,9 +100,13 @@ def main() -> None:
         spark, raw, f"{scratch}/prepared.parquet", spec=prep_spec)))
 
     total = round(sum(times.values()), 3)
+    name = os.path.basename(sf_dir.rstrip("/"))
+    try:
+        sf: float | str = float(name.removeprefix("sf"))
+    except ValueError:
+        sf = name
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")),
-                      "rows": n_rows, "cpus": cpus}))
+                      "queries": times, "sf": sf, "rows": n_rows, "cpus": cpus}))
     spark.stop()
 
 
