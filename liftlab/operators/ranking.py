@@ -48,16 +48,21 @@ RANK_ROWS_PER_PARTITION = 4_000_000
 
 # ---- R1: distributed global rank -----------------------------------------
 
-def _partitions(spark: SparkSession, n: int | None, rows: int | None = None) -> int:
-    """Range partitions for a rank: explicit ``n``; else the shuffle setting,
-    raised so that no partition is planned above ``RANK_ROWS_PER_PARTITION``
-    rows when the caller already knows the row count."""
+def _partitions(spark: SparkSession, n: int | None, rows: int | None = None) -> int | None:
+    """Range partitions for a rank.
+
+    ``None`` (the default) leaves the count to Spark: the shuffle setting
+    is the upper bound and AQE merges adjacent small range partitions to
+    the advisory size, which keeps the order. An explicit ``n`` is used as
+    is; a known row count above ``RANK_ROWS_PER_PARTITION`` per shuffle
+    partition fixes a larger count.
+    """
     if n:
         return int(n)
     base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if rows:
-        base = max(base, math.ceil(rows / RANK_ROWS_PER_PARTITION))
-    return base
+    if rows and math.ceil(rows / RANK_ROWS_PER_PARTITION) > base:
+        return math.ceil(rows / RANK_ROWS_PER_PARTITION)
+    return None
 
 
 def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
@@ -68,7 +73,8 @@ def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str =
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     p = _partitions(spark, partitions, rows)
-    ordered = df.repartitionByRange(p, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(p, *order) if p else df.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     fixed = ordered.checkpoint(eager=True)
     tagged = fixed.select("*", F.spark_partition_id().alias("_pid"),
                           F.monotonically_increasing_id().alias("_mid"))

@@ -9,12 +9,14 @@ small tables.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlab.operators import balance, effects, learners, population, power
 from liftlab.plans import charts
+from liftlab.session import small_table
 from liftlab.spec import BALANCE_THRESHOLD, ExperimentSpec
 
 # Fixed wording of the report.
@@ -43,6 +45,11 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
     spec.require_columns(df)
     spark = df.sparkSession
     by = list(by)
+    # The predictability diagnostic fits a model (eager jobs); it runs in a
+    # driver thread while this thread computes the aggregate tables.
+    pool = ThreadPoolExecutor(max_workers=1) if predictability_sample_size else None
+    pending = pool.submit(lambda: small_table(learners.treatment_predictability(
+        df, spec, sample_size=predictability_sample_size, seed=seed))) if pool else None
     pop = population.population_summary(df, spec, by).cache()  # one small row per segment
     cont = balance.continuous_balance(df, spec, by).cache()
     levels = balance.categorical_level_balance(df, spec, by).cache()
@@ -69,11 +76,15 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
         "methods": spark.createDataFrame(list(METHODS), "item string, description string"),
         "limitations": spark.createDataFrame([(t,) for t in LIMITATIONS], "limitation string"),
     }
-    if predictability_sample_size:
-        report["treatment_predictability"] = learners.treatment_predictability(
-            df, spec, sample_size=predictability_sample_size, seed=seed)
     if not by:
         report["chart_balance"] = charts.balance_bars(cont, cat)
         report["chart_effects"] = charts.effect_points(itt)
         report["chart_sensitivity"] = charts.effect_vs_mde(itt, mde)
+        # without segments every table has at most a few hundred rows
+        report = {k: small_table(v) for k, v in report.items()}
+        for cached in (pop, cont, levels):
+            cached.unpersist()
+    if pending is not None:
+        report["treatment_predictability"] = pending.result()
+        pool.shutdown()
     return report

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from liftlab.operators import effects, learners, sampling
 from liftlab.plans import charts
+from liftlab.session import small_table
 from liftlab.spec import ExperimentSpec, ValidationError
 
 LEARNER_NAMES = ("s_learner", "t_learner")
@@ -67,8 +68,11 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
         rep = learners.select_model(name, matrices["train"], matrices["validation"],
                                     outcome, spec=spec, alphas=alphas,
                                     max_iterations=max_iterations, classifier=classifier)
-        return learners.evaluate_model(rep, matrices["test"], spec=spec,
-                                       full_benchmark_itt=full_itt.get(outcome))
+        rep = learners.evaluate_model(rep, matrices["test"], spec=spec,
+                                      full_benchmark_itt=full_itt.get(outcome))
+        # held-out tables are small (<= ~120 rows): compute them in this thread
+        rep.tables = {k: (t if k == "scores" else small_table(t)) for k, t in rep.tables.items()}
+        return rep
 
     tasks = [(outcome, name) for outcome in outcomes for name in learner_names]
     if parallelism > 1 and len(tasks) > 1:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int | None = None,
@@ -57,3 +57,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "(HDFS/S3/ABFS) before running ranking operators on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="liftlab-ckpt-"))
     return sc.getCheckpointDir()
+
+
+SMALL_TABLE_ROWS = 100_000
+
+
+def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """Compute a small result table once and keep it as a local relation.
+
+    For report tables (one row per band, decile, level or check): later
+    reads do not recompute the plan, and the table no longer depends on the
+    files behind it (checkpoints, staging folders). Refuses tables above
+    ``max_rows``; those must stay distributed.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"small_table: more than {max_rows} rows; keep it distributed")
+    return df.sparkSession.createDataFrame(rows, df.schema)
