@@ -151,3 +151,20 @@ def test_nan_and_null_scores_rejected(spark):
     null = nan.withColumn("score", F.when(F.col("id") == 0, None).otherwise(F.lit(0.3)))
     with pytest.raises(ValidationError, match="1 scores"):
         RankedEvaluation(null)
+
+
+def test_rank_spreads_a_hot_score_over_partitions(spark):
+    # a third of all rows share one score: the unique id in the range key
+    # must still split them across partitions, and ranks stay exact
+    n = 30_000
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(
+            (F.col("id") * 7919 % 1000) / 1000.0).alias("score"))
+    ranked = rank_rows(df, [F.col("score").desc(), F.col("id").asc()], partitions=8)
+    sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id().alias("p")).count()
+             .collect()]
+    assert sum(sizes) == n and len(sizes) == 8
+    assert max(sizes) < 2 * n / 8
+    hot = ranked.where(F.col("score") == 0.5).agg(F.min("rank"), F.max("rank"),
+                                                  F.count(F.lit(1))).first()
+    assert hot[2] >= n // 3 and hot[1] - hot[0] + 1 == hot[2]  # one contiguous block
