@@ -41,6 +41,7 @@ from liftlab.operators.effects import transformed_outcome_col
 from liftlab.operators.ranking import (RankedEvaluation, clip_probability,
                                        predictive_diagnostics, rank_auc)
 from liftlab.operators.sampling import sample_rows, split_rows
+from liftlab.session import small_table
 from liftlab.spec import ExperimentSpec, ValidationError
 
 # Fixed values of the modelling design.
@@ -238,6 +239,7 @@ class ModelReport:
     candidates: list = field(default_factory=list)
     model: object = None
     tables: dict = field(default_factory=dict)
+    scored: DataFrame | None = None  # persisted held-out scores; unpersist when done
 
 
 def select_model(learner: str, train: DataFrame, validation: DataFrame, outcome: str, *,
@@ -268,6 +270,7 @@ def evaluate_model(report: ModelReport, test: DataFrame, *,
                    full_benchmark_itt: float | None = None) -> ModelReport:
     """Score the untouched test split once; every held-out table."""
     scored = predict_uplift(report.model, test).persist(StorageLevel.MEMORY_AND_DISK)
+    report.scored = scored
     ev = RankedEvaluation(scored, score="cate", outcome=report.outcome,
                           treatment=spec.treatment, id_col=spec.id,
                           propensity=spec.propensity, outcome_name=report.outcome)
@@ -337,12 +340,14 @@ def treatment_predictability(df: DataFrame, spec: ExperimentSpec = ExperimentSpe
         F.avg(ll(F.col("p"))).alias("log_loss"),
         F.avg(ll(F.col("base_p"))).alias("baseline_log_loss"))
     out = losses.join(auc.select("_g", "roc_auc"), "_g").drop("_g")
-    return out.select(
+    result = small_table(out.select(
         F.lit(n_train).alias("training_observations"), "test_observations",
         "roc_auc", F.lit(0.5).alias("baseline_roc_auc"), "log_loss", "baseline_log_loss",
         (F.col("baseline_log_loss") - F.col("log_loss")).alias("log_loss_improvement"),
         F.lit(_iterations(model)).alias("iterations"),
-        F.lit(sample_size).alias("requested_sample_size"), F.lit(seed).alias("random_seed"))
+        F.lit(sample_size).alias("requested_sample_size"), F.lit(seed).alias("random_seed")))
+    split.unpersist()
+    return result
 
 
 # ---- transformed outcome on a split (E11 for evaluation) ------------------------------

@@ -8,7 +8,9 @@ on test.
 
 The transformed splits are persisted once (MEMORY_AND_DISK) and reused by
 every fit and evaluation; their lineage starts at a checkpointed rank, so a
-lost executor recomputes its partitions deterministically.
+lost executor recomputes its partitions deterministically. The returned
+tables are small local relations; the persisted data is released before
+returning.
 """
 
 from __future__ import annotations
@@ -108,8 +110,13 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
         "chart_gain": charts.gain_lines(curves),
         "chart_policy": charts.policy_bars(policies),
     }
-    report["runtime"] = spark.createDataFrame(
-        [(time.perf_counter() - started,)], "planning_and_fit_seconds double")
     if not reports:
         raise ValidationError("no learner was run")
+    # Every report table is small; compute the remaining ones, then release
+    # the persisted splits, matrices and scored test rows.
+    report = {k: small_table(v) for k, v in report.items()}
+    for cached in (split, *matrices.values(), *[r.scored for r in reports]):
+        cached.unpersist()
+    report["runtime"] = spark.createDataFrame(
+        [(time.perf_counter() - started,)], "planning_and_fit_seconds double")
     return report
