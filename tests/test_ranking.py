@@ -1,7 +1,5 @@
 """Gain curve, AUUC, random line, policy table, deciles, quantiles, AUC."""
 
-import math
-
 import numpy as np
 import pytest
 
