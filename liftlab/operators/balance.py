@@ -80,6 +80,10 @@ def categorical_level_balance(df: DataFrame, spec: ExperimentSpec = ExperimentSp
     """E3 per level: indicator proportions per arm and their SMD (0 when sd is 0)."""
     by = _by(by)
     counts = categorical_level_counts(df, spec, by)
+    # Arm totals over the level rows of each (segment, feature): a window on
+    # the small level table, so the table is scanned once. (An aggregate
+    # joined back scans it twice: the exchange is not reused.) Level counts
+    # per feature are assumed bounded, as a per-level balance table implies.
     w = Window.partitionBy(*by, "feature")
     n1 = F.sum("treatment_count").over(w)
     n0 = F.sum("control_count").over(w)

@@ -44,3 +44,13 @@ def test_segment_rows_equal_filtered_runs(table, op):
                     assert g[k] == pytest.approx(w[k], rel=1e-12, abs=1e-15), k
                 else:
                     assert g[k] == w[k], k
+
+
+def test_null_segment_keeps_its_levels(spark):
+    rows = [(None, "a", 1), (None, "b", 0), ("s", "a", 1), ("s", "a", 0)]
+    df = spark.createDataFrame(rows, "seg string, f1 string, treatment int")
+    spec = ExperimentSpec(features=("f1",), continuous=(), categorical=("f1",))
+    out = balance.categorical_level_balance(df, spec, by=["seg"]).collect()
+    assert len(out) == 3
+    null_a = [r for r in out if r.seg is None and r.level == "a"][0]
+    assert null_a.treatment_proportion == 1.0 and null_a.control_proportion == 0.0
