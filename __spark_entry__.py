@@ -255,4 +255,5 @@ def oracle_sql() -> dict[str, str]:
         "chart_gain": oracles.chart_gain(),
         "chart_policy": oracles.chart_policy(),
         "t_learner_cell_counts": oracles.t_learner_cell_counts(),
+        "design_matrix": oracles.design_matrix(),
     }

@@ -341,11 +341,12 @@ def treatment_predictability(df: DataFrame, spec: ExperimentSpec = ExperimentSpe
         F.avg(ll(F.col("base_p"))).alias("baseline_log_loss"))
     out = losses.join(auc.select("_g", "roc_auc"), "_g").drop("_g")
     result = small_table(out.select(
-        F.lit(n_train).alias("training_observations"), "test_observations",
+        F.lit(n_train).cast("bigint").alias("training_observations"), "test_observations",
         "roc_auc", F.lit(0.5).alias("baseline_roc_auc"), "log_loss", "baseline_log_loss",
         (F.col("baseline_log_loss") - F.col("log_loss")).alias("log_loss_improvement"),
         F.lit(_iterations(model)).alias("iterations"),
-        F.lit(sample_size).alias("requested_sample_size"), F.lit(seed).alias("random_seed")))
+        F.lit(sample_size).cast("bigint").alias("requested_sample_size"),
+        F.lit(seed).alias("random_seed")))
     split.unpersist()
     return result
 

@@ -273,7 +273,7 @@ class RankedEvaluation:
                          (F.col("d0") + F.col("d")) / 2.0 * (F.col("fraction") - F.col("f0")))
                   ).alias("auuc_above_random_per_100000"),
             F.first("treat_all_gain_per_100000").alias("treat_all_gain_per_100000"),
-            F.lit(self.n).alias("observations"))
+            F.lit(self.n).cast("bigint").alias("observations"))
 
     # -- R4 --
     def targeting_policy(self, alpha: float = 0.05) -> DataFrame:

@@ -443,7 +443,7 @@ def _z(tp: str, cp: str, p: float = 0.85) -> str:
 def _gain_cte(outcome: str, points: int = 100) -> str:
     return f"""{_ranked_cte(outcome)},
 pts AS (
-  SELECT range AS point,
+  SELECT CAST(range AS INTEGER) AS point,
          CASE WHEN range = {points} THEN {num(1.0)} ELSE range * {num(1.0 / points)} END AS fraction
   FROM range(0, {points + 1})
 ),
@@ -767,3 +767,22 @@ SELECT exp.f4, COUNT(*) FILTER (WHERE sp.treatment = 1) AS treated_rows,
 FROM sp JOIN exp ON sp.id = exp.id
 WHERE sp.split = 'train'
 GROUP BY exp.f4""")
+
+
+def design_matrix(continuous=("f0", "f2", "f7", "f10"),
+                  categorical=("f1", "f3", "f4", "f5", "f6", "f8", "f9", "f11")) -> str:
+    """Training design matrix: one slot per continuous feature and per
+    training level (unseen levels encode as zeros, so every training row has
+    one non-zero per categorical); a scaled continuous value is zero only at
+    the training mean."""
+    levels = " + ".join(f"COUNT(DISTINCT {c})" for c in categorical)
+    nonzero = " + ".join(f"COUNT(*) FILTER (WHERE {c} <> m_{c})" for c in continuous)
+    means = ", ".join(f"AVG({c}) AS m_{c}" for c in continuous)
+    return with_overlay(f"""{_split_cte()},
+tr AS (SELECT exp.* FROM sp JOIN exp ON sp.id = exp.id WHERE sp.split = 'train'),
+mu AS (SELECT {means} FROM tr),
+lv AS (SELECT {levels} AS n_levels FROM tr)
+SELECT CAST(COUNT(*) AS BIGINT) AS rows,
+       CAST({len(continuous)} + MAX(n_levels) AS INTEGER) AS columns,
+       CAST({len(categorical)} * COUNT(*) + {nonzero} AS BIGINT) AS nonzero_values
+FROM tr, mu, lv""")
