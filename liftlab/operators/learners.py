@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -246,11 +247,17 @@ def select_model(learner: str, train: DataFrame, validation: DataFrame, outcome:
                  spec: ExperimentSpec = ExperimentSpec(),
                  alphas: Sequence[float] = REGULARIZATION_CANDIDATES,
                  max_iterations: int = DEFAULT_MAX_ITERATIONS,
-                 classifier: ClassifierFactory | None = None) -> ModelReport:
-    """Fit each candidate on train, keep the best validation AUUC (strict >)."""
+                 classifier: ClassifierFactory | None = None,
+                 parallelism: int = 1) -> ModelReport:
+    """Fit each candidate on train, keep the best validation AUUC (strict >).
+
+    ``parallelism`` > 1 fits and scores the candidates as concurrent Spark
+    jobs; the choice is made afterwards in candidate order, so it is the
+    same as a serial run.
+    """
     cls = LEARNERS[learner]
-    best, best_score, best_alpha, cands = None, float("-inf"), None, []
-    for a in alphas:
+
+    def trial(a: float):
         m = cls.fit(train, outcome, alpha=a, max_iterations=max_iterations,
                     classifier=classifier, treatment=spec.treatment)
         scored = predict_uplift(m, validation)
@@ -258,6 +265,15 @@ def select_model(learner: str, train: DataFrame, validation: DataFrame, outcome:
                               id_col=spec.id, propensity=spec.propensity, outcome_name=outcome)
         auuc = ev.auuc().first()["auuc_above_random_per_100000"]
         ev.release()
+        return m, auuc
+
+    if parallelism > 1 and len(alphas) > 1:
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(alphas))) as pool:
+            results = list(pool.map(trial, alphas))
+    else:
+        results = [trial(a) for a in alphas]
+    best, best_score, best_alpha, cands = None, float("-inf"), None, []
+    for a, (m, auuc) in zip(alphas, results):
         cands.append({"alpha": a, "validation_auuc_above_random_per_100000": auuc,
                       "fit_seconds": m.fit_seconds, "convergence": m.convergence()})
         if auuc > best_score:

@@ -69,7 +69,8 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
         outcome, name = task
         rep = learners.select_model(name, matrices["train"], matrices["validation"],
                                     outcome, spec=spec, alphas=alphas,
-                                    max_iterations=max_iterations, classifier=classifier)
+                                    max_iterations=max_iterations, classifier=classifier,
+                                    parallelism=2 if parallelism > 1 else 1)
         rep = learners.evaluate_model(rep, matrices["test"], spec=spec,
                                       full_benchmark_itt=full_itt.get(outcome))
         # held-out tables are small (<= ~120 rows): compute them in this thread
