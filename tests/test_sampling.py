@@ -58,3 +58,17 @@ def test_sample_exact_and_deterministic(spark):
     assert sampling.sample_rows(df, 10_000, 1).count() == 5000  # clamped
     with pytest.raises(ValidationError):
         sampling.sample_rows(df, 10_000, 1, on_oversize="error")
+
+
+def test_too_many_strata_rejected(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MAXIMUM_STRATA", 3)
+    df = _frame(spark)
+    with pytest.raises(ValidationError, match="More than 3 strata"):
+        sampling.split_rows(df, 42)
+
+
+def test_small_table_refuses_large_tables(spark):
+    from liftlab.session import small_table
+    assert small_table(spark.range(10)).count() == 10
+    with pytest.raises(ValueError, match="keep it distributed"):
+        small_table(spark.range(11), max_rows=10)
