@@ -41,7 +41,13 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
                        by: Sequence[str] = (), alpha: float = 0.05,
                        predictability_sample_size: int | None = learners.PREDICTABILITY_SAMPLE,
                        seed: int = 42) -> dict[str, DataFrame]:
-    """Randomisation audit, balance, ITT effects, sensitivity and exposure."""
+    """Randomisation audit, balance, ITT effects, sensitivity and exposure.
+
+    Without segments every returned table is a small local relation. With
+    ``by`` the tables stay lazy over three cached aggregates, returned as
+    ``population``, ``continuous_balance`` and ``categorical_levels``;
+    ``unpersist()`` them when the report is no longer needed.
+    """
     spec.require_columns(df)
     spark = df.sparkSession
     by = list(by)
