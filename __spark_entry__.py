@@ -25,6 +25,14 @@ from liftlab.sources.manifest import file_manifest
 from liftlab.sources.overlay import experiment_table, rule_scores
 from liftlab.spec import ExperimentSpec
 
+try:
+    from liftlab.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    # Only the absence of the optional subpackage (or its pipeline) is tolerated.
+    if missing.name not in ("liftlab.llm", "corpus_pipeline"):
+        raise
+    corpus = None
+
 SPEC = ExperimentSpec()
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -213,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda df: learners.treatment_predictability(df, SPEC)),
         "prepare_dataset": _prepare,
         "file_manifest": lambda spark, sf_dir: file_manifest(spark, sf_dir, glob="*.parquet"),
+        **(corpus.queries() if corpus else {}),
     }
 
 
@@ -256,4 +265,5 @@ def oracle_sql() -> dict[str, str]:
         "chart_policy": oracles.chart_policy(),
         "t_learner_cell_counts": oracles.t_learner_cell_counts(),
         "design_matrix": oracles.design_matrix(),
+        **(corpus.oracle_sql() if corpus else {}),
     }
