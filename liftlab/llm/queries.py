@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlab.llm import mixing, sharding
+from liftlab.llm import mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_trie_join": simhash.query,
         "op6_hilbert_sharding": sharding.query,
         "op9_curriculum_mixing": mixing.query,
     }
