@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlab.llm import mixing, sharding, simhash
+from liftlab.llm import mixing, packing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_trie_join": simhash.query,
+        "op4_best_fit_packing": packing.query,
         "op6_hilbert_sharding": sharding.query,
         "op9_curriculum_mixing": mixing.query,
     }
