@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,35 @@ def ranked(df: DataFrame, order: Sequence[str], name: str, rank: str = "rank") -
     return (at.join(F.broadcast(starts), "_part")
             .withColumn(rank, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
             .drop("_part", "_at", "_start"))
+
+
+#: Text that a task holds as words at a time, in bytes.
+CHUNK_BYTES = 1 << 23
+
+
+def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about CHUNK_BYTES of text each, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size.astype(np.int64)) // CHUNK_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of all texts in order (A-Z lower-cased): codes, each text's bounds, words by code.
+
+    A word's code is its place among the distinct words. Null texts are empty.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    names = found.dictionary.to_pylist()
+    if "" in names:  # before a leading and after a trailing blank
+        keep = code != names.index("")
+        bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        code = code[keep]
+    return code, bounds - bounds[0], names

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlab.llm import mixing, packing, sharding, simhash
+from liftlab.llm import mixing, packing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_trie_join": simhash.query,
         "op4_best_fit_packing": packing.query,
         "op6_hilbert_sharding": sharding.query,
+        "op8_ftrl_quality": quality.query,
         "op9_curriculum_mixing": mixing.query,
     }
 
