@@ -91,18 +91,29 @@ def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+#: Bytes of a text with every blank as a space, and A-Z lower-cased.
+_SAME = np.arange(256, dtype=np.uint8)
+_SAME[0x09:0x0E] = 0x20
+_LOWER = _SAME.copy()
+_LOWER[0x41:0x5B] += 0x20
+
+
 def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words of all texts in order (A-Z lower-cased): codes, each text's bounds, words by code.
 
     A word's code is its place among the distinct words. Null texts are empty.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    flat = pa.LargeStringArray.from_buffers(
+        len(texts), texts.buffers()[1], pa.py_buffer((_LOWER if lower else _SAME)[raw].tobytes()),
+        offset=texts.offset)
+    lists = pc.split_pattern(flat, " ")
     bounds = lists.offsets.to_numpy().astype(np.int64)
     found = lists.flatten().dictionary_encode()
     code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     names = found.dictionary.to_pylist()
-    if "" in names:  # before a leading and after a trailing blank
+    if "" in names:  # beside a leading, trailing or further blank
         keep = code != names.index("")
         bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
         code = code[keep]
