@@ -92,29 +92,36 @@ def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 
 
 #: Bytes of a text with every blank as a space, and A-Z lower-cased.
-_SAME = np.arange(256, dtype=np.uint8)
-_SAME[0x09:0x0E] = 0x20
-_LOWER = _SAME.copy()
-_LOWER[0x41:0x5B] += 0x20
+_SAME = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+_LOWER = _SAME.lower()
 
 
-def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _raw(a: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Bounds and bytes of a large_string array."""
+    if not len(a):
+        return np.zeros(1, dtype=np.int64), b""
+    ends = np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset:a.offset + len(a) + 1]
+    data = a.buffers()[2]
+    return ends - ends[0], data.slice(ends[0], ends[-1] - ends[0]).to_pybytes() if data else b""
+
+
+def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of all texts in order (A-Z lower-cased): codes, each text's bounds, words by code.
 
     A word's code is its place among the distinct words. Null texts are empty.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    flat = pa.LargeStringArray.from_buffers(
-        len(texts), texts.buffers()[1], pa.py_buffer((_LOWER if lower else _SAME)[raw].tobytes()),
-        offset=texts.offset)
+    ends, data = _raw(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(
+        data.translate(_LOWER if lower else _SAME)))
     lists = pc.split_pattern(flat, " ")
     bounds = lists.offsets.to_numpy().astype(np.int64)
     found = lists.flatten().dictionary_encode()
     code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    names = found.dictionary.to_pylist()
-    if "" in names:  # beside a leading, trailing or further blank
-        keep = code != names.index("")
+    ends, data = _raw(found.dictionary)
+    ends = ends.tolist()
+    names = [data[a:b] for a, b in zip(ends, ends[1:])]
+    if b"" in names:  # beside a leading, trailing or further blank
+        keep = code != names.index(b"")
         bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
         code = code[keep]
     return code, bounds - bounds[0], names

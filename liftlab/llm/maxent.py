@@ -51,7 +51,7 @@ OWN_CLASSES = 16
 BUCKETS = 1 << 14
 FREQUENT_WORDS = 1 << 20
 STEP_TOKENS = 1 << 16
-RATE = 0.5
+RATE = 1.0
 #: Copies of the weights merged in one group, and rows of a copy per record.
 MERGED_AT_ONCE = 16
 BLOCK_ROWS = 1 << 12
@@ -64,14 +64,14 @@ _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16
 END = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"\n")).astype(np.int64))
 
 
-def word_hashes(names: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in names], dtype=np.uint64).view(np.int64)
+def word_hashes(names: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
 
 
-def word_classes(names: list[str]) -> np.ndarray:
+def word_classes(names: list[bytes]) -> np.ndarray:
     """Class of each word by its last two bytes (before frequent words get their own)."""
-    last = [int.from_bytes(w.encode()[-2:], "big") for w in names]
-    mixed = (np.array(last, dtype=np.uint64) * _MIX[0]) >> np.uint64(40)
+    last = np.array([int.from_bytes(w[-2:], "big") for w in names], dtype=np.uint64)
+    mixed = (last * _MIX[0]) >> np.uint64(40)
     return (mixed % np.uint64(CLASSES - 1 - OWN_CLASSES)).astype(np.int32) + 1 + OWN_CLASSES
 
 
@@ -119,12 +119,13 @@ class Tokens:
 
 
 def class_exponentials(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """exp(logit - largest logit) of every class, per token."""
-    x = weights[rows[0]]
+    """exp(logit) of every class, per token; logits are kept in a safe range."""
+    x = np.take(weights, rows[0], axis=0, mode="clip")
+    more = np.empty_like(x)
     for r in rows[1:]:
-        x += weights[r]
+        x += np.take(weights, r, axis=0, out=more, mode="clip")
     x += weights[-1]
-    x -= x.max(axis=1, keepdims=True)
+    np.clip(x, -40, 40, out=x)
     return np.exp(x, out=x)
 
 
@@ -134,11 +135,24 @@ def class_log10(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.nd
     for a in range(0, len(cls), _SLICE):
         e = class_exponentials(weights, rows[:, a:a + _SLICE])
         k = cls[a:a + _SLICE]
-        chosen = e[np.arange(len(k)), k].astype(np.float64)
-        out[a:a + _SLICE] = np.log10(np.maximum(chosen, 1e-30)) - np.log10(e.sum(axis=1, dtype=np.float64))
+        chosen = e[np.arange(len(k)), k]
+        out[a:a + _SLICE] = np.log10(chosen.astype(np.float64)) - np.log10(e.sum(axis=1).astype(np.float64))
     return out
 
 
+def draw(e: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """One class per row, with probability in proportion to the row's values."""
+    side = 8
+    groups = e.reshape(len(e), -1, side)
+    upto = np.cumsum(groups.sum(axis=2), axis=1)
+    at = random.random((len(e), 1), dtype=np.float32) * upto[:, -1:]
+    group = np.minimum((upto <= at).sum(axis=1), upto.shape[1] - 1)
+    row = np.arange(len(e))
+    inner = np.cumsum(groups[row, group], axis=1)
+    rest = at[:, 0] - (upto[row, group] - inner[:, -1])
+    return group * side + np.minimum((inner <= rest[:, None]).sum(axis=1), side - 1)
+
+
 class Trainer:
     """A task's own copy of the weights and its AdaGrad state."""
 
@@ -148,25 +162,24 @@ class Trainer:
         self.random = np.random.default_rng(seed)
 
     def step(self, rows: np.ndarray, cls: np.ndarray) -> None:
-        drawn = np.empty_like(cls)
+        drawn = np.empty(len(cls), dtype=np.int64)
         for a in range(0, len(cls), _SLICE):
-            mass = np.cumsum(class_exponentials(self.weights, rows[:, a:a + _SLICE]), axis=1)
-            at = self.random.random((len(mass), 1), dtype=np.float32) * mass[:, -1:]
-            drawn[a:a + _SLICE] = np.minimum((mass <= at).sum(axis=1), CLASSES - 1)
-        size = _ROWS * CLASSES
-        gap = np.zeros(size, dtype=np.int64)
-        for r in (*rows, np.full(len(cls), _ROWS - 1)):
-            cell = r.astype(np.int64) * CLASSES
-            gap += np.bincount(cell + drawn, minlength=size)
-            gap -= np.bincount(cell + cls, minlength=size)
-        g = gap.reshape(_ROWS, CLASSES).astype(np.float32)
-        used = np.flatnonzero(np.any(g, axis=1))
-        g = g[used]
-        # A row's step is the same for few and for many tokens: its mean gap.
-        seen = np.maximum(np.abs(g).sum(axis=1, keepdims=True) / 2, 1)
-        g /= np.sqrt(seen)
-        self.power[used] += np.mean(g * g, axis=1, keepdims=True)
-        self.weights[used] -= RATE * g / np.sqrt(self.power[used] * CLASSES)
+            drawn[a:a + _SLICE] = draw(class_exponentials(self.weights, rows[:, a:a + _SLICE]), self.random)
+        seen = np.bincount(rows.reshape(-1), minlength=_ROWS)
+        seen[-1] = len(cls)
+        used = np.flatnonzero(seen)
+        place = np.zeros(_ROWS, dtype=np.int64)
+        place[used] = np.arange(len(used)) * CLASSES
+        cells = place[rows]
+        size = len(used) * CLASSES
+        gap = (np.bincount((cells + drawn).reshape(-1), minlength=size)
+               - np.bincount((cells + cls).reshape(-1), minlength=size)).astype(np.float32)
+        g = gap.reshape(-1, CLASSES)
+        g[-1] = np.bincount(drawn, minlength=CLASSES) - np.bincount(cls, minlength=CLASSES)
+        # The noise of a row's gap grows with the root of its tokens.
+        g /= np.sqrt(seen[used])[:, None].astype(np.float32)
+        self.power[used] += np.einsum("ij,ij->i", g, g)[:, None]
+        self.weights[used] -= RATE * g / np.sqrt(self.power[used])
 
     def blocks(self, part: int) -> pa.RecordBatch:
         """The changes, as 16-bit floats, in blocks of rows, and which rows changed."""

@@ -56,6 +56,7 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     pair of shapes. A word repeated at once is one feature, whichever word it is.
     """
     code, bounds, names = coded_words(texts, lower=False)
+    names = [w.decode() for w in names]
     lead = bounds[:-1][np.diff(bounds) > 0]  # a text's first word
     out = np.empty((len(code), 4), dtype=np.int64)
     shift = np.uint64(64 - bits)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlab.llm import mixing, packing, quality, sharding, simhash
+from liftlab.llm import maxent, mixing, packing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_maxent_scoring": maxent.query,
         "op3_simhash_trie_join": simhash.query,
         "op4_best_fit_packing": packing.query,
         "op6_hilbert_sharding": sharding.query,

@@ -15,7 +15,7 @@ TEXTS = ["Aa bB", None, "", " \t x\x0by\x0cz \n", "à Åb\u0085c d", "É", "a\x
 def test_coded_words(lower):
     for texts in (pa.array(TEXTS), pa.array(["zz", *TEXTS, None]).slice(1, len(TEXTS)), pa.array([], pa.string())):
         code, bounds, names = common.coded_words(texts, lower)
-        got = [[names[c] for c in code[a:b]] for a, b in zip(bounds, bounds[1:])]
+        got = [[names[c].decode() for c in code[a:b]] for a, b in zip(bounds, bounds[1:])]
         want = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts.to_pylist()]
         if lower:
             want = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in ws] for ws in want]
