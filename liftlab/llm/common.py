@@ -96,7 +96,7 @@ _SAME = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _LOWER = _SAME.lower()
 
 
-def _raw(a: pa.Array) -> tuple[np.ndarray, bytes]:
+def raw_strings(a: pa.Array) -> tuple[np.ndarray, bytes]:
     """Bounds and bytes of a large_string array."""
     if not len(a):
         return np.zeros(1, dtype=np.int64), b""
@@ -110,14 +110,14 @@ def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
 
     A word's code is its place among the distinct words. Null texts are empty.
     """
-    ends, data = _raw(pc.fill_null(texts.cast(pa.large_string()), ""))
+    ends, data = raw_strings(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(
         data.translate(_LOWER if lower else _SAME)))
     lists = pc.split_pattern(flat, " ")
     bounds = lists.offsets.to_numpy().astype(np.int64)
     found = lists.flatten().dictionary_encode()
     code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, data = _raw(found.dictionary)
+    ends, data = raw_strings(found.dictionary)
     ends = ends.tolist()
     names = [data[a:b] for a, b in zip(ends, ends[1:])]
     if b"" in names:  # beside a leading, trailing or further blank

@@ -39,36 +39,46 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlab.llm.common import ranked, stored, table
+from liftlab.llm.common import ranked, raw_strings, stored, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Distinct words whose ids a worker keeps between batches.
-CACHED_WORDS = 1 << 20
+#: Distinct pieces of words whose ids a worker keeps between batches.
+CACHED_PIECES = 1 << 19
 #: Documents tokenised at a time, in bytes of text.
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
 
 _INSIDE_BLANKS = re.compile(r"\s \s|\s \Z")
+#: The Latin letters at the head of a word, if an ASCII sign or the end follows, and the rest.
+_PIECES = (r"(?s)^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)"
+           r"(?P<rest>(?:[\x00-@\[-`{-\x7F].*)?)$")
 
 
 class WordIds:
-    """Token ids of texts, encoding every distinct space-led word once.
+    """Token ids of texts, encoding every distinct piece of a word once.
 
     A byte-level BPE that splits text before the last space of a blank run
     never merges across that place, so a text's ids are those of its space-led
-    words in order. Texts with a space inside a longer blank run are encoded
-    whole, since such a run may be one word.
+    words in order. It does not merge across the end of a run of letters either,
+    so a word's ids are those of its leading letters and of the rest. Texts
+    with a space inside a longer blank run are encoded whole, since such a run
+    may be one word.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        # A space and letters are one word to the BPE, which wants them byte by byte.
+        by_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: by_byte.pre_tokenize_str(chr(i))[0][0]
+                        for i in range(0x250) if i == 0x20 or chr(i).isalpha()}
         self._forget()
 
     def _forget(self) -> None:
-        self.number: tuple[dict[str, int], dict[str, int]] = {}, {}  # after a space, bare
+        # Numbers of pieces after a space, after letters, and at the start of a text.
+        self.number: tuple[dict[bytes, int], ...] = ({}, {}, {})
         self.flat = np.empty(1 << 16, dtype="<u4")
         self.ends = np.zeros(1, dtype=np.int64)
 
@@ -92,42 +102,52 @@ class WordIds:
         ends = lists.offsets.to_numpy().astype(np.int64)
         words = lists.flatten().dictionary_encode()
         code = words.indices.to_numpy().astype(np.int64)
-        names = words.dictionary.to_pylist()
+        # Each word is two pieces: its leading letters and the rest, or the word and nothing.
+        cut = pc.extract_regex(words.dictionary, _PIECES)
+        pieces = [pc.if_else(cut.is_valid(), pc.struct_field(cut, k), other).dictionary_encode()
+                  for k, other in ((0, words.dictionary), (1, ""))]
         # The first word of a text has no space before it.
         first = ends[:-1]
         bare, of_first = np.unique(code[first], return_inverse=True)
-        self._learn([(0, names), (1, [names[i] for i in bare])])
-        after_space, at_start = self.number
-        number = np.fromiter(map(after_space.__getitem__, names), np.int64, len(names))[code]
-        at_start = np.fromiter((at_start[names[i]] for i in bare), np.int64, len(bare))
-        number[first] = at_start[of_first]
-        start = self.ends[number]
-        sizes = self.ends[number + 1] - start
-        # Gather the ids of all words of all texts in order.
+        if sum(map(len, self.number)) > CACHED_PIECES:
+            self._forget()
+        by_name = [self._numbers(k, p.dictionary)[p.indices.to_numpy()] for k, p in enumerate(pieces)]
+        at = np.stack([n[code] for n in by_name], axis=1)
+        at[first, 0] = self._numbers(2, words.dictionary.take(pa.array(bare)))[of_first]
+        at[first, 1] = self._numbers(1, pa.array([""], pa.large_string()))
+        at = at.reshape(-1)
+        start = self.ends[at]
+        sizes = self.ends[at + 1] - start
+        # Gather the ids of all pieces of all texts in order.
         total = np.cumsum(sizes)
         pick = np.repeat(start - (total - sizes), sizes) + np.arange(total[-1])
         stream = self.flat[pick]
-        cuts = np.concatenate([[0], total])[ends]
+        cuts = np.concatenate([[0], total])[2 * ends]
         return [stream[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def _learn(self, wanted: list[tuple[int, list[str]]]) -> None:
-        """Encode the words that are not known yet; start over when there are too many."""
-        if sum(map(len, self.number)) > CACHED_WORDS:
-            self._forget()
-        for kind, names in wanted:
-            known = self.number[kind]
-            new = [w for w in names if w not in known]
-            if not new:
-                continue
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(
-                new if kind else [" " + w for w in new], add_special_tokens=False)]
+    def _numbers(self, kind: int, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces; those not known yet are encoded."""
+        ends, data = raw_strings(pieces)
+        ends, known = ends.tolist(), self.number[kind]
+        names = [data[a:b] for a, b in zip(ends, ends[1:])]
+        new = [p for p in names if p not in known]
+        if new:
+            texts = [p.decode() for p in new]
+            lettered = [kind == 0 and p.isalpha() and max(p) < "\u0250" for p in texts]
+            others = iter(self.tokenizer.encode_batch_fast(
+                [p if kind else " " + p for p, is_word in zip(texts, lettered) if not is_word],
+                add_special_tokens=False))
+            bpe, letters, space = self.tokenizer.model.tokenize, self.letters, self.letters[0x20]
+            found = [[t.id for t in bpe(space + p.translate(letters))] if is_word else next(others).ids
+                     for p, is_word in zip(texts, lettered)]
             known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
             old = int(self.ends[-1])
-            self.ends = np.concatenate([self.ends, old + np.cumsum(list(map(len, found)))])
-            if self.ends[-1] > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(self.ends[-1], dtype="<u4")])
-            self.flat[old:self.ends[-1]] = np.fromiter(
-                itertools.chain.from_iterable(found), dtype="<u4", count=self.ends[-1] - old)
+            self.ends = np.concatenate([self.ends, old + np.cumsum(list(map(len, found)), dtype=np.int64)])
+            end = int(self.ends[-1])
+            if end > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(end, dtype="<u4")])
+            self.flat[old:end] = np.fromiter(itertools.chain.from_iterable(found), "<u4", end - old)
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
 
 
 @functools.lru_cache(maxsize=1)

@@ -18,7 +18,7 @@ TEXTS = ["Hello world", "", " leading", "trailing ", "two  spaces", "a \n b\n  c
 
 def test_ids_by_word_are_the_tokenizers_ids():
     rnd = random.Random(5)
-    texts = TEXTS + ["".join(rnd.choice("ab 'é\n\t .1 s") for _ in range(rnd.randint(0, 30)))
+    texts = TEXTS + ["".join(rnd.choice("abß²漢× 'é\n\t .1 s") for _ in range(rnd.randint(0, 30)))
                      for _ in range(2000)]
     encode = packing.WordIds(BPE)
     for text, ids in zip(texts, encode(texts)):
@@ -26,7 +26,7 @@ def test_ids_by_word_are_the_tokenizers_ids():
 
 
 def test_a_full_word_cache_gives_the_same_ids(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHED_PIECES", 3)
     encode = packing.WordIds(BPE)
     for _ in range(2):
         for text, ids in zip(TEXTS, encode(TEXTS)):
