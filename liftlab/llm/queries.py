@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlab.llm import maxent, mixing, packing, quality, sharding, simhash
+from liftlab.llm import (maxent, mixing, neighbours, packing, preference, quality,
+                         sharding, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +16,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_trie_join": simhash.query,
         "op4_best_fit_packing": packing.query,
         "op6_hilbert_sharding": sharding.query,
+        "op7_preference_pairs": preference.query,
         "op8_ftrl_quality": quality.query,
         "op9_curriculum_mixing": mixing.query,
+        "op10_rotated_bits": neighbours.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_preference_pairs": preference.oracle(),
         "op9_curriculum_mixing": mixing.oracle(),
     }
