@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlab.llm import (maxent, mixing, neighbours, packing, preference, quality,
-                         sharding, simhash)
+                         sharding, simhash, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_maxent_scoring": maxent.query,
         "op3_simhash_trie_join": simhash.query,
         "op4_best_fit_packing": packing.query,
+        "op5_warc_segments": warc.query,
         "op6_hilbert_sharding": sharding.query,
         "op7_preference_pairs": preference.query,
         "op8_ftrl_quality": quality.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc_segments": warc.oracle(),
         "op7_preference_pairs": preference.oracle(),
         "op9_curriculum_mixing": mixing.oracle(),
     }
