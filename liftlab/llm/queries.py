@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlab.llm import (maxent, mixing, neighbours, packing, preference, quality,
-                         sharding, simhash, warc)
+                         sharding, simhash, spotsigs, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spot_signatures": spotsigs.query,
         "op2_maxent_scoring": maxent.query,
         "op3_simhash_trie_join": simhash.query,
         "op4_best_fit_packing": packing.query,
