@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from liftlab.llm import (maxent, mixing, neighbours, packing, preference, quality,
                          sharding, simhash, spotsigs, warc)
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ftrl_quality": quality.query,
         "op9_curriculum_mixing": mixing.query,
         "op10_rotated_bits": neighbours.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
