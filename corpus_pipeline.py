@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlab.llm import mixing, packing, quality, simhash
-from liftlab.llm.common import stored, table
+from liftlab.llm.common import fresh, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = quality.fit(quality.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return quality.with_score(docs, weights, "_quality").where("_quality >= 0.5").drop("_quality")
+    (score,) = fresh(docs.columns, "_quality")
+    return quality.with_score(docs, weights, score).where(F.col(score) >= 0.5).drop(score)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

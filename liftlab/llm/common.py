@@ -52,6 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """Names for helper columns that no column of a table has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ranked(df: DataFrame, order: Sequence[str], name: str, rank: str = "rank") -> DataFrame:
     """Add each row's position (from 0) in the total order of ``order``.
 
@@ -62,19 +73,18 @@ def ranked(df: DataFrame, order: Sequence[str], name: str, rank: str = "rank") -
     stored, narrow table: range partitioning samples it first.
     """
     spark = df.sparkSession
-    parts = shuffle_partitions(spark)
-    at = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-          .withColumn("_at", F.monotonically_increasing_id()))
-    at = stored(at, name).withColumn("_part", F.shiftright("_at", 33))
-    sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
+    at, part, start = fresh([*df.columns, rank], "_at", "_part", "_start")
+    rows = (df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+            .withColumn(at, F.monotonically_increasing_id()))
+    rows = stored(rows, name).withColumn(part, F.shiftright(at, 33))
     offsets, total = [], 0
-    for r in sorted(sizes, key=lambda r: r["_part"]):
-        offsets.append((r["_part"], total))
+    for r in rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).orderBy(part).collect():
+        offsets.append((r[part], total))
         total += r["n"]
-    starts = spark.createDataFrame(offsets, "_part long, _start long")
-    return (at.join(F.broadcast(starts), "_part")
-            .withColumn(rank, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
-            .drop("_part", "_at", "_start"))
+    starts = spark.createDataFrame(offsets, f"{part} long, {start} long")
+    return (rows.join(F.broadcast(starts), part)
+            .withColumn(rank, F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1))
+            .drop(part, at, start))
 
 
 #: Text that a task holds as words at a time, in bytes.

@@ -11,7 +11,8 @@ Defined cases. A null value falls in the first cell of its dimension; numbers ar
 as doubles and strings by their first bytes in UTF-8 order. Null and repeated
 ids sort like any other value (null first); rows equal in all sort columns take
 consecutive slots. An empty table gives an empty result. Other columns are
-carried through; the operator's own are hilbert, shard and slot (``prefix`` renames them).
+carried through; hilbert, shard and slot replace columns of those names unless
+``columns`` names the operator's own differently.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlab.llm.common import ranked, stored, table
+from liftlab.llm.common import fresh, ranked, stored, table
 
 SHARDS = 16
 #: Cells per dimension: 2 ** BITS.
@@ -72,7 +73,8 @@ def with_hilbert(df: DataFrame, dims: Sequence[str], bits: int = BITS,
                  name: str = "hilbert") -> DataFrame:
     """Add the curve index of each row's cell. One scan finds the cells' bounds."""
     kinds = dict(df.dtypes)
-    keys = {f"_d{i}": numeric_order(F.col(c), kinds[c]) for i, c in enumerate(dims)}
+    names = fresh([*df.columns, name], *[f"_d{i}" for i in range(len(dims))])
+    keys = {k: numeric_order(F.col(c), kinds[c]) for k, c in zip(names, dims)}
     keyed = df.withColumns(keys)
     cuts = [j / (1 << bits) for j in range(1, 1 << bits)]
     found = keyed.agg(*[F.percentile_approx(k, cuts, 10_000).alias(k) for k in keys]).first()
@@ -94,11 +96,12 @@ def shard_rows(df: DataFrame, dims: Sequence[str], tie: Sequence[str], shards: i
     own = {c: c for c in ("hilbert", "shard", "slot")} | dict(columns or {})
     keyed = stored(with_hilbert(df, dims, bits, own["hilbert"]), "shard-keys")
     total = keyed.count()
-    r = ranked(keyed, [own["hilbert"], *tie], "shard-order", "_rank")
-    shard = F.expr(f"_rank * {shards} div {max(total, 1)}")
-    first = F.expr(f"({own['shard']} * {total} + {shards - 1}) div {shards}")
+    (rank,) = fresh([*keyed.columns, *own.values()], "_rank")
+    r = ranked(keyed, [own["hilbert"], *tie], "shard-order", rank)
+    shard = F.expr(f"`{rank}` * {shards} div {max(total, 1)}")
+    first = F.expr(f"(cast(`{own['shard']}` as long) * {total} + {shards - 1}) div {shards}")
     return (r.withColumn(own["shard"], shard.cast("int"))
-            .withColumn(own["slot"], F.col("_rank") - first.cast("long")).drop("_rank"))
+            .withColumn(own["slot"], F.col(rank) - first).drop(rank))
 
 
 def write_shards(sharded: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:

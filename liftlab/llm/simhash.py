@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlab.llm.common import stored, table
+from liftlab.llm.common import fresh, stored, table
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -373,20 +373,21 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     stays. In a component of rows without any id, one row stays as well.
     """
     found = stored(near_duplicates(docs, shingle, max_bits), "simhash-found")
+    own, id_, hash_ = fresh(docs.columns, "_text_hash", "_id", "_hash")
     # Rows without an id cannot be told apart by it: their component is their fingerprint's.
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")).select(
-        F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    match = rows["doc_id"].eqNullSafe(best["_id"]) & (rows["_text_hash"] == best["_hash"])
+        F.col("best.doc_id").alias(id_), F.col("best.text_hash").alias(hash_))
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    match = rows["doc_id"].eqNullSafe(best[id_]) & (rows[own] == best[hash_])
     kept = rows.join(best, match, "left_semi")
     copies = found.groupBy("doc_id", "text_hash").count().where("count > 1").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    match = kept["doc_id"].eqNullSafe(copies["_id"]) & (kept["_text_hash"] == copies["_hash"])
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    match = kept["doc_id"].eqNullSafe(copies[id_]) & (kept[own] == copies[hash_])
     once = kept.join(copies, match, "left_anti")
-    repeated = kept.join(copies, match, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return once.unionByName(repeated).drop("_text_hash")
+    repeated = kept.join(copies, match, "left_semi").dropDuplicates(["doc_id", own])
+    return once.unionByName(repeated).drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def test_documents_with_nulls_repeats_and_clashing_columns(spark):
             (None, "something else entirely here", "n"), (5, "unique text of its own kind", "u"),
             (5, "unique text of its own kind", "u"), (7, "third text that nobody repeats", "v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, unit string").withColumns(
-        {"fingerprint": F.lit("clash"), "u": F.lit(1), "component_id": F.lit(9)})
+        {"fingerprint": F.lit("clash"), "u": F.lit(1), "component_id": F.lit(9), "_id": F.lit(0), "_text_hash": F.lit(0)})
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (None, None), (5, 5), (7, 7)}
     kept = simhash.deduplicate(docs)
