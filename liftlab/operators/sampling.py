@@ -4,14 +4,17 @@ Contract: exact sizes, the same rows for the same seed, and independence of
 partitioning (``rand(seed)`` depends on the partition layout, ``sample`` is
 inexact, and ``orderBy(...).limit(n)`` gathers n rows into one task).
 
-Every unit gets a sort key from an integer hash of its id and the seed.
-* Sample of n: the n smallest (key, id). A key threshold cheaply keeps a
-  candidate superset of about n rows (a filter, no shuffle); only the
-  candidates are ranked (:func:`liftlab.operators.ranking.rank_rows`).
-* Split: per stratum, sizes by largest-remainder rounding so totals are
-  exact; rows are cut in (stratum, key, id) order. The rank runs over the
-  composite key, so a stratum holding most rows is still spread over many
-  range partitions.
+Every unit gets a 60-bit key, the leading digits of the MD5 of "seed:id": any
+change of seed or id changes every bit with probability one half, whatever the
+id's type, sign or size. A sample of n is the n units with the smallest
+(key, id); a split cuts every stratum's (key, id) order in parts.
+
+No row is ranked. Per stratum, rows are counted by the key's top bits; the
+counts tell in which bucket a cut falls, and only that bucket's rows (a few
+thousand, narrow) are ordered to find the exact (key, id) at the cut. Rows are
+then assigned by comparing their key with the boundaries of their stratum: two narrow
+scans, and no shuffle of feature columns. Ids must be unique; a repeated id that
+shows in a bucket with a cut is an error.
 """
 
 from __future__ import annotations
@@ -19,38 +22,30 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from liftlab.operators.ranking import rank_rows
-from liftlab.sources.overlay import TWO16, TWO32, mulmod32, mulmod32_sql
 from liftlab.spec import ExperimentSpec, ValidationError
 
 # Fixed values of the split design.
-MODEL_SPLIT = (("train", 0.6), ("validation", 0.2), ("test", 0.2))
 MINIMUM_STRATUM_ROWS = 5
-# Stratum counts come to the driver and the cut table is broadcast: bound them.
-MAXIMUM_STRATA = 100_000
-KEY_MULTIPLIERS = (2654435761, 2246822519)
-SEED_STRIDE = 1000003
+KEY_BITS = 60
+#: Rows per key bucket, about; only buckets with a cut are ordered.
+BUCKET_ROWS = 4096
+#: Strata whose sizes are computed on the driver; more are computed as a table.
+DRIVER_STRATA = 10_000
 
 
-def sample_key(id_col: Column, seed: int, integral: bool = True) -> Column:
-    """Deterministic 32-bit key of (id, seed); integer arithmetic only."""
-    if not integral:
-        id_col = F.pmod(F.xxhash64(id_col), F.lit(TWO32))
-    h1 = mulmod32(id_col + F.lit(seed * SEED_STRIDE), KEY_MULTIPLIERS[0])
-    return mulmod32(h1 + F.floor(h1 / F.lit(TWO16)).cast("bigint"), KEY_MULTIPLIERS[1])
+def sample_key(id_col: Column, seed: int) -> Column:
+    """60-bit key of (seed, id): the same in any engine and on any layout."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
 def sample_key_sql(id_sql: str, seed: int) -> str:
-    h1 = mulmod32_sql(f"{id_sql} + {seed * SEED_STRIDE}", KEY_MULTIPLIERS[0])
-    return mulmod32_sql(f"{h1} + {h1} // {TWO16}", KEY_MULTIPLIERS[1])
-
-
-def _integral(df: DataFrame, id_col: str) -> bool:
-    return isinstance(df.schema[id_col].dataType, T.IntegralType)
+    text = f"'{seed}:' || coalesce(CAST({id_sql} AS VARCHAR), '')"
+    return f"CAST('0x' || substr(md5({text}), 1, {KEY_BITS // 4}) AS BIGINT)"
 
 
 def stratum_key(spec: ExperimentSpec = ExperimentSpec()) -> Column:
@@ -61,33 +56,65 @@ def stratum_key(spec: ExperimentSpec = ExperimentSpec()) -> Column:
     return (F.col(spec.treatment) * 4 + F.col(a) * 2 + F.col(b)).cast("int")
 
 
+def _boundaries(keyed: DataFrame, cuts: DataFrame, rows: int) -> DataFrame:
+    """The (key, id) of the row at each cut.
+
+    ``keyed``: (stratum, key, id). ``cuts``: (stratum, cut, position), where
+    position counts from 1 in the stratum's (key, id) order. Returns (stratum,
+    cut, key, id); the result has one row per cut.
+    """
+    bits = min(40, max(0, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))))
+    bucket = F.shiftright("key", KEY_BITS - bits) if bits else F.lit(0).cast("bigint")
+    keyed = keyed.withColumn("bucket", bucket)
+    upto = Window.partitionBy("stratum").orderBy("bucket")
+    counts = keyed.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "upto", F.sum("n").over(upto))
+    at = cuts.withColumnRenamed("stratum", "_s").join(
+        counts, F.col("_s").eqNullSafe(F.col("stratum"))
+        & (F.col("position") > F.col("upto") - F.col("n")) & (F.col("position") <= F.col("upto")))
+    at = at.select(F.col("_s"), F.col("bucket").alias("_b"), "cut",
+                   (F.col("position") - F.col("upto") + F.col("n")).alias("place"))
+    wanted = at.select("_s", "_b").distinct()
+    near = keyed.join(wanted, keyed["stratum"].eqNullSafe(wanted["_s"])
+                      & (keyed["bucket"] == wanted["_b"])).select("stratum", "bucket", "key", "id")
+    order = Window.partitionBy("stratum", "bucket").orderBy("key", "id")
+    same = Window.partitionBy("stratum", "bucket", "key", "id")
+    near = near.select("*", F.row_number().over(order).alias("nth"),
+                       F.count(F.lit(1)).over(same).alias("copies"))
+    return near.join(at, near["stratum"].eqNullSafe(at["_s"]) & (near["bucket"] == at["_b"])
+                     & (near["nth"] == at["place"])).select("stratum", "cut", "key", "id", "copies")
+
+
+def _checked(bounds: DataFrame, expected: int | None = None) -> list:
+    """Boundary rows on the driver (one per cut), with the uniqueness check."""
+    rows = bounds.collect()
+    if any(r["copies"] > 1 for r in rows):
+        raise ValidationError("Sampling needs unique ids; a cut falls on a repeated id")
+    if expected is not None and len(rows) != expected:
+        raise ValidationError("A cut could not be located; the input changes between scans")
+    return rows
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, *, id_col: str = "id",
-                on_oversize: str = "clamp", partitions: int | None = None) -> DataFrame:
+                on_oversize: str = "clamp") -> DataFrame:
     """Exactly ``min(n, N)`` rows (``on_oversize="error"`` refuses n > N)."""
     if n <= 0:
         raise ValueError("Sample size must be positive")
     total = df.count()
-    if n > total:
-        if on_oversize == "error":
-            raise ValidationError(f"Sample size {n} exceeds {total} source rows")
-        n = total
-    keyed = df.withColumn("_key", sample_key(F.col(id_col), seed, _integral(df, id_col)))
-    if n == total:
-        return keyed.drop("_key")
-    # candidate threshold: expected count n + 8 sd + 64, doubled until enough
-    threshold = min(TWO32, math.ceil((n + 8 * math.sqrt(n) + 64) / total * TWO32))
-    while True:
-        cand = keyed.where(F.col("_key") < F.lit(threshold))
-        found = cand.count() if threshold < TWO32 else total
-        if found >= n:
-            break
-        threshold = min(TWO32, threshold * 2)
-    ranked = rank_rows(cand, [F.col("_key").asc(), F.col(id_col).asc()], rank_col="_rank",
-                       partitions=partitions, rows=found)
-    return ranked.where(F.col("_rank") <= n).drop("_key", "_rank")
-
-
-def _largest_remainder(sizes: dict[int, int], total_take: int) -> dict[int, int]:
+    if n > total and on_oversize == "error":
+        raise ValidationError(f"Sample size {n} exceeds {total} source rows")
+    if n >= total:
+        return df
+    keyed = df.select(F.lit(0).alias("stratum"), sample_key(F.col(id_col), seed).alias("key"),
+                      F.col(id_col).alias("id"))
+    cut = df.sparkSession.createDataFrame([(0, 0, n)], "stratum int, cut int, position long")
+    (last,) = _checked(_boundaries(keyed, cut, total), 1)
+    key, id_ = sample_key(F.col(id_col), seed), F.col(id_col)
+    same = id_.isNull() if last["id"] is None else id_.isNull() | (id_ <= F.lit(last["id"]))
+    return df.where((key < last["key"]) | ((key == last["key"]) & same))
+
+
+def _largest_remainder(sizes: dict, total_take: int) -> dict:
     """Allocate ``total_take`` over strata proportionally; exact integer rule.
 
     Floors of n_s * take / n, then +1 to the largest remainders (ties: the
@@ -99,13 +126,13 @@ def _largest_remainder(sizes: dict[int, int], total_take: int) -> dict[int, int]
     base = {s: (c * total_take) // n for s, c in sizes.items()}
     rem = {s: (c * total_take) % n for s, c in sizes.items()}
     extra = total_take - sum(base.values())
-    for s in sorted(sizes, key=lambda s: (-rem[s], s))[:extra]:
+    for s in sorted(sizes, key=lambda s: (-rem[s], s is not None, s))[:extra]:
         base[s] += 1
     return base
 
 
-def split_sizes(sizes: dict[int, int], holdout: float = 0.4, second: float = 0.5
-                ) -> dict[int, tuple[int, int, int]]:
+def split_sizes(sizes: dict, holdout: float = 0.4, second: float = 0.5
+                ) -> dict[object, tuple[int, int, int]]:
     """Per stratum (train, validation, test) sizes.
 
     Mirrors a two-stage stratified split: ``ceil(holdout * n)`` rows leave
@@ -120,6 +147,35 @@ def split_sizes(sizes: dict[int, int], holdout: float = 0.4, second: float = 0.5
     return {s: (train[s], hold[s] - test[s], test[s]) for s in sizes}
 
 
+def _allocated(strata: DataFrame, size: str, take: int, out: str) -> DataFrame:
+    """:func:`_largest_remainder` over a table of any number of strata."""
+    n = strata.agg(F.sum(size)).first()[0] or 0
+    product = F.col(size).cast("decimal(38,0)") * F.lit(take)
+    base = F.floor(product / F.lit(max(n, 1))).cast("long")
+    rest = (product - base.cast("decimal(38,0)") * F.lit(n)).cast("long")
+    s = strata.select("*", base.alias("_base"), rest.alias("_rest"))
+    extra = take - (s.agg(F.sum("_base")).first()[0] or 0)
+    ranked = rank_rows(s, [F.col("_rest").desc(), F.col("stratum").asc()], rank_col="_nth")
+    more = F.when(F.col("_nth") <= extra, 1).otherwise(0)
+    return ranked.withColumn(out, F.col("_base") + more).drop("_base", "_rest", "_nth")
+
+
+def _cuts(strata: DataFrame, total: int, holdout: float, second: float) -> DataFrame:
+    """(stratum, train_end, validation_end) from (stratum, rows)."""
+    spark = strata.sparkSession
+    head = strata.limit(DRIVER_STRATA + 1).collect()
+    if len(head) <= DRIVER_STRATA:
+        sizes = split_sizes({r["stratum"]: r["rows"] for r in head}, holdout, second)
+        kind = strata.schema["stratum"].dataType.simpleString()
+        return spark.createDataFrame([(s, a, a + b) for s, (a, b, _) in sizes.items()],
+                                     f"stratum {kind}, train_end long, validation_end long")
+    hold = math.ceil(holdout * total)
+    s = _allocated(strata, "rows", total - hold, "train_end")
+    s = s.withColumn("_hold", F.col("rows") - F.col("train_end"))
+    s = _allocated(s, "_hold", math.ceil(second * hold), "_test")
+    return s.select("stratum", "train_end", (F.col("rows") - F.col("_test")).alias("validation_end"))
+
+
 def stratum_counts(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
                    stratum: Column | None = None) -> DataFrame:
     """A10: rows per stratum."""
@@ -130,44 +186,54 @@ def stratum_counts(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
 def split_rows(df: DataFrame, seed: int, *, spec: ExperimentSpec = ExperimentSpec(),
                stratum: Column | None = None, holdout: float = 0.4, second: float = 0.5,
                names: Sequence[str] = ("train", "validation", "test"),
-               minimum: int = MINIMUM_STRATUM_ROWS, id_col: str | None = None,
-               partitions: int | None = None) -> DataFrame:
+               minimum: int = MINIMUM_STRATUM_ROWS, id_col: str | None = None) -> DataFrame:
     """Add ``split`` (and ``stratum``); every row lands in one split.
 
-    Duplicated rows are separate units and are kept. Strata below
-    ``minimum`` rows are an error.
+    Duplicated rows with ids of their own are separate units and are kept. A
+    null stratum key is an error, and so are strata below ``minimum`` rows.
     """
     id_col = id_col or spec.id
     key = stratum if stratum is not None else stratum_key(spec)
-    strat = df.withColumn("stratum", key).withColumn(
-        "_key", sample_key(F.col(id_col), seed, _integral(df, id_col)))
-    per_stratum = strat.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows"))
-    head = per_stratum.limit(MAXIMUM_STRATA + 1).collect()
-    if len(head) > MAXIMUM_STRATA:
-        raise ValidationError(f"More than {MAXIMUM_STRATA} strata; use a coarser stratum key")
-    counts = {r["stratum"]: r["rows"] for r in head}
-    if not counts:
-        raise ValidationError("Cannot split an empty table")
-    if min(counts.values()) < minimum:
-        raise ValidationError(
-            f"Every observed split stratum must contain at least {minimum} rows")
-    sizes = split_sizes(counts, holdout, second)
-    rows, offset = [], 0
-    for s in sorted(counts):  # one row per stratum
-        tr, va, _ = sizes[s]
-        rows.append((int(s), offset, offset + tr, offset + tr + va))
-        offset += counts[s]
-    cuts = df.sparkSession.createDataFrame(
-        rows, "stratum int, _start long, _train_end long, _val_end long")
-    ranked = rank_rows(strat, [F.col("stratum").asc(), F.col("_key").asc(),
-                               F.col(id_col).asc()], rank_col="_rank", partitions=partitions,
-                       rows=offset)
-    r = F.col("_rank")
-    split = (F.when(r <= F.col("_train_end"), names[0])
-             .when(r <= F.col("_val_end"), names[1]).otherwise(names[2]))
-    return (ranked.join(F.broadcast(cuts), "stratum")
-            .withColumn("split", split)
-            .drop("_key", "_rank", "_start", "_train_end", "_val_end"))
+    strata = df.groupBy(key.alias("stratum")).agg(F.count(F.lit(1)).alias("rows")).cache()
+    try:
+        about = strata.agg(F.sum("rows").alias("rows"), F.min("rows").alias("least"),
+                           F.count_if(F.col("stratum").isNull()).alias("nulls")).first()
+        if not about["rows"]:
+            raise ValidationError("Cannot split an empty table")
+        if about["nulls"]:
+            raise ValidationError("The stratum key is null for some rows; "
+                                  "assignment and outcomes must not be null")
+        if about["least"] < minimum:
+            raise ValidationError(f"A split stratum has fewer than {minimum} rows; "
+                                  "it should contain at least that many")
+        ends = _cuts(strata, about["rows"], holdout, second)
+    finally:
+        strata.unpersist()
+    cuts = ends.select("stratum", F.explode(F.array(
+        F.struct(F.lit(0).alias("cut"), F.col("train_end").alias("position")),
+        F.struct(F.lit(1).alias("cut"), F.col("validation_end").alias("position")))).alias("c")
+    ).select("stratum", "c.cut", "c.position")
+    keyed = df.select(key.alias("stratum"), sample_key(F.col(id_col), seed).alias("key"),
+                      F.col(id_col).alias("id"))
+    found = _boundaries(keyed, cuts.where("position > 0"), about["rows"])
+    bound = F.struct("key", "id")
+    by_stratum = found.groupBy("stratum").agg(
+        F.max(F.when(F.col("cut") == 0, bound)).alias("_first"),
+        F.max(F.when(F.col("cut") == 1, bound)).alias("_second"),
+        F.max("copies").alias("_copies"))
+    own = F.struct(F.col("_key").alias("key"), F.col(id_col).alias("id"))
+    split = (F.when(F.col("_copies") > 1, F.raise_error(F.lit(
+                "Splitting needs unique ids; a cut falls on a repeated id")))
+             .when(own <= F.col("_first"), names[0])
+             .when(own <= F.col("_second"), names[1]).otherwise(names[2]))
+    head = by_stratum.limit(DRIVER_STRATA + 1).collect()
+    if len(head) <= DRIVER_STRATA:  # a handful of boundaries: computed once and broadcast
+        if any((r["_copies"] or 0) > 1 for r in head):
+            raise ValidationError("Splitting needs unique ids; a cut falls on a repeated id")
+        by_stratum = F.broadcast(df.sparkSession.createDataFrame(head, by_stratum.schema))
+    rows = df.withColumns({"stratum": key, "_key": sample_key(F.col(id_col), seed)})
+    return (rows.join(by_stratum, "stratum", "left").withColumn("split", split)
+            .select("stratum", *[c for c in df.columns if c != "stratum"], "split"))
 
 
 def split_summary(split_df: DataFrame, spec: ExperimentSpec = ExperimentSpec()) -> DataFrame:
