@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from liftlab.sources.ingest import prepare_dataset, read_csv_header
 from liftlab.spec import ValidationError
@@ -77,3 +78,68 @@ def test_file_manifest_checksums(spark):
     got = {r.file_name: r for r in file_manifest(spark, d, expected=expected).collect()}
     assert got["a.bin"].size_bytes == 5 and got["a.bin"].checksum_matches
     assert not got["b.bin"].checksum_matches
+
+
+def test_large_files_are_hashed_in_chunks(spark, tmp_path):
+    import hashlib
+    from liftlab.sources import manifest
+    body = os.urandom(3 * manifest.CHUNK_BYTES + 17)
+    (tmp_path / "big.bin").write_bytes(body)
+    (tmp_path / "small.bin").write_bytes(b"x")
+    got = {r.file_name: r.sha256 for r in manifest.file_manifest(spark, str(tmp_path), row_bytes=1000).collect()}
+    assert got == {"big.bin": hashlib.sha256(body).hexdigest(), "small.bin": hashlib.sha256(b"x").hexdigest()}
+
+
+def test_integers_keep_all_digits_and_floats_stay_floats(spark):
+    d = tempfile.mkdtemp(prefix="run-")
+    raw = _write(d, "raw.csv.gz", "9007199254740992,1.5,1,1,1,1\n9007199254740993,2,0,0,0,0\n,,0,0,0,0\n")
+    rep = prepare_dataset(spark, raw, os.path.join(d, "out.parquet"))
+    out = spark.read.parquet(os.path.join(d, "out.parquet"))
+    assert dict(out.dtypes)["f0"] == "bigint" and dict(out.dtypes)["f1"] == "double"
+    assert {r.f0 for r in out.collect()} == {9007199254740992, 9007199254740993, None}
+    assert rep["summary"].first().duplicate_full_rows == 0
+
+
+def test_every_bad_column_is_named_before_anything_is_written(spark):
+    d = tempfile.mkdtemp(prefix="run-")
+    raw = _write(d, "raw.csv.gz", "a,1,300,1,0.5,1\nb,2,0,0,0,0\n")
+    with pytest.raises(ValidationError) as e:
+        prepare_dataset(spark, raw, os.path.join(d, "out.parquet"))
+    assert all(n in str(e.value) for n in ("f0", "treatment", "300", "visit", "0.5"))
+    assert os.listdir(d) == ["raw.csv.gz"]
+
+
+def test_a_failed_rename_keeps_the_old_table(spark, monkeypatch):
+    from liftlab.sources import ingest
+    d = tempfile.mkdtemp(prefix="run-")
+    out = os.path.join(d, "out.parquet")
+    prepare_dataset(spark, _write(d, "a.csv.gz", "1.5,10.0,1,1,1,1\n2.5,20.0,0,0,0,0\n"), out)
+    real = ingest.rename_path
+
+    def broken(session, src, dst):
+        if src.endswith(ingest.STAGING_SUFFIX):
+            raise ValidationError("rename refused")
+        real(session, src, dst)
+
+    monkeypatch.setattr(ingest, "rename_path", broken)
+    with pytest.raises(ValidationError, match="refused"):
+        prepare_dataset(spark, _write(d, "b.csv.gz", "7.5,10.0,1,1,1,1\n"), out, overwrite=True)
+    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(out + ingest.STAGING_SUFFIX).count() == 1  # checked, and kept
+
+
+def test_a_table_without_ids_goes_through_both_reports(spark, tmp_path):
+    from liftlab.plans.experiment import analyze_experiment
+    from liftlab.plans.uplift import analyze_uplift
+    from liftlab.sources.overlay import experiment_table
+    df = experiment_table(spark, "/root/testdata/sf0.001").drop("id")
+    codes = [F.conv(F.substring(F.md5(F.col(c)), 1, 4), 16, 10).alias(c) for c in ("f1", "f3", "f4")]
+    df.select(*[c for c in df.columns if c not in ("f1", "f3", "f4")], *codes).coalesce(1).write.option(
+        "header", True).option("compression", "gzip").csv(f"{tmp_path}/raw")
+    prepare_dataset(spark, f"{tmp_path}/raw", f"{tmp_path}/t.parquet")
+    table = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert "id" not in table.columns
+    rep = analyze_experiment(table)
+    assert rep["population"].first().total_count == 1473 and rep["treatment_predictability"].count() == 1
+    up = analyze_uplift(table, outcomes=["visit"], learner_names=("t_learner",), max_iterations=5)
+    assert sum(r.observations for r in up["split_summary"].collect()) == 1473
