@@ -10,6 +10,7 @@ Published doubles are rounded to 10 significant digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,10 @@ from liftlab.functions.rounding import round_doubles
 from liftlab.operators import (balance, effects, learners, population, power, ranking,
                                sampling, validate)
 from liftlab.plans import charts, oracles
+from liftlab.plans.experiment import analyze_experiment
+from liftlab.plans.uplift import analyze_uplift
 from liftlab.session import ensure_checkpoint_dir
-from liftlab.sources.ingest import prepare_dataset
+from liftlab.sources.ingest import prepare_dataset, remove_path
 from liftlab.sources.manifest import file_manifest
 from liftlab.sources.overlay import experiment_table, rule_scores
 from liftlab.spec import ExperimentSpec
@@ -95,29 +98,75 @@ def _model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.candidates_frame(spark, [rep]).drop("fit_seconds")
 
 
-def _t_learner_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saturated T-learner check: one categorical feature (f4), almost no
+def _cell_counts(learner: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Saturated-model check: one categorical feature (f4), almost no
     regularisation, fitted on the training split. Each arm's model must
     return the training cell rates, so probability x cell size gives back
     the integer positives of every (cell, arm)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _exp(spark, sf_dir)
+        split = sampling.split_rows(df.select(SPEC.id, *SPEC.model_columns), 42, spec=SPEC)
+        train = split.where("split = 'train'")
+        spec = ExperimentSpec(features=("f4",), continuous=(), categorical=("f4",))
+        pre = learners.fit_preprocessor(train, spec)
+        X = learners.transform_features(pre, train, [SPEC.id, "f4", SPEC.treatment, "visit"])
+        model = learners.LEARNERS[learner].fit(
+            X, "visit", alpha=1e-10, max_iterations=300,
+            classifier=lambda a: learners.logistic(a, 300, 1e-12))
+        t = F.col(SPEC.treatment)
+        cells = model.predict(X).groupBy("f4").agg(
+            F.count_if(t == 1).alias("treated_rows"), F.count_if(t == 0).alias("control_rows"),
+            F.max("p1").alias("p1"), F.max("p0").alias("p0"))
+        return cells.select(
+            "f4", "treated_rows", "control_rows",
+            F.round(F.col("p1") * F.col("treated_rows")).cast("long").alias(
+                "recovered_treated_positives"),
+            F.round(F.col("p0") * F.col("control_rows")).cast("long").alias(
+                "recovered_control_positives"))
+    return run
+
+
+def _approx_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each sketch is within three standard deviations of the exact count."""
     df = _exp(spark, sf_dir)
-    split = sampling.split_rows(df.select(SPEC.id, *SPEC.model_columns), 42, spec=SPEC)
-    train = split.where("split = 'train'")
-    spec = ExperimentSpec(features=("f4",), continuous=(), categorical=("f4",))
-    pre = learners.fit_preprocessor(train, spec)
-    X = learners.transform_features(pre, train, [SPEC.id, "f4", SPEC.treatment, "visit"])
-    model = learners.TLearner.fit(X, "visit", alpha=1e-10, max_iterations=300,
-                                  classifier=lambda a: learners.logistic(a, 300, 1e-12))
-    t = F.col(SPEC.treatment)
-    cells = model.predict(X).groupBy("f4").agg(
-        F.count_if(t == 1).alias("treated_rows"), F.count_if(t == 0).alias("control_rows"),
-        F.max("p1").alias("p1"), F.max("p0").alias("p0"))
-    return cells.select(
-        "f4", "treated_rows", "control_rows",
-        F.round(F.col("p1") * F.col("treated_rows")).cast("long").alias(
-            "recovered_treated_positives"),
-        F.round(F.col("p0") * F.col("control_rows")).cast("long").alias(
-            "recovered_control_positives"))
+    near = validate.feature_cardinality(df, SPEC, exact=False).withColumnRenamed("cardinality", "near")
+    both = validate.feature_cardinality(df, SPEC).join(near, "feature")
+    off = F.abs(F.col("near") - F.col("cardinality"))
+    return both.select("feature", (off <= 3 * 0.05 * F.col("cardinality")).alias("within_three_rsd"))
+
+
+def _table_summary(df: DataFrame) -> DataFrame:
+    """A5 in one long table of counts."""
+    s = validate.table_summary(df, SPEC)
+    t = s["table"]
+    def part(rows: DataFrame, section: str, name, value: str) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), name.alias("name"),
+                           F.col(value).cast("bigint").alias("value"))
+    return (part(t, "table", F.lit("row_count"), "row_count")
+            .unionByName(part(t, "table", F.lit("column_count"), "column_count"))
+            .unionByName(part(s["columns"], "missing", F.col("column_name"), "missing_count"))
+            .unionByName(part(s["binaries"], "ones", F.col("column_name"), "count_1"))
+            .unionByName(part(s["violations"], "violation", F.col("rule"), "violation_count")))
+
+
+def _predictability_baseline(df: DataFrame) -> DataFrame:
+    return learners.treatment_predictability(df, SPEC).select(
+        "training_observations", "test_observations", "baseline_log_loss")
+
+
+def _experiment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: every table of the report with its number of rows."""
+    report = analyze_experiment(_exp(spark, sf_dir), SPEC)
+    rows = [(k, v.count()) for k, v in report.items()]
+    report["categorical_levels"].unpersist()
+    return spark.createDataFrame(rows, "table_name string, rows long")
+
+
+def _uplift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out AUUC and the chosen candidate of every outcome and learner."""
+    report = analyze_uplift(_exp(spark, sf_dir), SPEC, parallelism=4)
+    best = report["model_selection"].where("selected").drop("fit_seconds", "selected")
+    return round_doubles(report["auuc"].join(best, ["outcome", "learner"]))
 
 
 def _chart_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,24 +189,20 @@ def _design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round trip: the numeric experiment table as gzip CSV, then prepare.
+    """Round trip: the experiment table as gzip CSV, prepared; the profile of the copy.
 
-    Scratch files go under the session's checkpoint folder (shared on a
-    cluster), in a fresh sub-folder per call.
+    String levels become numeric codes, so all 12 features take part. Scratch
+    files go under the session's checkpoint folder (shared on a cluster), in a
+    fresh sub-folder per call, and are removed at the end.
     """
-    import uuid
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prepare-{uuid.uuid4().hex}"
     df = _exp(spark, sf_dir)
-    numeric = df.select("id", "f0", "f2", "f7", "f10",
-                        *[df[c].cast("double").alias(c) for c in ("f5", "f6", "f8", "f9", "f11")],
-                        *SPEC.binaries)
+    code = {c: F.conv(F.substring(F.md5(F.col(c)), 1, 4), 16, 10).alias(c) for c in ("f1", "f3", "f4")}
+    numeric = df.select(*[code.get(c, c) for c in SPEC.features], *SPEC.binaries)
     numeric.write.option("header", True).option("compression", "gzip").csv(f"{base}/raw")
-    report = prepare_dataset(spark, f"{base}/raw", f"{base}/experiment.parquet",
-                             spec=ExperimentSpec(features=("f0", "f2", "f7", "f10", "f5", "f6",
-                                                           "f8", "f9", "f11", "id"),
-                                                 continuous=("f0", "f2", "f7", "f10", "id"),
-                                                 categorical=("f5", "f6", "f8", "f9", "f11")))
-    return report["equivalence"]
+    report = prepare_dataset(spark, f"{base}/raw", f"{base}/experiment.parquet", spec=SPEC)
+    remove_path(spark, base)  # the report's tables are local relations
+    return round_doubles(report["parquet_columns"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -182,8 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "logical_violations": _rounded(lambda df: validate.logical_violations(df, SPEC)),
         "duplicate_rows": _rounded(validate.duplicate_rows),
         "duplicate_rows_without_id": _rounded(
-            lambda df: validate.duplicate_rows(df.select(
-                *SPEC.categorical, *SPEC.binaries))),
+            lambda df: validate.duplicate_rows(df.drop("id"))),
         "feature_cardinality": _rounded(lambda df: validate.feature_cardinality(df, SPEC)),
         "approx_feature_cardinality": _rounded(
             lambda df: validate.feature_cardinality(df, SPEC, exact=False)),
@@ -212,7 +256,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             effects.itt_effects(df, SPEC), power.mde_grid(df, SPEC))),
         "chart_gain": _chart_gain,
         "chart_policy": _chart_policy,
-        "t_learner_cell_counts": _t_learner_cell_counts,
+        "t_learner_cell_counts": _cell_counts("t_learner"),
+        "s_learner_cell_counts": _cell_counts("s_learner"),
+        "invalid_assignment": _rounded(lambda df: population.invalid_assignment(df, SPEC, by=["f4"])),
+        "approx_cardinality_within_bounds": _approx_within_bounds,
+        "table_summary": _rounded(_table_summary),
+        "allocation_p_value": lambda spark, sf_dir: effects.allocation_audit(
+            _exp(spark, sf_dir), SPEC).select(F.round("p_value", 9).alias("p_value")),
+        "treatment_predictability_baseline": _rounded(_predictability_baseline),
+        "experiment_report": _experiment_report,
+        "uplift_report": _uplift_report,
         "design_matrix": _design_matrix,
         "s_learner_scores": _uplift_scores("s_learner"),
         "t_learner_scores": _uplift_scores("t_learner"),
@@ -265,5 +318,13 @@ def oracle_sql() -> dict[str, str]:
         "chart_policy": oracles.chart_policy(),
         "t_learner_cell_counts": oracles.t_learner_cell_counts(),
         "design_matrix": oracles.design_matrix(),
+        "s_learner_cell_counts": oracles.s_learner_cell_counts(),
+        "invalid_assignment": oracles.invalid_assignment(),
+        "approx_cardinality_within_bounds": oracles.approx_cardinality_within_bounds(),
+        "table_summary": oracles.table_summary(),
+        "allocation_p_value": oracles.allocation_p_value(),
+        "treatment_predictability_baseline": oracles.treatment_predictability_baseline(),
+        "prepare_dataset": oracles.prepare_dataset(),
+        "experiment_report": oracles.experiment_report(),
         **(corpus.oracle_sql() if corpus else {}),
     }

@@ -36,11 +36,3 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
-
-
-def round_doubles_sql(sql: str, double_cols: list[str], digits: int = DIGITS) -> str:
-    """Wrap an oracle query so its double columns get the same rounding."""
-    if not double_cols:
-        return sql
-    repl = ", ".join(f"{sround_sql(f'CAST({c} AS DOUBLE)', digits)} AS {c}" for c in double_cols)
-    return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS q"

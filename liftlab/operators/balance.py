@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlab.operators.population import _by
@@ -80,14 +80,16 @@ def categorical_level_balance(df: DataFrame, spec: ExperimentSpec = ExperimentSp
     """E3 per level: indicator proportions per arm and their SMD (0 when sd is 0)."""
     by = _by(by)
     counts = categorical_level_counts(df, spec, by)
-    # Arm totals over the level rows of each (segment, feature): a window on
-    # the small level table, so the table is scanned once. (An aggregate
-    # joined back scans it twice: the exchange is not reused.) Level counts
-    # per feature are assumed bounded, as a per-level balance table implies.
-    w = Window.partitionBy(*by, "feature")
-    n1 = F.sum("treatment_count").over(w)
-    n0 = F.sum("control_count").over(w)
-    step = counts.select("*", n1.alias("_n1"), n0.alias("_n0"))
+    # Every row counts once in each feature, null being a level, so a feature's
+    # arm totals are the segment's arm sizes: one narrow aggregate, and no
+    # window that would gather all levels of a feature in one task.
+    t = F.col(spec.treatment)
+    arms = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(
+        F.count_if(t == 1).alias("_n1"), F.count_if(t == 0).alias("_n0"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    step = (counts.join(arms, same) if by else counts.crossJoin(F.broadcast(arms)))
     p1 = F.try_divide(F.col("treatment_count"), F.col("_n1"))
     p0 = F.try_divide(F.col("control_count"), F.col("_n0"))
     pooled = F.sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2.0)
@@ -100,12 +102,15 @@ def categorical_level_balance(df: DataFrame, spec: ExperimentSpec = ExperimentSp
         smd.alias("standardized_difference"), weight.alias("pooled_weight"))
 
 
-def categorical_balance(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
-                        by: Sequence[str] = ()) -> DataFrame:
-    """E3 per feature: level count, max |SMD| (ties: smallest level), weighted RMS."""
+def categorical_balance(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec(),
+                        by: Sequence[str] = (), levels: DataFrame | None = None) -> DataFrame:
+    """E3 per feature: level count, max |SMD| (ties: smallest level), weighted RMS.
+
+    ``levels``: the level table, if it is there already.
+    """
     by = _by(by)
-    levels = categorical_level_balance(df, spec, by).withColumn(
-        "_abs", F.abs("standardized_difference"))
+    levels = levels if levels is not None else categorical_level_balance(df, spec, by)
+    levels = levels.withColumn("_abs", F.abs("standardized_difference"))
     key = F.struct(-F.col("_abs"), F.col("level"))
     return levels.groupBy(*by, "feature").agg(
         F.count(F.lit(1)).alias("level_count"),

@@ -129,6 +129,8 @@ def itt_effects(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec(),
 # ---- Newcombe interval for held-out groups (E10) ---------------------------
 
 def _wilson(x: Column, n: Column, z: float) -> tuple[Column, Column]:
+    # Doubles: the product of two counts leaves bigint from about 6 billion rows an arm.
+    x, n = x.cast("double"), n.cast("double")
     z2 = z * z
     centre = (x + z2 / 2.0) / (n + z2)
     half = F.lit(z) * F.sqrt(F.try_divide(x * (n - x), n) + z2 / 4.0) / (n + z2)

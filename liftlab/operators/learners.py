@@ -35,15 +35,15 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (Interaction, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlab.operators.effects import transformed_outcome_col
-from liftlab.operators.ranking import (RankedEvaluation, clip_probability,
+from liftlab.operators.ranking import (RankedEvaluation, clip_probability, log_loss_col,
                                        predictive_diagnostics, rank_auc)
 from liftlab.operators.sampling import sample_rows, split_rows
 from liftlab.session import small_table
-from liftlab.spec import ExperimentSpec, ValidationError
+from liftlab.spec import ExperimentSpec
 
 # Fixed values of the modelling design.
 REGULARIZATION_CANDIDATES = (1e-5, 1e-4)
@@ -90,11 +90,15 @@ def transform_features(model: PipelineModel, df: DataFrame, keep: Sequence[str])
 
 
 def design_size(df: DataFrame) -> DataFrame:
-    """Rows, columns and non-zeros of the feature matrix."""
-    nnz = F.size(F.filter(vector_to_array(FEATURES), lambda x: x != 0))
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.max(F.size(vector_to_array(FEATURES))).alias("columns"),
-                  F.sum(nnz).cast("bigint").alias("nonzero_values"))
+    """Rows, columns and non-zeros of the feature matrix.
+
+    ``Summarizer`` adds up sparse vectors entry by entry; no row is made dense.
+    """
+    s = df.agg(Summarizer.metrics("count", "numNonZeros").summary(F.col(FEATURES)).alias("s"))
+    nnz = vector_to_array("s.numNonZeros")  # one vector of the design's width
+    total = F.aggregate(nnz, F.lit(0.0), lambda a, x: a + x)
+    return s.select(F.col("s.count").alias("rows"), F.size(nnz).alias("columns"),
+                    total.cast("bigint").alias("nonzero_values"))
 
 
 # ---- M4-M6 ---------------------------------------------------------------------
@@ -240,7 +244,15 @@ class ModelReport:
     candidates: list = field(default_factory=list)
     model: object = None
     tables: dict = field(default_factory=dict)
-    scored: DataFrame | None = None  # persisted held-out scores; unpersist when done
+    scored: DataFrame | None = None  # persisted held-out scores
+    evaluation: RankedEvaluation | None = None
+
+    def release(self) -> None:
+        """Give back the persisted scores and the evaluation's band counts."""
+        if self.scored is not None:
+            self.scored.unpersist()
+        if self.evaluation is not None:
+            self.evaluation.release()
 
 
 def select_model(learner: str, train: DataFrame, validation: DataFrame, outcome: str, *,
@@ -260,11 +272,15 @@ def select_model(learner: str, train: DataFrame, validation: DataFrame, outcome:
     def trial(a: float):
         m = cls.fit(train, outcome, alpha=a, max_iterations=max_iterations,
                     classifier=classifier, treatment=spec.treatment)
-        scored = predict_uplift(m, validation)
+        # Four narrow columns, scored once: the range sort reads them twice.
+        scored = predict_uplift(m, validation).select(
+            spec.id, "cate", outcome, spec.treatment).persist(StorageLevel.MEMORY_AND_DISK)
         ev = RankedEvaluation(scored, score="cate", outcome=outcome, treatment=spec.treatment,
-                              id_col=spec.id, propensity=spec.propensity, outcome_name=outcome)
+                              id_col=spec.id, propensity=spec.propensity, outcome_name=outcome,
+                              check_ids=False)
         auuc = ev.auuc().first()["auuc_above_random_per_100000"]
         ev.release()
+        scored.unpersist()
         return m, auuc
 
     if parallelism > 1 and len(alphas) > 1:
@@ -289,7 +305,8 @@ def evaluate_model(report: ModelReport, test: DataFrame, *,
     report.scored = scored
     ev = RankedEvaluation(scored, score="cate", outcome=report.outcome,
                           treatment=spec.treatment, id_col=spec.id,
-                          propensity=spec.propensity, outcome_name=report.outcome)
+                          propensity=spec.propensity, outcome_name=report.outcome, check_ids=False)
+    report.evaluation = ev
     report.tables = {
         "scores": scored.select(spec.id, spec.treatment, report.outcome, "p1", "p0", "cate"),
         "gain_curve": ev.gain_curve(),
@@ -304,12 +321,21 @@ def evaluate_model(report: ModelReport, test: DataFrame, *,
 
 
 def candidates_frame(spark, reports: Sequence[ModelReport]) -> DataFrame:
-    rows = [(r.outcome, r.learner, float(c["alpha"]),
-             float(c["validation_auuc_above_random_per_100000"]), float(c["fit_seconds"]),
-             c["alpha"] == r.selected_alpha) for r in reports for c in r.candidates]
-    return spark.createDataFrame(rows, "outcome string, learner string, alpha double, "
-                                       "validation_auuc_above_random_per_100000 double, "
-                                       "fit_seconds double, selected boolean")
+    """One row per candidate: validation AUUC, fit time, convergence, and the choice."""
+    rows = []
+    for r in reports:
+        for c in r.candidates:
+            conv = c["convergence"]
+            done = [conv.get(k) for k in ("iterations", "treatment_iterations", "control_iterations")]
+            limit = any(v for k, v in conv.items() if k.endswith("iteration_limit"))
+            rows.append((r.outcome, r.learner, float(c["alpha"]),
+                         float(c["validation_auuc_above_random_per_100000"]), float(c["fit_seconds"]),
+                         *done, conv["maximum_iterations"], limit, c["alpha"] == r.selected_alpha))
+    return spark.createDataFrame(
+        rows, "outcome string, learner string, alpha double, "
+              "validation_auuc_above_random_per_100000 double, fit_seconds double, iterations int, "
+              "treatment_iterations int, control_iterations int, maximum_iterations int, "
+              "reached_iteration_limit boolean, selected boolean")
 
 
 # ---- M15: treatment predictability ---------------------------------------------------
@@ -319,57 +345,42 @@ def treatment_predictability(df: DataFrame, spec: ExperimentSpec = ExperimentSpe
                              test_share: float = 0.25) -> DataFrame:
     """Randomisation diagnostic: can the features predict assignment?
 
-    Exact seeded sample (clamped to the table), 75/25 split stratified by
-    treatment, train-fitted preprocessing, L2 logistic regression with
-    ``regParam = 1 / (C * n_train)``; AUC and log loss on the test part
-    against a constant base-rate prediction.
+    75/25 split of all rows, stratified by treatment; L2 logistic regression
+    with ``regParam = 1 / (C * n_train)``, fitted with its preprocessing on
+    at most ``sample_size`` training rows (an exact seeded sample); AUC and log
+    loss on every held-out row, against a constant base-rate prediction.
     """
     cols = [spec.id, *spec.features, spec.treatment]
-    sampled = sample_rows(df.select(*cols), sample_size, seed, id_col=spec.id)
-    split = split_rows(sampled, seed, spec=spec, stratum=F.col(spec.treatment).cast("int"),
+    split = split_rows(df.select(*cols), seed, spec=spec, stratum=F.col(spec.treatment).cast("int"),
                        holdout=test_share, second=1.0, names=("train", "unused", "test"))
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(spec.treatment).cast("double"))
-                      .alias("base")).first()
+    train = sample_rows(split.where(F.col("split") == "train"), sample_size, seed, id_col=spec.id)
+    y = F.col(spec.treatment)
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.avg(y.cast("double")).alias("base")).first()
     n_train, base = int(stats["n"]), float(stats["base"])
-    if n_train == 0:
-        raise ValidationError("Empty training split")
     pre = fit_preprocessor(train, spec)
     tr = transform_features(pre, train, [spec.id, spec.treatment]).withColumn(
-        "_label", F.col(spec.treatment).cast("double"))
+        "_label", y.cast("double"))
     te = transform_features(pre, test, [spec.id, spec.treatment])
     lr = logistic(1.0 / (PREDICTABILITY_C * n_train), PREDICTABILITY_MAX_ITERATIONS, TOLERANCE,
                   label="_label")
-    model, secs = _fit(lr, tr)
-    scored = positive_probability(model, te, FEATURES, "p").withColumn(
-        "base_p", F.lit(base)).withColumn("_g", F.lit("test"))
-    auc = rank_auc(scored, "p", spec.treatment, "_g", spec.id)
-    y = F.col(spec.treatment)
-
-    def ll(p):
-        return -(y * F.log(p) + (F.lit(1) - y) * F.log(F.lit(1.0) - p))
-
-    losses = scored.groupBy("_g").agg(
+    model, _ = _fit(lr, tr)
+    scored = positive_probability(model, te, FEATURES, "p").select(
+        "p", spec.treatment, F.lit("test").alias("_g")).persist(StorageLevel.MEMORY_AND_DISK)
+    auc = rank_auc(scored, "p", spec.treatment, "_g")
+    losses = scored.agg(
         F.count(F.lit(1)).alias("test_observations"),
-        F.avg(ll(F.col("p"))).alias("log_loss"),
-        F.avg(ll(F.col("base_p"))).alias("baseline_log_loss"))
+        F.avg(log_loss_col(y, F.col("p"))).alias("log_loss"),
+        F.avg(log_loss_col(y, F.lit(base))).alias("baseline_log_loss")).withColumn("_g", F.lit("test"))
     out = losses.join(auc.select("_g", "roc_auc"), "_g").drop("_g")
     result = small_table(out.select(
         F.lit(n_train).cast("bigint").alias("training_observations"), "test_observations",
         "roc_auc", F.lit(0.5).alias("baseline_roc_auc"), "log_loss", "baseline_log_loss",
         (F.col("baseline_log_loss") - F.col("log_loss")).alias("log_loss_improvement"),
         F.lit(_iterations(model)).alias("iterations"),
-        F.lit(sample_size).cast("bigint").alias("requested_sample_size"),
+        F.lit(sample_size).cast("bigint").alias("maximum_training_rows"),
         F.lit(seed).alias("random_seed")))
+    scored.unpersist()
     split.unpersist()
     return result
-
-
-# ---- transformed outcome on a split (E11 for evaluation) ------------------------------
-
-def with_signal(df: DataFrame, outcome: str, spec: ExperimentSpec = ExperimentSpec()
-                ) -> DataFrame:
-    return df.withColumn("signal", transformed_outcome_col(
-        F.col(outcome), F.col(spec.treatment), spec.propensity))

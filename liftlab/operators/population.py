@@ -25,22 +25,51 @@ def population_summary(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
                        by: Sequence[str] = ()) -> DataFrame:
     """One row per segment: unit counts by arm and positives of every binary.
 
-    ``control_count`` is total minus treated; duplicate rows are units and
-    are all counted.
+    Duplicate rows are units and are all counted. A null or non-binary
+    assignment is an error; see :func:`invalid_assignment`. Null outcomes are
+    not positives.
     """
     by = _by(by)
     t = F.col(spec.treatment)
     tracked = [*spec.outcomes, *([spec.exposure] if spec.exposure else [])]
     spec.require_columns(df, [*by, spec.treatment, *tracked])
     aggs: list[Column] = [F.count(F.lit(1)).alias("total_count"),
-                          F.sum(t).cast("bigint").alias("treatment_count")]
+                          F.count_if(t == 1).alias("treatment_count"),
+                          F.count_if(not_binary(t)).alias("_invalid")]
     for name in tracked:
         y = F.col(name)
-        aggs += [F.sum(y).cast("bigint").alias(f"{name}_total"),
-                 F.sum(y * t).cast("bigint").alias(f"{name}_treatment"),
-                 F.sum(y * (F.lit(1) - t)).cast("bigint").alias(f"{name}_control")]
+        aggs += [F.count_if(y == 1).alias(f"{name}_total"),
+                 F.count_if((y == 1) & (t == 1)).alias(f"{name}_treatment"),
+                 F.count_if((y == 1) & (t == 0)).alias(f"{name}_control")]
     out = df.groupBy(*by).agg(*aggs)
-    return out.withColumn("control_count", F.col("total_count") - F.col("treatment_count"))
+    # Checked on the aggregate: one comparison per segment, in the same job.
+    total = F.when(F.col("_invalid") == 0, F.col("total_count")).otherwise(F.raise_error(F.concat(
+        F.col("_invalid").cast("string"),
+        F.lit(f" rows have a null or non-binary {spec.treatment}; assignment must be 0 or 1"))))
+    out = out.withColumn("total_count", total.cast("bigint"))
+    return out.select(*by, "total_count", *[c for c in out.columns if c not in (
+        *by, "total_count", "_invalid")],
+        (F.col("total_count") - F.col("treatment_count")).alias("control_count"))
+
+
+def not_binary(c: Column) -> Column:
+    """True for null and for values other than 0 and 1."""
+    return ~F.coalesce(c.isin(0, 1), F.lit(False))
+
+
+def invalid_assignment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
+                       by: Sequence[str] = ()) -> DataFrame:
+    """Rows per segment whose assignment or outcomes are null or not 0 or 1.
+
+    Estimators refuse such assignments; this table says where they are.
+    """
+    by = _by(by)
+    names = [spec.treatment, *spec.outcomes]
+    spec.require_columns(df, [*by, *names])
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(F.col(n).isNull()).alias(f"{n}_missing") for n in names],
+        *[F.count_if(F.col(n).isNotNull() & not_binary(F.col(n))).alias(f"{n}_invalid") for n in names])
 
 
 def arm_counts(population: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -26,7 +26,7 @@ integer counts, so results are exact and independent of summation order.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,6 +97,19 @@ def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str =
     return ranked, running, invalid
 
 
+def require_unique_ids(df: DataFrame, id_col: str = "id") -> None:
+    """Fail when an id repeats or is null: ranks and cuts would depend on the layout.
+
+    One narrow shuffle of ids with map-side counts.
+    """
+    ids = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    bad = ids.agg(F.count_if(F.col("_n") > 1).alias("repeated"),
+                  F.max(F.when(F.col("_id").isNull(), F.col("_n"))).alias("nulls")).first()
+    if bad["repeated"] or bad["nulls"]:
+        raise ValidationError(f"{id_col} must identify every row: {bad['repeated'] or 0} ids repeat, "
+                              f"{bad['nulls'] or 0} are null")
+
+
 def rank_rows(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
               partitions: int | None = None, rows: int | None = None) -> DataFrame:
     """Append a 1-based global rank following ``order`` (must be a total order).
@@ -167,7 +180,7 @@ def _lookup(cum: DataFrame, prefix: str) -> DataFrame:
 def curve_counts(n: int, points: int = CURVE_POINTS) -> list[tuple[int, float, int]]:
     """(j, fraction, targeted count) with fraction = j * (1/points), last = 1.0."""
     if points <= 0:
-        raise ValueError("Curve points must be positive")
+        raise ValueError(f"a curve needs at least one point, not {points}")
     step = 1.0 / points
     out = []
     for j in range(points + 1):
@@ -181,7 +194,7 @@ def policy_counts(n: int, fractions: Sequence[float] = TARGETING_FRACTIONS) -> l
     out = []
     for f in fractions:
         if not 0 < f <= 1:
-            raise ValueError("Targeting fractions must fall within zero and one")
+            raise ValueError(f"a targeting fraction lies in (0, 1], {f} does not")
         out.append((float(f), min(n, max(1, math.ceil(f * n)))))
     return out
 
@@ -202,7 +215,7 @@ class RankedEvaluation:
 
     ``scored`` needs ``id``, ``score``, ``outcome`` and ``treatment``
     columns (names configurable). Ties in score are broken by id ascending;
-    ids must be unique. The evaluation signal is the IPW transformed outcome,
+    ids must be unique, which ``check_ids`` verifies. The evaluation signal is the IPW transformed outcome,
     summed exactly from integer counts; ``signal`` names an explicit signal
     column instead (summed as doubles).
     """
@@ -212,21 +225,24 @@ class RankedEvaluation:
                  propensity: float = TREATMENT_PROPENSITY, outcome_name: str | None = None,
                  points: int = CURVE_POINTS, fractions: Sequence[float] = TARGETING_FRACTIONS,
                  groups: int = DECILE_GROUPS, partitions: int | None = None,
-                 check_scores: bool = True, signal: str | None = None) -> None:
+                 check_scores: bool = True, check_ids: bool = True,
+                 signal: str | None = None) -> None:
         if not 0 < propensity < 1:
-            raise ValueError("Treatment propensity must fall strictly between zero and one")
+            raise ValueError(f"propensity must lie between 0 and 1, not {propensity}")
         self.score, self.outcome, self.treatment, self.id_col = score, outcome, treatment, id_col
         self.propensity = propensity
         self.outcome_name = outcome_name or outcome
         self.signal = signal
         narrow = scored.select(id_col, score, outcome, treatment, *([signal] if signal else []))
+        if check_ids:
+            require_unique_ids(narrow, id_col)
         self.ranked, self.n, invalid = rank_rows_counted(
             narrow, descending_score_order(score, id_col), partitions=partitions,
             check_col=score if check_scores else None)
         if invalid:
             raise ValidationError(f"{invalid} scores are null or NaN; ranking needs real numbers")
         if self.n == 0:
-            raise ValidationError("Ranking evaluation requires observations")
+            raise ValidationError("there are no scored rows to rank")
         self.curve = curve_counts(self.n, points)
         self.policy = policy_counts(self.n, fractions)
         self.deciles = decile_bounds(self.n, groups)
@@ -374,31 +390,56 @@ class RankedEvaluation:
 
 # ---- M14: factual predictive diagnostics -------------------------------------
 
-def rank_auc(df: DataFrame, prob: str, label: str, group: str, id_col: str = "id",
-             partitions: int | None = None) -> DataFrame:
-    """ROC AUC per group by the Mann-Whitney rank sum with mid-ranks for ties.
+def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+    """Add, for each (new column: column), the sum over all rows before a row.
 
-    AUC = (sum of positive mid-ranks - n1 (n1 + 1) / 2) / (n1 n0); null
-    when a group has one class. Ranks come from :func:`rank_rows` on
-    (group, prob, id); mid-ranks from min/max rank per (group, prob).
+    ``order`` must be a total order. Rows are range-sorted and checkpointed;
+    sums run within partitions, and the partitions' totals (one row each) give
+    the offsets.
     """
-    narrow = df.select(group, prob, label, id_col)
-    ranked = rank_rows(narrow, [F.col(group).asc(), F.col(prob).asc(), F.col(id_col).asc()],
-                       partitions=partitions)
-    ties = ranked.groupBy(group, prob).agg(
-        F.min("rank").alias("r_first"), F.max("rank").alias("r_last"),
-        F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("cnt"))
-    per = ties.groupBy(group).agg(
-        F.sum("pos").alias("n1"), (F.sum("cnt") - F.sum("pos")).alias("n0"),
-        F.sum(F.col("pos").cast("decimal(38,0)") * (F.col("r_first") + F.col("r_last"))
-              ).alias("pos_rank2"),
-        F.min("r_first").alias("g_first"))
-    # ranks inside the group: subtract the group's offset (g_first - 1)
-    shift = (F.col("g_first") - 1).cast("decimal(38,0)")
-    inner = (F.col("pos_rank2") / 2 - F.col("n1").cast("decimal(38,0)") * shift).cast("double")
-    auc = (inner - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))
-    return per.select(group, "n1", "n0",
-                      F.when((F.col("n1") > 0) & (F.col("n0") > 0), auc).alias("roc_auc"))
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    fixed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
+    tagged = fixed.withColumn("_pid", F.spark_partition_id())
+    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).orderBy("_pid").collect()
+    offsets, running = [], {n: 0 for n in sums}
+    for r in totals:  # one row per partition
+        offsets.append((r["_pid"], *running.values()))
+        running = {n: running[n] + (r[n] or 0) for n in sums}
+    off = spark.createDataFrame(offsets, "_pid int, " + ", ".join(f"`_off_{n}` long" for n in sums))
+    before = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_in_{n}") for n, c in sums.items()])
+    return out.join(F.broadcast(off), "_pid").select(
+        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums])
+
+
+def _auc(wins2: Column, n1: Column, n0: Column) -> Column:
+    """AUC from twice the number of (positive, lower negative) pairs, ties counting once."""
+    pairs = n1.cast("double") * n0.cast("double")
+    return F.when(pairs > 0, wins2.cast("double") / (2.0 * pairs))
+
+
+def _wins2(pos: str, neg: str, below: str) -> Column:
+    """Twice the negatives beaten by a tie group's positives; exact beyond bigint."""
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    return F.sum(wide(pos) * (wide(below) * 2 + wide(neg)))
+
+
+def rank_auc(df: DataFrame, prob: str, label: str, group: str, id_col: str = "id") -> DataFrame:
+    """ROC AUC per group by Mann-Whitney pair counts, ties counting one half.
+
+    Rows are first counted per (group, probability); the negatives below each
+    such tie group come from distributed prefix sums. Null with one class.
+    """
+    y = F.col(label)
+    ties = df.groupBy(F.col(group).alias("_g"), F.col(prob).alias("_p")).agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    sums = prefix_sums(ties, ["_g", "_p"], {"below": "neg"})
+    per = sums.groupBy("_g").agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"),
+                                 F.min("below").alias("first"), _wins2("pos", "neg", "below").alias("w"))
+    # Negatives of earlier groups are below every row of this one.
+    own = F.col("w") - F.lit(2) * F.col("n1").cast("decimal(19,0)") * F.col("first").cast("decimal(19,0)")
+    return per.select(F.col("_g").alias(group), "n1", "n0", _auc(own, F.col("n1"), F.col("n0")).alias("roc_auc"))
 
 
 def log_loss_col(y: Column, p: Column) -> Column:
@@ -407,31 +448,36 @@ def log_loss_col(y: Column, p: Column) -> Column:
 
 def predictive_diagnostics(scored: DataFrame, *, outcome: str = "outcome",
                            treatment: str = "treatment", p1: str = "p1", p0: str = "p0",
-                           id_col: str = "id", partitions: int | None = None) -> DataFrame:
+                           id_col: str = "id") -> DataFrame:
     """Factual AUC / log loss: overall (p1 for treated, p0 for control),
     treated rows on p1, control rows on p0. One row per group."""
-    t = F.col(treatment)
+    t, y = F.col(treatment), F.col(outcome)
     factual = F.when(t == 1, F.col(p1)).otherwise(F.col(p0))
-    base = scored.select(id_col, F.col(outcome).alias("_y"), t.alias("_t"),
-                         factual.alias("_p"))
-    stacked = (base.select(F.lit("overall").alias("group"), id_col, "_y", "_p")
-               .unionByName(base.where(F.col("_t") == 1).select(
-                   F.lit("treated_p1").alias("group"), id_col, "_y", "_p"))
-               .unionByName(base.where(F.col("_t") == 0).select(
-                   F.lit("control_p0").alias("group"), id_col, "_y", "_p")))
-    auc = rank_auc(stacked, "_p", "_y", "group", id_col, partitions)
-    ll = stacked.groupBy("group").agg(
-        F.count(F.lit(1)).alias("observations"), F.count_if(F.col("_y") == 1).alias("positive"),
-        F.avg(log_loss_col(F.col("_y"), F.col("_p"))).alias("log_loss"))
-    return ll.join(auc.select("group", "roc_auc"), "group", "left")
+    base = scored.select(factual.alias("_p"), t.alias("_t"), y.alias("_y"))
+    loss = log_loss_col(F.col("_y"), F.col("_p"))
+    arms = {"treated_p1": F.col("_t") == 1, "control_p0": F.col("_t") == 0}
+    pos, neg = F.col("_y") == 1, F.col("_y") == 0
+    # One row per factual probability: counts and losses of both arms. Nothing is stacked.
+    ties = base.groupBy("_p").agg(
+        *[F.count_if(c & pos).alias(f"pos_{a}") for a, c in arms.items()],
+        *[F.count_if(c & neg).alias(f"neg_{a}") for a, c in arms.items()],
+        *[F.count_if(c).alias(f"n_{a}") for a, c in arms.items()],
+        *[F.coalesce(F.sum(F.when(c, loss)), F.lit(0.0)).alias(f"loss_{a}") for a, c in arms.items()])
+    ties = ties.withColumns({f"{k}_overall": F.col(f"{k}_treated_p1") + F.col(f"{k}_control_p0")
+                             for k in ("pos", "neg", "n", "loss")})
+    groups = ("overall", "treated_p1", "control_p0")
+    sums = prefix_sums(ties, ["_p"], {f"below_{g}": f"neg_{g}" for g in groups})
+    wide = sums.agg(*[x for g in groups for x in (
+        F.sum(f"n_{g}").alias(f"n_{g}"), F.sum(f"pos_{g}").alias(f"pos_{g}"),
+        F.sum(f"neg_{g}").alias(f"neg_{g}"), F.sum(f"loss_{g}").alias(f"loss_{g}"),
+        _wins2(f"pos_{g}", f"neg_{g}", f"below_{g}").alias(f"w_{g}"))])
+    rows = F.array(*[F.struct(
+        F.lit(g).alias("group"), F.col(f"n_{g}").alias("observations"), F.col(f"pos_{g}").alias("positive"),
+        F.try_divide(F.col(f"loss_{g}"), F.col(f"n_{g}")).alias("log_loss"),
+        _auc(F.col(f"w_{g}"), F.col(f"pos_{g}"), F.col(f"neg_{g}")).alias("roc_auc")) for g in groups])
+    return wide.select(F.explode(rows).alias("r")).select("r.*").where("observations > 0")
 
 
 def clip_probability(c: Column, eps: float = 1e-7) -> Column:
     """M6: positive probability clipped to [eps, 1 - eps]."""
     return F.least(F.greatest(c, F.lit(eps)), F.lit(1.0 - eps))
-
-
-def best_candidate(candidates: DataFrame, key: str, metric: str) -> DataFrame:
-    """The candidate with the largest metric; the first listed wins ties."""
-    w = Window.orderBy(F.col(metric).desc(), F.col(key).asc())
-    return candidates.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

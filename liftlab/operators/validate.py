@@ -108,14 +108,13 @@ def binary_profile(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
 
 
 def assert_binary(profile: DataFrame) -> None:
-    """Fail when any binary column holds a value outside {0, 1} (V4)."""
+    """Fail when any binary column holds a value outside {0, 1} (V4), naming the columns."""
     bad = profile.where(F.col("invalid_count") > 0).select(
         "column_name", "invalid_count", "invalid_minimum", "invalid_maximum").collect()
     if bad:
-        detail = "; ".join(
-            f"{r.column_name}: {r.invalid_count} values in [{r.invalid_minimum}, {r.invalid_maximum}]"
-            for r in bad)
-        raise ValidationError(f"Column contains invalid binary values: {detail}")
+        raise ValidationError("Values other than 0 and 1 in binary columns: " + "; ".join(
+            f"{r.column_name} ({r.invalid_count} values from {r.invalid_minimum} to "
+            f"{r.invalid_maximum})" for r in bad))
 
 
 def default_rules(spec: ExperimentSpec = ExperimentSpec()) -> dict[str, Column]:
@@ -143,14 +142,28 @@ def logical_violations(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """A4: rows minus distinct rows. Duplicates are reported, never removed.
 
-    Grouping on every column with map-side partial aggregation: a hot
-    duplicate group collapses to one row per map task before the shuffle.
+    Rows are first grouped by a narrow 64-bit hash. Only rows whose hash is
+    seen more than once are then compared in full, so the wide shuffle holds
+    the real candidates alone. Both groupings combine on the map side, so a
+    hot duplicate collapses to one row per task.
     """
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.sum("_n").cast("bigint").alias("row_count"),
-                      F.count(F.lit(1)).alias("distinct_rows")).select(
-        "row_count", "distinct_rows",
-        (F.col("row_count") - F.col("distinct_rows")).alias("duplicate_full_rows"))
+    h = F.xxhash64(*[_canonical(F.col(f.name), f.dataType) for f in df.schema.fields])
+    keyed = df.withColumn("_h", h)
+    hashes = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    many = hashes.where("_n > 1").select("_h")
+    groups = keyed.join(many, "_h", "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    single = hashes.agg(F.sum("_n").alias("row_count"), F.count_if(F.col("_n") == 1).alias("alone"))
+    return single.crossJoin(groups.agg(F.count(F.lit(1)).alias("groups"))).select(
+        F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
+        (F.col("alone") + F.col("groups")).alias("distinct_rows"),
+        (F.coalesce("row_count", F.lit(0)) - F.col("alone") - F.col("groups")).cast("bigint").alias(
+            "duplicate_full_rows"))
+
+
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    """Equal values with equal hashes: null apart from zero, -0.0 as 0.0."""
+    value = F.when(c == 0, F.lit(0.0)).otherwise(c) if _is_float(kind) else c
+    return F.struct(c.isNull(), value)
 
 
 def feature_cardinality(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
@@ -180,9 +193,27 @@ def statistics_match(left: str, right: str, rel: float = 1e-10, abs_tol: float =
 
 
 def table_summary(df: DataFrame, spec: ExperimentSpec = ExperimentSpec()) -> dict[str, DataFrame]:
-    """A5: the profile pieces used by the equivalence check."""
-    return {"columns": column_profile(df), "binaries": binary_profile(df, spec),
-            "violations": logical_violations(df, spec)}
+    """A5: row count, schema, column and binary profiles and violations, in one job.
+
+    The job is one wide aggregate; the tables are cut from its single row.
+    """
+    rules = default_rules(spec)
+    col_aggs, col_names = column_profile_aggs(df)
+    bin_aggs, bin_names = binary_profile_aggs(df, spec)
+    wide = df.agg(F.count(F.lit(1)).alias("row_count"), *col_aggs, *bin_aggs,
+                  *[F.count_if(c).alias(f"rule_{i}") for i, c in enumerate(rules.values())])
+    wide = df.sparkSession.createDataFrame(wide.collect(), wide.schema)  # one row
+    dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    pieces = ", ".join(f"'{name}', rule_{i}" for i, name in enumerate(rules))
+    schema = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)],
+        "position int, column_name string, dtype string, nullable boolean")
+    out = {"table": wide.select("row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count")),
+           "schema": schema, "columns": column_profile_from(wide, col_names, dtypes),
+           "binaries": binary_profile_from(wide, bin_names)}
+    if rules:
+        out["violations"] = wide.select(F.expr(f"stack({len(rules)}, {pieces}) AS (rule, violation_count)"))
+    return out
 
 
 def profile_comparison(left: DataFrame, right: DataFrame,
@@ -239,17 +270,14 @@ def table_equivalence(left: DataFrame, right: DataFrame,
     """Row count, column order, missing counts, binary counts and feature
     statistics agree. One row per check (check_name, passed).
 
-    Each check is a one-row aggregate over small profile tables (or one
-    counting pass over both inputs); the checks are stacked with a union.
+    One aggregate per side holds all that is compared; the checks run on
+    those two rows.
     """
-    sides = (left.select(F.lit(0).alias("_side"))
-             .unionByName(right.select(F.lit(1).alias("_side"))))
-    rows = sides.agg(F.lit("row_count").alias("check_name"),
-                     (F.count_if(F.col("_side") == 0) == F.count_if(F.col("_side") == 1)
-                      ).alias("passed"))
-    return equivalence_from_profiles(
-        column_profile(left), column_profile(right), binary_profile(left, spec),
-        binary_profile(right, spec), rows, left.columns == right.columns, list(spec.features))
+    a, b = table_summary(left, spec), table_summary(right, spec)
+    rows = a["table"].crossJoin(b["table"].select(F.col("row_count").alias("other"))).select(
+        F.lit("row_count").alias("check_name"), (F.col("row_count") == F.col("other")).alias("passed"))
+    return equivalence_from_profiles(a["columns"], b["columns"], a["binaries"], b["binaries"], rows,
+                                     left.columns == right.columns, list(spec.features))
 
 
 def equivalence_passed(checks: DataFrame) -> bool:

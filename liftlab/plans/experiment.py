@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 from liftlab.operators import balance, effects, learners, population, power
 from liftlab.plans import charts
 from liftlab.session import small_table
+from liftlab.sources.ingest import with_row_id
 from liftlab.spec import BALANCE_THRESHOLD, ExperimentSpec
 
-# Fixed wording of the report.
+#: What each table rests on, for readers of the report.
 METHODS = (
-    ("sample_ratio_test", "two sided normal score test against the design share"),
-    ("risk_difference_interval", "unpooled Wald 95% confidence interval"),
-    ("null_hypothesis_test", "two sided pooled two proportion z test"),
-    ("relative_risk_interval", "log scale Wald 95% confidence interval"),
-    ("mde", "two sample normal approximation using Cohen h"),
-    ("categorical_balance", "level indicator standardized differences summarized by maximum "
-                            "absolute and pooled frequency weighted RMS values"),
+    ("allocation", "normal score test of the treated share against the design share, two-sided"),
+    ("risk difference", "difference of rates with a Wald interval that does not pool the arms"),
+    ("test of no effect", "z test of two proportions with the pooled rate, two-sided"),
+    ("relative risk", "ratio of rates with a Wald interval on the log scale"),
+    ("detectable effect", "normal power of Cohen's h, solved at the observed arm sizes"),
+    ("categorical balance", "standardized difference per level; per feature the largest one and "
+                            "the root mean square weighted by level share"),
 )
 LIMITATIONS = (
-    "Effects apply to the analysed population and are not campaign return on investment.",
-    "Exact repeated rows are retained; equal anonymized rows are not proof of duplication.",
-    "Exposure occurs after assignment and is described, never used as the treatment.",
-    "Intervals treat rows as independent units; no cluster identifier is available.",
+    "The effects hold for the units analysed; costs and returns are not part of them.",
+    "Rows that are equal in every column are kept: equality does not show a repeated unit.",
+    "Exposure happens after assignment, so it is described and never taken as the cause.",
+    "Rows count as independent units: the table names no clusters.",
 )
 
 
@@ -43,12 +44,14 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
                        seed: int = 42) -> dict[str, DataFrame]:
     """Randomisation audit, balance, ITT effects, sensitivity and exposure.
 
-    Without segments every returned table is a small local relation. With
-    ``by`` the tables stay lazy over three cached aggregates, returned as
-    ``population``, ``continuous_balance`` and ``categorical_levels``;
-    ``unpersist()`` them when the report is no longer needed.
+    Without segments every table with a fixed number of rows is a local
+    relation. ``categorical_levels`` has a row per level and stays
+    distributed, as do all tables with ``by``; they rest on the cached aggregates
+    ``population``, ``continuous_balance`` and ``categorical_levels``:
+    ``unpersist()`` those when the report is no longer needed.
     """
     spec.require_columns(df)
+    df = with_row_id(df, spec.id)
     spark = df.sparkSession
     by = list(by)
     # The predictability diagnostic fits a model (eager jobs); it runs in a
@@ -59,17 +62,16 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
     pop = population.population_summary(df, spec, by).cache()  # one small row per segment
     cont = balance.continuous_balance(df, spec, by).cache()
     levels = balance.categorical_level_balance(df, spec, by).cache()
-    key = F.struct(-F.abs("standardized_difference"), F.col("level"))
-    cat = levels.groupBy(*by, "feature").agg(
-        F.count(F.lit(1)).alias("level_count"),
-        F.max(F.abs("standardized_difference")).alias("maximum_absolute_standardized_difference"),
-        F.sqrt(F.sum(F.col("pooled_weight") * F.col("standardized_difference") ** 2)
-               ).alias("weighted_rms_standardized_difference"),
-        F.min_by("level", key).alias("maximum_difference_level"))
+    cat = balance.categorical_balance(None, spec, by, levels=levels)
     itt = effects.itt_effects(None, spec, by, alpha, population=pop)
     mde = power.mde_grid(None, spec, by, alpha=alpha, population=pop)
     report = {
         "population": pop,
+        "analysis_population": pop.select(
+            *by, F.col("total_count").alias("observations"),
+            F.lit(len(spec.features)).alias("features"), F.lit(len(spec.continuous)).alias("continuous_features"),
+            F.lit(len(spec.categorical)).alias("categorical_features"),
+            F.lit(", ".join(spec.outcomes)).alias("outcomes"), F.lit(alpha).alias("alpha")),
         "allocation": effects.allocation_audit(None, spec, by, population=pop),
         "continuous_balance": cont,
         "categorical_levels": levels,
@@ -86,9 +88,8 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
         report["chart_balance"] = charts.balance_bars(cont, cat)
         report["chart_effects"] = charts.effect_points(itt)
         report["chart_sensitivity"] = charts.effect_vs_mde(itt, mde)
-        # without segments every table has at most a few hundred rows
-        report = {k: small_table(v) for k, v in report.items()}
-        for cached in (pop, cont, levels):
+        report = {k: v if k == "categorical_levels" else small_table(v) for k, v in report.items()}
+        for cached in (pop, cont):
             cached.unpersist()
     if pending is not None:
         report["treatment_predictability"] = pending.result()

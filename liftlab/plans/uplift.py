@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlab.operators import effects, learners, sampling
+from liftlab.operators.ranking import require_unique_ids
 from liftlab.plans import charts
 from liftlab.session import small_table
+from liftlab.sources.ingest import with_row_id
 from liftlab.spec import ExperimentSpec, ValidationError
 
 LEARNER_NAMES = ("s_learner", "t_learner")
@@ -46,12 +48,14 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
     if parallelism < 1:
         raise ValueError("parallelism must be at least 1")
     if max_iterations <= 0:
-        raise ValueError("Maximum iterations must be positive")
+        raise ValueError(f"max_iterations must be at least 1, not {max_iterations}")
     outcomes = list(outcomes or spec.outcomes)
     spark = df.sparkSession
-    spec.require_columns(df, [spec.id, *spec.model_columns])
+    spec.require_columns(df, spec.model_columns)
+    df = with_row_id(df, spec.id)
     spec.validate_model_features(list(spec.features))
     base = df.select(spec.id, *spec.model_columns)
+    require_unique_ids(base, spec.id)
     if sample_size is not None:
         base = sampling.sample_rows(base, sample_size, seed, id_col=spec.id,
                                     on_oversize="error")
@@ -116,8 +120,10 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
     # Every report table is small; compute the remaining ones, then release
     # the persisted splits, matrices and scored test rows.
     report = {k: small_table(v) for k, v in report.items()}
-    for cached in (split, *matrices.values(), *[r.scored for r in reports]):
+    for cached in (split, *matrices.values()):
         cached.unpersist()
+    for r in reports:
+        r.release()
     report["runtime"] = spark.createDataFrame(
         [(time.perf_counter() - started,)], "planning_and_fit_seconds double")
     return report

@@ -60,18 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-SMALL_TABLE_ROWS = 100_000
+def small_table(df: DataFrame) -> DataFrame:
+    """Compute a result table once and keep it as a local relation.
 
-
-def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Compute a small result table once and keep it as a local relation.
-
-    For report tables (one row per band, decile, level or check): later
-    reads do not recompute the plan, and the table no longer depends on the
-    files behind it (checkpoints, staging folders). Refuses tables above
-    ``max_rows``; those must stay distributed.
+    Only for tables whose row count the specification fixes (per outcome,
+    feature, band, decile, check): later reads do not recompute the plan, and
+    the table no longer depends on the files behind it (checkpoints, staging
+    folders). Tables that grow with the data, such as those per level, stay distributed.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"small_table: more than {max_rows} rows; keep it distributed")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

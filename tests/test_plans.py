@@ -41,6 +41,8 @@ def test_effects_keep_normal_tails_in_the_jvm(parquet, capsys):
     assert "f0" not in schema and "f4" in schema
 
 
-def test_categorical_balance_is_one_scan(parquet, capsys):
+def test_categorical_balance_scans_features_once_without_a_window(parquet, capsys):
     plan = _plan(balance.categorical_level_balance(parquet, ExperimentSpec()), capsys)
-    assert len(_read_schemas(plan)) == 1 and "Expand" in plan
+    wide = [c for c in _read_schemas(plan) if "f1:" in c]
+    assert len(wide) == 1 and "Expand" in plan and "Window" not in plan
+    assert [c for c in _read_schemas(plan) if "f1:" not in c] == ["treatment:int"]
