@@ -10,6 +10,7 @@ Published doubles are rounded to 10 significant digits on both sides.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -40,6 +41,21 @@ SPEC = ExperimentSpec()
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+ROOT = os.path.dirname(os.path.abspath(__file__))
+
+
+def _importable(fn: Callable[[SparkSession, str], DataFrame]
+                ) -> Callable[[SparkSession, str], DataFrame]:
+    """Let Python workers import the library from here if it is not installed."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+        return fn(spark, sf_dir)
+    return run
+
+
 def _exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment_table(spark, sf_dir)
 
@@ -206,6 +222,10 @@ def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _importable(fn) for name, fn in _queries().items()}
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "population_summary": _rounded(lambda df: population.population_summary(df, SPEC)),
         "outcome_descriptives": _rounded(lambda df: population.outcome_descriptives(df, SPEC)),
