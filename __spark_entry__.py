@@ -23,7 +23,7 @@ from liftlab.operators import (balance, effects, learners, population, power, ra
 from liftlab.plans import charts, oracles
 from liftlab.plans.experiment import analyze_experiment
 from liftlab.plans.uplift import analyze_uplift
-from liftlab.session import ensure_checkpoint_dir
+from liftlab.session import ensure_checkpoint_dir, small_table
 from liftlab.sources.ingest import prepare_dataset, remove_path
 from liftlab.sources.manifest import file_manifest
 from liftlab.sources.overlay import experiment_table, rule_scores
@@ -80,7 +80,9 @@ def _evaluation(outcome: str) -> Callable[[DataFrame], ranking.RankedEvaluation]
 def _ranked(outcome: str, table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev = _evaluation(outcome)(_exp(spark, sf_dir))
-        return round_doubles(getattr(ev, table)())
+        out = small_table(round_doubles(getattr(ev, table)()))  # a row per point, band or decile
+        ev.release()
+        return out
     return run
 
 
@@ -187,12 +189,17 @@ def _uplift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chart_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _evaluation("visit")(_exp(spark, sf_dir))
-    return round_doubles(charts.gain_lines({("visit", "rule"): ev.gain_curve()}))
+    out = small_table(round_doubles(charts.gain_lines({("visit", "rule"): ev.gain_curve()})))
+    ev.release()
+    return out
 
 
 def _chart_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _evaluation("conversion")(_exp(spark, sf_dir))
-    return round_doubles(charts.policy_bars({("conversion", "rule"): ev.targeting_policy()}))
+    out = small_table(round_doubles(charts.policy_bars(
+        {("conversion", "rule"): ev.targeting_policy()})))
+    ev.release()
+    return out
 
 
 def _design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

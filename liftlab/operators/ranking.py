@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftlab.operators.effects import newcombe_columns
-from liftlab.session import ensure_checkpoint_dir
+from liftlab.session import drop_checkpoint, ensure_checkpoint_dir
 from liftlab.spec import MINIMUM_CONTROL_EVENTS, TREATMENT_PROPENSITY, ValidationError
 
 # Fixed values of the evaluation design.
@@ -67,9 +67,10 @@ def _partitions(spark: SparkSession, n: int | None, rows: int | None = None) ->
 
 def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str = "rank",
                       partitions: int | None = None, check_col: str | None = None,
-                      rows: int | None = None) -> tuple[DataFrame, int, int]:
+                      rows: int | None = None) -> tuple[DataFrame, int, int, DataFrame]:
     """:func:`rank_rows` plus the row count and, for ``check_col``, the number
-    of null or NaN values, both taken from the per-partition count job."""
+    of null or NaN values, both taken from the per-partition count job, and the
+    checkpointed table behind the rank."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     p = _partitions(spark, partitions, rows)
@@ -94,7 +95,7 @@ def rank_rows_counted(df: DataFrame, order: Sequence[Column], *, rank_col: str =
     ranked = (tagged.join(F.broadcast(off), "_pid")
               .withColumn(rank_col, F.col("_off") + within + F.lit(1))
               .drop("_pid", "_mid", "_off"))
-    return ranked, running, invalid
+    return ranked, running, invalid, fixed
 
 
 def require_unique_ids(df: DataFrame, id_col: str = "id") -> None:
@@ -236,7 +237,7 @@ class RankedEvaluation:
         narrow = scored.select(id_col, score, outcome, treatment, *([signal] if signal else []))
         if check_ids:
             require_unique_ids(narrow, id_col)
-        self.ranked, self.n, invalid = rank_rows_counted(
+        self.ranked, self.n, invalid, self._checkpoint = rank_rows_counted(
             narrow, descending_score_order(score, id_col), partitions=partitions,
             check_col=score if check_scores else None)
         if invalid:
@@ -385,7 +386,12 @@ class RankedEvaluation:
         return res
 
     def release(self) -> None:
+        """Give back the band counts and the rank's checkpoint files.
+
+        Tables taken from this evaluation must have been computed before.
+        """
         self.cum.unpersist()
+        drop_checkpoint(self._checkpoint)
 
 
 # ---- M14: factual predictive diagnostics -------------------------------------

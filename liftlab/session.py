@@ -60,6 +60,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a checkpointed table that nothing reads any more.
+
+    Clusters rarely set the cleaner that would delete them with the session.
+    """
+    found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if found.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(found.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_table(df: DataFrame) -> DataFrame:
     """Compute a result table once and keep it as a local relation.
 

@@ -179,3 +179,13 @@ def test_model_selection_reports_convergence(spark):
                          "treatment_reached_iteration_limit": False, "control_reached_iteration_limit": True}}])
     r = learners.candidates_frame(spark, [rep]).first()
     assert r.reached_iteration_limit and r.control_iterations == 20 and r.iterations is None and r.selected
+
+
+def test_release_deletes_the_rank(spark):
+    import os
+    df = spark.range(100).selectExpr("id", "cast(id as double) as score", "0 as outcome", "cast(id % 2 as int) as treatment")
+    ev = ranking.RankedEvaluation(df)
+    path = ev._checkpoint._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(path) and ev.auuc().count() == 1
+    ev.release()
+    assert not os.path.exists(path)
