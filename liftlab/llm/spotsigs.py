@@ -21,6 +21,9 @@ text. An empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +80,7 @@ def fingerprint(signature: Column) -> Column:
 
 def length_class(size: Column, threshold: float) -> Column:
     """Sets whose likeness can reach ``threshold`` are in one class or in neighbouring classes."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-_log(threshold)))
-
-
-def _log(x: float) -> float:
-    import math
-    return math.log(x)
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-math.log(threshold)))
 
 
 def likeness(a: str, b: str, threshold: float = 0.0) -> Column:
@@ -114,8 +112,9 @@ def with_next(docs: DataFrame, buckets_per_partition: int = BUCKETS_PER_PARTITIO
     heads = ranked(keys, ["doc_id", "_hash"], "spot-order", "_number").where(
         F.col("_number") % step == 0).orderBy("_number").collect()
     key = F.struct("doc_id", "_hash")
-    heads = F.array(*[F.struct(F.lit(r["doc_id"]).cast("long").alias("doc_id"),
-                               F.lit(r["_hash"]).cast("long").alias("_hash")) for r in heads] or [key])
+    # One literal, however many heads: the plan holds no expression per head.
+    heads = F.from_json(F.lit(json.dumps([{"doc_id": r["doc_id"], "_hash": r["_hash"]} for r in heads])),
+                        "array<struct<doc_id: bigint, _hash: bigint>>")
     count = -(-total // step)
     steps = [1 << i for i in range(max(count, 1).bit_length() - 1, -1, -1)]
     # Binary search for the last head that is not above the key.
