@@ -221,7 +221,8 @@ def profile_comparison(left: DataFrame, right: DataFrame,
                        profiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per column: both profiles side by side and whether they agree."""
     lprof, rprof = profiles or (column_profile(left), column_profile(right))
-    lp, rp = lprof.alias("l"), rprof.alias("r")
+    # One row per column: a single partition each, so the join needs no shuffle.
+    lp, rp = lprof.coalesce(1).alias("l"), rprof.coalesce(1).alias("r")
     joined = lp.join(rp, F.col("l.column_name") == F.col("r.column_name"), "full_outer")
     cols = [F.coalesce(F.col("l.column_name"), F.col("r.column_name")).alias("column_name"),
             F.col("l.column_name").isNotNull().alias("in_left"),
@@ -244,25 +245,20 @@ def equivalence_from_profiles(left_columns: DataFrame, right_columns: DataFrame,
                               left_binaries: DataFrame, right_binaries: DataFrame,
                               row_count_match: DataFrame, same_column_names: bool,
                               features: Sequence[str]) -> DataFrame:
-    """C2 over precomputed profile tables: one row per (check_name, passed)."""
-    comp = profile_comparison(None, None, profiles=(left_columns, right_columns))
-    missing = comp.agg(F.lit("missing_counts").alias("check_name"),
-                       F.coalesce(F.bool_and("missing_match"), F.lit(True)).alias("passed"))
-    stats = comp.where(F.col("column_name").isin(*features)).agg(
-        F.lit("feature_statistics").alias("check_name"),
-        F.coalesce(F.bool_and("statistics_match"), F.lit(True)).alias("passed"))
-    lb = left_binaries.select("column_name", "count_0", "count_1").alias("l")
-    rb = right_binaries.select("column_name", "count_0", "count_1").alias("r")
-    binaries = (lb.join(rb, F.col("l.column_name") == F.col("r.column_name"), "full_outer")
-                .agg(F.lit("binary_counts").alias("check_name"),
-                     F.coalesce(F.bool_and(F.coalesce(
-                         (F.col("l.count_0") == F.col("r.count_0"))
-                         & (F.col("l.count_1") == F.col("r.count_1")), F.lit(False))),
-                         F.lit(True)).alias("passed")))
-    names = row_count_match.select(F.lit("column_names").alias("check_name"),
-                                   F.lit(same_column_names).alias("passed"))
-    return (row_count_match.unionByName(names).unionByName(missing).unionByName(binaries)
-            .unionByName(stats))
+    """C2 over precomputed profile tables: one row per (check_name, passed).
+
+    The profiles have one row per column, so the verdicts are taken from a
+    single collected comparison.
+    """
+    comp = profile_comparison(None, None, profiles=(left_columns, right_columns)).collect()
+    counts = [{r.column_name: (r.count_0, r.count_1) for r in b.collect()}
+              for b in (left_binaries, right_binaries)]
+    (rows,) = row_count_match.collect()
+    checks = [(rows.check_name, bool(rows.passed)), ("column_names", same_column_names),
+              ("missing_counts", all(r.missing_match for r in comp)),
+              ("binary_counts", counts[0] == counts[1]),
+              ("feature_statistics", all(r.statistics_match for r in comp if r.column_name in features))]
+    return left_columns.sparkSession.createDataFrame(checks, "check_name string, passed boolean")
 
 
 def table_equivalence(left: DataFrame, right: DataFrame,
