@@ -23,7 +23,7 @@ INF = float("inf")
 
 def _check_alpha(alpha: float) -> float:
     if not 0 < alpha < 1:
-        raise ValueError("alpha must fall strictly between 0 and 1")
+        raise ValueError(f"alpha must lie between 0 and 1, not {alpha}")
     return ppf(1.0 - alpha / 2.0)
 
 
@@ -33,7 +33,7 @@ def allocation_audit(df: DataFrame | None, spec: ExperimentSpec = ExperimentSpec
     """Sample-ratio test of the treated share against the design share."""
     p = spec.expected_share if expected is None else expected
     if not 0 < p < 1:
-        raise ValueError("Allocation inputs must define a nonempty valid design")
+        raise ValueError(f"the expected treated share must lie between 0 and 1, not {p}")
     by = _by(by)
     pop = population if population is not None else population_summary(df, spec, by)
     return allocation_from_counts(pop, p, by)
@@ -179,7 +179,7 @@ def observed_group_effect(df: DataFrame, outcome: str, treatment: str = "treatme
 def transformed_outcome_col(outcome: Column, treatment: Column, propensity: float) -> Column:
     """Z = Y*T/p - Y*(1-T)/(1-p)."""
     if not 0 < propensity < 1:
-        raise ValueError("Treatment propensity must fall strictly between zero and one")
+        raise ValueError(f"propensity must lie between 0 and 1, not {propensity}")
     return (outcome * treatment / F.lit(propensity)
             - outcome * (F.lit(1) - treatment) / F.lit(1.0 - propensity))
 
@@ -191,7 +191,7 @@ def transformed_outcome(df: DataFrame, outcome: str, spec: ExperimentSpec = Expe
     p = spec.propensity if propensity is None else propensity
     t = F.col(spec.treatment)
     checked_t = F.when(t.isin(0, 1), t).otherwise(
-        F.raise_error(F.lit("Treatment values must be binary")))
+        F.raise_error(F.lit("assignment must be 0 or 1")))
     return df.withColumn(name, transformed_outcome_col(F.col(outcome), checked_t, p))
 
 

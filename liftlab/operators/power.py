@@ -69,7 +69,7 @@ def sample_size_grid(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
     by = _by(by)
     for s in shares:
         if not 0 < s < 1:
-            raise ValueError("Treatment proportion must fall between zero and one")
+            raise ValueError("a treated share lies between 0 and 1")
     counts = arm_counts(population_summary(df, spec, by), spec.outcomes, by)
     grid = _grid([{"target_absolute_effect": float(e), "treatment_share": float(s),
                    "power": float(p), "alpha": float(alpha),

@@ -99,10 +99,10 @@ def sample_rows(df: DataFrame, n: int, seed: int, *, id_col: str = "id",
                 on_oversize: str = "clamp") -> DataFrame:
     """Exactly ``min(n, N)`` rows (``on_oversize="error"`` refuses n > N)."""
     if n <= 0:
-        raise ValueError("Sample size must be positive")
+        raise ValueError(f"a sample needs at least one row, not {n}")
     total = df.count()
     if n > total and on_oversize == "error":
-        raise ValidationError(f"Sample size {n} exceeds {total} source rows")
+        raise ValidationError(f"{n} rows are asked for, the table has {total}")
     if n >= total:
         return df
     keyed = df.select(F.lit(0).alias("stratum"), sample_key(F.col(id_col), seed).alias("key"),
@@ -199,7 +199,7 @@ def split_rows(df: DataFrame, seed: int, *, spec: ExperimentSpec = ExperimentSpe
         about = strata.agg(F.sum("rows").alias("rows"), F.min("rows").alias("least"),
                            F.count_if(F.col("stratum").isNull()).alias("nulls")).first()
         if not about["rows"]:
-            raise ValidationError("Cannot split an empty table")
+            raise ValidationError("there are no rows to split")
         if about["nulls"]:
             raise ValidationError("The stratum key is null for some rows; "
                                   "assignment and outcomes must not be null")

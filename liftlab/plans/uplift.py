@@ -7,8 +7,8 @@ regularisation candidate on train, select by validation AUUC, evaluate once
 on test.
 
 The transformed splits are persisted once (MEMORY_AND_DISK) and reused by
-every fit and evaluation; their lineage starts at a checkpointed rank, so a
-lost executor recomputes its partitions deterministically. The returned
+every fit and evaluation. A split depends on seed and id alone, so a lost
+executor's partitions are recomputed to the same rows. The returned
 tables are small local relations; the persisted data is released before
 returning.
 """
@@ -31,6 +31,20 @@ from liftlab.sources.ingest import with_row_id
 from liftlab.spec import ExperimentSpec, ValidationError
 
 LEARNER_NAMES = ("s_learner", "t_learner")
+#: What each table rests on, for readers of the report.
+METHODS = (
+    ("split", "60/20/20 by a hash of the id within assignment and outcomes"),
+    ("learners", "one penalised logistic model with assignment interactions, and one per arm"),
+    ("selection", "largest area between policy and random gain on the validation rows"),
+    ("signal", "outcome weighted by the inverse propensity of the arm that was assigned"),
+    ("policy", "observed arm difference among the top ranked rows, hybrid score interval"),
+)
+LIMITATIONS = (
+    "Scores rank units by a model; the effect of a unit is never observed.",
+    "Tables use the test rows once, after selection on the validation rows.",
+    "Top groups with few control events carry a flag and wide intervals.",
+    "Rows count as independent units: the table names no clusters.",
+)
 
 
 def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
@@ -50,12 +64,15 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
     if max_iterations <= 0:
         raise ValueError(f"max_iterations must be at least 1, not {max_iterations}")
     outcomes = list(outcomes or spec.outcomes)
+    if not learner_names:
+        raise ValidationError("name at least one learner")
     spark = df.sparkSession
     spec.require_columns(df, spec.model_columns)
     df = with_row_id(df, spec.id)
     spec.validate_model_features(list(spec.features))
     base = df.select(spec.id, *spec.model_columns)
     require_unique_ids(base, spec.id)
+    source_rows = base.count()
     if sample_size is not None:
         base = sampling.sample_rows(base, sample_size, seed, id_col=spec.id,
                                     on_oversize="error")
@@ -69,6 +86,7 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
     full_itt = {r["outcome"]: r["absolute_risk_difference"]
                 for r in effects.itt_effects(df, spec).select(
                     "outcome", "absolute_risk_difference").collect()}  # one row per outcome
+
     def search(task: tuple[str, str]) -> learners.ModelReport:
         outcome, name = task
         rep = learners.select_model(name, matrices["train"], matrices["validation"],
@@ -106,7 +124,19 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
             out = out.unionByName(f)
         return out
 
+    roles = [(i, f, "continuous" if f in spec.continuous else "categorical",
+              "centred and scaled" if f in spec.continuous else "one slot per training level")
+             for i, f in enumerate(spec.features)]
     report = {
+        "modelling_population": spark.createDataFrame(
+            [(source_rows, min(sample_size or source_rows, source_rows), seed)],
+            "source_rows long, modelled_rows long, random_seed int"),
+        "feature_design": spark.createDataFrame(
+            roles, "position int, feature string, role string, encoding string"),
+        "held_out_ate": union([effects.observed_group_effect(
+            matrices["test"], o, spec.treatment).select(F.lit(o).alias("outcome"), "*") for o in outcomes]),
+        "methods": spark.createDataFrame(list(METHODS), "item string, description string"),
+        "limitations": spark.createDataFrame([(t,) for t in LIMITATIONS], "limitation string"),
         "split_summary": sampling.split_summary(split, spec),
         "design_matrix": union([learners.design_size(m).select(F.lit(n).alias("split"), "*")
                                 for n, m in matrices.items()]),
@@ -115,8 +145,6 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
         "chart_gain": charts.gain_lines(curves),
         "chart_policy": charts.policy_bars(policies),
     }
-    if not reports:
-        raise ValidationError("no learner was run")
     # Every report table is small; compute the remaining ones, then release
     # the persisted splits, matrices and scored test rows.
     report = {k: small_table(v) for k, v in report.items()}

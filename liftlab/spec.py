@@ -43,9 +43,9 @@ class ExperimentSpec:
     def __post_init__(self) -> None:
         check_roles(self)
         if not 0 < self.expected_share < 1:
-            raise ValidationError("expected_share must fall strictly between 0 and 1")
+            raise ValidationError(f"expected_share must lie between 0 and 1, not {self.expected_share}")
         if not 0 < self.propensity < 1:
-            raise ValidationError("propensity must fall strictly between 0 and 1")
+            raise ValidationError(f"propensity must lie between 0 and 1, not {self.propensity}")
 
     @property
     def binaries(self) -> tuple[str, ...]:

@@ -49,3 +49,11 @@ def test_uplift_report_parallel_equals_serial(table):
     split = {r.split: r.observations for r in serial["split_summary"].collect()}
     assert sum(split.values()) == 1473 and split["train"] == 883  # 1473 - ceil(0.4 * 1473) = 1473 - 590
     assert serial["targeting_policy"].where(F.col("fraction") == 1.0).count() == 2
+    about = serial["modelling_population"].first()
+    assert (about.source_rows, about.modelled_rows, about.random_seed) == (1473, 1473, 42)
+    assert serial["feature_design"].groupBy("role").count().collect() and serial["feature_design"].count() == 12
+    ate = serial["held_out_ate"].first()
+    test_rows = serial["split_summary"].where("split = 'test'").first()
+    assert ate.treatment_count == test_rows.treatment_count and ate.control_count == test_rows.control_count
+    assert {r.held_out_test_ate for r in serial["cate_summary"].collect()} == {ate.observed_difference}
+    assert serial["model_selection"].where("selected").count() == 2
