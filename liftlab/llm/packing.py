@@ -62,14 +62,16 @@ class WordIds:
     words in order. It does not merge across the end of a run of letters either,
     so a word's ids are those of its leading letters and of the rest. Texts
     with a space inside a longer blank run are encoded whole, since such a run
-    may be one word.
+    may be one word; so are texts with the string of an added token, which is
+    one id and ends the text on either side of it.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_INSIDE_BLANKS.pattern, *map(re.escape, added)]))
         # A space and letters are one word to the BPE, which wants them byte by byte.
         by_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: by_byte.pre_tokenize_str(chr(i))[0][0]
@@ -88,7 +90,7 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _INSIDE_BLANKS.search(t)]
+        whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
         for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
             out[i] = ids
         plain = [i for i, ids in enumerate(out) if ids is None]

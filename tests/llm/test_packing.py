@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from liftlab.llm import packing
 
@@ -25,6 +26,19 @@ def test_ids_by_word_are_the_tokenizers_ids():
         assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_are_those_of_the_tokenizer_as_its_file_gives_it():
+    rnd = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "see", "é", "'s", "12", "<|"]
+    texts = TEXTS + ["see <|endoftext|> here", "<|endoftext|>", "x<|endoftext|>y", "a  <|endoftext|>  b"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12))) for _ in range(2000)]
+    fresh = Tokenizer.from_file(BPE)
+    encode = packing.WordIds(BPE)
+    for _ in range(2):
+        for text, ids in zip(texts, encode(texts)):
+            assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode(["see <|endoftext|> here"])[0].tolist() == [3826, 220, 50256, 994]
+
+
 def test_a_full_word_cache_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_PIECES", 3)
     encode = packing.WordIds(BPE)
