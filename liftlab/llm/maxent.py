@@ -1,23 +1,30 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 A text is scored as log10 P(text) = sum over its tokens (words, then one end)
-of log10 P(class | context) + log10 P(token | class).
+of log10 P(class | context) + log10 P(token | class, context).
 
 * P(class | context) is a maximum-entropy model, a softmax over CLASSES classes
   whose logits sum the weights of hashed context features: the previous word,
   the previous two words (n-grams), and the words two and three places back
   (skips). The most frequent words are classes of their own; the others are
   classed by their last bytes; the end is a class.
-* P(token | class) = (c + 1) / (sum of c + 1 over the class, plus 1): add-one
-  counts, with one share for all words of the class not seen in training.
+* P(token | class, context) is a product of binary decisions down the class's
+  tree, whose leaves are its frequent words (at most FREQUENT_WORDS in all) and
+  one for its other words, split where the halves weigh alike. Each decision is a
+  maximum-entropy model of its own over the same context features; its weights are hashed by
+  (feature, node). Without weights a path's probability is the leaf's share of add-one
+  counts, (c + 1) / (sum of c + 1 over the class, plus 1). The other words divide their
+  leaf by add-one counts, with one share for all words not seen in training. So do words that are
+  a class of their own and the end.
 
 Training: token counts and class totals are aggregated over all training texts.
 The softmax weights are then trained by distributed gradient updates: every
 task reads its training texts in batches and takes AdaGrad steps on its own
 copy of the weights, where a batch's expected feature counts are estimated by
 one class drawn from the model per token; the tasks' changes are merged row by
-row (mean over the tasks that touched the row), 16 tasks at a time. The model has
-a fixed size of (4 * BUCKETS + 1) * CLASSES floats.
+row (mean over the tasks that touched the row), 16 tasks at a time. The decisions'
+weights are trained and merged in the same pass, with exact gradients and
+cell by cell. The model has a fixed size of (4 * BUCKETS + 1) * CLASSES + CELLS floats.
 
 Scoring: sparse numpy batches. The counts of at most FREQUENT_WORDS words, the
 most frequent ones, are broadcast; the remaining distinct words of a text are
@@ -50,6 +57,10 @@ OWN_CLASSES = 16
 #: Hashed rows of weights per feature kind.
 BUCKETS = 1 << 14
 FREQUENT_WORDS = 1 << 20
+#: Hashed weights of the decisions within classes, and the evidence that speaks for a weight of 0.
+CELLS = 1 << 20
+CELL_PRIOR = 8.0
+BLOCK_CELLS = 1 << 17
 STEP_TOKENS = 1 << 16
 RATE = 1.0
 #: Copies of the weights merged in one group, and rows of a copy per record.
@@ -57,6 +68,7 @@ MERGED_AT_ONCE = 16
 BLOCK_ROWS = 1 << 12
 KINDS = 4
 _ROWS = KINDS * BUCKETS + 1  # the last row is the bias
+_CELL_BLOCK = -(-_ROWS // BLOCK_ROWS)  # the first block of cells
 _SLICE = 1 << 13
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                     0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -103,8 +115,8 @@ class Tokens:
         return cls(distinct[full], kind[full], np.arange(len(full)) - (ends - size + 1)[text], text,
                    full, distinct)
 
-    def feature_rows(self) -> np.ndarray:
-        """Row of the weights of each feature kind, per token."""
+    def features(self) -> np.ndarray:
+        """Hash of each kind's context feature, per token."""
         h = self.hash.view(np.uint64)
         back = []
         for k in (1, 2, 3):
@@ -112,10 +124,131 @@ class Tokens:
             ok = self.place[k:] >= k
             b[k:][ok] = h[:-k][ok]
             back.append(b)
+        return np.stack([back[0] * _MIX[0], (back[0] * _MIX[1] ^ back[1]) * _MIX[2],
+                         back[1] * _MIX[3], back[2] * _MIX[4]])
+
+    def feature_rows(self) -> np.ndarray:
+        """Row of the weights of each feature kind, per token."""
         shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
-        mixed = (back[0] * _MIX[0], (back[0] * _MIX[1] ^ back[1]) * _MIX[2], back[1] * _MIX[3],
-                 back[2] * _MIX[4])
-        return np.stack([(m >> shift).astype(np.int32) + k * BUCKETS for k, m in enumerate(mixed)])
+        return np.stack([(m >> shift).astype(np.int32) + k * BUCKETS
+                         for k, m in enumerate(self.features())])
+
+
+@dataclass
+class Tree:
+    """A binary tree over the leaves of each class; a class of one leaf has none.
+
+    Leaves are in order of class; a node's number is the first leaf of its right side.
+    """
+
+    words: np.ndarray  # sorted hashes
+    leaf: np.ndarray  # of each word
+    rest: np.ndarray  # leaf of each class's other words
+    weight: np.ndarray  # of each leaf
+    root: np.ndarray  # of each class; 0 is no node
+    child: np.ndarray  # nodes on the left and the right; 0 is a leaf
+    logit: np.ndarray  # of each node without weights
+
+    @classmethod
+    def of(cls, h: np.ndarray, kind: np.ndarray, c: np.ndarray, class_total: np.ndarray) -> Tree:
+        keep = kind > OWN_CLASSES
+        h, kind, c = h[keep], kind[keep], c[keep].astype(np.float64) + 1
+        other = class_total - np.bincount(kind, c, minlength=CLASSES)
+        h = np.append(h, np.zeros(CLASSES, dtype=np.int64))
+        is_rest = np.arange(len(h)) >= len(kind)
+        kind, weight = np.append(kind, np.arange(CLASSES)), np.append(c, other)
+        order = np.lexsort((h, -weight, kind))
+        place = np.empty(len(h), dtype=np.int32)
+        place[order] = np.arange(len(h))
+        weight, is_word = weight[order], ~is_rest
+        upto = np.append(0, np.cumsum(weight))
+        root, child = np.zeros(CLASSES, np.int32), np.zeros((2, len(h)), np.int32)
+        logit = np.zeros(len(h), np.float32)
+
+        def cut(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            return np.clip(np.searchsorted(upto, (upto[lo] + upto[hi]) / 2), lo + 1, hi - 1)
+
+        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        split = np.flatnonzero(np.diff(ends) > 1)
+        lo, hi = ends[split], ends[split + 1]
+        mid = root[split] = cut(lo, hi)
+        while len(mid):
+            logit[mid] = np.log((upto[hi] - upto[mid]) / (upto[mid] - upto[lo]))
+            below = []
+            for side, (a, b) in enumerate(((lo, mid), (mid, hi))):
+                on = b - a > 1
+                m = child[side, mid[on]] = cut(a[on], b[on])
+                below.append((a[on], b[on], m))
+            lo, hi, mid = (np.concatenate(x) for x in zip(*below))
+        by_hash = np.argsort(h[is_word])
+        return cls(h[is_word][by_hash], place[is_word][by_hash], place[is_rest], weight, root, child, logit)
+
+    def leaves(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Leaf of each word."""
+        if not len(self.words):
+            return self.rest[kind]
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.leaf[at], self.rest[kind])
+
+    def paths(self, leaf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of each word's decisions, their nodes, and whether they go right."""
+        word, node, found = np.arange(len(leaf)), self.root[kind], []
+        while len(word):
+            on = node > 0
+            word, node = word[on], node[on]
+            right = leaf[word] >= node
+            found.append((word, node, right))
+            node = self.child[right.astype(np.int8), node]
+        word, node, right = (np.concatenate(x) for x in zip(*found)) if found else (
+            np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
+        order = np.argsort(word, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(leaf))))
+        return ends, node[order], right[order]
+
+
+class Decisions:
+    """The decisions within classes of all tokens of several texts."""
+
+    def __init__(self, tree: Tree, t: Tokens) -> None:
+        self.tree, self.code, self.features = tree, t.code, t.features()
+        kind = np.zeros(len(t.distinct), dtype=np.int32)
+        kind[t.code] = t.cls
+        leaf = tree.leaves(t.distinct, kind)
+        # What the words below a leaf share; a word that is a leaf has all of it.
+        self.log_weight = np.log10(tree.weight)[leaf][t.code]
+        self.ends, self.node, self.right = tree.paths(leaf, kind)
+
+    def of(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens a to b: token, cells by kind, logit without weights, and side of each decision."""
+        code = self.code[a:b]
+        sizes = self.ends[code + 1] - self.ends[code]
+        total = np.cumsum(sizes)
+        pick = np.repeat(self.ends[code] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+        token = np.repeat(np.arange(len(code)), sizes)
+        node = self.node[pick]
+        own = node.astype(np.uint64) * _MIX[1]
+        shift = np.uint64(64 - (CELLS.bit_length() - 1))
+        cells = np.empty((KINDS, len(token)), dtype=np.int64)
+        for k in range(KINDS):
+            np.right_shift((self.features[k, a:b][token] ^ own) * _MIX[(k + 2) % 5], shift, out=cells[k], casting="unsafe")
+        return token, cells, self.tree.logit[node], self.right[pick]
+
+    def log10(self, weights: np.ndarray) -> np.ndarray:
+        """log10 P(leaf | class, context) of each token."""
+        out = np.empty(len(self.code))
+        for a in range(0, len(self.code), STEP_TOKENS):
+            token, cells, x, right = self.of(a, a + STEP_TOKENS)
+            x = decision_logits(weights, cells, x)
+            n = len(self.code[a:a + STEP_TOKENS])
+            out[a:a + n] = np.bincount(token, -np.log1p(np.exp(np.where(right, -x, x))), minlength=n)
+        return out / np.log(10)
+
+
+def decision_logits(weights: np.ndarray, cells: np.ndarray, logit: np.ndarray) -> np.ndarray:
+    x = logit.copy()
+    for c in cells:
+        x += np.take(weights, c)
+    return np.clip(x, -40, 40, out=x)
 
 
 def class_exponentials(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -158,6 +291,8 @@ class Trainer:
 
     def __init__(self, weights: np.ndarray, seed: int) -> None:
         self.start, self.weights = weights, weights.copy()
+        self.cells = np.zeros(CELLS, dtype=np.float32)
+        self.cell_power = np.full(CELLS, CELL_PRIOR, dtype=np.float32)
         self.power = np.full((_ROWS, 1), 1e-6, dtype=np.float32)
         self.random = np.random.default_rng(seed)
 
@@ -181,6 +316,17 @@ class Trainer:
         self.power[used] += np.einsum("ij,ij->i", g, g)[:, None]
         self.weights[used] -= RATE * g / np.sqrt(self.power[used])
 
+    def decide(self, cells: np.ndarray, logit: np.ndarray, right: np.ndarray) -> None:
+        """A step on the decisions within classes."""
+        gap = 1 / (1 + np.exp(-decision_logits(self.cells, cells, logit))) - right
+        power, g = np.zeros(CELLS), np.zeros(CELLS)
+        for c in cells:
+            g += np.bincount(c, gap, minlength=CELLS)
+            power += np.bincount(c, gap * gap, minlength=CELLS)
+        # A Newton step: the kinds of feature share what a decision asks for.
+        self.cell_power += (KINDS * power).astype(np.float32)
+        self.cells -= (g / self.cell_power).astype(np.float32)
+
     def blocks(self, part: int) -> pa.RecordBatch:
         """The changes, as 16-bit floats, in blocks of rows, and which rows changed."""
         change = self.weights - self.start
@@ -190,6 +336,10 @@ class Trainer:
             hit = np.any(c, axis=1)
             for to, v in zip(out, (b, part, c.astype("<f2").tobytes(), hit.astype("<i4").tobytes())):
                 to.append(v)
+        for b, a in enumerate(range(0, CELLS, BLOCK_CELLS)):  # a cell is a row here
+            c = self.cells[a:a + BLOCK_CELLS].astype("<f2")
+            for to, v in zip(out, (_CELL_BLOCK + b, part, c.tobytes(), (c != 0).astype("<i4").tobytes())):
+                to.append(v)
         return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()),
                                 pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
                                names=["block", "part", "change", "hits"])
@@ -202,9 +352,9 @@ def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Mean change of each weight row over the copies that touched it."""
     hits = np.stack([np.frombuffer(x, "<i4") for x in rows["hits"]])
     change = np.stack([np.frombuffer(x, "<f2").astype(np.float32) for x in rows["change"]])
-    change = change.reshape(len(hits), -1, CLASSES)
-    total = hits.sum(axis=0)
-    mean = (change * hits[:, :, None]).sum(axis=0) / np.maximum(total, 1)[:, None]
+    change = change.reshape(*hits.shape, -1)
+    total = hits.sum(axis=0, dtype=np.int32)
+    mean = (change * hits[:, :, None].astype(np.float32)).sum(axis=0) / np.maximum(total, 1)[:, None]
     return pd.DataFrame({"block": [key[0]], "part": [key[1]],
                          "change": [mean.astype("<f2").tobytes()], "hits": [total.astype("<i4").tobytes()]})
 
@@ -219,6 +369,8 @@ class Model:
     threshold: int  # words with at least this count are broadcast
     frequent: tuple[np.ndarray, np.ndarray]
     weights: np.ndarray
+    tree: Tree
+    cells: np.ndarray
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -236,21 +388,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return stored(rows.groupBy("h", "cls").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
 
 
-def train_weights(texts: DataFrame, start: np.ndarray, own: dict[int, int]) -> np.ndarray:
-    """One pass of distributed gradient updates over all training texts."""
-    first = texts.sparkSession.sparkContext.broadcast((start, own))
+def train_weights(texts: DataFrame, start: np.ndarray, own: dict[int, int],
+                  tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """One pass of distributed gradient updates over all training texts: weights and cells."""
+    first = texts.sparkSession.sparkContext.broadcast((start, own, tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, classes = first.value
+        weights, classes, tree = first.value
         part = TaskContext.get().partitionId()
         trainer = Trainer(weights, part)
         seen = False
         for b in batches:
             for c in chunks(b, 0):
                 t = Tokens.of(c.column(0), classes)
-                rows = t.feature_rows()
+                rows, within = t.feature_rows(), Decisions(tree, t)
                 for a in range(0, len(t.cls), STEP_TOKENS):
                     trainer.step(rows[:, a:a + STEP_TOKENS], t.cls[a:a + STEP_TOKENS])
+                    trainer.decide(*within.of(a, a + STEP_TOKENS)[1:])
                     seen = True
         if seen:
             yield trainer.blocks(part)
@@ -262,12 +416,16 @@ def train_weights(texts: DataFrame, start: np.ndarray, own: dict[int, int]) -> n
         merged = copies.withColumn("part", F.floor(F.col("part") / MERGED_AT_ONCE))
         copies = stored(merged.groupBy("block", "part").applyInPandas(_merge, _BLOCKS), "lm-copies")
         most //= MERGED_AT_ONCE
-    out = start.copy()
+    out, cells = start.copy(), np.zeros(CELLS, dtype=np.float32)
     for r in copies.collect():  # one model
-        a = r["block"] * BLOCK_ROWS
-        c = np.frombuffer(r["change"], "<f2").reshape(-1, CLASSES)
-        out[a:a + len(c)] += c
-    return out
+        c = np.frombuffer(r["change"], "<f2")
+        if r["block"] < _CELL_BLOCK:
+            a = r["block"] * BLOCK_ROWS
+            out[a:a + len(c) // CLASSES] += c.reshape(-1, CLASSES)
+        else:
+            a = (r["block"] - _CELL_BLOCK) * BLOCK_CELLS
+            cells[a:a + len(c)] = c
+    return out, cells
 
 
 def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
@@ -291,24 +449,28 @@ def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
     for r in top:
         class_total[own[r["h"]]] += r["c"] + 1
         class_total[r["cls"]] -= r["c"] + 1
-    often = counts.where(F.col("c") >= threshold).select("h", "c").toArrow()  # <= frequent_words rows
-    h, c = (often.column(k).to_numpy() for k in ("h", "c"))
+    often = counts.where(F.col("c") >= threshold).select("h", "cls", "c").toArrow()  # <= frequent_words rows
+    h, kind, c = (often.column(k).to_numpy() for k in ("h", "cls", "c"))
+    kind = kind.copy()
+    for w, k in own.items():
+        kind[h == w] = k
+    tree = Tree.of(h, kind, c, class_total)
     order = np.argsort(h)
     start = np.zeros((_ROWS, CLASSES), dtype=np.float32)
     start[-1] = np.log(class_total / class_total.sum())
-    weights = train_weights(texts, start, own) if n else start
+    weights, cells = train_weights(texts, start, own, tree) if n else (start, np.zeros(CELLS, np.float32))
     return Model(counts.select("h", "c"), n, v, own, class_total, threshold,
-                 (h[order], c[order].astype(np.int64)), weights)
+                 (h[order], c[order].astype(np.int64)), weights, tree, cells)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, n_known, base_score, score)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.weights, model.own, model.class_total, model.frequent))
+    sent = spark.sparkContext.broadcast((model.weights, model.own, model.frequent, model.tree, model.cells))
     base_log = float(np.log10(model.n + model.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, own, total, (often, often_c) = sent.value
+        weights, own, (often, often_c), tree, cells = sent.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for c in chunks(b, 1):
@@ -318,7 +480,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 known = often[at] == t.distinct if len(often) else np.zeros(len(t.distinct), bool)
                 count = np.where(known, often_c[at], 0) if len(often) else np.zeros(len(at))
                 log_c, is_known = np.log10(count + 1.0)[t.code], known[t.code]
-                context = class_log10(weights, t.feature_rows(), t.cls) - np.log10(total)[t.cls]
+                within = Decisions(tree, t)
+                context = (class_log10(weights, t.feature_rows(), t.cls) + within.log10(cells)
+                           - within.log_weight)
                 by_text = lambda x: np.bincount(t.text, x, minlength=m)
                 # The other words of each text, with their numbers.
                 rare = np.flatnonzero(~is_known)

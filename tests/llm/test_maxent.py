@@ -110,3 +110,45 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     got = maxent.score(docs, none).toPandas()
     assert (got.n_known == 0).all() and np.isfinite(got.score).all()
     assert maxent.score(docs.limit(0), none).count() == 0
+
+
+def in_one_class(spark):
+    """Texts where the word before tells two words of one class apart; a model of them."""
+    common = " ".join(f"f{i} f{i}" for i in range(maxent.OWN_CLASSES))
+    rows = [(i, f"{common} {'red aqq' if i % 2 else 'blue bqq'}") for i in range(400)]
+    model = maxent.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert maxent.word_classes([b"aqq"]) == maxent.word_classes([b"bqq"])
+    return model, common
+
+
+def test_context_decides_between_words_of_one_class(spark):
+    model, common = in_one_class(spark)
+    pairs = ["red aqq", "red bqq", "blue bqq", "blue aqq"]
+    docs = spark.createDataFrame([(i, f"{common} {p}") for i, p in enumerate(pairs)], "doc_id long, text string")
+    s = [r["score"] for r in maxent.score(docs, model).orderBy("doc_id").collect()]
+    assert s[0] > s[1] + 0.5 and s[2] > s[3] + 0.5
+
+
+def test_words_of_a_class_share_one_in_every_context(spark):
+    model, _ = in_one_class(spark)
+    (cls,) = maxent.word_classes([b"aqq"])
+    names = [w for w in ("aqq", "bqq", "red", "blue") if maxent.word_classes([w.encode()]) == cls]
+    for before in ("red", "blue", "zzz"):
+        t = maxent.Tokens.of(pa.array([f"{before} {w}" for w in [*names, "notseenqq"]]), model.own)
+        p = 10 ** maxent.Decisions(model.tree, t).log10(model.cells)[t.place == 1]
+        assert p.sum() == pytest.approx(1.0, rel=1e-6)
+
+
+def test_without_weights_a_leaf_has_its_share_of_the_counts():
+    rng = np.random.default_rng(1)
+    n = 5000
+    kind = np.sort(rng.integers(0, maxent.CLASSES, n)).astype(np.int32)
+    h, c = rng.permutation(np.arange(1, n + 1)), rng.zipf(1.3, n).clip(max=10 ** 6)
+    total = np.bincount(kind, c + 1, minlength=maxent.CLASSES) + 7.0
+    tree = maxent.Tree.of(h, kind, c, total)
+    ends, node, right = tree.paths(tree.leaves(h, kind), kind)
+    p = np.where(right, 1, 0) - np.where(right, 1, -1) / (1 + np.exp(tree.logit[node].astype(float)))
+    got = np.exp(np.bincount(np.repeat(np.arange(n), np.diff(ends)), np.log(p), minlength=n))
+    inner = kind > maxent.OWN_CLASSES
+    assert np.allclose(got[inner], ((c + 1) / total[kind])[inner], rtol=1e-4)
+    assert (got[~inner] == 1).all()
