@@ -4,10 +4,14 @@ A spot is an anchor word with the chain of the next CHAIN content words after it
 (content words are those outside the list of common words). Anchors are the
 common words; as texts in other languages have none of them, content words
 whose hash is divisible by SAMPLED are anchors too. A text's signature is the sorted
-set of its hashed spots, its fingerprint a digest of that set. Signatures fall
-into classes by set length; two sets whose lengths are in classes too far
-apart for the wanted likeness are dismissed without looking inside, then
-those whose lengths alone rule it out; only the rest are intersected.
+set of its hashed spots, its fingerprint a digest of that set.
+
+``near_signatures`` finds all pairs of signatures of a wanted likeness. Equal ones are one
+row. Signatures fall into classes by set length and meet in their own class and
+its neighbour, by the rarest spots alone (a prefix long enough that two alike sets share one
+of them); pairs are dismissed by their lengths, then by the overlap that can still
+follow the shared spot, and only the rest are intersected. The registered query
+gives the likeness of set pairs, however small: no threshold, so nothing to prune.
 
 DataFrame functions only. Words are runs of letters and digits, lower-cased.
 
@@ -80,7 +84,8 @@ def fingerprint(signature: Column) -> Column:
 
 def length_class(size: Column, threshold: float) -> Column:
     """Sets whose likeness can reach ``threshold`` are in one class or in neighbouring classes."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-math.log(threshold)))
+    # A size that is a power of 1 / threshold is not to fall below its class by rounding.
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-math.log(threshold)) + 1e-9)
 
 
 def likeness(a: str, b: str, threshold: float = 0.0) -> Column:
@@ -95,6 +100,39 @@ def likeness(a: str, b: str, threshold: float = 0.0) -> Column:
     return F.when(far | short, 0.0).otherwise(F.when(exact >= threshold, exact).otherwise(0.0))
 
 
+def near_signatures(signatures: DataFrame, threshold: float) -> DataFrame:
+    """(signature) -> (fingerprint, other, likeness): pairs of distinct sets, each once.
+
+    ``threshold`` is above 0 and below 1. Documents of one fingerprint are alike
+    (1.0) and not listed; join them by fingerprint. The empty set is like no other.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must be between 0 and 1")
+    sets = signatures.select(fingerprint(F.col("signature")).alias("id"), "signature").where(F.size("signature") > 0)
+    sets = stored(sets.groupBy("id").agg(F.first("signature").alias("signature")), "spot-sets")
+    spots = sets.select("id", F.size("signature").alias("n"), F.explode("signature").alias("spot"))
+    often = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("often"))
+    rare_first = F.sort_array(F.collect_list(F.struct("often", "spot")))
+    # Two sets of at least this likeness share a spot among the first n - ceil(t * n) + 1 of each.
+    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    prefix = (spots.join(often, "spot").groupBy("id", "n").agg(rare_first.alias("all"))
+              .select("id", "n", F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "s")))
+    prefix = stored(prefix.select("id", "n", "at", "s.spot", length_class(F.col("n"), threshold).alias("class")),
+                    "spot-prefixes")
+    small = prefix.select(*[F.col(c).alias(f"_{c}") for c in ("id", "n", "at", "spot")],
+                          F.explode(F.array("class", F.col("class") + 1)).alias("_class"))
+    met = small.join(prefix, (F.col("_spot") == F.col("spot")) & (F.col("_class") == F.col("class")))
+    in_order = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_id") < F.col("id")))
+    most = (F.least("_at", "at") + F.least(F.col("_n") - F.col("_at"), F.col("n") - F.col("at")))
+    need = (F.col("_n") + F.col("n")) * (threshold / (1 + threshold)) - 1e-9
+    met = met.where(in_order & (F.col("_n") >= F.col("n") * threshold - 1e-9) & (most >= need))
+    pairs = met.select("_id", "id").distinct()
+    one = sets.select(F.col("id").alias("_id"), F.col("signature").alias("_signature"))
+    return (pairs.join(one, "_id").join(sets, "id")
+            .withColumn("likeness", likeness("_signature", "signature", threshold)).where(F.col("likeness") > 0)
+            .select(F.least("_id", "id").alias("fingerprint"), F.greatest("_id", "id").alias("other"), "likeness"))
+
+
 def with_next(docs: DataFrame, buckets_per_partition: int = BUCKETS_PER_PARTITION) -> DataFrame:
     """(doc_id, text, signature) plus next_text and next_signature of the following document.
 

@@ -1,6 +1,7 @@
 """SpotSigs against a plain version, on a small table and on odd rows."""
 
 import hashlib
+import random
 
 import pytest
 import regex
@@ -102,6 +103,26 @@ def test_pruned_likeness(spark):
         assert r["y"] == pytest.approx(want if want >= 0.8 else 0.0)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_near_signatures_are_all_pairs_of_that_likeness(spark, threshold):
+    rnd = random.Random(7)
+    sets = [frozenset(rnd.sample(range(40), rnd.randint(1, 25))) for _ in range(60)]
+    sets += [s - {min(s)} for s in sets[:40]] + [s | {100} for s in sets[20:50]] + sets[:10] + [frozenset()] * 3
+    rows = spark.createDataFrame([(sorted(s),) for s in sets], "signature array<long>")
+    marks = {r["f"]: frozenset(r["signature"]) for r in rows.select(
+        "signature", spotsigs.fingerprint(F.col("signature")).alias("f")).collect()}
+    got = [(r[0], r[1], r[2]) for r in spotsigs.near_signatures(rows, threshold).collect()]
+    want = {(a, b): j for a in marks for b in marks if a < b and (j := jaccard(marks[a], marks[b])) >= threshold}
+    assert len(got) == len(want) > 30
+    for a, b, j in got:
+        assert j == pytest.approx(want[a, b])
+
+
+def test_sizes_at_the_bound_are_in_neighbouring_classes(spark):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (10, 100, 1000, 10_000)], "signature array<long>")
+    assert spotsigs.near_signatures(rows, 0.1).count() == 3
+
+
 def test_no_python_in_the_plan(spark):
     plan = spotsigs.query(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
