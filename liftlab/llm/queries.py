@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from liftlab.llm import (maxent, mixing, neighbours, packing, preference, quality,
+from liftlab.llm import (exact, maxent, mixing, neighbours, packing, preference, quality,
                          sharding, simhash, spotsigs, warc)
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; the operators work without it
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spot_signatures": spotsigs.query,
@@ -23,7 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ftrl_quality": quality.query,
         "op9_curriculum_mixing": mixing.query,
         "op10_rotated_bits": neighbours.query,
-        "pipeline": corpus_pipeline.run,
+        "op13_extendible_hash_dedup": exact.query,
+        "pipeline": _pipeline,
     }
 
 
@@ -32,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_segments": warc.oracle(),
         "op7_preference_pairs": preference.oracle(),
         "op9_curriculum_mixing": mixing.oracle(),
+        "op13_extendible_hash_dedup": exact.oracle(),
     }
