@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlab.llm import (exact, maxent, mixing, neighbours, packing, preference, quality,
-                         sharding, simhash, spotsigs, turntrie, warc)
+                         sharding, simhash, spotsigs, turntrie, warc, whitening)
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ftrl_quality": quality.query,
         "op9_curriculum_mixing": mixing.query,
         "op10_rotated_bits": neighbours.query,
+        "op11_weighted_whitening": whitening.query,
         "op12_double_array_trie": turntrie.query,
         "op13_extendible_hash_dedup": exact.query,
         "pipeline": _pipeline,
