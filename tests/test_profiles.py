@@ -1,0 +1,174 @@
+"""Mergeable profiles: parts against the whole, sketches, incremental files; atomic publishing."""
+
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from liftlab.operators import profiles, validate
+from liftlab.sources import versioned
+from liftlab.spec import ValidationError
+
+
+def _table(spark, n=3000):
+    return spark.range(n).select(
+        "id", (F.col("id") % 5).alias("segment"), (F.sqrt("id") * 1e6 + 1e9).alias("big"),
+        F.when(F.col("id") % 11 == 0, F.lit(float("nan"))).when(F.col("id") % 13 == 0, F.lit(float("-inf"))).when(
+            F.col("id") % 7 != 0, F.sin("id")).alias("odd"),
+        F.concat(F.lit("v"), (F.col("id") % 701).cast("string")).alias("text"), F.lit(None).cast("int").alias("none"))
+
+
+def _rows(df, *keys):
+    return {tuple(r[k] for k in keys): r.asDict() for r in df.collect()}
+
+
+def _close(got, want):
+    assert got.keys() == want.keys()
+    for k in want:
+        for c, v in want[k].items():
+            g = got[k][c]
+            assert g == v or (isinstance(v, float) and math.isclose(g, v, rel_tol=1e-12, abs_tol=1e-12)), (k, c, g, v)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_merged_parts_equal_the_whole(spark, parts):
+    df = _table(spark)
+    states = None
+    for p in range(parts):
+        s = profiles.profile_states(df.where(F.hash("id") % parts == p).unionByName(
+            df.where(F.hash("id") % parts == -p).where(F.lit(p > 0))))
+        states = s if states is None else states.unionByName(s)
+    got = profiles.profile_of(states)
+    _close(_rows(got, "column_name"), _rows(validate.column_profile(df), "column_name"))
+
+
+def test_segments_roll_up(spark):
+    df = _table(spark).withColumn("segment", F.when(F.col("segment") > 0, F.col("segment")))  # null is a segment
+    states = profiles.profile_states(df, by=["segment"])
+    for s in (None, 1, 4):
+        part = df.where(F.col("segment").eqNullSafe(F.lit(s).cast("long"))).drop("segment")
+        got = profiles.profile_of(states, ["segment"]).where(F.col("segment").eqNullSafe(F.lit(s).cast("long"))).drop("segment")
+        _close(_rows(got, "column_name"), _rows(validate.column_profile(part), "column_name"))
+    _close(_rows(profiles.profile_of(states), "column_name"),
+           _rows(validate.column_profile(df.drop("segment")), "column_name"))
+
+
+def test_united_sketches_are_near_the_exact_counts(spark):
+    df = spark.range(40_000).select((F.col("id") % 4).alias("part"), (F.col("id") % 3).alias("segment"),
+                                    (F.col("id") * 7 % 30_000).alias("a"), (F.col("id") % 17).cast("double").alias("b"))
+    states = profiles.profile_states(df, ["a", "b"], by=["part", "segment"])
+    for by in ([], ["segment"]):
+        exact = _rows(df.groupBy(*by).agg(*[F.count_distinct(c).alias(c) for c in "ab"]), *by)
+        for key, r in _rows(profiles.cardinality_of(states, by), *by, "column_name").items():
+            want = exact[key[:-1]][key[-1]]
+            assert abs(r["cardinality"] - want) <= 3 * profiles.sketch_error() * want
+
+
+def test_equal_values_of_any_sign_of_zero_count_once(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,), (None,), (float("nan"),)], "x double")
+    assert profiles.cardinality_of(profiles.profile_states(df)).first()["cardinality"] == 3
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    df, folder = _table(spark), str(tmp_path / "data")
+    df.where("id < 1000").repartition(3).write.parquet(f"{folder}/a")
+    store = profiles.ProfileStore(spark, str(tmp_path / "profile"), by=["segment"])
+    assert store.add_files(folder) == 3 and store.add_files(folder) == 0
+    df.where("id >= 1000").repartition(2).write.parquet(f"{folder}/b")
+    # Nothing of the old files is left to read but their names, sizes and times.
+    for f in (tmp_path / "data" / "a").glob("*.parquet"):
+        stat = f.stat()
+        f.write_bytes(b"x" * stat.st_size)
+        import os
+        os.utime(f, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert store.add_files(folder) == 2
+    _close(_rows(store.profile(), "column_name"), _rows(validate.column_profile(df.drop("segment")), "column_name"))
+    seen = store.states().select("part", "segment").distinct().count()
+    assert seen == 5 * 5  # files x segments
+    next((tmp_path / "data" / "b").glob("*.parquet")).write_bytes(b"changed")
+    with pytest.raises(ValidationError, match="changed"):
+        store.add_files(folder)
+
+
+def test_named_parts_are_added_once(spark, tmp_path):
+    store = profiles.ProfileStore(spark, str(tmp_path))
+    df = _table(spark, 100)
+    store.add(df.where("id < 40"), "one")
+    store.add(df.where("id >= 40"), "two")
+    with pytest.raises(ValidationError, match="already"):
+        store.add(df, "two")
+    _close(_rows(store.profile(), "column_name"), _rows(validate.column_profile(df), "column_name"))
+    assert _rows(store.cardinality(), "column_name")[("text",)]["cardinality"] == 100
+
+
+def test_empty_tables(spark):
+    df = _table(spark, 0)
+    got = _rows(profiles.profile_of(profiles.profile_states(df)), "column_name")
+    assert got[("big",)]["mean"] is None and got[("big",)]["missing_count"] == 0
+    both = profiles.profile_states(df).unionByName(profiles.profile_states(_table(spark, 50)))
+    _close(_rows(profiles.profile_of(both), "column_name"), _rows(validate.column_profile(_table(spark, 50)), "column_name"))
+
+
+# ---- atomic publishing
+
+@pytest.mark.parametrize("step", ["stage", "exists", "create", "write", "close"])
+def test_a_writer_that_dies_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    versioned.publish_table(spark.range(3), path)
+
+    class Dead(Exception):
+        pass
+
+    def die(*a, **k):
+        raise Dead
+
+    real = versioned._create
+    if step == "stage":
+        monkeypatch.setattr(versioned, "commit", die)
+    elif step == "exists":
+        monkeypatch.setattr(versioned, "_create", die)
+    elif step == "create":
+        monkeypatch.setattr(versioned, "_create", lambda s, p, c: (real(s, p, b""), die()))
+    elif step == "write":
+        monkeypatch.setattr(versioned, "_create", lambda s, p, c: (real(s, p, c[:-3]), die()))
+    else:
+        monkeypatch.setattr(versioned, "_create", lambda s, p, c: (real(s, p, c), die()))
+    with pytest.raises(Dead):
+        versioned.publish_table(spark.range(5), path)
+    monkeypatch.undo()
+    assert versioned.read_table(spark, path).count() == (5 if step == "close" else 3)
+    versioned.publish_table(spark.range(7), path)
+    assert versioned.read_table(spark, path).count() == 7
+
+
+def test_two_writers_do_not_lose_a_part(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    versioned.publish_table(spark.range(1), path)
+    a, b = (versioned.stage(spark.range(n), path) for n in (10, 100))
+    real, calls = versioned.current, []
+
+    def slow(s, p):
+        now = real(s, p)
+        if not calls:  # the other writer publishes between our look and our pointer
+            calls.append(1)
+            versioned.commit(s, p, lambda v: [*v, b])
+        return now
+
+    monkeypatch.setattr(versioned, "current", slow)
+    versioned.commit(spark, path, lambda v: [*v, a])
+    monkeypatch.undo()
+    assert versioned.read_table(spark, path).count() == 111
+
+
+def test_readers_keep_their_version_and_vacuum_removes_the_others(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValidationError, match="nothing"):
+        versioned.read_table(spark, path)
+    versioned.publish_table(spark.range(2), path)
+    before = versioned.read_table(spark, path)
+    versioned.publish_table(spark.range(4), path)
+    assert before.count() == 2 and versioned.read_table(spark, path).count() == 4
+    assert len(versioned.vacuum(spark, path)) == 1 and versioned.read_table(spark, path).count() == 4
+    pointer = sorted((tmp_path / "t" / "_pointers").glob("*.json"))[-1].read_text()
+    assert json.loads(pointer.partition(" ")[2]) == versioned.current(spark, path)
