@@ -9,12 +9,14 @@
   ``[X, T, X*T]`` (``Interaction``); both potential outcomes come from two
   chained transforms of the same rows (no join). T-learner fits separate
   treated and control models.
-* Selection (M12): each regularisation candidate is scored by validation
-  AUUC above random; the first candidate wins ties.
+* Selection (M12): all candidates score the validation rows in one chain of transforms; one
+  long table (candidate, id, score) is sorted once for the areas above random of all of them. The
+  first candidate wins ties.
 * Evaluation (M13): the chosen model scores the untouched test split once;
   all held-out tables come from one :class:`RankedEvaluation`.
 * Plug point (M16): any ``pyspark.ml`` classifier factory can replace the
-  default logistic regression; evaluators take any DataFrame with
+  default logistic regression, and so can one of objects with ``fit(X, y)`` and ``predict_proba(X)``
+  (:class:`LocalClassifier`) or of fitted models with ``predict_proba``; evaluators take any DataFrame with
   ``(id, treatment, outcome, p1, p0)``.
 
 Objective scaling matches the reference's SGD (mean log loss plus
@@ -25,12 +27,14 @@ slightly while the fitted model is the same optimum.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, cloudpickle
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (Interaction, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
@@ -39,8 +43,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlab.operators.ranking import (RankedEvaluation, clip_probability, log_loss_col,
-                                       predictive_diagnostics, rank_auc)
+from liftlab.operators.ranking import (RankedEvaluation, candidate_auuc, cate_distribution,
+                                       clip_probability, log_loss_col, predictive_diagnostics,
+                                       rank_auc, rank_rows_counted)
 from liftlab.operators.sampling import sample_rows, split_rows
 from liftlab.session import small_table
 from liftlab.spec import ExperimentSpec
@@ -53,13 +58,17 @@ PREDICTABILITY_SAMPLE = 200_000
 PREDICTABILITY_C = 1.0
 PREDICTABILITY_MAX_ITERATIONS = 200
 
+#: Rows on which a classifier outside Spark ML is fitted, at most.
+LOCAL_FIT_ROWS = 2_000_000
+
 FEATURES = "features"
 
 
 # ---- M1-M3: preprocessing ------------------------------------------------------
 
-def build_preprocessor(spec: ExperimentSpec = ExperimentSpec(), output: str = FEATURES
-                       ) -> Pipeline:
+def build_preprocessor(spec: ExperimentSpec = ExperimentSpec(), output: str = FEATURES,
+                       indexed: bool = False) -> Pipeline:
+    """``indexed``: the level indices are columns already (:class:`LevelDictionary`)."""
     spec.validate_model_features(list(spec.features))
     stages = []
     parts = []
@@ -71,20 +80,103 @@ def build_preprocessor(spec: ExperimentSpec = ExperimentSpec(), output: str = FE
     if spec.categorical:
         idx = [f"_{c}_idx" for c in spec.categorical]
         ohe = [f"_{c}_ohe" for c in spec.categorical]
-        stages += [StringIndexer(inputCols=list(spec.categorical), outputCols=idx,
-                                 handleInvalid="keep", stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
+        if not indexed:
+            stages.append(StringIndexer(inputCols=list(spec.categorical), outputCols=idx,
+                                        handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
         parts += ohe
     stages.append(VectorAssembler(inputCols=parts, outputCol=output))
     return Pipeline(stages=stages)
 
 
-def fit_preprocessor(train: DataFrame, spec: ExperimentSpec = ExperimentSpec()) -> PipelineModel:
-    """M2: fit scaling and encodings on the training split only."""
-    return build_preprocessor(spec).fit(train)
+class LevelDictionary:
+    """M1 for features of any number of levels: a table (feature, level, slot, rows).
+
+    Levels are counted (map-side first), put in order by one range sort and numbered within their
+    feature; they never reach the driver, which holds one count per feature. Rows get their slots by
+    joins on the level. Levels with more than a :data:`HOT_LEVELS`th of all rows (so at most as many)
+    are looked up by broadcast, and their rows, like those without a level, are spread over the join's tasks.
+    """
+
+    HOT_LEVELS = 1024
+    BROADCAST_LEVELS = 100_000
+
+    def __init__(self, table: DataFrame, sizes: Mapping[str, int], rows: int) -> None:
+        self.table, self.sizes, self.rows = table, dict(sizes), rows
+
+    @classmethod
+    def fit(cls, train: DataFrame, columns: Sequence[str]) -> "LevelDictionary":
+        texts = train.select(*[F.col(c).cast("string").alias(c) for c in columns])
+        levels = texts.unpivot([], list(columns), "feature", "level").where(
+            F.col("level").isNotNull()).groupBy("feature", "level").agg(F.count(F.lit(1)).alias("rows"))
+        ranked, _, _, _ = rank_rows_counted(levels, [F.col("feature").asc(), F.col("level").asc()],
+                                            rank_col="_nth")
+        found = {r["feature"]: (r["n"], r["rows"]) for r in ranked.groupBy("feature").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).collect()}  # a row per feature
+        start, before = {}, 0
+        for c in sorted(found):
+            start[c], before = before, before + found[c][0]
+        first = F.coalesce(*[F.when(F.col("feature") == c, F.lit(n)) for c, n in start.items()], F.lit(0))
+        table = ranked.select("feature", "level", (F.col("_nth") - 1 - first).alias("slot"), "rows")
+        return cls(table, {c: found.get(c, (0, 0))[0] for c in columns},
+                   max((n for _, n in found.values()), default=0))
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_<feature>_idx``: the level's slot, or the number of levels if there is none."""
+        for i, (c, size) in enumerate(self.sizes.items()):
+            mine = self.table.where(F.col("feature") == c).select(
+                F.col("level").alias(f"_l{i}"), F.col("slot").alias(f"_s{i}"), "rows")
+            level = F.col(f"`{c}`").cast("string")
+            if size <= self.BROADCAST_LEVELS:
+                df = df.join(F.broadcast(mine.drop("rows")), level == F.col(f"_l{i}"), "left")
+                slot = F.col(f"_s{i}")
+            else:
+                hot = mine.where(F.col("rows") > self.rows / self.HOT_LEVELS).select(
+                    F.col(f"_l{i}").alias(f"_h{i}"), F.col(f"_s{i}").alias(f"_hs{i}"))
+                df = df.join(F.broadcast(hot), level == F.col(f"_h{i}"), "left")
+                found = F.col(f"_hs{i}").isNotNull() | level.isNull()
+                # Rows that need no further look-up take keys of their own, so that none is hot.
+                key = F.when(found, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+                df = df.withColumns({f"_k{i}": key, f"_kl{i}": F.when(~found, level).otherwise(F.lit(""))})
+                mine = mine.drop("rows").withColumn(f"_m{i}", F.lit(-1).cast("long"))
+                df = df.join(mine, (F.col(f"_kl{i}") == F.col(f"_l{i}")) & (F.col(f"_k{i}") == F.col(f"_m{i}")), "left")
+                slot = F.coalesce(f"_hs{i}", f"_s{i}")
+                df = df.withColumn(f"_slot{i}", slot).drop(
+                    f"_h{i}", f"_hs{i}", f"_k{i}", f"_kl{i}", f"_m{i}", f"_s{i}")
+                slot = F.col(f"_slot{i}")
+            # One category more than levels, as an indexer that keeps unseen levels has it.
+            kept = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
+            df = df.withColumn(f"_{c}_idx", F.coalesce(slot, F.lit(size)).cast("double")).drop(
+                f"_l{i}", f"_s{i}", f"_slot{i}")
+            df = df.withMetadata(f"_{c}_idx", kept)
+        return df
+
+
+class DictionaryDesign:
+    """A fitted preprocessor whose level dictionary is a table."""
+
+    def __init__(self, dictionary: LevelDictionary, rest) -> None:
+        self.dictionary, self.rest = dictionary, rest
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.rest.transform(self.dictionary.encode(df))
+
+
+def fit_preprocessor(train: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
+                     level_tables: bool = False):
+    """M2: fit scaling and encodings on the training split only.
+
+    ``level_tables`` keeps the levels of categorical features in a distributed table
+    instead of the driver; the design is the same, slot by slot.
+    """
+    if not (level_tables and spec.categorical):
+        return build_preprocessor(spec).fit(train)
+    spec.validate_model_features(list(spec.features))
+    dictionary = LevelDictionary.fit(train, spec.categorical)
+    return DictionaryDesign(dictionary, build_preprocessor(spec, indexed=True).fit(dictionary.encode(train)))
 
 
-def transform_features(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def transform_features(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """M3: apply a fitted preprocessor; keep only ``keep`` + features."""
     return model.transform(df).select(*keep, FEATURES)
 
@@ -111,12 +203,37 @@ def logistic(alpha: float, max_iter: int = DEFAULT_MAX_ITERATIONS, tol: float =
                               tol=tol, family="binomial")
 
 
-ClassifierFactory = Callable[[float], Estimator]
+class LocalClassifier:
+    """An object with ``fit(X, y)`` and ``predict_proba(X)`` as a learner's classifier.
+
+    It is fitted on the driver on at most ``max_rows`` rows, an exact seeded sample of
+    the training rows; every row is scored, in batches on the executors.
+    """
+
+    def __init__(self, make: Callable[[], object], max_rows: int = LOCAL_FIT_ROWS, seed: int = 42) -> None:
+        self.make, self.max_rows, self.seed = make, max_rows, seed
+
+    def fit(self, df: DataFrame, features: str, label: str):
+        keyed = df.select(F.monotonically_increasing_id().alias("_row"), vector_to_array(features).alias("_x"),
+                          F.col(label).alias("_y")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = sample_rows(keyed, self.max_rows, self.seed, id_col="_row").orderBy("_row").toPandas()
+        keyed.unpersist()
+        model = self.make()
+        model.fit(np.stack(rows["_x"].to_numpy()), rows["_y"].to_numpy())
+        return model
+
 
+ClassifierFactory = Callable[[float], "Estimator | LocalClassifier"]
 
-def _fit(est: Estimator, df: DataFrame):
+
+def _fit(est: "Estimator | LocalClassifier", df: DataFrame, features: str, label: str):
     started = time.perf_counter()
-    model = est.fit(df)
+    if hasattr(est, "featuresCol"):
+        model = est.copy({est.featuresCol: features, est.labelCol: label}).fit(df)
+    elif hasattr(est, "predict_proba") and not hasattr(est, "fit"):
+        model = est  # fitted before
+    else:
+        model = est.fit(df, features, label)
     return model, time.perf_counter() - started
 
 
@@ -127,8 +244,25 @@ def _iterations(model) -> int | None:
         return None
 
 
+def _batch_probability(model, df: DataFrame, features: str):
+    """P(y=1) of an object with ``predict_proba``: one call per Arrow batch of rows."""
+    # As functions are sent, so that classes of a notebook or script come along.
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fitted = cloudpickle.loads(sent.value)
+        for x in batches:
+            p = fitted.predict_proba(np.stack(x.to_numpy())) if len(x) else np.zeros((0, 2))
+            yield pd.Series(np.asarray(p, dtype=np.float64)[:, 1])
+
+    return probability(vector_to_array(F.col(features)))
+
+
 def positive_probability(model, df: DataFrame, features: str, out: str) -> DataFrame:
     """M6: P(y=1) clipped to [1e-7, 1 - 1e-7], appended as ``out``."""
+    if hasattr(model, "predict_proba"):
+        return df.withColumn(out, clip_probability(_batch_probability(model, df, features)))
     m = model.copy()
     prob, raw, pred = f"_{out}_prob", f"_{out}_raw", f"_{out}_pred"
     m.set(m.featuresCol, features)
@@ -167,10 +301,9 @@ class SLearner:
             classifier: ClassifierFactory | None = None, treatment: str = "treatment"
             ) -> "SLearner":
         est = (classifier or (lambda a: logistic(a, max_iterations)))(alpha)
-        est = est.copy({est.featuresCol: "_design", est.labelCol: "_label"})
         design = s_learner_design(train, F.col(treatment)).withColumn(
             "_label", F.col(outcome).cast("double"))
-        model, secs = _fit(est, design)
+        model, secs = _fit(est, design, "_design", "_label")
         return cls(model, secs, _iterations(model), max_iterations)
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -204,12 +337,8 @@ class TLearner:
             ) -> "TLearner":
         make = classifier or (lambda a: logistic(a, max_iterations))
         labelled = train.withColumn("_label", F.col(outcome).cast("double"))
-        est1 = make(alpha)
-        est1 = est1.copy({est1.featuresCol: FEATURES, est1.labelCol: "_label"})
-        est0 = make(alpha)
-        est0 = est0.copy({est0.featuresCol: FEATURES, est0.labelCol: "_label"})
-        m1, s1 = _fit(est1, labelled.where(F.col(treatment) == 1))
-        m0, s0 = _fit(est0, labelled.where(F.col(treatment) == 0))
+        m1, s1 = _fit(make(alpha), labelled.where(F.col(treatment) == 1), FEATURES, "_label")
+        m0, s0 = _fit(make(alpha), labelled.where(F.col(treatment) == 0), FEATURES, "_label")
         return cls(m1, m0, s1 + s0, _iterations(m1), _iterations(m0), max_iterations)
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -239,7 +368,7 @@ def predict_uplift(model, df: DataFrame) -> DataFrame:
 class ModelReport:
     learner: str
     outcome: str
-    selected_alpha: float
+    selected_alpha: float | None
     selected_validation_auuc: float
     candidates: list = field(default_factory=list)
     model: object = None
@@ -255,52 +384,80 @@ class ModelReport:
             self.evaluation.release()
 
 
+Search = tuple[str, str]  # (outcome, learner)
+
+
+def fit_candidates(searches: Sequence[Search], train: DataFrame, *, spec: ExperimentSpec = ExperimentSpec(),
+                   alphas: Sequence[float] = REGULARIZATION_CANDIDATES,
+                   max_iterations: int = DEFAULT_MAX_ITERATIONS,
+                   classifier: ClassifierFactory | None = None, parallelism: int = 1
+                   ) -> dict[tuple[str, str, float], object]:
+    """Models of every (outcome, learner, alpha); ``parallelism`` > 1 fits them as concurrent Spark jobs."""
+    def trial(key: tuple[str, str, float]):
+        outcome, learner, alpha = key
+        return LEARNERS[learner].fit(train, outcome, alpha=alpha, max_iterations=max_iterations,
+                                     classifier=classifier, treatment=spec.treatment)
+
+    keys = [(o, name, a) for o, name in searches for a in alphas]
+    if parallelism > 1 and len(keys) > 1:
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(keys))) as pool:
+            return dict(zip(keys, pool.map(trial, keys)))
+    return {k: trial(k) for k in keys}
+
+
+def candidate_scores(models: Mapping[tuple[str, str, float], object], rows: DataFrame,
+                     spec: ExperimentSpec = ExperimentSpec()) -> DataFrame:
+    """(candidate, id, score, outcome, treatment): all models over the same rows, in one pass."""
+    keep = list(dict.fromkeys(o for o, _, _ in models))
+    wide, cates = rows, []
+    for i, model in enumerate(models.values()):
+        wide = predict_uplift(model, wide).withColumnRenamed("cate", f"_cate_{i}").drop("p1", "p0")
+        cates.append(f"_cate_{i}")
+    wide = wide.select(F.col(spec.id).alias("id"), F.col(spec.treatment).alias("treatment"), *keep, *cates)
+    each = F.array(*[F.struct(F.lit(i).alias("candidate"), F.col(c).alias("score"),
+                              F.col(key[0]).alias("outcome"))
+                     for i, (c, key) in enumerate(zip(cates, models))])
+    return wide.select("id", "treatment", F.inline(each))
+
+
+def choose(models: Mapping[tuple[str, str, float], object], validation: DataFrame,
+           spec: ExperimentSpec = ExperimentSpec()) -> dict[Search, ModelReport]:
+    """The best validation AUUC (strict >) of every (outcome, learner), from one range sort."""
+    # Five narrow columns, scored once: the range sort reads them twice.
+    scored = candidate_scores(models, validation, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    areas = {r["candidate"]: r["auuc_above_random_per_100000"] for r in candidate_auuc(
+        scored, propensity=spec.propensity).collect()}
+    scored.unpersist()
+    reports: dict[Search, ModelReport] = {}
+    for i, ((outcome, learner, alpha), m) in enumerate(models.items()):
+        rep = reports.setdefault((outcome, learner), ModelReport(learner, outcome, None, float("-inf")))
+        rep.candidates.append({"alpha": alpha, "validation_auuc_above_random_per_100000": areas[i],
+                               "fit_seconds": m.fit_seconds, "convergence": m.convergence()})
+        if areas[i] > rep.selected_validation_auuc:
+            rep.model, rep.selected_validation_auuc, rep.selected_alpha = m, areas[i], alpha
+    return reports
+
+
 def select_model(learner: str, train: DataFrame, validation: DataFrame, outcome: str, *,
                  spec: ExperimentSpec = ExperimentSpec(),
                  alphas: Sequence[float] = REGULARIZATION_CANDIDATES,
                  max_iterations: int = DEFAULT_MAX_ITERATIONS,
                  classifier: ClassifierFactory | None = None,
                  parallelism: int = 1) -> ModelReport:
-    """Fit each candidate on train, keep the best validation AUUC (strict >).
-
-    ``parallelism`` > 1 fits and scores the candidates as concurrent Spark
-    jobs; the choice is made afterwards in candidate order, so it is the
-    same as a serial run.
-    """
-    cls = LEARNERS[learner]
-
-    def trial(a: float):
-        m = cls.fit(train, outcome, alpha=a, max_iterations=max_iterations,
-                    classifier=classifier, treatment=spec.treatment)
-        # Four narrow columns, scored once: the range sort reads them twice.
-        scored = predict_uplift(m, validation).select(
-            spec.id, "cate", outcome, spec.treatment).persist(StorageLevel.MEMORY_AND_DISK)
-        ev = RankedEvaluation(scored, score="cate", outcome=outcome, treatment=spec.treatment,
-                              id_col=spec.id, propensity=spec.propensity, outcome_name=outcome,
-                              check_ids=False)
-        auuc = ev.auuc().first()["auuc_above_random_per_100000"]
-        ev.release()
-        scored.unpersist()
-        return m, auuc
-
-    if parallelism > 1 and len(alphas) > 1:
-        with ThreadPoolExecutor(max_workers=min(parallelism, len(alphas))) as pool:
-            results = list(pool.map(trial, alphas))
-    else:
-        results = [trial(a) for a in alphas]
-    best, best_score, best_alpha, cands = None, float("-inf"), None, []
-    for a, (m, auuc) in zip(alphas, results):
-        cands.append({"alpha": a, "validation_auuc_above_random_per_100000": auuc,
-                      "fit_seconds": m.fit_seconds, "convergence": m.convergence()})
-        if auuc > best_score:
-            best, best_score, best_alpha = m, auuc, a
-    return ModelReport(learner, outcome, best_alpha, best_score, cands, best)
+    """M12 for one outcome and learner; results do not depend on ``parallelism``."""
+    models = fit_candidates([(outcome, learner)], train, spec=spec, alphas=alphas,
+                            max_iterations=max_iterations, classifier=classifier, parallelism=parallelism)
+    return choose(models, validation, spec)[(outcome, learner)]
 
 
 def evaluate_model(report: ModelReport, test: DataFrame, *,
                    spec: ExperimentSpec = ExperimentSpec(),
-                   full_benchmark_itt: float | None = None) -> ModelReport:
-    """Score the untouched test split once; every held-out table."""
+                   full_benchmark_itt: float | None = None,
+                   approximate_quantiles: bool = False) -> ModelReport:
+    """Score the untouched test split once; every held-out table.
+
+    ``approximate_quantiles`` takes the CATE quantiles from a sketch with a stated rank error.
+    """
     scored = predict_uplift(report.model, test).persist(StorageLevel.MEMORY_AND_DISK)
     report.scored = scored
     ev = RankedEvaluation(scored, score="cate", outcome=report.outcome,
@@ -313,7 +470,10 @@ def evaluate_model(report: ModelReport, test: DataFrame, *,
         "auuc": ev.auuc(),
         "targeting_policy": ev.targeting_policy(),
         "uplift_deciles": ev.uplift_deciles(),
-        "cate_summary": ev.cate_summary(full_benchmark_itt=full_benchmark_itt),
+        "cate_summary": cate_distribution(
+            scored, score="cate", outcome=report.outcome, treatment=spec.treatment,
+            full_benchmark_itt=full_benchmark_itt) if approximate_quantiles else ev.cate_summary(
+                full_benchmark_itt=full_benchmark_itt),
         "predictive_diagnostics": predictive_diagnostics(
             scored, outcome=report.outcome, treatment=spec.treatment, id_col=spec.id),
     }
@@ -365,7 +525,7 @@ def treatment_predictability(df: DataFrame, spec: ExperimentSpec = ExperimentSpe
     te = transform_features(pre, test, [spec.id, spec.treatment])
     lr = logistic(1.0 / (PREDICTABILITY_C * n_train), PREDICTABILITY_MAX_ITERATIONS, TOLERANCE,
                   label="_label")
-    model, _ = _fit(lr, tr)
+    model, _ = _fit(lr, tr, FEATURES, "_label")
     scored = positive_probability(model, te, FEATURES, "p").select(
         "p", spec.treatment, F.lit("test").alias("_g")).persist(StorageLevel.MEMORY_AND_DISK)
     auc = rank_auc(scored, "p", spec.treatment, "_g")

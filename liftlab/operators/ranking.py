@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftlab.operators.effects import newcombe_columns
-from liftlab.session import drop_checkpoint, ensure_checkpoint_dir
+from liftlab.session import drop_checkpoint, ensure_checkpoint_dir, small_table
 from liftlab.spec import MINIMUM_CONTROL_EVENTS, TREATMENT_PROPENSITY, ValidationError
 
 # Fixed values of the evaluation design.
@@ -394,14 +394,152 @@ class RankedEvaluation:
         drop_checkpoint(self._checkpoint)
 
 
+# ---- A11 without a sort ------------------------------------------------------
+
+#: Width of the quantile sketch; its rank error falls as its inverse.
+SKETCH_K = 4000
+
+
+def quantile_rank_error(k: int = SKETCH_K) -> float:
+    """Normalised rank error of a KLL sketch of width ``k``, which 99 of 100 quantiles keep."""
+    return 2.296 / k ** 0.9723
+
+
+def cate_distribution(scored: DataFrame, *, score: str = "score", outcome: str = "outcome",
+                      treatment: str = "treatment", k: int = SKETCH_K,
+                      held_out_test_ate: float | None = None,
+                      full_benchmark_itt: float | None = None) -> DataFrame:
+    """A11 with sketched quantiles: the columns of ``cate_summary`` and ``rank_error``.
+
+    Moments, signs and the quantile sketch come from one aggregate, so no sort
+    and no shuffle of rows takes place. Every other column is exact.
+    """
+    s, t, y = F.col(score).cast("double"), F.col(treatment), F.col(outcome)
+    bad = F.col("_bad") > 0
+    row = scored.agg(
+        F.avg(s).alias("mean"), F.stddev_pop(s).alias("standard_deviation"), F.min(s).alias("minimum"),
+        F.max(s).alias("maximum"), F.avg(F.when(s > 0, 1.0).otherwise(0.0)).alias("proportion_positive"),
+        F.avg(F.when(s < 0, 1.0).otherwise(0.0)).alias("proportion_negative"),
+        F.count_if(t == 1).alias("_tn"), F.count_if(t == 0).alias("_cn"),
+        F.count_if((t == 1) & (y == 1)).alias("_tp"), F.count_if((t == 0) & (y == 1)).alias("_cp"),
+        F.count_if(s.isNull() | F.isnan(s)).alias("_bad"), F.count(F.lit(1)).alias("_n"),
+        F.kll_sketch_agg_double(F.when(~F.isnan(s), s), k).alias("_kll"))
+    fail = F.when(bad, F.raise_error(F.lit("scores are null or NaN; a distribution needs real numbers"))).when(
+        F.col("_n") == 0, F.raise_error(F.lit("there are no scored rows")))
+    names = ["percentile_05", "percentile_25", "median", "percentile_75", "percentile_95"]
+    at = [F.coalesce(fail.cast("double"), F.kll_sketch_get_quantile_double("_kll", F.lit(float(q)))).alias(n)
+          for q, n in zip(CATE_QUANTILES, names)]
+    ate = newcombe_columns(F.col("_tp"), F.col("_tn"), F.col("_cp"), F.col("_cn"))["observed_difference"]
+    test_ate = F.lit(held_out_test_ate) if held_out_test_ate is not None else ate
+    out = row.select("mean", "standard_deviation", "minimum", *at, "maximum", "proportion_positive",
+                     "proportion_negative", test_ate.alias("held_out_test_ate"))
+    out = out.withColumn("mean_minus_held_out_test_ate", F.col("mean") - F.col("held_out_test_ate"))
+    if full_benchmark_itt is not None:
+        out = out.withColumn("full_benchmark_itt", F.lit(float(full_benchmark_itt))).withColumn(
+            "mean_minus_full_benchmark_itt", F.col("mean") - F.col("full_benchmark_itt"))
+    return out.withColumn("rank_error", F.lit(quantile_rank_error(k)))
+
+
+def quantile_ranks(scored: DataFrame, summary: DataFrame, *, score: str = "score",
+                   tolerance: float) -> DataFrame:
+    """Check of sketched quantiles by exact counts: one row per probability.
+
+    A value stands at the ranks from the share of rows below it to the share not above it;
+    ``within`` says whether the probability is in that range, widened by ``tolerance``.
+    """
+    names = ["percentile_05", "percentile_25", "median", "percentile_75", "percentile_95"]
+    values = summary.select(*names).first()  # one row
+    s = F.col(score).cast("double")
+    wide = scored.agg(F.count(F.lit(1)).alias("n"), *[x for i, n in enumerate(names) for x in (
+        F.count_if(s < values[n]).alias(f"below_{i}"), F.count_if(s <= values[n]).alias(f"upto_{i}"))])
+    rows = F.array(*[F.struct(F.lit(float(q)).alias("probability"), F.col(f"below_{i}").alias("below"),
+                              F.col(f"upto_{i}").alias("upto")) for i, q in enumerate(CATE_QUANTILES)])
+    q = F.col("probability")
+    return wide.select("n", F.inline(rows)).select(
+        "probability", F.col("n").alias("observations"),
+        ((q >= F.col("below") / F.col("n") - tolerance) & (q <= F.col("upto") / F.col("n") + tolerance)).alias("within"))
+
+
+# ---- M12: the area of many candidates from one sort ---------------------------
+
+def candidate_auuc(scores: DataFrame, *, candidate: str = "candidate", score: str = "score",
+                   outcome: str = "outcome", treatment: str = "treatment", id_col: str = "id",
+                   propensity: float = TREATMENT_PROPENSITY, points: int = CURVE_POINTS,
+                   partitions: int | None = None) -> DataFrame:
+    """Area above random of every candidate in a long table of (candidate, id, score, ...).
+
+    One range sort on (candidate, score desc, id) ranks the rows of all candidates: a row's rank
+    is its place in the partition plus the rows of its candidate in earlier partitions. Partition
+    and candidate totals (at most partitions + candidates rows) go through the driver, as do the
+    areas. Bands are counted per candidate with map-side combine.
+    """
+    if not 0 < propensity < 1:
+        raise ValueError(f"propensity must lie between 0 and 1, not {propensity}")
+    spark = scores.sparkSession
+    ensure_checkpoint_dir(spark)
+    order = [F.col("_c").asc(), F.col("_s").desc(), F.col("_i").asc()]
+    rows = scores.select(F.col(candidate).alias("_c"), F.col(score).cast("double").alias("_s"),
+                         F.col(id_col).alias("_i"), F.col(outcome).alias("_y"), F.col(treatment).alias("_t"))
+    p = _partitions(spark, partitions)
+    ranged = rows.repartitionByRange(p, *order) if p else rows.repartitionByRange(*order)
+    fixed = ranged.sortWithinPartitions(*order).checkpoint(eager=True)
+    tagged = fixed.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    counts = tagged.groupBy("_c", "_pid").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_mid").alias("lo"),
+        F.count_if(F.col("_s").isNull() | F.isnan("_s")).alias("bad")).collect()
+    if sum(r["bad"] for r in counts):
+        raise ValidationError(f"{sum(r['bad'] for r in counts)} scores are null or NaN; ranking needs real numbers")
+    if not counts:
+        raise ValidationError("there are no scored rows to rank")
+    offsets, sizes = [], {}
+    for r in sorted(counts, key=lambda r: r["_pid"]):
+        offsets.append((r["_c"], r["_pid"], sizes.get(r["_c"], 0) - r["lo"]))
+        sizes[r["_c"]] = sizes.get(r["_c"], 0) + r["n"]
+    kind = scores.schema[candidate].dataType.simpleString()
+    off = spark.createDataFrame(offsets, f"_c {kind}, _pid int, _off long")
+    ranked = tagged.join(F.broadcast(off), ["_c", "_pid"]).withColumn(
+        "rank", F.col("_mid") + F.col("_off") + F.lit(1))
+    counted = {}
+    for n in sorted(set(sizes.values())):  # candidates score the same rows: one size
+        cuts = sorted({k for _, _, k in curve_counts(n, points) if k > 0})
+        of = [c for c, m in sizes.items() if m == n]
+        same = ranked if len(of) == len(sizes) else ranked.where(F.col("_c").isin(of))
+        bands = Bucketizer(splits=[0.5] + [c + 0.5 for c in cuts], inputCol="_r", outputCol="_band").transform(
+            same.select("_c", F.col("rank").cast("double").alias("_r"), "_y", "_t"))
+        pos = F.col("_y") == 1
+        for r in bands.groupBy("_c", F.col("_band").cast("int").alias("band")).agg(
+                F.count_if(pos & (F.col("_t") == 1)).alias("tp"),
+                F.count_if(pos & (F.col("_t") == 0)).alias("cp")).collect():  # bands x candidates
+            counted.setdefault(r["_c"], {})[cuts[r["band"]]] = (r["tp"], r["cp"])
+    drop_checkpoint(fixed)
+    out = []
+    for c, n in sizes.items():
+        tp = cp = 0
+        reached = {0: (0, 0)}
+        for k in sorted(counted[c]):
+            tp, cp = tp + counted[c][k][0], cp + counted[c][k][1]
+            reached[k] = (tp, cp)
+        gain = lambda tp, cp: (tp / propensity - cp / (1.0 - propensity)) / n * 100000.0
+        whole, area, last = gain(tp, cp), 0.0, None
+        for _, share, k in curve_counts(n, points):
+            d = gain(*reached[k]) - share * whole
+            if last is not None:
+                area += (last[0] + d) / 2.0 * (share - last[1])
+            last = (d, share)
+        out.append((c, area, whole, n))
+    return spark.createDataFrame(out, f"{candidate} {kind}, auuc_above_random_per_100000 double, "
+                                      "treat_all_gain_per_100000 double, observations long")
+
+
 # ---- M14: factual predictive diagnostics -------------------------------------
 
-def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, str]
+                ) -> tuple[DataFrame, DataFrame]:
     """Add, for each (new column: column), the sum over all rows before a row.
 
     ``order`` must be a total order. Rows are range-sorted and checkpointed;
     sums run within partitions, and the partitions' totals (one row each) give
-    the offsets.
+    the offsets. Also returns the checkpointed table, to be dropped after use.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -416,7 +554,7 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, str]) ->
     before = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = tagged.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_in_{n}") for n, c in sums.items()])
     return out.join(F.broadcast(off), "_pid").select(
-        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums])
+        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums]), fixed
 
 
 def _auc(wins2: Column, n1: Column, n0: Column) -> Column:
@@ -431,21 +569,25 @@ def _wins2(pos: str, neg: str, below: str) -> Column:
     return F.sum(wide(pos) * (wide(below) * 2 + wide(neg)))
 
 
-def rank_auc(df: DataFrame, prob: str, label: str, group: str, id_col: str = "id") -> DataFrame:
+def rank_auc(df: DataFrame, prob: str, label: str, group: str) -> DataFrame:
     """ROC AUC per group by Mann-Whitney pair counts, ties counting one half.
 
     Rows are first counted per (group, probability); the negatives below each
-    such tie group come from distributed prefix sums. Null with one class.
+    such tie group come from distributed prefix sums. Null with one class. Groups
+    are evaluation groups (arms, splits): the result is a local table.
     """
     y = F.col(label)
     ties = df.groupBy(F.col(group).alias("_g"), F.col(prob).alias("_p")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    sums = prefix_sums(ties, ["_g", "_p"], {"below": "neg"})
+    sums, fixed = prefix_sums(ties, ["_g", "_p"], {"below": "neg"})
     per = sums.groupBy("_g").agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"),
                                  F.min("below").alias("first"), _wins2("pos", "neg", "below").alias("w"))
     # Negatives of earlier groups are below every row of this one.
     own = F.col("w") - F.lit(2) * F.col("n1").cast("decimal(19,0)") * F.col("first").cast("decimal(19,0)")
-    return per.select(F.col("_g").alias(group), "n1", "n0", _auc(own, F.col("n1"), F.col("n0")).alias("roc_auc"))
+    out = small_table(per.select(F.col("_g").alias(group), "n1", "n0",
+                                 _auc(own, F.col("n1"), F.col("n0")).alias("roc_auc")))
+    drop_checkpoint(fixed)
+    return out
 
 
 def log_loss_col(y: Column, p: Column) -> Column:
@@ -472,7 +614,7 @@ def predictive_diagnostics(scored: DataFrame, *, outcome: str = "outcome",
     ties = ties.withColumns({f"{k}_overall": F.col(f"{k}_treated_p1") + F.col(f"{k}_control_p0")
                              for k in ("pos", "neg", "n", "loss")})
     groups = ("overall", "treated_p1", "control_p0")
-    sums = prefix_sums(ties, ["_p"], {f"below_{g}": f"neg_{g}" for g in groups})
+    sums, fixed = prefix_sums(ties, ["_p"], {f"below_{g}": f"neg_{g}" for g in groups})
     wide = sums.agg(*[x for g in groups for x in (
         F.sum(f"n_{g}").alias(f"n_{g}"), F.sum(f"pos_{g}").alias(f"pos_{g}"),
         F.sum(f"neg_{g}").alias(f"neg_{g}"), F.sum(f"loss_{g}").alias(f"loss_{g}"),
@@ -481,7 +623,9 @@ def predictive_diagnostics(scored: DataFrame, *, outcome: str = "outcome",
         F.lit(g).alias("group"), F.col(f"n_{g}").alias("observations"), F.col(f"pos_{g}").alias("positive"),
         F.try_divide(F.col(f"loss_{g}"), F.col(f"n_{g}")).alias("log_loss"),
         _auc(F.col(f"w_{g}"), F.col(f"pos_{g}"), F.col(f"neg_{g}")).alias("roc_auc")) for g in groups])
-    return wide.select(F.explode(rows).alias("r")).select("r.*").where("observations > 0")
+    out = small_table(wide.select(F.explode(rows).alias("r")).select("r.*").where("observations > 0"))
+    drop_checkpoint(fixed)
+    return out
 
 
 def clip_probability(c: Column, eps: float = 1e-7) -> Column:

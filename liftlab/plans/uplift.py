@@ -54,10 +54,12 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
                    learner_names: Sequence[str] = LEARNER_NAMES,
                    outcomes: Sequence[str] | None = None,
                    classifier: learners.ClassifierFactory | None = None,
-                   parallelism: int = 1) -> dict[str, DataFrame]:
-    """C5. ``parallelism`` > 1 runs the independent (outcome, learner) model
-    searches as concurrent Spark jobs from driver threads (as
-    ``CrossValidator(parallelism=...)`` does); results do not depend on it."""
+                   parallelism: int = 1, level_tables: bool = False,
+                   approximate_quantiles: bool = False) -> dict[str, DataFrame]:
+    """C5. ``parallelism`` > 1 runs the independent fits and evaluations as concurrent Spark
+    jobs from driver threads (as ``CrossValidator(parallelism=...)`` does); results do not
+    depend on it. All candidates are compared by one sort. ``level_tables`` keeps levels of
+    categorical features off the driver; ``approximate_quantiles`` sketches the CATE quantiles."""
     started = time.perf_counter()
     if parallelism < 1:
         raise ValueError("parallelism must be at least 1")
@@ -78,7 +80,7 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
                                     on_oversize="error")
     split = sampling.split_rows(base, seed, spec=spec).persist(StorageLevel.MEMORY_AND_DISK)
     parts = {name: split.where(F.col("split") == name) for name in ("train", "validation", "test")}
-    pre = learners.fit_preprocessor(parts["train"], spec)
+    pre = learners.fit_preprocessor(parts["train"], spec, level_tables)
     keep = [spec.id, spec.treatment, *spec.outcomes]
     matrices = {name: learners.transform_features(pre, p, keep).persist(
         StorageLevel.MEMORY_AND_DISK) for name, p in parts.items()}
@@ -87,24 +89,25 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
                 for r in effects.itt_effects(df, spec).select(
                     "outcome", "absolute_risk_difference").collect()}  # one row per outcome
 
-    def search(task: tuple[str, str]) -> learners.ModelReport:
-        outcome, name = task
-        rep = learners.select_model(name, matrices["train"], matrices["validation"],
-                                    outcome, spec=spec, alphas=alphas,
-                                    max_iterations=max_iterations, classifier=classifier,
-                                    parallelism=2 if parallelism > 1 else 1)
-        rep = learners.evaluate_model(rep, matrices["test"], spec=spec,
-                                      full_benchmark_itt=full_itt.get(outcome))
+    tasks = [(outcome, name) for outcome in outcomes for name in learner_names]
+    models = learners.fit_candidates(tasks, matrices["train"], spec=spec, alphas=alphas,
+                                     max_iterations=max_iterations, classifier=classifier,
+                                     parallelism=2 * parallelism if parallelism > 1 else 1)
+    chosen = learners.choose(models, matrices["validation"], spec)
+
+    def evaluate(task: tuple[str, str]) -> learners.ModelReport:
+        rep = learners.evaluate_model(chosen[task], matrices["test"], spec=spec,
+                                      full_benchmark_itt=full_itt.get(task[0]),
+                                      approximate_quantiles=approximate_quantiles)
         # held-out tables are small (<= ~120 rows): compute them in this thread
         rep.tables = {k: (t if k == "scores" else small_table(t)) for k, t in rep.tables.items()}
         return rep
 
-    tasks = [(outcome, name) for outcome in outcomes for name in learner_names]
     if parallelism > 1 and len(tasks) > 1:
         with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as pool:
-            done = list(pool.map(search, tasks))
+            done = list(pool.map(evaluate, tasks))
     else:
-        done = [search(t) for t in tasks]
+        done = [evaluate(t) for t in tasks]
 
     reports, curves, policies = [], {}, {}
     tables: dict[str, list[DataFrame]] = {}

@@ -103,7 +103,7 @@ def test_ranking_refuses_repeated_and_null_ids(spark):
 def test_prefix_sums(spark):
     rng = np.random.default_rng(5)
     rows = [(float(x), int(n)) for x, n in zip(rng.permutation(500), rng.integers(0, 10, 500))]
-    got = ranking.prefix_sums(spark.createDataFrame(rows, "x double, n long"), ["x"], {"before": "n"}).collect()
+    got = ranking.prefix_sums(spark.createDataFrame(rows, "x double, n long"), ["x"], {"before": "n"})[0].collect()
     running = 0
     for r in sorted(got, key=lambda r: r.x):
         assert r.before == running
