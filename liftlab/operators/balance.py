@@ -80,16 +80,16 @@ def categorical_level_balance(df: DataFrame, spec: ExperimentSpec = ExperimentSp
     """E3 per level: indicator proportions per arm and their SMD (0 when sd is 0)."""
     by = _by(by)
     counts = categorical_level_counts(df, spec, by)
-    # Every row counts once in each feature, null being a level, so a feature's
-    # arm totals are the segment's arm sizes: one narrow aggregate, and no
-    # window that would gather all levels of a feature in one task.
-    t = F.col(spec.treatment)
-    arms = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(
-        F.count_if(t == 1).alias("_n1"), F.count_if(t == 0).alias("_n0"))
-    same = F.lit(True)
+    # Every row counts once in each feature, null being a level: a feature's arm totals are the
+    # sums of its level counts. Both tables read the same shuffle (a reused exchange), so the
+    # table is scanned once, and no window gathers all levels of a feature in one task.
+    totals = counts.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("feature").alias("_feature")).agg(
+        F.sum("treatment_count").alias("_n1"), F.sum("control_count").alias("_n0"))
+    same = F.col("feature") == F.col("_feature")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    step = (counts.join(arms, same) if by else counts.crossJoin(F.broadcast(arms)))
+    # Without segments the totals have a row per feature.
+    step = counts.join(totals if by else F.broadcast(totals), same)
     p1 = F.try_divide(F.col("treatment_count"), F.col("_n1"))
     p0 = F.try_divide(F.col("control_count"), F.col("_n0"))
     pooled = F.sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2.0)

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftlab.spec import ExperimentSpec, ValidationError
 
 INF = float("inf")
+#: Bad values listed per column.
+BAD_VALUES = 10
 
 
 def _is_float(dt: T.DataType) -> bool:
@@ -107,14 +109,48 @@ def binary_profile(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
     return binary_profile_from(df.agg(*aggs), names)
 
 
-def assert_binary(profile: DataFrame) -> None:
-    """Fail when any binary column holds a value outside {0, 1} (V4), naming the columns."""
+def top_values(df: DataFrame, values: Mapping[str, Column], k: int) -> DataFrame:
+    """The ``k`` most frequent non-null values per name: (column_name, value, rows, rank), exact.
+
+    Ties go to the smaller value. Values are counted with map-side combine, and each task
+    keeps its ``k`` best per name before the ranking shuffle (a window group limit).
+    """
+    one = [F.when(v.isNotNull(), F.struct(F.lit(n).alias("column_name"), v.alias("value"))) for n, v in values.items()]
+    counts = df.select(F.inline(F.array_compact(F.array(*one)))).groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("rows"))
+    best = Window.partitionBy("column_name").orderBy(F.desc("rows"), "value")
+    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def invalid_values(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
+                   columns: Sequence[str] | None = None, k: int = BAD_VALUES) -> DataFrame:
+    """V4: the most frequent values outside {0, 1} of every binary column, with their rows."""
+    names = list(columns) if columns is not None else list(spec.binaries)
+    spec.require_columns(df, names)
+    number = {n: F.col(f"`{n}`").cast("double") for n in names}
+    return top_values(df, {n: F.when(~c.isin(0.0, 1.0), c) for n, c in number.items()}, k)
+
+
+def listed(values: DataFrame) -> str:
+    """Bad values as text, for messages: at most ``k`` per column."""
+    by: dict[str, list[str]] = {}
+    for r in values.orderBy("column_name", "rank").collect():
+        by.setdefault(r["column_name"], []).append(f"{r['value']} in {r['rows']} rows")
+    return "; ".join(f"{n}: {', '.join(v)}" for n, v in by.items())
+
+
+def assert_binary(profile: DataFrame, df: DataFrame | None = None,
+                  spec: ExperimentSpec = ExperimentSpec()) -> None:
+    """Fail when any binary column holds a value outside {0, 1} (V4), naming the columns
+    and, if the table is given, their most frequent bad values."""
     bad = profile.where(F.col("invalid_count") > 0).select(
         "column_name", "invalid_count", "invalid_minimum", "invalid_maximum").collect()
     if bad:
-        raise ValidationError("Values other than 0 and 1 in binary columns: " + "; ".join(
-            f"{r.column_name} ({r.invalid_count} values from {r.invalid_minimum} to "
-            f"{r.invalid_maximum})" for r in bad))
+        found = "; ".join(f"{r.column_name} ({r.invalid_count} values from {r.invalid_minimum} to "
+                          f"{r.invalid_maximum})" for r in bad)
+        if df is not None:
+            found += ". Most frequent: " + listed(invalid_values(df, spec, [r.column_name for r in bad]))
+        raise ValidationError(f"Values other than 0 and 1 in binary columns: {found}")
 
 
 def default_rules(spec: ExperimentSpec = ExperimentSpec()) -> dict[str, Column]:
