@@ -14,16 +14,18 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlab.functions.rounding import round_doubles
-from liftlab.operators import (balance, effects, learners, population, power, ranking,
+from liftlab.operators import (balance, effects, learners, population, power, profiles, ranking,
                                sampling, validate)
 from liftlab.plans import charts, oracles
 from liftlab.plans.experiment import analyze_experiment
 from liftlab.plans.uplift import analyze_uplift
 from liftlab.session import ensure_checkpoint_dir, small_table
+from liftlab.sources.footers import file_summary, parquet_footers
 from liftlab.sources.ingest import prepare_dataset, remove_path
 from liftlab.sources.manifest import file_manifest
 from liftlab.sources.overlay import experiment_table, rule_scores
@@ -228,6 +230,118 @@ def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(report["parquet_columns"])
 
 
+def _growing_profile(by: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """A1: the experiment table as files that arrive in two batches; only new files are profiled,
+    and the stored states are merged."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex}"
+        df = _exp(spark, sf_dir)
+        store = profiles.ProfileStore(spark, f"{base}/profile", by=["f4"])
+        for batch, part in (("a", F.col("id") % 3 > 0), ("b", F.col("id") % 3 == 0)):
+            df.where(part).write.parquet(f"{base}/data/{batch}")
+            store.add_files(f"{base}/data")
+        out = small_table(round_doubles(store.profile(by)))  # a row per column (and segment)
+        remove_path(spark, base)
+        return out
+    return run
+
+
+def _merged_cardinality(df: DataFrame) -> DataFrame:
+    """A3: exact distinct counts, and whether the union of the sketches of parts is within three
+    deviations of them, per segment and over all."""
+    df = df.withColumns({"part": F.col("f9"), "segment": F.col("f6")})
+    states = profiles.profile_states(df, SPEC.features, by=["part", "segment"])
+    wide = [F.count_distinct(c).alias(c) for c in SPEC.features]
+    out = None
+    for by in (["segment"], []):
+        exact = df.groupBy(*by).agg(*wide).unpivot(by, list(SPEC.features), "column_name", "exact")
+        near = profiles.cardinality_of(states, by).withColumnRenamed("cardinality", "near")
+        off = F.abs(F.col("near") - F.col("exact")) <= F.lit(3 * profiles.sketch_error()) * F.col("exact")
+        rows = exact.join(near, [*by, "column_name"]).select(
+            (F.col("segment") if by else F.lit("all")).alias("segment"), F.col("column_name").alias("feature"),
+            F.col("exact").alias("cardinality"), off.alias("within_three_deviations"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _sketched_quantiles(df: DataFrame) -> DataFrame:
+    """Quantiles from a sketch, checked by exact counts against the stated rank error."""
+    scored = rule_scores(df)
+    summary = ranking.cate_distribution(scored, outcome="visit")
+    return ranking.quantile_ranks(scored, summary, tolerance=ranking.quantile_rank_error())
+
+
+def _candidates(df: DataFrame) -> DataFrame:
+    """Areas of three candidate scores from one sort."""
+    s = rule_scores(df)
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("candidate"), x.alias("score")) for n, x in (
+        ("rule", F.col("score")), ("reverse", -F.col("score")),
+        ("hashed", (F.col("id") * 7919 % 1000) / F.lit(1000.0)))]))
+    return ranking.candidate_auuc(s.select("id", "treatment", F.col("visit").alias("outcome"), each))
+
+
+def _level_tables(df: DataFrame) -> DataFrame:
+    """M1: the design with a feature of nearly one level per row; levels stay in a table."""
+    spec = ExperimentSpec(features=("f2", "f4", "f0"), continuous=("f2",), categorical=("f4", "f0"))
+    train = sampling.split_rows(df.select(SPEC.id, *SPEC.model_columns), 42, spec=SPEC).where("split = 'train'")
+    pre = learners.fit_preprocessor(train, spec, level_tables=True)
+    return learners.design_size(learners.transform_features(pre, train, [SPEC.id]))
+
+
+def _invalid_values(df: DataFrame) -> DataFrame:
+    """V4: the bad values of two binaries that were spoilt by a rule."""
+    spoilt = df.withColumns({"visit": F.when(F.col("id") % 7 == 0, F.col("id") % 30).otherwise(F.col("visit")),
+                             "exposure": F.when(F.col("id") % 5 == 0, 0.5).otherwise(F.col("exposure"))})
+    return validate.invalid_values(spoilt, SPEC, k=5).withColumn("rank", F.col("rank").cast("long"))
+
+
+class _Wide:
+    """A classifier whose probabilities leave [0, 1]: the first feature, as it is."""
+
+    def predict_proba(self, x):
+        import numpy as np
+        return np.column_stack([1 - x[:, 0], x[:, 0]])
+
+
+def _clipped(df: DataFrame) -> DataFrame:
+    """Probabilities of a plugged-in object, clipped; how many rows hold each."""
+    x = df.select(F.array(((F.col("id") % 5) - 1) / F.lit(2.0)).alias("x"))
+    rows = x.select(array_to_vector("x").alias("features"))
+    scored = learners.positive_probability(_Wide(), rows, "features", "p")
+    return scored.groupBy(F.col("p").alias("probability")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _footer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per given table, from its files' footers."""
+    files = file_summary(parquet_footers(spark, sf_dir))
+    return files.groupBy(F.regexp_replace("file_name", r"\.parquet$", "").alias("table_name")).agg(F.sum("rows").alias("rows"))
+
+
+def _prepare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every other table of the prepare report, in one long table."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prepare-{uuid.uuid4().hex}"
+    df = _exp(spark, sf_dir)
+    spec = ExperimentSpec(features=("f0", "f5", "f7"), continuous=("f0", "f7"), categorical=("f5",))
+    df.select("f0", "f5", "f7", *SPEC.binaries).write.option("header", True).option("compression", "gzip").csv(f"{base}/raw")
+    rep = prepare_dataset(spark, f"{base}/raw", f"{base}/table", spec=spec, versioned=True)
+    remove_path(spark, base)
+
+    def part(table: str, item, value) -> DataFrame:
+        return rep[table].select(F.lit(table).alias("table_name"), item.alias("item"), value.cast("long").alias("value"))
+
+    out = part("summary", F.lit("row_count"), F.col("row_count"))
+    for more in (part("summary", F.lit("column_count"), F.col("column_count")),
+                 part("summary", F.lit("duplicate_full_rows"), F.col("duplicate_full_rows")),
+                 part("duplicates", F.lit("distinct_rows"), F.col("distinct_rows")),
+                 part("equivalence", F.col("check_name"), F.col("passed").cast("int")),
+                 part("logical_violations", F.col("rule"), F.col("violation_count")),
+                 part("raw_binaries", F.col("column_name"), F.col("count_1")),
+                 part("parquet_binaries", F.col("column_name"), F.col("count_0")),
+                 part("raw_columns", F.col("column_name"), F.col("maximum"))):
+        out = out.unionByName(more)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _importable(fn) for name, fn in _queries().items()}
 
@@ -301,6 +415,16 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda df: learners.treatment_predictability(df, SPEC)),
         "prepare_dataset": _prepare,
         "file_manifest": lambda spark, sf_dir: file_manifest(spark, sf_dir, glob="*.parquet"),
+        "incremental_profile": _growing_profile([]),
+        "segment_profile": _growing_profile(["f4"]),
+        "merged_cardinality_within_bounds": _rounded(_merged_cardinality),
+        "sketched_quantiles_within_bounds": _rounded(_sketched_quantiles),
+        "candidate_selection": _rounded(_candidates),
+        "design_matrix_level_tables": _rounded(_level_tables),
+        "invalid_binary_values": _rounded(_invalid_values),
+        "clipped_probabilities": lambda spark, sf_dir: _clipped(_exp(spark, sf_dir)),
+        "footer_rows": _footer_rows,
+        "prepare_report": _prepare_report,
         **(corpus.queries() if corpus else {}),
     }
 
@@ -353,5 +477,15 @@ def oracle_sql() -> dict[str, str]:
         "treatment_predictability_baseline": oracles.treatment_predictability_baseline(),
         "prepare_dataset": oracles.prepare_dataset(),
         "experiment_report": oracles.experiment_report(),
+        "incremental_profile": oracles.column_profile(),
+        "segment_profile": oracles.segment_profile(),
+        "merged_cardinality_within_bounds": oracles.merged_cardinality(),
+        "sketched_quantiles_within_bounds": oracles.sketched_quantiles(),
+        "candidate_selection": oracles.candidate_selection(),
+        "design_matrix_level_tables": oracles.design_matrix(("f2",), ("f4", "f0")),
+        "invalid_binary_values": oracles.invalid_values(),
+        "clipped_probabilities": oracles.clipped_probabilities(),
+        "footer_rows": oracles.footer_rows(),
+        "prepare_report": oracles.prepare_report(),
         **(corpus.oracle_sql() if corpus else {}),
     }

@@ -67,9 +67,9 @@ def categorical_level_counts(df: DataFrame, spec: ExperimentSpec = ExperimentSpe
     by = _by(by)
     spec.require_columns(df, [*by, spec.treatment, *spec.categorical])
     t = F.col(spec.treatment)
-    narrow = df.select(*by, t.alias("_t"),
-                       *[F.col(c).cast("string").alias(c) for c in spec.categorical])
-    long = narrow.unpivot([*by, "_t"], list(spec.categorical), "feature", "level")
+    # ``inline`` and not ``unpivot``: shuffles above an Expand are not reused.
+    long = df.select(*by, t.alias("_t"), F.inline(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in spec.categorical])))
     return long.groupBy(*by, "feature", "level").agg(
         F.count_if(F.col("_t") == 1).alias("treatment_count"),
         F.count_if(F.col("_t") == 0).alias("control_count"))

@@ -882,3 +882,108 @@ def experiment_report() -> str:
     levels = " + ".join(f"COUNT(DISTINCT {c})" for c in CATEGORICAL)
     return with_overlay(f"""
 {rows} UNION ALL SELECT 'categorical_levels', CAST({levels} AS BIGINT) FROM exp""")
+
+
+# ---- mergeable profiles, sketches, candidates, footers ---------------------------------------------
+
+def segment_profile() -> str:
+    body = " UNION ALL ".join(_profile_select("exp", c, t).replace("SELECT ", "SELECT f4, ", 1) + " GROUP BY f4"
+                              for c, t in NUMERIC_COLUMNS)
+    return with_overlay(f""",
+p AS ({body})
+SELECT f4, column_name, dtype, missing_count, nonfinite_count, {R('minimum', 'minimum')},
+       {R('maximum', 'maximum')}, {R('mean', 'mean')},
+       {R('standard_deviation', 'standard_deviation')}
+FROM p""")
+
+
+def merged_cardinality() -> str:
+    per = " UNION ALL ".join(
+        f"SELECT {seg} AS segment, 'f{i}' AS feature, COUNT(DISTINCT f{i}) AS cardinality FROM exp {group}"
+        for i in range(12) for seg, group in (("f6", "GROUP BY f6"), ("'all'", "")))
+    return with_overlay(f"SELECT *, TRUE AS within_three_deviations FROM ({per})")
+
+
+def sketched_quantiles(probabilities=(0.05, 0.25, 0.50, 0.75, 0.95)) -> str:
+    return with_overlay(" UNION ALL ".join(
+        f"SELECT {num(q)} AS probability, COUNT(*) AS observations, TRUE AS within FROM exp" for q in probabilities))
+
+
+def candidate_selection(points: int = 100) -> str:
+    return with_overlay(f""",
+s0 AS (SELECT id, visit AS y, treatment AS t, {RULE_SCORES_SQL} AS score FROM exp),
+sc AS (
+  SELECT 'rule' AS candidate, id, y, t, score FROM s0
+  UNION ALL SELECT 'reverse', id, y, t, -score FROM s0
+  UNION ALL SELECT 'hashed', id, y, t, (id * 7919 % 1000) / {num(1000.0)} FROM s0
+),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY candidate ORDER BY score DESC, id ASC) AS rnk FROM sc),
+tot AS (SELECT candidate, COUNT(*) AS n, COUNT(*) FILTER (WHERE t = 1 AND y = 1) AS tp,
+               COUNT(*) FILTER (WHERE t = 0 AND y = 1) AS cp FROM rk GROUP BY candidate),
+pts AS (
+  SELECT candidate, n, tp, cp, range AS point,
+         CASE WHEN range = {points} THEN {num(1.0)} ELSE range * {num(1.0 / points)} END AS fraction,
+         CASE WHEN range = {points} THEN n
+              ELSE CAST(CEIL(range * {num(1.0 / points)} * n) AS BIGINT) END AS k
+  FROM tot, range(0, {points + 1})
+),
+gc AS (
+  SELECT pts.candidate, point, fraction, n, tp, cp,
+         COUNT(rk.id) FILTER (WHERE t = 1 AND y = 1) AS ctp, COUNT(rk.id) FILTER (WHERE t = 0 AND y = 1) AS ccp
+  FROM pts LEFT JOIN rk ON rk.candidate = pts.candidate AND rk.rnk <= pts.k
+  GROUP BY pts.candidate, point, fraction, n, tp, cp
+),
+g2 AS (
+  SELECT *, {_z('tp', 'cp')} / n * {num(1e5)} AS treat_all,
+         {_z('ctp', 'ccp')} / n * {num(1e5)} - fraction * ({_z('tp', 'cp')} / n * {num(1e5)}) AS d FROM gc
+),
+g3 AS (
+  SELECT *, LAG(d) OVER w AS d0, LAG(fraction) OVER w AS f0
+  FROM g2 WINDOW w AS (PARTITION BY candidate ORDER BY point)
+)
+SELECT candidate, {R('SUM(CASE WHEN d0 IS NOT NULL THEN (d0 + d) / 2 * (fraction - f0) END)',
+                     'auuc_above_random_per_100000')},
+       {R('MAX(treat_all)', 'treat_all_gain_per_100000')}, MAX(n) AS observations
+FROM g3 GROUP BY candidate""")
+
+
+def invalid_values(k: int = 5) -> str:
+    return with_overlay(f""",
+bad AS (
+  SELECT 'visit' AS column_name, CAST(id % 30 AS DOUBLE) AS value FROM exp WHERE id % 7 = 0
+  UNION ALL SELECT 'exposure', {num(0.5)} FROM exp WHERE id % 5 = 0
+),
+n AS (SELECT column_name, value, COUNT(*) AS rows FROM bad WHERE value NOT IN (0, 1) GROUP BY ALL),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY rows DESC, value) AS rank FROM n)
+SELECT column_name, {R('value', 'value')}, rows, rank FROM r WHERE rank <= {k}""")
+
+
+def clipped_probabilities(eps: float = 1e-7) -> str:
+    return with_overlay(f"""
+SELECT LEAST(GREATEST((id % 5 - 1) / {num(2.0)}, {num(eps)}), {num(1.0)} - {num(eps)}) AS probability, COUNT(*) AS rows
+FROM exp GROUP BY 1""")
+
+
+def footer_rows() -> str:
+    tables = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+              "benchmark labels conversations").split()
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS rows FROM {t}" for t in tables)
+
+
+def prepare_report() -> str:
+    names = ("f0", "f5", "f7", *BINARIES)
+    parts = [("summary", "row_count", "COUNT(*)"), ("summary", "column_count", f"MAX({len(names)})"),
+             ("summary", "duplicate_full_rows", "COUNT(*) - (SELECT COUNT(*) FROM d)"),
+             ("duplicates", "distinct_rows", "MAX((SELECT COUNT(*) FROM d))"),
+             *[("equivalence", c, "MAX(1)") for c in ("row_count", "column_names", "missing_counts", "binary_counts",
+                                                 "feature_statistics")],
+             ("logical_violations", "conversion_without_visit", "COUNT(*) FILTER (WHERE conversion = 1 AND visit <> 1)"),
+             ("logical_violations", "exposure_without_treatment", "COUNT(*) FILTER (WHERE exposure = 1 AND treatment <> 1)"),
+             *[("raw_binaries", b, f"COUNT(*) FILTER (WHERE {b} = 1)") for b in BINARIES],
+             *[("parquet_binaries", b, f"COUNT(*) FILTER (WHERE {b} = 0)") for b in BINARIES],
+             *[("raw_columns", c, f"TRUNC(MAX(CAST({c} AS DOUBLE)))") for c in names]]
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{i}' AS item, CAST({v} AS BIGINT) AS value FROM exp"
+                              for t, i, v in parts)
+    return with_overlay(f""",
+d AS (SELECT DISTINCT {', '.join(names)} FROM exp)
+{rows}""")
