@@ -9,8 +9,8 @@ of log10 P(class | context) + log10 P(token | class, context).
   (skips). The most frequent words are classes of their own; the others are
   classed by their last bytes; the end is a class.
 * P(token | class, context) is a product of binary decisions down the class's
-  tree, whose leaves are its frequent words (at most FREQUENT_WORDS in all) and
-  one for its other words, split where the halves weigh alike. Each decision is a
+  tree, whose leaves are its words with at least LEARNT_FROM occurrences (of at most FREQUENT_WORDS in all)
+  and one for its other words, split where the halves weigh alike. Each decision is a
   maximum-entropy model of its own over the same context features; its weights are hashed by
   (feature, node). Without weights a path's probability is the leaf's share of add-one
   counts, (c + 1) / (sum of c + 1 over the class, plus 1). The other words divide their
@@ -57,6 +57,8 @@ OWN_CLASSES = 16
 #: Hashed rows of weights per feature kind.
 BUCKETS = 1 << 14
 FREQUENT_WORDS = 1 << 20
+#: Occurrences from which a word has decisions of its own; fewer are too little to learn their weights from.
+LEARNT_FROM = 64
 #: Hashed weights of the decisions within classes, and the evidence that speaks for a weight of 0.
 CELLS = 1 << 20
 CELL_PRIOR = 8.0
@@ -305,24 +307,25 @@ class Trainer:
         used = np.flatnonzero(seen)
         place = np.zeros(_ROWS, dtype=np.int64)
         place[used] = np.arange(len(used)) * CLASSES
-        cells = place[rows]
-        size = len(used) * CLASSES
-        gap = (np.bincount((cells + drawn).reshape(-1), minlength=size)
-               - np.bincount((cells + cls).reshape(-1), minlength=size)).astype(np.float32)
+        gap = np.zeros(len(used) * CLASSES, dtype=np.float32)
+        for c in place[rows]:
+            np.add.at(gap, c + drawn, np.float32(1))
+            np.subtract.at(gap, c + cls, np.float32(1))
         g = gap.reshape(-1, CLASSES)
         g[-1] = np.bincount(drawn, minlength=CLASSES) - np.bincount(cls, minlength=CLASSES)
         # The noise of a row's gap grows with the root of its tokens.
         g /= np.sqrt(seen[used])[:, None].astype(np.float32)
-        self.power[used] += np.einsum("ij,ij->i", g, g)[:, None]
-        self.weights[used] -= RATE * g / np.sqrt(self.power[used])
+        power = self.power[used] + np.einsum("ij,ij->i", g, g)[:, None]
+        self.power[used] = power
+        g *= RATE / np.sqrt(power)
+        self.weights[used] -= g
 
     def decide(self, cells: np.ndarray, logit: np.ndarray, right: np.ndarray) -> None:
         """A step on the decisions within classes."""
         gap = 1 / (1 + np.exp(-decision_logits(self.cells, cells, logit))) - right
-        power, g = np.zeros(CELLS), np.zeros(CELLS)
-        for c in cells:
-            g += np.bincount(c, gap, minlength=CELLS)
-            power += np.bincount(c, gap * gap, minlength=CELLS)
+        every, gap = cells.reshape(-1), np.tile(gap, KINDS)
+        g = np.bincount(every, gap, minlength=CELLS)
+        power = np.bincount(every, gap * gap, minlength=CELLS)
         # A Newton step: the kinds of feature share what a decision asks for.
         self.cell_power += (KINDS * power).astype(np.float32)
         self.cells -= (g / self.cell_power).astype(np.float32)
@@ -454,7 +457,8 @@ def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
     kind = kind.copy()
     for w, k in own.items():
         kind[h == w] = k
-    tree = Tree.of(h, kind, c, class_total)
+    learnt = c >= LEARNT_FROM
+    tree = Tree.of(h[learnt], kind[learnt], c[learnt], class_total)
     order = np.argsort(h)
     start = np.zeros((_ROWS, CLASSES), dtype=np.float32)
     start[-1] = np.log(class_total / class_total.sum())
