@@ -231,7 +231,8 @@ def reassembled(records: DataFrame) -> DataFrame:
         "problem", F.when(F.col("total").isNull(), "the last segment is missing"),
         F.when(F.coalesce(numbers != wanted, F.lit(True)), "segments are missing or repeated"),
         F.when(length != F.col("total"), "segments do not add up to the total length"))
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
+    # Joined as text in one go: a running concat would copy what it has for every segment.
+    block = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), ""))
     return single.unionByName(g.select(
         F.coalesce("record_id", "_origin").alias("record_id"),
         F.coalesce("warc_type", F.lit("continuation")).alias("warc_type"), *kept[2:],
