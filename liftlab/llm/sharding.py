@@ -7,9 +7,12 @@ the curve are neighbours in every dimension, so the files of a run have narrow
 minimum and maximum statistics in all of them and filters on any of the columns
 prune files.
 
-Defined cases. A null value falls in the first cell of its dimension; numbers are quantised
-as doubles and strings by their first bytes in UTF-8 order. Null and repeated
-ids sort like any other value (null first); rows equal in all sort columns take
+Numbers are quantised as doubles at approximate quantiles. Strings are quantised whole, in byte
+order: their distinct values are counted, range-sorted and cut where the running count
+passes an equal share of the rows.
+
+Defined cases. A null value falls in the first cell of its dimension, and a value with many rows
+takes the cells that its rows fill as one. Null and repeated ids sort like any other value (null first); rows equal in all sort columns take
 consecutive slots. An empty table gives an empty result. Other columns are
 carried through; hilbert, shard and slot replace columns of those names unless
 ``columns`` names the operator's own differently.
@@ -21,24 +24,45 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftlab.llm.common import fresh, ranked, stored, table
+from liftlab.llm.common import fresh, ranked, shuffle_partitions, stored, table
 
 SHARDS = 16
 #: Cells per dimension: 2 ** BITS.
 BITS = 5
-#: Bytes of a string that place it in a cell (order within a cell is free).
-STRING_BYTES = 6
 
 
-def numeric_order(c: Column, kind: str) -> Column:
-    """A double that orders like the column (strings: by their first bytes)."""
-    if kind == "string":
-        first = F.rpad(F.hex(F.encode(c, "utf-8")), 2 * STRING_BYTES, "0")
-        return F.conv(F.substring(first, 1, 2 * STRING_BYTES), 16, 10).cast("double")
-    return c.cast("double")
+def string_bounds(df: DataFrame, c: str, cells: int) -> list[str]:
+    """At most ``cells - 1`` values, ascending, that cut the column's rows into equal shares.
+
+    Distinct values are counted before anything is sorted, so a value with many rows is one row here.
+    """
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    parts = shuffle_partitions(df.sparkSession)
+    rows = stored(counts.repartitionByRange(parts, "value").sortWithinPartitions("value").withColumn(
+        "at", F.monotonically_increasing_id()), "shard-values").withColumn("part", F.shiftright("at", 33))
+    starts, total = [], 0
+    for r in rows.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row per partition
+        starts.append((r["part"], total))
+        total += r["n"]
+    if not total:
+        return []
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("at")) + F.col("start")
+    share = lambda x: F.floor(x * cells / total)
+    cut = rows.join(F.broadcast(df.sparkSession.createDataFrame(starts, "part long, start long")), "part").select(
+        "value", "n", upto.alias("upto")).where(
+            (share(F.col("upto")) > share(F.col("upto") - F.col("n"))) & (F.col("upto") < total))
+    return [r["value"] for r in cut.orderBy("value").collect()]
+
+
+def string_cell(c: Column, bounds: Sequence[str]) -> Column:
+    """Number of bounds below the value; null is in the first cell."""
+    out = F.lit(0)
+    for b in bounds:
+        out = out + F.coalesce((c > F.lit(b)).cast("int"), F.lit(0))
+    return out
 
 
 def hilbert_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
@@ -71,23 +95,31 @@ def hilbert_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
 
 def with_hilbert(df: DataFrame, dims: Sequence[str], bits: int = BITS,
                  name: str = "hilbert") -> DataFrame:
-    """Add the curve index of each row's cell. One scan finds the cells' bounds."""
+    """Add the curve index of each row's cell.
+
+    One scan finds the bounds of the cells of all numbers, and one each those of a string dimension.
+    """
     kinds = dict(df.dtypes)
     names = fresh([*df.columns, name], *[f"_d{i}" for i in range(len(dims))])
-    keys = {k: numeric_order(F.col(c), kinds[c]) for k, c in zip(names, dims)}
-    keyed = df.withColumns(keys)
-    cuts = [j / (1 << bits) for j in range(1, 1 << bits)]
-    found = keyed.agg(*[F.percentile_approx(k, cuts, 10_000).alias(k) for k in keys]).first()
-    bounds = [np.unique(np.asarray(found[k] or [], dtype=np.float64)) for k in keys]
+    cells = 1 << bits
+    text = {k: c for k, c in zip(names, dims) if kinds[c] == "string"}
+    number = {k: F.col(c).cast("double") for k, c in zip(names, dims) if kinds[c] != "string"}
+    cuts = [j / cells for j in range(1, cells)]
+    found = df.select(*[v.alias(k) for k, v in number.items()]).agg(
+        *[F.percentile_approx(k, cuts, 10_000).alias(k) for k in number]).first() if number else {}
+    bounds = {k: np.unique(np.asarray(found[k] or [], dtype=np.float64)) for k in number}
+    keys = {k: string_cell(F.col(text[k]), string_bounds(df, text[k], cells)).cast("double") if k in text else number[k]
+            for k in names}
 
     @F.pandas_udf("long")
     def index(cols: pd.DataFrame) -> pd.Series:
-        cells = [np.where(np.isnan(v := cols[k].to_numpy(np.float64)), 0,
-                          np.searchsorted(b, np.nan_to_num(v), side="left"))
-                 for k, b in zip(cols.columns, bounds)]
-        return pd.Series(hilbert_index(cells, bits))
+        at = [(v := cols[k].to_numpy(np.float64)) if k not in bounds else
+              np.where(np.isnan(v := cols[k].to_numpy(np.float64)), 0,
+                       np.searchsorted(bounds[k], np.nan_to_num(v), side="left"))
+              for k in cols.columns]
+        return pd.Series(hilbert_index(at, bits))
 
-    return keyed.withColumn(name, index(F.struct(*keys))).drop(*keys)
+    return df.withColumns(keys).withColumn(name, index(F.struct(*keys))).drop(*keys)
 
 
 def shard_rows(df: DataFrame, dims: Sequence[str], tie: Sequence[str], shards: int = SHARDS,
@@ -118,6 +150,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", (F.length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"))
+    docs = stored(docs, "shard-docs")  # narrow: the texts are read once
     s = shard_rows(docs, ["source", "lang", "size"], ["doc_id", "text_crc32"])
     return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "hilbert")

@@ -64,3 +64,40 @@ def test_odd_rows(spark, n):
     assert max(counts) - min(counts) <= 1
     for s in range(4):
         assert sorted(got[got["shard"] == s].slot) == list(range(counts[s]))
+
+
+def test_strings_are_placed_whole(spark):
+    """Values that share their first 20 bytes still spread over the cells of their dimension."""
+    rows = [(i, f"https://example.org/{'x' * 200}/{i % 40:03d}" if i % 5 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
+    bounds = sharding.string_bounds(df, "source", 32)
+    assert 25 <= len(bounds) <= 31 and bounds == sorted(bounds)
+    cells = df.select("source", sharding.string_cell(F.col("source"), bounds).alias("cell")).toPandas()
+    counts = cells.dropna().groupby("cell").size()
+    assert len(counts) == len(bounds) + 1 and counts.max() <= 3 * 40
+    by_value = cells.dropna().groupby("source").cell.agg(["min", "max"]).sort_index()
+    assert (by_value["min"] == by_value["max"]).all() and by_value["min"].is_monotonic_increasing
+    got = sharding.shard_rows(df, ["source"], ["doc_id"]).toPandas()
+    ranges = got.dropna().groupby("shard").source.agg(["min", "max"])
+    assert (ranges["max"].to_numpy()[:-1] <= ranges["min"].to_numpy()[1:]).all() and ranges["max"].nunique() > 10
+
+
+def test_a_value_with_a_third_of_all_rows(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"{i:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(6)
+    bounds = sharding.string_bounds(df, "source", 8)
+    assert bounds == sorted(set(bounds)) and 4 <= len(bounds) <= 7
+    cells = df.select("source", sharding.string_cell(F.col("source"), bounds).alias("cell")).where("source <> 'hot'").groupBy("cell").count().toPandas()
+    assert cells["count"].max() < 2 * 3000 / 8
+    assert sharding.string_bounds(df.limit(0), "source", 8) == []
+
+
+def test_clashing_names_of_the_operator(spark):
+    df = spark.createDataFrame([(i, f"s{i}") for i in range(20)], "doc_id long, source string").withColumns(
+        {c: F.lit("clash") for c in ("hilbert", "shard", "slot", "value", "n", "at", "part", "upto", "_rank")})
+    got = sharding.shard_rows(df, ["source"], ["doc_id"], shards=4)
+    assert sorted(got.columns) == sorted(df.columns)
+    p = got.toPandas()
+    assert sorted(p["shard"].unique()) == [0, 1, 2, 3] and set(p["value"]) == set(p["_rank"]) == {"clash"}
+    kept = sharding.shard_rows(df, ["source"], ["doc_id"], columns={"hilbert": "h", "shard": "s", "slot": "t"}).toPandas()
+    assert set(kept["shard"]) == {"clash"} and sorted(kept["s"].unique()) == list(range(16))
