@@ -7,8 +7,9 @@ which characters are trained on: those of turns by TRAINED_ROLE. Only DataFrame
 functions are used.
 
 Defined cases. Turns are ordered by (turn, role, text); repeated turns stay.
-A null role or text compares equal to null and renders as empty. Rows without
-a conv_id form one conversation without an id. If one conversation is a prefix
+A null role or text compares equal to null and renders as empty. A turn without
+a conv_id is a conversation of its own, without an id and without a partner (however many there are, none
+are gathered). If one conversation is a prefix
 of the other, its completion is empty. A conversation without a partner keeps
 null in the columns of the pair. An empty table gives an empty result. Further columns are
 ignored. A conversation is one training example, so it must fit in a row.
@@ -30,10 +31,13 @@ def render(turn: Column) -> Column:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, turns)."""
+    """(conv_id, turn, role, text) -> (conv_id, turns); a turn without a conv_id is one by itself."""
     one = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(
-        F.transform(one, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    turns = turns.select("conv_id", "turn", "role", "text")
+    lone = turns.where(F.col("conv_id").isNull()).select("conv_id", F.array(F.struct("role", "text")).alias("turns"))
+    return turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(
+        F.transform(one, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+    ).unionByName(lone)
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -74,6 +78,10 @@ def pair_by_first_turn(convs: DataFrame) -> DataFrame:
     key = F.md5(F.concat(F.coalesce(first["role"], F.lit("")), F.lit("\n"),
                          F.coalesce(first["text"], F.lit(""))).cast("binary"))
     convs = stored(convs.withColumn("opening", key), "chat-conversations")
+    lone = convs.where(F.col("conv_id").isNull()).select(
+        F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), F.col("turns").alias("chosen"),
+        F.when(F.lit(False), F.col("turns")).alias("rejected"))
+    convs = convs.where(F.col("conv_id").isNotNull())
     order = ranked(convs.select("opening", "conv_id"), ["opening", "conv_id"], "chat-order", "number")
     mine = order.select("opening", F.col("conv_id").alias("chosen_id"), "number")
     after = order.select(F.col("opening").alias("_opening"), F.col("conv_id").alias("rejected_id"),
@@ -81,10 +89,9 @@ def pair_by_first_turn(convs: DataFrame) -> DataFrame:
     pairs = mine.join(after, (mine["number"] == after["_number"]) & (mine["opening"] == after["_opening"]), "left")
     one = convs.select(F.col("conv_id").alias("_id"), F.col("turns").alias("chosen"))
     two = convs.select(F.col("conv_id").alias("_id"), F.col("turns").alias("rejected"))
-    pairs = pairs.join(one, pairs["chosen_id"].eqNullSafe(one["_id"])).drop("_id")
-    # Only a partner without an id would be null here, and it sorts first: never a successor.
+    pairs = pairs.join(one, pairs["chosen_id"] == one["_id"]).drop("_id")
     return pairs.join(two, pairs["rejected_id"] == two["_id"], "left").select(
-        "chosen_id", "rejected_id", "chosen", "rejected")
+        "chosen_id", "rejected_id", "chosen", "rejected").unionByName(lone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,19 +116,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """DuckDB: one row per turn, a window for the successor, and joins turn by turn."""
     return f"""
-with t as (
-  select conv_id, role, text,
-         row_number() over (partition by conv_id order by turn, role, text) as i,
+with named as (  -- a turn without a conv_id is a conversation of its own
+  select *, case when conv_id is null then 'n' || row_number() over () else 'c' || conv_id end as k
+  from conversations),
+t as (
+  select k as conv_id, conv_id as id, role, text,
+         row_number() over (partition by k order by turn, role, text) as i,
          '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as r,
          case when role = '{TRAINED_ROLE}' then '1' else '0' end as m
-  from conversations),
+  from named),
 c as (
-  select conv_id, count(*) as n,
+  select conv_id, id, count(*) as n,
          max(case when i = 1 then md5(coalesce(role, '') || chr(10) || coalesce(text, '')) end) as o
-  from t group by conv_id),
+  from t group by conv_id, id),
 p as (
-  select conv_id as a, n as na, lead(conv_id) over w as b, lead(n) over w as nb
-  from c window w as (partition by o order by conv_id)),
+  select conv_id as a, id as ida, n as na, lead(conv_id) over w as b, lead(id) over w as idb, lead(n) over w as nb
+  from c window w as (partition by o, case when id is null then conv_id end order by id)),
 d as (  -- first turn that differs
   select a, coalesce(min(case when x.role is distinct from y.role or x.text is distinct from y.text
                               then x.i - 1 end), min(least(na, nb))) as k
@@ -139,7 +149,7 @@ z as (
          string_agg(case when i > k then r end, '' order by i) as done,
          string_agg(case when i > k then length(r) || ':' || m end, ',' order by i) as mask
   from q join t on conv_id = b group by q.a)
-select q.a as chosen_id, b as rejected_id, na::bigint as chosen_turns, nb::bigint as rejected_turns,
+select q.ida as chosen_id, q.idb as rejected_id, na::bigint as chosen_turns, nb::bigint as rejected_turns,
        k::bigint as common_turns, case when b is not null then coalesce(s.prompt, '') end as prompt,
        case when b is not null then coalesce(s.done, '') end as chosen_completion,
        case when b is not null then coalesce(s.mask, '') end as chosen_mask,

@@ -14,9 +14,10 @@ def render(role, text):
 def plain(rows):
     convs = {}
     for c, turn, role, text in sorted(rows, key=lambda r: tuple((x is not None, x) for x in r)):
-        convs.setdefault(c, []).append((role, text))
+        if c is not None:
+            convs.setdefault(c, []).append((role, text))
     groups = {}
-    for c in sorted(convs, key=lambda c: (c is not None, c)):
+    for c in sorted(convs):
         role, text = convs[c][0]
         groups.setdefault((role or "", text or ""), []).append(c)
     out = {}
@@ -40,7 +41,7 @@ def collected(df):
                              *((r["prompt"], *("".join(t["text"] for t in r[s]) for s in SIDES),
                                 *(",".join(f"{t['chars']}:{int(t['trained'])}" for t in r[s]) for s in SIDES))
                                if r["rejected"] is not None else ()))
-            for r in df.collect()}
+            for r in df.where("chosen_id is not null").collect()}
 
 
 SIDES = ("chosen_completion", "rejected_completion")
@@ -65,9 +66,26 @@ def test_odd_rows(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(
         {"chosen": F.lit("clash"), "prompt": F.lit(1), "turns": F.lit(2), "number": F.lit(3)})
     pairs = preference.pair_by_first_turn(preference.conversations(turns))
-    got = collected(preference.format_pairs(pairs))
+    formatted = preference.format_pairs(pairs)
+    got = collected(formatted)
     assert got == plain(rows)
-    assert got[1][:4] == (2, 2, 3, 2) and got[1][5] == "" and got[2][0] == 3 and got[None][0] == 1
+    assert got[1][:4] == (2, 2, 3, 2) and got[1][5] == "" and got[2][0] == 3
+    lone = formatted.where("chosen_id is null").collect()
+    assert sorted((r["chosen"][0]["role"] or "", r["chosen"][0]["text"]) for r in lone) == [("", "x"), ("user", "hi")]
+    assert all(len(r["chosen"]) == 1 and r["rejected"] is None and r["common_turns"] is None for r in lone)
+
+
+def test_turns_without_a_conversation_are_not_gathered(spark):
+    """A third of all turns have no conv_id: one row each, and no group or partition holds them all."""
+    rows = [(None if i % 3 == 0 else i // 6, i, "user", f"t{i % 5}") for i in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    convs = preference.conversations(turns)
+    assert convs.where("conv_id is null").count() == 1000
+    assert convs.agg(F.max(F.size("turns"))).first()[0] == 4
+    pairs = preference.pair_by_first_turn(convs)
+    assert pairs.where("chosen_id is null and rejected is null").count() == 1000
+    sizes = [len(p) for p in convs.where("conv_id is null").rdd.glom().collect()]
+    assert max(sizes) < 400
 
 
 def test_empty_table(spark):
