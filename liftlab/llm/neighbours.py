@@ -4,8 +4,9 @@ Every vector v is scaled to length 1, rotated by a random orthogonal matrix into
 D = CODE_FACTOR times its dimension (a multiple of 64), and kept as the D signs
 of the result, its length |v|, and the correction a = <signs / sqrt(D), rotated v / |v|>.
 For a query q, <signs / sqrt(D), rotated q> / a estimates <v / |v|, q> without
-bias, and the error is at most |q| * sqrt((1 - a^2) / a^2) * EPSILON / sqrt(D - 1) but
-with a vanishing probability. A task walks over its part of the index and
+bias, and the error is at most |q| * sqrt((1 - a^2) / a^2) * epsilon / sqrt(D - 1) but
+with a probability that vanishes with ``epsilon`` (EPSILON unless given; None compares every vector, so
+nothing can be missed). A task walks over its part of the index and
 keeps each query's best exact products so far; only vectors whose upper bound
 reaches the query's k-th best are reranked with their original components, in double
 precision. In the first rows, the k-th largest lower bound stands in for that.
@@ -98,7 +99,9 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embed
 class Search:
     """The best products of a block of queries (of one dimension) over the rows seen so far."""
 
-    def __init__(self, number: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+    def __init__(self, number: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int,
+                 epsilon: float | None = EPSILON) -> None:
+        self.epsilon = np.inf if epsilon is None else epsilon
         order = np.argsort(ids, kind="stable")
         self.number, self.ids, self.q, self.k = number[order], ids[order], q[order], k
         self.norm = np.linalg.norm(self.q, axis=1)
@@ -117,7 +120,7 @@ class Search:
         d = self.rotated.shape[1]
         signs = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
         factor = (length / (np.sqrt(d) * correction)).astype(np.float32)
-        wide = np.sqrt(np.maximum(1 - correction ** 2, 0)) / correction * EPSILON / np.sqrt(d - 1) + SLACK
+        wide = np.sqrt(np.maximum(1 - correction ** 2, 0)) / correction * self.epsilon / np.sqrt(d - 1) + SLACK
         room = np.outer(self.norm, length * wide).astype(np.float32)
         estimate = self.rotated @ (signs * factor[:, None]).T
         # A query's own rows are no candidates.
@@ -166,10 +169,12 @@ def _merged(found: DataFrame, k: int, parts: int) -> DataFrame:
             return found.drop("part")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK,
+           epsilon: float | None = EPSILON) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of the index for every query.
 
-    ``queries``: rows (vec_id, vector) of an index.
+    ``queries``: rows (vec_id, vector) of an index. ``epsilon=None`` is the exact search. One block's
+    queries are broadcast at a time: each block's result is stored and its broadcast given back.
     """
     spark = index.sparkSession
     sizes = queries.select("vec_id", "vector", F.hash("vector").alias("_h"))
@@ -189,7 +194,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, query_block: int =
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             dims = lists.value_lengths().to_numpy(zero_copy_only=False)
             by_dim = {int(d): Search(number[dims == d], ids[dims == d],
-                                     rows_of(lists.filter(pa.array(dims == d)), int(d)), k)
+                                     rows_of(lists.filter(pa.array(dims == d)), int(d)), k, epsilon)
                       for d in np.unique(dims)}
             for b in batches:
                 dims = b.column(4).value_lengths().to_numpy(zero_copy_only=False)
@@ -212,8 +217,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, query_block: int =
 
         found = scan.mapInArrow(run, "number long, query_id long, vec_id long, score double, part int")
         best = _merged(found, k, parts).select("query_id", "rank", "vec_id", "score")
-        if total > query_block:
-            best = stored(best, "ann-found")  # the next block's broadcast replaces this one's
+        best = stored(best, "ann-found")
+        sent.destroy()
         out = best if out is None else out.unionByName(best)
     return out
 

@@ -81,3 +81,22 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     index = neighbours.build_index(df)
     assert neighbours.search(index, index).count() == 0
+
+
+def test_exact_setting_equals_brute_force_where_the_bound_fails(spark):
+    """A bound far too narrow loses neighbours; without a bound none is lost."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(6)
+    index = neighbours.build_index(df)
+    score = v @ v.T
+    np.fill_diagonal(score, -np.inf)
+    want = {(q, r): int(i) for q in range(0, 600, 20) for r, i in enumerate(np.argsort(-score[q], kind="stable")[:5], 1)}
+
+    def found(epsilon):
+        got = neighbours.search(index, index.where("vec_id % 20 = 0"), k=5, query_block=16, epsilon=epsilon)
+        return {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
+
+    assert found(None) == want
+    narrow = found(-2.0)
+    assert narrow != want
