@@ -303,6 +303,32 @@ class _Wide:
         return np.column_stack([1 - x[:, 0], x[:, 0]])
 
 
+class _LevelSlope:
+    """A classifier for the S-learner's design [levels, T, levels * T] with a known effect per level:
+    it rises with the level for the smaller alpha and falls for the larger one."""
+
+    def __init__(self, alpha: float) -> None:
+        self.sign = 1.0 if alpha < 5e-5 else -1.0
+
+    def predict_proba(self, x):
+        import numpy as np
+        levels = (x.shape[1] - 1) // 2
+        p = 0.3 + self.sign * x[:, levels + 1:] @ np.arange(1, levels + 1) * 0.01
+        return np.column_stack([1 - p, p])
+
+
+def _uplift_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's selection and held-out areas for a classifier with known effects."""
+    spec = ExperimentSpec(features=("f4",), continuous=(), categorical=("f4",))
+    report = analyze_uplift(_exp(spark, sf_dir), spec, learner_names=("s_learner",), parallelism=4,
+                            classifier=_LevelSlope)
+    test = report["auuc"].select("outcome", F.lit(True).alias("selected"),
+                                 F.col("auuc_above_random_per_100000").alias("test_auuc_above_random_per_100000"),
+                                 F.col("observations").alias("test_observations"))
+    found = report["model_selection"].select("outcome", "alpha", "validation_auuc_above_random_per_100000", "selected")
+    return round_doubles(found.join(test, ["outcome", "selected"], "left"))
+
+
 def _clipped(df: DataFrame) -> DataFrame:
     """Probabilities of a plugged-in object, clipped; how many rows hold each."""
     x = df.select(F.array(((F.col("id") % 5) - 1) / F.lit(2.0)).alias("x"))
@@ -424,6 +450,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "invalid_binary_values": _rounded(_invalid_values),
         "clipped_probabilities": lambda spark, sf_dir: _clipped(_exp(spark, sf_dir)),
         "footer_rows": _footer_rows,
+        "uplift_search": _uplift_search,
         "prepare_report": _prepare_report,
         **(corpus.queries() if corpus else {}),
     }
@@ -486,6 +513,7 @@ def oracle_sql() -> dict[str, str]:
         "invalid_binary_values": oracles.invalid_values(),
         "clipped_probabilities": oracles.clipped_probabilities(),
         "footer_rows": oracles.footer_rows(),
+        "uplift_search": oracles.uplift_search(),
         "prepare_report": oracles.prepare_report(),
         **(corpus.oracle_sql() if corpus else {}),
     }

@@ -909,42 +909,76 @@ def sketched_quantiles(probabilities=(0.05, 0.25, 0.50, 0.75, 0.95)) -> str:
         f"SELECT {num(q)} AS probability, COUNT(*) AS observations, TRUE AS within FROM exp" for q in probabilities))
 
 
-def candidate_selection(points: int = 100) -> str:
-    return with_overlay(f""",
-s0 AS (SELECT id, visit AS y, treatment AS t, {RULE_SCORES_SQL} AS score FROM exp),
-sc AS (
-  SELECT 'rule' AS candidate, id, y, t, score FROM s0
-  UNION ALL SELECT 'reverse', id, y, t, -score FROM s0
-  UNION ALL SELECT 'hashed', id, y, t, (id * 7919 % 1000) / {num(1000.0)} FROM s0
-),
-rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY candidate ORDER BY score DESC, id ASC) AS rnk FROM sc),
-tot AS (SELECT candidate, COUNT(*) AS n, COUNT(*) FILTER (WHERE t = 1 AND y = 1) AS tp,
-               COUNT(*) FILTER (WHERE t = 0 AND y = 1) AS cp FROM rk GROUP BY candidate),
-pts AS (
+def _areas_cte(points: int = 100) -> str:
+    """From scores (candidate, id, y, t, score): areas (candidate, area, treat_all, n)."""
+    return f"""
+ar_rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY candidate ORDER BY score DESC, id ASC) AS rnk FROM scores),
+ar_tot AS (SELECT candidate, COUNT(*) AS n, COUNT(*) FILTER (WHERE t = 1 AND y = 1) AS tp,
+               COUNT(*) FILTER (WHERE t = 0 AND y = 1) AS cp FROM ar_rk GROUP BY candidate),
+ar_pts AS (
   SELECT candidate, n, tp, cp, range AS point,
          CASE WHEN range = {points} THEN {num(1.0)} ELSE range * {num(1.0 / points)} END AS fraction,
          CASE WHEN range = {points} THEN n
               ELSE CAST(CEIL(range * {num(1.0 / points)} * n) AS BIGINT) END AS k
-  FROM tot, range(0, {points + 1})
+  FROM ar_tot, range(0, {points + 1})
 ),
-gc AS (
-  SELECT pts.candidate, point, fraction, n, tp, cp,
-         COUNT(rk.id) FILTER (WHERE t = 1 AND y = 1) AS ctp, COUNT(rk.id) FILTER (WHERE t = 0 AND y = 1) AS ccp
-  FROM pts LEFT JOIN rk ON rk.candidate = pts.candidate AND rk.rnk <= pts.k
-  GROUP BY pts.candidate, point, fraction, n, tp, cp
+ar_gc AS (
+  SELECT ar_pts.candidate, point, fraction, n, tp, cp,
+         COUNT(ar_rk.id) FILTER (WHERE t = 1 AND y = 1) AS ctp, COUNT(ar_rk.id) FILTER (WHERE t = 0 AND y = 1) AS ccp
+  FROM ar_pts LEFT JOIN ar_rk ON ar_rk.candidate = ar_pts.candidate AND ar_rk.rnk <= ar_pts.k
+  GROUP BY ar_pts.candidate, point, fraction, n, tp, cp
 ),
-g2 AS (
+ar_g2 AS (
   SELECT *, {_z('tp', 'cp')} / n * {num(1e5)} AS treat_all,
-         {_z('ctp', 'ccp')} / n * {num(1e5)} - fraction * ({_z('tp', 'cp')} / n * {num(1e5)}) AS d FROM gc
+         {_z('ctp', 'ccp')} / n * {num(1e5)} - fraction * ({_z('tp', 'cp')} / n * {num(1e5)}) AS d FROM ar_gc
 ),
-g3 AS (
+ar_g3 AS (
   SELECT *, LAG(d) OVER w AS d0, LAG(fraction) OVER w AS f0
-  FROM g2 WINDOW w AS (PARTITION BY candidate ORDER BY point)
-)
-SELECT candidate, {R('SUM(CASE WHEN d0 IS NOT NULL THEN (d0 + d) / 2 * (fraction - f0) END)',
-                     'auuc_above_random_per_100000')},
-       {R('MAX(treat_all)', 'treat_all_gain_per_100000')}, MAX(n) AS observations
-FROM g3 GROUP BY candidate""")
+  FROM ar_g2 WINDOW w AS (PARTITION BY candidate ORDER BY point)
+),
+areas AS (
+  SELECT candidate, SUM(CASE WHEN d0 IS NOT NULL THEN (d0 + d) / 2 * (fraction - f0) END) AS area,
+         MAX(treat_all) AS treat_all, MAX(n) AS n
+  FROM ar_g3 GROUP BY candidate
+)"""
+
+
+def candidate_selection() -> str:
+    return with_overlay(f""",
+s0 AS (SELECT id, visit AS y, treatment AS t, {RULE_SCORES_SQL} AS score FROM exp),
+scores AS (
+  SELECT 'rule' AS candidate, id, y, t, score FROM s0
+  UNION ALL SELECT 'reverse', id, y, t, -score FROM s0
+  UNION ALL SELECT 'hashed', id, y, t, (id * 7919 % 1000) / {num(1000.0)} FROM s0
+),{_areas_cte()}
+SELECT candidate, {R('area', 'auuc_above_random_per_100000')},
+       {R('treat_all', 'treat_all_gain_per_100000')}, n AS observations
+FROM areas""")
+
+
+def uplift_search(alphas=(1e-5, 1e-4)) -> str:
+    """The uplift report with a classifier whose effect rises (first alpha) or falls with the level of f4."""
+    parts = " UNION ALL ".join(
+        f"SELECT '{o}' AS outcome, {num(a)} AS alpha, split, '{o} {i} ' || split AS candidate, id, {o} AS y, treatment AS t, "
+        f"{'' if i == 0 else '-'}level AS score FROM lv WHERE split <> 'train'"
+        for o in ("visit", "conversion") for i, a in enumerate(alphas))
+    return with_overlay(f"""{_split_cte()},
+lv AS (
+  SELECT sp.*, f.level FROM sp JOIN exp ON exp.id = sp.id JOIN (
+    SELECT f4, CAST(ROW_NUMBER() OVER (ORDER BY f4) AS BIGINT) AS level
+    FROM (SELECT DISTINCT f4 FROM sp JOIN exp ON exp.id = sp.id WHERE split = 'train')) f ON f.f4 = exp.f4
+),
+scores AS ({parts}),{_areas_cte()},
+names AS (SELECT DISTINCT candidate, outcome, alpha, split FROM scores),
+v AS (
+  SELECT outcome, alpha, area, ROW_NUMBER() OVER (PARTITION BY outcome ORDER BY area DESC, alpha) = 1 AS selected
+  FROM names JOIN areas USING (candidate) WHERE split = 'validation'
+),
+te AS (SELECT outcome, alpha, area, n FROM names JOIN areas USING (candidate) WHERE split = 'test')
+SELECT v.outcome, v.alpha, {R('v.area', 'validation_auuc_above_random_per_100000')}, selected,
+       CASE WHEN selected THEN {R('te.area', 'x').removesuffix(' AS x')} END AS test_auuc_above_random_per_100000,
+       CASE WHEN selected THEN te.n END AS test_observations
+FROM v JOIN te ON te.outcome = v.outcome AND te.alpha = v.alpha""")
 
 
 def invalid_values(k: int = 5) -> str:

@@ -21,7 +21,7 @@ def scored(spark):
     return rule_scores(experiment_table(spark, SF)).select("id", "treatment", "visit", "score").cache()
 
 
-@pytest.mark.parametrize("partitions", [None, 1, 7])
+@pytest.mark.parametrize("partitions", [None, 7])
 def test_areas_of_all_candidates_equal_single_evaluations(spark, scored, partitions):
     variants = {0: F.col("score"), 1: -F.col("score"), 2: F.lit(0.5), 3: F.sin("id")}
     long = scored.select("id", "treatment", F.col("visit").alias("outcome"), F.inline(F.array(*[
