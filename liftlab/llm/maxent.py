@@ -38,6 +38,7 @@ empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -117,6 +118,7 @@ class Tokens:
         return cls(distinct[full], kind[full], np.arange(len(full)) - (ends - size + 1)[text], text,
                    full, distinct)
 
+    @functools.cached_property
     def features(self) -> np.ndarray:
         """Hash of each kind's context feature, per token."""
         h = self.hash.view(np.uint64)
@@ -133,7 +135,7 @@ class Tokens:
         """Row of the weights of each feature kind, per token."""
         shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
         return np.stack([(m >> shift).astype(np.int32) + k * BUCKETS
-                         for k, m in enumerate(self.features())])
+                         for k, m in enumerate(self.features)])
 
 
 @dataclass
@@ -212,7 +214,7 @@ class Decisions:
     """The decisions within classes of all tokens of several texts."""
 
     def __init__(self, tree: Tree, t: Tokens) -> None:
-        self.tree, self.code, self.features = tree, t.code, t.features()
+        self.tree, self.code, self.features = tree, t.code, t.features
         kind = np.zeros(len(t.distinct), dtype=np.int32)
         kind[t.code] = t.cls
         leaf = tree.leaves(t.distinct, kind)
