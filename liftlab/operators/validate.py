@@ -8,6 +8,7 @@ the small result.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -302,10 +303,11 @@ def table_equivalence(left: DataFrame, right: DataFrame,
     """Row count, column order, missing counts, binary counts and feature
     statistics agree. One row per check (check_name, passed).
 
-    One aggregate per side holds all that is compared; the checks run on
+    One aggregate per side holds all that is compared, both at the same time; the checks run on
     those two rows.
     """
-    a, b = table_summary(left, spec), table_summary(right, spec)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        a, b = pool.map(lambda side: table_summary(side, spec), (left, right))
     rows = a["table"].crossJoin(b["table"].select(F.col("row_count").alias("other"))).select(
         F.lit("row_count").alias("check_name"), (F.col("row_count") == F.col("other")).alias("passed"))
     return equivalence_from_profiles(a["columns"], b["columns"], a["binaries"], b["binaries"], rows,

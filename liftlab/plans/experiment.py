@@ -44,8 +44,8 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
                        seed: int = 42) -> dict[str, DataFrame]:
     """Randomisation audit, balance, ITT effects, sensitivity and exposure.
 
-    Without segments every table with a fixed number of rows is a local
-    relation. ``categorical_levels`` has a row per level and stays
+    Without segments every table with a fixed number of rows is a local relation: population and
+    balance are computed once, and what derives from them needs no further job. ``categorical_levels`` has a row per level and stays
     distributed, as do all tables with ``by``; they rest on the cached aggregates
     ``population``, ``continuous_balance`` and ``categorical_levels``:
     ``unpersist()`` those when the report is no longer needed.
@@ -59,10 +59,13 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
     pool = ThreadPoolExecutor(max_workers=1) if predictability_sample_size else None
     pending = pool.submit(lambda: small_table(learners.treatment_predictability(
         df, spec, sample_size=predictability_sample_size, seed=seed))) if pool else None
-    pop = population.population_summary(df, spec, by).cache()  # one small row per segment
-    cont = balance.continuous_balance(df, spec, by).cache()
+    settled = (lambda t: t.cache()) if by else small_table  # per segment, tables may be large
+    pop = settled(population.population_summary(df, spec, by))
+    cont = settled(balance.continuous_balance(df, spec, by))
     levels = balance.categorical_level_balance(df, spec, by).cache()
     cat = balance.categorical_balance(None, spec, by, levels=levels)
+    if not by:
+        cat = small_table(cat)
     itt = effects.itt_effects(None, spec, by, alpha, population=pop)
     mde = power.mde_grid(None, spec, by, alpha=alpha, population=pop)
     report = {
@@ -89,8 +92,6 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
         report["chart_effects"] = charts.effect_points(itt)
         report["chart_sensitivity"] = charts.effect_vs_mde(itt, mde)
         report = {k: v if k == "categorical_levels" else small_table(v) for k, v in report.items()}
-        for cached in (pop, cont):
-            cached.unpersist()
     if pending is not None:
         report["treatment_predictability"] = pending.result()
         pool.shutdown()
