@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import re
 import tempfile
 
 import pytest
@@ -174,8 +175,9 @@ def test_one_csv_scan_and_no_exchange_of_text(spark, tmp_path):
     plans = [e["physicalPlanDescription"] for e in log if e["Event"].endswith("SparkListenerSQLExecutionStart")]
     scans = [p for p in plans if "Scan csv" in p]
     assert len(scans) == 1 and "Exchange" not in scans[0]
+    # Only the one row of counts per task is exchanged, no text.
     texts = [p for p in plans if "Scan parquet" in p and "-text" in p]
-    assert texts and all("Exchange" not in p for p in texts)
+    assert texts and all(set(re.findall(r"Arguments: (\w+partitioning|SinglePartition)", p)) <= {"SinglePartition"} for p in texts)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2000
     assert not os.path.exists(str(tmp_path / "out") + ".part-text")
 
