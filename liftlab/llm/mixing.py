@@ -10,8 +10,8 @@ training position. Sorting by position by range gives the training order.
 
 Defined cases. Null text or blank text: size 0, never repeated, takes nothing.
 Null source: a source of its own, after all others. Null or repeated doc_id:
-ordinary rows, ordered by the hash of their id and then by size; repeated rows
-are mixed like different documents. A document longer than its source's target
+ordinary rows, ordered by the hash of their id, by size and by a hash of their columns
+(nested ones aside); repeated rows are mixed like different documents. A document longer than its source's target
 is taken when more than half of it fits. A source of size 0 gets target 0. An
 empty table gives an empty result. Other columns are carried through ``mix``
 untouched; its own columns (OWN_COLUMNS) replace columns of those names.
@@ -23,8 +23,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from liftlab.llm.common import fresh, ranked, stored, table, words
+from liftlab.llm.common import fresh, ranked, shuffle_partitions, stored, table, words
 
 OWN_COLUMNS = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_positions")
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,8 +33,6 @@ CAP = 3
 #: Relative weight over training time, at equally spaced times, for each weight
 #: of the cycle: large sources lead, small ones follow.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-#: Rows of one source in one prefix-sum window, at most about.
-WINDOW_ROWS = 20_000
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS,
@@ -81,38 +80,51 @@ def time_of(share: Column, knots: Sequence[float]) -> Column:
     return out if m > 1 else here
 
 
+def _in_stream_order(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(of, size, ...) plus ``begin``: the sizes before a row in its source, in ``order``.
+
+    One range sort of narrow rows over all sources; running sums within a
+    range; and the ranges' totals, at most one per range and source.
+    ``order`` ends in a unique column, so no key is too frequent to be cut.
+    """
+    ranged = (rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "of", *order)
+              .sortWithinPartitions("of", *order).withColumn("at", F.monotonically_increasing_id()))
+    ranged = stored(ranged, "mix-ranges").withColumn("range", F.shiftright("at", 33))
+    earlier = Window.partitionBy("of").orderBy("range")
+    starts = (ranged.groupBy("of", "range").agg(F.sum("size").alias("sum"))
+              .withColumn("start", F.sum("sum").over(earlier) - F.col("sum")).drop("sum"))
+    so_far = (Window.partitionBy("range", "of").orderBy("at")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = ranged.withColumn("end", F.sum("size").over(so_far))
+    return (ends.join(starts, ["range", "of"])
+            .withColumn("begin", F.col("start") + F.col("end") - F.col("size"))
+            .drop("range", "at", "start", "end"))
+
+
 def mix(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, cap: int = CAP,
         schedules: Sequence[Sequence[float]] = SCHEDULES) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_copies, mix_positions.
 
     ``docs`` needs doc_id and source. mix_positions holds the training
-    position of every copy. Cumulative sizes come from windows over (source,
-    hash bucket) and from the buckets' totals, so a source with most of the
-    rows is spread over many tasks.
+    position of every copy. The rows are stored under a number; everything else
+    is computed on narrow rows, and the result is joined to them once.
     """
     carried = [c for c in docs.columns if c not in OWN_COLUMNS]
+    plain = [f.name for f in docs.schema if f.name in carried and not isinstance(
+        f.dataType, (ArrayType, MapType, StructType, VariantType))]
     # md5 of the id: the same order in any engine and on any layout.
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # A source key without nulls: windows and joins then share one partitioning.
     of = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    d = docs.select(F.struct(*carried).alias("row"), "source", of.alias("of"),
-                    size.cast("long").alias("size"), key.alias("key"))
-    totals = stored(d.groupBy("of").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"),
-                                        F.count(F.lit(1)).alias("rows")), "mix-totals")
-    rows = totals.agg(F.max("rows")).first()[0] or 0
-    digits = 2
-    while rows / 16 ** digits > WINDOW_ROWS:
-        digits += 1
+    rows = stored(docs.select(F.struct(*carried).alias("row"), "source", of.alias("of"),
+                              size.cast("long").alias("size"), key.alias("key"),
+                              F.xxhash64(*plain).alias("hash"),
+                              F.monotonically_increasing_id().alias("number")), "mix-rows")
+    totals = stored(rows.groupBy("of").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")),
+                    "mix-totals")
     targets = source_targets(totals, weights, cap).withColumn("of", of).drop("source")
-    d = d.withColumn("bucket", F.substring("key", 1, digits))
-    in_source = Window.partitionBy("of").orderBy("bucket")
-    buckets = (d.groupBy("of", "bucket").agg(F.sum("size").alias("sum"))
-               .withColumn("start", F.sum("sum").over(in_source) - F.col("sum")).drop("sum"))
-    in_bucket = (Window.partitionBy("of", "bucket").orderBy("key", "size")
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("end", F.sum("size").over(in_bucket))
-    d = d.join(buckets.join(targets, "of"), ["of", "bucket"], "left")
-    d = d.withColumn("begin", F.col("start") + F.col("end") - F.col("size"))
+    d = _in_stream_order(rows.select("of", "key", "size", "hash", "number"), ["key", "size", "hash", "number"])
+    d = d.join(targets, "of")
     # Copy p occupies [p * source_size + begin, + size): taken if its middle is below target.
     fits = F.ceil((F.col("target") - F.col("begin") - F.col("size") / 2) / F.col("source_size"))
     once = F.when(F.col("begin") < F.col("target"), 1).otherwise(0)
@@ -128,8 +140,9 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, cap:
 
     positions = F.array_compact(F.array(*[F.when(F.col("copies") > p, position(F.lit(p)))
                                           for p in range(cap)]))
-    return d.select("row.*", *[c.alias(n) for n, c in zip(OWN_COLUMNS, (
+    d = d.select("number", *[c.alias(n) for n, c in zip(OWN_COLUMNS, (
         F.col("size"), F.col("source_size"), F.col("target"), F.col("copies"), positions))])
+    return rows.select("number", "row").join(d, "number").select("row.*", *OWN_COLUMNS)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -143,14 +156,31 @@ def n_words(text: Column) -> Column:
     return F.size(words(text))
 
 
+def places(positions: DataFrame) -> DataFrame:
+    """(row, doc_id, size, copy, tick) -> plus ``place``, from 0, in training order.
+
+    A tick is a billionth of the training time. Copies of one tick are ordered by doc_id
+    (null first), size and copy.
+    """
+    return ranked(stored(positions, "mix-copies"), ["tick", "doc_id", "size", "copy", "row"], "mix-order", "place")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"))
-    m = mix(stored(docs, "mix-docs"), F.col("n"))
-    return m.select("doc_id", F.col("mix_size").alias("size"),
-                    F.col("mix_source_size").alias("source_size"),
-                    F.round("mix_target", 4).alias("target"),
-                    (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
-                    F.round(F.try_element_at("mix_positions", F.lit(1)), 9).alias("position"))
+    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    m = stored(mix(numbered, F.col("n")), "mix-result")
+    copies = m.select("row", "doc_id", F.col("mix_size").alias("size"),
+                      F.posexplode("mix_positions").alias("copy", "position"))
+    placed = places(copies.withColumn("tick", F.round(F.col("position") * 1e9).cast("long")).drop("position"))
+    found = placed.groupBy("row").agg(*[F.max(F.when(F.col("copy") == p, F.col("place"))).alias(f"place_{p + 1}")
+                                        for p in range(CAP)])
+    return m.join(found, "row", "left").select(
+        "doc_id", F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.round("mix_target", 4).alias("target"),
+        (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
+        F.round(F.try_element_at("mix_positions", F.lit(1)), 9).alias("position"),
+        *[F.col(f"place_{p + 1}") for p in range(CAP)])
 
 
 def _time_sql(knots: Sequence[float]) -> str:
@@ -171,6 +201,8 @@ def _time_sql(knots: Sequence[float]) -> str:
 def oracle() -> str:
     """DuckDB: the level by sorting sources by the level at which they are full."""
     cases = " ".join(f"when tier = {k} then {_time_sql(s)}" for k, s in enumerate(SCHEDULES))
+    each = ", ".join(f"max(case when copy = {p} then place end) as place_{p + 1}" for p in range(CAP))
+    found = ", ".join(f"x.place_{p + 1}::bigint as place_{p + 1}" for p in range(CAP))
     return f"""
 with d as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as k,
@@ -205,9 +237,17 @@ c as (
   select *, greatest(0, least({CAP}, case when size > 0
               then ceil((target - b - size / 2) / source_size)
               when b < target then 1 else 0 end))::int as copies,
-         least(1.0, b::double / target) as share
-  from p)
-select doc_id, size, source_size::bigint as source_size, round(target, 4) as target,
-       copies::bigint * size as taken,
-       case when copies > 0 then round(case {cases} end, 9) end as position
-from c"""
+         row_number() over () as row
+  from p),
+e as (  -- one row per copy
+  select *, least(1.0, (copy * source_size + b)::double / target) as share
+  from c, range({CAP}) r(copy) where copy < copies),
+g as (select *, case {cases} end as position from e),
+o as (
+  select *, row_number() over (order by round(position * 1e9)::bigint, doc_id nulls first, size, copy, row) - 1 as place
+  from g)
+select c.doc_id, c.size, c.source_size::bigint as source_size, round(c.target, 4) as target,
+       c.copies::bigint * c.size as taken, round(x.position, 9) as position, {found}
+from c left join (
+  select row, max(case when copy = 0 then position end) as position, {each}
+  from o group by row) x on c.row = x.row"""

@@ -48,10 +48,55 @@ def test_copies_match_a_plain_walk(spark):
     assert again.sort_index().equals(got.sort_index())
 
 
-def test_small_windows_change_nothing(spark, monkeypatch):
+def test_many_ranges_change_nothing(spark):
     before = mixing.query(spark, SF).toPandas().set_index("doc_id").sort_index()
-    monkeypatch.setattr(mixing, "WINDOW_ROWS", 0.01)
-    assert mixing.query(spark, SF).toPandas().set_index("doc_id").sort_index().equals(before)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "53")
+    try:
+        assert mixing.query(spark, SF).toPandas().set_index("doc_id").sort_index().equals(before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_every_copy_has_its_place(spark):
+    got = mixing.query(spark, SF).toPandas()
+    places = got[["place_1", "place_2", "place_3"]].to_numpy().ravel()
+    places = np.sort(places[~np.isnan(places)]).astype(int)
+    assert (got["size"] > 0).any() and places.tolist() == list(range(len(places)))
+    taken = got[got["size"] > 0]
+    assert (taken[["place_1", "place_2", "place_3"]].notna().sum(axis=1) * taken["size"] == taken.taken).all()
+    first = got[got.place_1.notna()].sort_values("place_1")
+    assert (np.diff(first.position) >= 0).all()
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_a_third_of_the_rows_without_an_id(spark, repeated):
+    n, text = 30_000, "1" if repeated else "id"
+    docs = spark.range(n).selectExpr("if(id % 3 = 0, null, id) as doc_id", "'hot' as source",
+                                     "if(id % 3 = 0, 4, id % 7) as n", f"{text} as x")
+    rows = mixing.stored(docs.selectExpr(
+        "'s' as of", "coalesce(cast(doc_id as string), '') as key", "cast(n as long) as size",
+        "monotonically_increasing_id() as number"), "test-rows")
+    begun = mixing._in_stream_order(rows, ["key", "size", "number"])
+    plain = rows.toPandas().sort_values(["key", "size", "number"])
+    plain["begin"] = plain["size"].cumsum() - plain["size"]
+    got = begun.toPandas().sort_values("number").begin.to_list()
+    assert got == plain.sort_values("number").begin.to_list()
+    m = mixing.mix(docs, F.col("n")).toPandas()
+    assert len(m) == n and abs((m.mix_size * m.mix_copies).sum() - m.mix_target[0]) < 7
+
+
+def test_hot_key_is_cut_into_ranges(spark):
+    rows = spark.range(40_000).selectExpr("'s' as of", "'' as key", "1L as size", "id as number")
+    stored = []
+    real = mixing.stored
+    try:
+        mixing.stored = lambda df, name: stored.append(real(df, name)) or stored[-1]
+        mixing._in_stream_order(rows, ["key", "size", "number"]).count()
+    finally:
+        mixing.stored = real
+    ranges = stored[0].groupBy(F.shiftright("at", 33)).count().toPandas()["count"]
+    assert len(ranges) > 1 and ranges.max() < 2 * ranges.sum() / len(ranges)
 
 
 def test_the_curriculum_moves_weight_over_time(spark):
