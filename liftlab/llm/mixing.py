@@ -14,7 +14,8 @@ ordinary rows, ordered by the hash of their id, by size and by a hash of their c
 (nested ones aside); repeated rows are mixed like different documents. A document longer than its source's target
 is taken when more than half of it fits. A source of size 0 gets target 0. An
 empty table gives an empty result. Other columns are carried through ``mix``
-untouched; its own columns (OWN_COLUMNS) replace columns of those names.
+untouched; its own columns (OWN_COLUMNS) come last, with leading underscores where the table has
+such names already.
 """
 
 from __future__ import annotations
@@ -109,14 +110,14 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, cap:
     position of every copy. The rows are stored under a number; everything else
     is computed on narrow rows, and the result is joined to them once.
     """
-    carried = [c for c in docs.columns if c not in OWN_COLUMNS]
-    plain = [f.name for f in docs.schema if f.name in carried and not isinstance(
+    own = fresh(docs.columns, *OWN_COLUMNS)
+    plain = [f.name for f in docs.schema if not isinstance(
         f.dataType, (ArrayType, MapType, StructType, VariantType))]
     # md5 of the id: the same order in any engine and on any layout.
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # A source key without nulls: windows and joins then share one partitioning.
     of = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    rows = stored(docs.select(F.struct(*carried).alias("row"), "source", of.alias("of"),
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), "source", of.alias("of"),
                               size.cast("long").alias("size"), key.alias("key"),
                               F.xxhash64(*plain).alias("hash"),
                               F.monotonically_increasing_id().alias("number")), "mix-rows")
@@ -140,15 +141,16 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, cap:
 
     positions = F.array_compact(F.array(*[F.when(F.col("copies") > p, position(F.lit(p)))
                                           for p in range(cap)]))
-    d = d.select("number", *[c.alias(n) for n, c in zip(OWN_COLUMNS, (
+    d = d.select("number", *[c.alias(n) for n, c in zip(own, (
         F.col("size"), F.col("source_size"), F.col("target"), F.col("copies"), positions))])
-    return rows.select("number", "row").join(d, "number").select("row.*", *OWN_COLUMNS)
+    return rows.select("number", "row").join(d, "number").select("row.*", *own)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per copy, range-sorted by position; the columns of ``mix`` go."""
+    """One row per copy of a result of ``mix``, range-sorted by position; the columns of ``mix`` go."""
+    own = mixed.columns[-len(OWN_COLUMNS):]
     (position,) = fresh(mixed.columns, "_position")
-    rows = mixed.withColumn(position, F.explode("mix_positions")).drop(*OWN_COLUMNS)
+    rows = mixed.withColumn(position, F.explode(own[-1])).drop(*own)
     return rows.orderBy(position, "doc_id").drop(position)
 
 

@@ -111,7 +111,8 @@ def test_the_curriculum_moves_weight_over_time(spark):
 def test_odd_rows(spark):
     rows = [(1, "s", 5), (1, "s", 5), (None, "s", 3), (2, None, 4), (3, None, 0), (4, "", 2), (5, "é", 1), (6, "z", 10_000), (7, "empty", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, n long").withColumns(
-        {"target": F.lit("clash"), "source_size": F.lit(1), "tier": F.lit(2), "level": F.lit(3), "row": F.lit(4), "bucket": F.lit(5), "_position": F.lit(6), "_at": F.lit(7)})
+        {"target": F.lit("clash"), "source_size": F.lit(1), "tier": F.lit(2), "level": F.lit(3), "row": F.lit(4), "bucket": F.lit(5), "_position": F.lit(6), "_at": F.lit(7),
+         "number": F.lit(8), "hash": F.lit(9), "range": F.lit(10)})
     m = mixing.mix(docs, F.coalesce("n", F.lit(0)))
     got = m.toPandas()
     assert len(got) == len(rows) and {"target", "source_size", "tier"} <= set(got.columns)
@@ -121,3 +122,13 @@ def test_odd_rows(spark):
     out = mixing.training_order(m)
     assert out.columns == docs.columns and out.count() == got.mix_copies.sum()
     assert mixing.training_order(mixing.mix(docs.limit(0), F.col("n"))).count() == 0
+
+
+def test_a_table_with_the_operators_own_names(spark):
+    docs = spark.range(12).selectExpr("id as doc_id", "'s' as source", "id as n", "map('a', id) as nested", *[
+        f"'clash' as {c}" for c in mixing.OWN_COLUMNS])
+    m = mixing.mix(docs, F.col("n"))
+    assert m.columns == docs.columns + [f"_{c}" for c in mixing.OWN_COLUMNS]
+    out = mixing.training_order(m).toPandas()
+    assert list(out.columns) == docs.columns and set(out.mix_size) == set(out.mix_positions) == {"clash"}
+    assert len(out) == m.agg(F.sum("_mix_copies")).first()[0] > 0

@@ -133,7 +133,8 @@ def test_odd_rows(spark, tmp_path):
     rows = [(1, "a good text of words", "en", "s", 20), (1, "a good text of words", "en", "s", 20), (2, None, None, None, None),
             (3, "", "en", "t", 0), (None, "no id here at all", "en", "s", 5), (4, "w " * 5000, "en", "s", 10_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(
-        {"score": F.lit("x"), "fingerprint": F.lit(1), "size": F.lit(2), "length": F.lit(3)})
+        {"score": F.lit("x"), "fingerprint": F.lit(1), "size": F.lit(2), "length": F.lit(3), "label": F.lit(4), "_row": F.lit(5), "row": F.lit(6),
+         "mix_size": F.lit(7), "mix_positions": F.lit("y")})
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for part in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:3]:
