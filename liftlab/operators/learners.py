@@ -33,13 +33,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (Interaction, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,23 +67,21 @@ FEATURES = "features"
 
 # ---- M1-M3: preprocessing ------------------------------------------------------
 
-def build_preprocessor(spec: ExperimentSpec = ExperimentSpec(), output: str = FEATURES,
-                       indexed: bool = False) -> Pipeline:
-    """``indexed``: the level indices are columns already (:class:`LevelDictionary`)."""
+def _scaling(spec: ExperimentSpec) -> list:
+    return [VectorAssembler(inputCols=list(spec.continuous), outputCol="_cont"),
+            StandardScaler(inputCol="_cont", outputCol="_cont_scaled",
+                           withMean=True, withStd=True)] if spec.continuous else []
+
+
+def build_preprocessor(spec: ExperimentSpec = ExperimentSpec(), output: str = FEATURES) -> Pipeline:
     spec.validate_model_features(list(spec.features))
-    stages = []
-    parts = []
-    if spec.continuous:
-        stages += [VectorAssembler(inputCols=list(spec.continuous), outputCol="_cont"),
-                   StandardScaler(inputCol="_cont", outputCol="_cont_scaled",
-                                  withMean=True, withStd=True)]
-        parts.append("_cont_scaled")
+    stages = _scaling(spec)
+    parts = ["_cont_scaled"] if spec.continuous else []
     if spec.categorical:
         idx = [f"_{c}_idx" for c in spec.categorical]
         ohe = [f"_{c}_ohe" for c in spec.categorical]
-        if not indexed:
-            stages.append(StringIndexer(inputCols=list(spec.categorical), outputCols=idx,
-                                        handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(StringIndexer(inputCols=list(spec.categorical), outputCols=idx,
+                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
         parts += ohe
     stages.append(VectorAssembler(inputCols=parts, outputCol=output))
@@ -144,22 +143,52 @@ class LevelDictionary:
                 df = df.withColumn(f"_slot{i}", slot).drop(
                     f"_h{i}", f"_hs{i}", f"_k{i}", f"_kl{i}", f"_m{i}", f"_s{i}")
                 slot = F.col(f"_slot{i}")
-            # One category more than levels, as an indexer that keeps unseen levels has it.
-            kept = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
             df = df.withColumn(f"_{c}_idx", F.coalesce(slot, F.lit(size)).cast("double")).drop(
                 f"_l{i}", f"_s{i}", f"_slot{i}")
-            df = df.withMetadata(f"_{c}_idx", kept)
         return df
 
 
+def _sparse_vector(size: int, entries: Column, out: str) -> Column:
+    """Vectors of ``size`` slots from arrays of (slot, value), rising in slot; zeros are left out.
+
+    The column states its size but names no slot: Spark ML's encoder and assembler describe
+    every slot in the schema, which the driver holds.
+    """
+    @F.arrow_udf(VectorUDT())
+    def vector(slots: pa.Array, values: pa.Array) -> pa.Array:
+        n = len(slots)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), slots, values],
+            ["type", "size", "indices", "values"])
+
+    kept = F.filter(entries, lambda e: e["value"] != 0.0)
+    return vector(F.transform(kept, lambda e: e["slot"].cast("int")),
+                  F.transform(kept, lambda e: e["value"])).alias(out, metadata={"ml_attr": {"num_attrs": size}})
+
+
+def _entry(slot: Column, value: Column) -> Column:
+    return F.struct(slot.cast("long").alias("slot"), value.cast("double").alias("value"))
+
+
 class DictionaryDesign:
     """A fitted preprocessor whose level dictionary is a table."""
 
-    def __init__(self, dictionary: LevelDictionary, rest) -> None:
-        self.dictionary, self.rest = dictionary, rest
+    def __init__(self, dictionary: LevelDictionary, scaling, spec: ExperimentSpec) -> None:
+        self.dictionary, self.scaling, self.spec = dictionary, scaling, spec
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.rest.transform(self.dictionary.encode(df))
+        scaled = self.scaling.transform(df) if self.spec.continuous else df
+        found = self.dictionary.encode(scaled)
+        at, entries = len(self.spec.continuous), []
+        if self.spec.continuous:
+            x = vector_to_array("_cont_scaled")
+            entries += [_entry(F.lit(i), x[i]) for i in range(at)]
+        for c in self.spec.categorical:
+            slot, size = F.col(f"_{c}_idx"), self.dictionary.sizes[c]
+            # The slot after the last level stands for levels not seen: all zeros.
+            entries.append(_entry(slot + F.lit(at), F.when(slot < size, 1.0).otherwise(0.0)))
+            at += size
+        return found.select(*df.columns, _sparse_vector(at, F.array(*entries), FEATURES))
 
 
 def fit_preprocessor(train: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
@@ -172,8 +201,8 @@ def fit_preprocessor(train: DataFrame, spec: ExperimentSpec = ExperimentSpec(),
     if not (level_tables and spec.categorical):
         return build_preprocessor(spec).fit(train)
     spec.validate_model_features(list(spec.features))
-    dictionary = LevelDictionary.fit(train, spec.categorical)
-    return DictionaryDesign(dictionary, build_preprocessor(spec, indexed=True).fit(dictionary.encode(train)))
+    return DictionaryDesign(LevelDictionary.fit(train, spec.categorical),
+                            Pipeline(stages=_scaling(spec)).fit(train), spec)
 
 
 def transform_features(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -184,13 +213,12 @@ def transform_features(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def design_size(df: DataFrame) -> DataFrame:
     """Rows, columns and non-zeros of the feature matrix.
 
-    ``Summarizer`` adds up sparse vectors entry by entry; no row is made dense.
+    Counted row by row from the stored entries; nothing has the design's width.
     """
-    s = df.agg(Summarizer.metrics("count", "numNonZeros").summary(F.col(FEATURES)).alias("s"))
-    nnz = vector_to_array("s.numNonZeros")  # one vector of the design's width
-    total = F.aggregate(nnz, F.lit(0.0), lambda a, x: a + x)
-    return s.select(F.col("s.count").alias("rows"), F.size(nnz).alias("columns"),
-                    total.cast("bigint").alias("nonzero_values"))
+    v = df.select(F.unwrap_udt(FEATURES).alias("v"))  # sparse vectors have a size, dense ones only values
+    return v.agg(F.count("v").alias("rows"),
+                 F.max(F.coalesce("v.size", F.size("v.values"))).alias("columns"),
+                 F.sum(F.size(F.filter("v.values", lambda x: x != 0.0))).cast("bigint").alias("nonzero_values"))
 
 
 # ---- M4-M6 ---------------------------------------------------------------------
@@ -280,6 +308,15 @@ def s_learner_design(df: DataFrame, treatment: Column | None = None,
                      out: str = "_design") -> DataFrame:
     """M7: [X, T, X*T] as one vector (``treatment`` overrides the column)."""
     t = (treatment if treatment is not None else F.col("treatment")).cast("double")
+    about = df.schema[FEATURES].metadata.get("ml_attr", {})
+    if "attrs" not in about and "num_attrs" in about:  # of level tables: slots without names
+        n = about["num_attrs"]
+        staged = df.withColumns({"_v": F.unwrap_udt(FEATURES), "_t_design": t})
+        x = F.arrays_zip(F.col("_v.indices").alias("slot"), F.col("_v.values").alias("value"))
+        design = F.concat(F.transform(x, lambda e: _entry(e["slot"], e["value"])),
+                          F.array(_entry(F.lit(n), F.col("_t_design"))),
+                          F.transform(x, lambda e: _entry(e["slot"] + F.lit(n + 1), e["value"] * F.col("_t_design"))))
+        return staged.select(*df.columns, _sparse_vector(2 * n + 1, design, out))
     staged = df.withColumn("_t_design", t)
     inter = Interaction(inputCols=["_t_design", FEATURES], outputCol="_xt")
     assembled = VectorAssembler(inputCols=[FEATURES, "_t_design", "_xt"], outputCol=out)

@@ -125,6 +125,23 @@ def test_no_level_reaches_the_driver(spark, monkeypatch):
     assert len(seen) < 50 and not any("level" in r or "hot" in r for r in seen)
 
 
+def test_slots_of_level_tables_stay_out_of_the_schema(spark):
+    # A slot's name in the column's metadata is a level's share of the driver's memory.
+    spec = ExperimentSpec(features=("x", "key"), continuous=("x",), categorical=("key",))
+    df = spark.range(3000).select("id", F.rand(1).alias("x"), F.col("id").cast("string").alias("key"),
+                                  (F.col("id") % 2).cast("int").alias("treatment"))
+    design = learners.transform_features(learners.fit_preprocessor(df, spec, level_tables=True), df, ["id", "treatment"])
+    assert len(design.schema.json()) < 1000
+    plan = learners.design_size(design)._jdf.queryExecution().optimizedPlan().toString()
+    assert "summarizer" not in plan.lower()  # its buffers have the design's width
+    both = learners.s_learner_design(design)
+    assert len(both.schema.json()) < 2000
+    row = both.where("id = 1").select(F.unwrap_udt("features").alias("x"), F.unwrap_udt("_design").alias("d")).first()
+    (i, j), n = row.x.indices, 3001
+    assert row.d.size == 2 * n + 1 and row.d.indices == [i, j, n, n + 1 + i, n + 1 + j]
+    assert row.d["values"] == [*row.x["values"], 1.0, *row.x["values"]]
+
+
 # ---- M16
 
 class Rate:
