@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,12 @@ def _boundaries(keyed: DataFrame, cuts: DataFrame, rows: int) -> DataFrame:
         & (F.col("position") > F.col("upto") - F.col("n")) & (F.col("position") <= F.col("upto")))
     at = at.select(F.col("_s"), F.col("bucket").alias("_b"), "cut",
                    (F.col("position") - F.col("upto") + F.col("n")).alias("place"))
+    head = at.limit(DRIVER_STRATA + 1).collect()
+    if len(head) <= DRIVER_STRATA:  # a handful of cuts: the buckets are counted once, no row is shuffled to them
+        at = F.broadcast(keyed.sparkSession.createDataFrame(head, at.schema))
     wanted = at.select("_s", "_b").distinct()
+    if len(head) <= DRIVER_STRATA:
+        wanted = F.broadcast(wanted)
     near = keyed.join(wanted, keyed["stratum"].eqNullSafe(wanted["_s"])
                       & (keyed["bucket"] == wanted["_b"])).select("stratum", "bucket", "key", "id")
     order = Window.partitionBy("stratum", "bucket").orderBy("key", "id")
@@ -194,7 +200,10 @@ def split_rows(df: DataFrame, seed: int, *, spec: ExperimentSpec = ExperimentSpe
     """
     id_col = id_col or spec.id
     key = stratum if stratum is not None else stratum_key(spec)
-    strata = df.groupBy(key.alias("stratum")).agg(F.count(F.lit(1)).alias("rows")).cache()
+    # Three narrow columns, kept for the counts and the cuts: the input may be a join or an aggregate.
+    keyed = df.select(key.alias("stratum"), sample_key(F.col(id_col), seed).alias("key"),
+                      F.col(id_col).alias("id")).persist(StorageLevel.MEMORY_AND_DISK)
+    strata = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows")).cache()
     try:
         about = strata.agg(F.sum("rows").alias("rows"), F.min("rows").alias("least"),
                            F.count_if(F.col("stratum").isNull()).alias("nulls")).first()
@@ -207,26 +216,25 @@ def split_rows(df: DataFrame, seed: int, *, spec: ExperimentSpec = ExperimentSpe
             raise ValidationError(f"A split stratum has fewer than {minimum} rows; "
                                   "it should contain at least that many")
         ends = _cuts(strata, about["rows"], holdout, second)
+        cuts = ends.select("stratum", F.explode(F.array(
+            F.struct(F.lit(0).alias("cut"), F.col("train_end").alias("position")),
+            F.struct(F.lit(1).alias("cut"), F.col("validation_end").alias("position")))).alias("c")
+        ).select("stratum", "c.cut", "c.position")
+        found = _boundaries(keyed, cuts.where("position > 0"), about["rows"])
+        bound = F.struct("key", "id")
+        by_stratum = found.groupBy("stratum").agg(
+            F.max(F.when(F.col("cut") == 0, bound)).alias("_first"),
+            F.max(F.when(F.col("cut") == 1, bound)).alias("_second"),
+            F.max("copies").alias("_copies"))
+        head = by_stratum.limit(DRIVER_STRATA + 1).collect()
     finally:
         strata.unpersist()
-    cuts = ends.select("stratum", F.explode(F.array(
-        F.struct(F.lit(0).alias("cut"), F.col("train_end").alias("position")),
-        F.struct(F.lit(1).alias("cut"), F.col("validation_end").alias("position")))).alias("c")
-    ).select("stratum", "c.cut", "c.position")
-    keyed = df.select(key.alias("stratum"), sample_key(F.col(id_col), seed).alias("key"),
-                      F.col(id_col).alias("id"))
-    found = _boundaries(keyed, cuts.where("position > 0"), about["rows"])
-    bound = F.struct("key", "id")
-    by_stratum = found.groupBy("stratum").agg(
-        F.max(F.when(F.col("cut") == 0, bound)).alias("_first"),
-        F.max(F.when(F.col("cut") == 1, bound)).alias("_second"),
-        F.max("copies").alias("_copies"))
+        keyed.unpersist()
     own = F.struct(F.col("_key").alias("key"), F.col(id_col).alias("id"))
     split = (F.when(F.col("_copies") > 1, F.raise_error(F.lit(
                 "Splitting needs unique ids; a cut falls on a repeated id")))
              .when(own <= F.col("_first"), names[0])
              .when(own <= F.col("_second"), names[1]).otherwise(names[2]))
-    head = by_stratum.limit(DRIVER_STRATA + 1).collect()
     if len(head) <= DRIVER_STRATA:  # a handful of boundaries: computed once and broadcast
         if any((r["_copies"] or 0) > 1 for r in head):
             raise ValidationError("Splitting needs unique ids; a cut falls on a repeated id")
