@@ -495,14 +495,16 @@ def evaluate_model(report: ModelReport, test: DataFrame, *,
 
     ``approximate_quantiles`` takes the CATE quantiles from a sketch with a stated rank error.
     """
-    scored = predict_uplift(report.model, test).persist(StorageLevel.MEMORY_AND_DISK)
+    # Without the features: the tables read the scores many times, and nothing else of a row.
+    scored = predict_uplift(report.model, test).select(
+        spec.id, spec.treatment, report.outcome, "p1", "p0", "cate").persist(StorageLevel.MEMORY_AND_DISK)
     report.scored = scored
     ev = RankedEvaluation(scored, score="cate", outcome=report.outcome,
                           treatment=spec.treatment, id_col=spec.id,
                           propensity=spec.propensity, outcome_name=report.outcome, check_ids=False)
     report.evaluation = ev
     report.tables = {
-        "scores": scored.select(spec.id, spec.treatment, report.outcome, "p1", "p0", "cate"),
+        "scores": scored,
         "gain_curve": ev.gain_curve(),
         "auuc": ev.auuc(),
         "targeting_policy": ev.targeting_policy(),

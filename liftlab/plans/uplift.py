@@ -6,9 +6,10 @@ split -> preprocessing fitted on train -> per outcome and learner: fit each
 regularisation candidate on train, select by validation AUUC, evaluate once
 on test.
 
-The transformed splits are persisted once (MEMORY_AND_DISK) and reused by
-every fit and evaluation. A split depends on seed and id alone, so a lost
-executor's partitions are recomputed to the same rows. The returned
+The model columns are persisted (MEMORY_AND_DISK) for checks, split and
+encoders and released when the transformed splits, which every fit and
+evaluation reuses, are persisted too. A split depends on seed and id alone, so a
+lost executor's partitions are recomputed to the same rows. The returned
 tables are small local relations; the persisted data is released before
 returning.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ from liftlab.sources.ingest import with_row_id
 from liftlab.spec import ExperimentSpec, ValidationError
 
 LEARNER_NAMES = ("s_learner", "t_learner")
+#: Training rows of the fits that run at once, about: each fit keeps its own copy of its rows.
+FIT_ROWS_AT_ONCE = 40_000_000
 #: What each table rests on, for readers of the report.
 METHODS = (
     ("split", "60/20/20 by a hash of the id within assignment and outcomes"),
@@ -72,13 +76,12 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
     spec.require_columns(df, spec.model_columns)
     df = with_row_id(df, spec.id)
     spec.validate_model_features(list(spec.features))
-    base = df.select(spec.id, *spec.model_columns)
-    require_unique_ids(base, spec.id)
-    source_rows = base.count()
-    if sample_size is not None:
-        base = sampling.sample_rows(base, sample_size, seed, id_col=spec.id,
-                                    on_oversize="error")
-    split = sampling.split_rows(base, seed, spec=spec).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = df.select(spec.id, *spec.model_columns).persist(StorageLevel.MEMORY_AND_DISK)
+    require_unique_ids(whole, spec.id)
+    source_rows = whole.count()
+    base = whole if sample_size is None else sampling.sample_rows(
+        whole, sample_size, seed, id_col=spec.id, on_oversize="error")
+    split = sampling.split_rows(base, seed, spec=spec)
     parts = {name: split.where(F.col("split") == name) for name in ("train", "validation", "test")}
     pre = learners.fit_preprocessor(parts["train"], spec, level_tables)
     keep = [spec.id, spec.treatment, *spec.outcomes]
@@ -86,13 +89,28 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
         StorageLevel.MEMORY_AND_DISK) for name, p in parts.items()}
 
     full_itt = {r["outcome"]: r["absolute_risk_difference"]
-                for r in effects.itt_effects(df, spec).select(
+                for r in effects.itt_effects(whole, replace(spec, exposure=None)).select(
                     "outcome", "absolute_risk_difference").collect()}  # one row per outcome
 
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    # Small tables that fill the persisted matrices; the columns behind these are then given back,
+    # so that their memory serves the fits.
+    design = small_table(union([learners.design_size(m).select(F.lit(n).alias("split"), "*")
+                                for n, m in matrices.items()]))
+    split_summary = small_table(sampling.split_summary(split, spec))
+    whole.unpersist()
+    train_rows = design.where("split = 'train'").first()["rows"]
+    at_once = min(2 * parallelism, max(1, FIT_ROWS_AT_ONCE // max(train_rows, 1))) if parallelism > 1 else 1
+
     tasks = [(outcome, name) for outcome in outcomes for name in learner_names]
     models = learners.fit_candidates(tasks, matrices["train"], spec=spec, alphas=alphas,
                                      max_iterations=max_iterations, classifier=classifier,
-                                     parallelism=2 * parallelism if parallelism > 1 else 1)
+                                     parallelism=at_once)
     chosen = learners.choose(models, matrices["validation"], spec)
 
     def evaluate(task: tuple[str, str]) -> learners.ModelReport:
@@ -121,12 +139,6 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
             tables.setdefault(key, []).append(
                 t.select(F.lit(outcome).alias("outcome"), F.lit(name).alias("learner"), "*"))
 
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
     roles = [(i, f, "continuous" if f in spec.continuous else "categorical",
               "centred and scaled" if f in spec.continuous else "one slot per training level")
              for i, f in enumerate(spec.features)]
@@ -140,9 +152,8 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
             matrices["test"], o, spec.treatment).select(F.lit(o).alias("outcome"), "*") for o in outcomes]),
         "methods": spark.createDataFrame(list(METHODS), "item string, description string"),
         "limitations": spark.createDataFrame([(t,) for t in LIMITATIONS], "limitation string"),
-        "split_summary": sampling.split_summary(split, spec),
-        "design_matrix": union([learners.design_size(m).select(F.lit(n).alias("split"), "*")
-                                for n, m in matrices.items()]),
+        "split_summary": split_summary,
+        "design_matrix": design,
         "model_selection": learners.candidates_frame(spark, reports),
         **{k: union(v) for k, v in tables.items()},
         "chart_gain": charts.gain_lines(curves),
@@ -151,7 +162,7 @@ def analyze_uplift(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
     # Every report table is small; compute the remaining ones, then release
     # the persisted splits, matrices and scored test rows.
     report = {k: small_table(v) for k, v in report.items()}
-    for cached in (split, *matrices.values()):
+    for cached in matrices.values():
         cached.unpersist()
     for r in reports:
         r.release()

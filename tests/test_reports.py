@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from liftlab.operators import learners, sampling
+from liftlab.plans import uplift
 from liftlab.plans.experiment import analyze_experiment
 from liftlab.plans.uplift import analyze_uplift
 from liftlab.sources.overlay import experiment_table
@@ -57,3 +60,53 @@ def test_uplift_report_parallel_equals_serial(table):
     assert ate.treatment_count == test_rows.treatment_count and ate.control_count == test_rows.control_count
     assert {r.held_out_test_ate for r in serial["cate_summary"].collect()} == {ate.observed_difference}
     assert serial["model_selection"].where("selected").count() == 2
+
+
+@pytest.fixture
+def counted(spark, table):
+    """The table as a source that counts the rows it gives out, and the count."""
+    given = spark.sparkContext.accumulator(0)
+
+    def row(r):
+        given.add(1)
+        return r
+
+    return spark.createDataFrame(spark.createDataFrame(table.collect(), table.schema).rdd.map(row), table.schema), given
+
+
+def test_split_reads_its_input_once(counted):
+    df, given = counted
+    split = sampling.split_rows(df, 42)
+    assert given.value == 1473  # the rows behind the cuts, and none yet for the split itself
+    assert split.count() == 1473
+
+
+@pytest.mark.parametrize("name", ["s_learner_scores", "t_learner_scores", "uplift_model_selection", "design_matrix"])
+def test_learner_queries_read_the_table_once(spark, counted, monkeypatch, name):
+    df, given = counted
+    monkeypatch.setattr(__spark_entry__, "_exp", lambda *_: df)
+    assert __spark_entry__.queries()[name](spark, SF).count()
+    assert given.value == 1473
+
+
+def test_uplift_report_reads_the_table_once_and_bounds_its_fits(counted, monkeypatch):
+    df, given = counted
+    seen = {}
+    fit, evaluate = learners.fit_candidates, learners.evaluate_model
+
+    def fits(*args, parallelism, **kw):
+        seen["fits"] = parallelism
+        return fit(*args, parallelism=parallelism, **kw)
+
+    def evaluation(*args, **kw):
+        rep = evaluate(*args, **kw)
+        seen["columns"] = rep.scored.columns
+        return rep
+
+    monkeypatch.setattr(learners, "fit_candidates", fits)
+    monkeypatch.setattr(learners, "evaluate_model", evaluation)
+    monkeypatch.setattr(uplift, "FIT_ROWS_AT_ONCE", 2 * 883)  # twice the training rows
+    analyze_uplift(df, ExperimentSpec(), outcomes=["visit"], learner_names=("t_learner",), max_iterations=2,
+                   parallelism=4)
+    assert given.value == 1473
+    assert seen == {"fits": 2, "columns": ["id", "treatment", "visit", "p1", "p0", "cate"]}
