@@ -39,7 +39,7 @@ empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,6 +69,9 @@ RATE = 1.0
 #: Copies of the weights merged in one group, and rows of a copy per record.
 MERGED_AT_ONCE = 16
 BLOCK_ROWS = 1 << 12
+#: Weights that a step updates at a time.
+SWEPT_ROWS = 1 << 10
+SWEPT_CELLS = 1 << 14
 KINDS = 4
 _ROWS = KINDS * BUCKETS + 1  # the last row is the bias
 _CELL_BLOCK = -(-_ROWS // BLOCK_ROWS)  # the first block of cells
@@ -85,11 +88,21 @@ def word_hashes(names: list[bytes]) -> np.ndarray:
 
 def word_classes(names: list[bytes]) -> np.ndarray:
     """Class of each word by its last two bytes (before frequent words get their own)."""
-    last = np.array([int.from_bytes(w[-2:], "big") for w in names], dtype=np.uint64)
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    ends = np.cumsum(size) + 1
+    data = np.frombuffer(b"\0\0" + b"".join(names), dtype=np.uint8)
+    last = np.where(size > 0, data[ends], 0) + np.where(size > 1, data[ends - 1], 0).astype(np.uint64) * np.uint64(256)
     mixed = (last * _MIX[0]) >> np.uint64(40)
     return (mixed % np.uint64(CLASSES - 1 - OWN_CLASSES)).astype(np.int32) + 1 + OWN_CLASSES
 
 
+def places(of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """np.searchsorted(of, keys), asked in order of the keys: neighbours lie together in memory."""
+    order, out = np.argsort(keys), np.empty(len(keys), dtype=np.int64)
+    out[order] = np.searchsorted(of, keys[order])
+    return out
+
+
 @dataclass
 class Tokens:
     """Tokens of several texts in order, each text closed by the end."""
@@ -114,22 +127,21 @@ class Tokens:
         kind = np.append(word_classes(names), 0).astype(np.int32)
         for h, k in own.items():
             kind[distinct == h] = k
-        text = np.repeat(np.arange(len(size)), size)
-        return cls(distinct[full], kind[full], np.arange(len(full)) - (ends - size + 1)[text], text,
-                   full, distinct)
+        return cls(distinct[full], kind[full], np.arange(len(full)) - np.repeat(ends - size + 1, size),
+                   np.repeat(np.arange(len(size)), size), full, distinct)
 
     @functools.cached_property
     def features(self) -> np.ndarray:
         """Hash of each kind's context feature, per token."""
         h = self.hash.view(np.uint64)
-        back = []
-        for k in (1, 2, 3):
-            b = np.full(len(h), END.astype(np.uint64) if k == 1 else np.uint64(k), dtype=np.uint64)
-            ok = self.place[k:] >= k
-            b[k:][ok] = h[:-k][ok]
-            back.append(b)
-        return np.stack([back[0] * _MIX[0], (back[0] * _MIX[1] ^ back[1]) * _MIX[2],
-                         back[1] * _MIX[3], back[2] * _MIX[4]])
+        out = np.empty((KINDS, len(h)), dtype=np.uint64)
+        for k, b in ((1, out[0]), (2, out[2]), (3, out[3])):
+            b.fill(END.astype(np.uint64) if k == 1 else k)
+            np.copyto(b[k:], h[:-k], where=self.place[k:] >= k)
+        np.multiply(out[0], _MIX[1], out=out[1])
+        out[1] ^= out[2]
+        out *= np.array(_MIX)[[0, 2, 3, 4], None]
+        return out
 
     def feature_rows(self) -> np.ndarray:
         """Row of the weights of each feature kind, per token."""
@@ -191,7 +203,7 @@ class Tree:
         """Leaf of each word."""
         if not len(self.words):
             return self.rest[kind]
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        at = np.minimum(places(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, self.leaf[at], self.rest[kind])
 
     def paths(self, leaf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,14 +239,20 @@ class Decisions:
         code = self.code[a:b]
         sizes = self.ends[code + 1] - self.ends[code]
         total = np.cumsum(sizes)
-        pick = np.repeat(self.ends[code] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
-        token = np.repeat(np.arange(len(code)), sizes)
+        n = total[-1] if len(total) else 0
+        # A decision's token: how many tokens end before it or where it is.
+        token = np.cumsum(np.bincount(total, minlength=n)[:n])
+        pick = np.take(self.ends[code] - (total - sizes), token, mode="clip")
+        pick += np.arange(n)
         node = self.node[pick]
         own = node.astype(np.uint64) * _MIX[1]
         shift = np.uint64(64 - (CELLS.bit_length() - 1))
         cells = np.empty((KINDS, len(token)), dtype=np.int64)
         for k in range(KINDS):
-            np.right_shift((self.features[k, a:b][token] ^ own) * _MIX[(k + 2) % 5], shift, out=cells[k], casting="unsafe")
+            x = np.take(self.features[k, a:b], token, mode="clip")
+            x ^= own
+            x *= _MIX[(k + 2) % 5]
+            np.right_shift(x, shift, out=cells[k].view(np.uint64))
         return token, cells, self.tree.logit[node], self.right[pick]
 
     def log10(self, weights: np.ndarray) -> np.ndarray:
@@ -244,14 +262,17 @@ class Decisions:
             token, cells, x, right = self.of(a, a + STEP_TOKENS)
             x = decision_logits(weights, cells, x)
             n = len(self.code[a:a + STEP_TOKENS])
-            out[a:a + n] = np.bincount(token, -np.log1p(np.exp(np.where(right, -x, x))), minlength=n)
-        return out / np.log(10)
+            x.view(np.uint32)[:] ^= right.astype(np.uint32) << np.uint32(31)  # -x where the right side is taken
+            np.exp(x, out=x)
+            x += 1
+            out[a:a + n] = np.bincount(token, np.log(x, out=x), minlength=n)
+        return out / -np.log(10)
 
 
 def decision_logits(weights: np.ndarray, cells: np.ndarray, logit: np.ndarray) -> np.ndarray:
     x = logit.copy()
     for c in cells:
-        x += np.take(weights, c)
+        x += np.take(weights, c, mode="clip")
     return np.clip(x, -40, 40, out=x)
 
 
@@ -266,28 +287,64 @@ def class_exponentials(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
-def class_log10(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+def class_factors(weights: np.ndarray) -> np.ndarray | None:
+    """exp(weight) of weights that stay as they are, the bias in those of the first kind.
+
+    None if products of them could leave the range of floats.
+    """
+    most = np.abs(weights[:-1]).reshape(KINDS, -1).max(axis=1).sum() + np.abs(weights[-1]).max()
+    if not most <= 80:
+        return None
+    factors = weights[:-1].copy()
+    factors[:BUCKETS] += weights[-1]
+    return np.exp(factors, out=factors)
+
+
+def class_products(factors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """class_exponentials, up to rounding, from exp(weight): an exponential less per class and token."""
+    x = np.take(factors, rows[0], axis=0, mode="clip")
+    more = np.empty_like(x)
+    for r in rows[1:]:
+        x *= np.take(factors, r, axis=0, out=more, mode="clip")
+    return np.clip(x, np.exp(np.float32(-40)), np.exp(np.float32(40)), out=x)
+
+
+def class_log10(exponentials: Callable[[np.ndarray], np.ndarray], rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """log10 P(class | context) of each token's class."""
     out = np.empty(len(cls))
     for a in range(0, len(cls), _SLICE):
-        e = class_exponentials(weights, rows[:, a:a + _SLICE])
+        e = exponentials(rows[:, a:a + _SLICE])
         k = cls[a:a + _SLICE]
         chosen = e[np.arange(len(k)), k]
-        out[a:a + _SLICE] = np.log10(chosen.astype(np.float64)) - np.log10(e.sum(axis=1).astype(np.float64))
-    return out
+        out[a:a + _SLICE] = np.log(chosen.astype(np.float64) / e.sum(axis=1))
+    return out / np.log(10)
 
 
 def draw(e: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """One class per row, with probability in proportion to the row's values."""
-    side = 8
-    groups = e.reshape(len(e), -1, side)
-    upto = np.cumsum(groups.sum(axis=2), axis=1)
-    at = random.random((len(e), 1), dtype=np.float32) * upto[:, -1:]
-    group = np.minimum((upto <= at).sum(axis=1), upto.shape[1] - 1)
-    row = np.arange(len(e))
-    inner = np.cumsum(groups[row, group], axis=1)
-    rest = at[:, 0] - (upto[row, group] - inner[:, -1])
-    return group * side + np.minimum((inner <= rest[:, None]).sum(axis=1), side - 1)
+    side, row = 8, np.arange(len(e))
+    halved = e
+    for _ in range(3):  # sums of pairs, fours and eights
+        halved = halved[:, 0::2] + halved[:, 1::2]
+    upto = _sums(halved)
+    at = random.random(len(e), dtype=np.float32) * upto[-1]
+    group = np.minimum(_passed(upto, at), len(upto) - 1)
+    inner = _sums(np.take(e.reshape(-1, side), row * (e.shape[1] // side) + group, axis=0))
+    rest = at - (upto[group, row] - inner[-1])
+    return group * side + np.minimum(_passed(inner, rest), side - 1)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Running sums of each row's values, a column per row of x."""
+    out = np.ascontiguousarray(x.T)
+    for a, b in zip(out, out[1:]):
+        b += a
+    return out
+
+
+def _passed(upto: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of a column's sums are at its value or below."""
+    return np.add.reduce((upto <= at).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
 
 
 class Trainer:
@@ -298,6 +355,7 @@ class Trainer:
         self.cells = np.zeros(CELLS, dtype=np.float32)
         self.cell_power = np.full(CELLS, CELL_PRIOR, dtype=np.float32)
         self.power = np.full((_ROWS, 1), 1e-6, dtype=np.float32)
+        self.gap = np.zeros_like(weights)  # of a step; zero between steps
         self.random = np.random.default_rng(seed)
 
     def step(self, rows: np.ndarray, cls: np.ndarray) -> None:
@@ -306,31 +364,39 @@ class Trainer:
             drawn[a:a + _SLICE] = draw(class_exponentials(self.weights, rows[:, a:a + _SLICE]), self.random)
         seen = np.bincount(rows.reshape(-1), minlength=_ROWS)
         seen[-1] = len(cls)
-        used = np.flatnonzero(seen)
-        place = np.zeros(_ROWS, dtype=np.int64)
-        place[used] = np.arange(len(used)) * CLASSES
-        gap = np.zeros(len(used) * CLASSES, dtype=np.float32)
-        for c in place[rows]:
+        gap = self.gap.reshape(-1)
+        other = np.flatnonzero(drawn != cls)  # where they agree, no gap is left
+        drawn, cls = drawn[other], cls[other]
+        for r in rows:
+            c = r[other] * np.int64(CLASSES)
             np.add.at(gap, c + drawn, np.float32(1))
             np.subtract.at(gap, c + cls, np.float32(1))
-        g = gap.reshape(-1, CLASSES)
-        g[-1] = np.bincount(drawn, minlength=CLASSES) - np.bincount(cls, minlength=CLASSES)
+        self.gap[-1] = np.bincount(drawn, minlength=CLASSES) - np.bincount(cls, minlength=CLASSES)
         # The noise of a row's gap grows with the root of its tokens.
-        g /= np.sqrt(seen[used])[:, None].astype(np.float32)
-        power = self.power[used] + np.einsum("ij,ij->i", g, g)[:, None]
-        self.power[used] = power
-        g *= RATE / np.sqrt(power)
-        self.weights[used] -= g
+        root = np.sqrt(np.maximum(seen, 1))[:, None].astype(np.float32)
+        for a in range(0, _ROWS, SWEPT_ROWS):  # rows that stay in the processor's cache meanwhile
+            part = slice(a, a + SWEPT_ROWS)
+            if seen[part].any():
+                g = self.gap[part]
+                g /= root[part]
+                power = self.power[part]
+                power += np.einsum("ij,ij->i", g, g)[:, None]
+                g *= RATE / np.sqrt(power)
+                self.weights[part] -= g
+                g.fill(0)
 
     def decide(self, cells: np.ndarray, logit: np.ndarray, right: np.ndarray) -> None:
         """A step on the decisions within classes."""
         gap = 1 / (1 + np.exp(-decision_logits(self.cells, cells, logit))) - right
-        every, gap = cells.reshape(-1), np.tile(gap, KINDS)
-        g = np.bincount(every, gap, minlength=CELLS)
-        power = np.bincount(every, gap * gap, minlength=CELLS)
+        every = cells.reshape(-1)
+        g = np.bincount(every, np.tile(gap.astype(np.float64), KINDS), minlength=CELLS)
+        power = np.bincount(every, np.tile((gap * gap).astype(np.float64), KINDS), minlength=CELLS)
         # A Newton step: the kinds of feature share what a decision asks for.
-        self.cell_power += (KINDS * power).astype(np.float32)
-        self.cells -= (g / self.cell_power).astype(np.float32)
+        power *= KINDS
+        for a in range(0, CELLS, SWEPT_CELLS):
+            part = slice(a, a + SWEPT_CELLS)
+            self.cell_power[part] += power[part].astype(np.float32)
+            self.cells[part] -= (g[part] / self.cell_power[part]).astype(np.float32)
 
     def blocks(self, part: int) -> pa.RecordBatch:
         """The changes, as 16-bit floats, in blocks of rows, and which rows changed."""
@@ -472,22 +538,24 @@ def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, n_known, base_score, score)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.weights, model.own, model.frequent, model.tree, model.cells))
+    factors = class_factors(model.weights)
+    classes = (class_exponentials, model.weights) if factors is None else (class_products, factors)
+    sent = spark.sparkContext.broadcast((classes, model.own, model.frequent, model.tree, model.cells))
     base_log = float(np.log10(model.n + model.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, own, (often, often_c), tree, cells = sent.value
+        (form, weights), own, (often, often_c), tree, cells = sent.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for c in chunks(b, 1):
                 t, m = Tokens.of(c.column(1), own), len(c)
-                at = np.searchsorted(often, t.distinct)
+                at = places(often, t.distinct)
                 at[at == len(often)] = 0
                 known = often[at] == t.distinct if len(often) else np.zeros(len(t.distinct), bool)
                 count = np.where(known, often_c[at], 0) if len(often) else np.zeros(len(at))
                 log_c, is_known = np.log10(count + 1.0)[t.code], known[t.code]
                 within = Decisions(tree, t)
-                context = (class_log10(weights, t.feature_rows(), t.cls) + within.log10(cells)
+                context = (class_log10(functools.partial(form, weights), t.feature_rows(), t.cls) + within.log10(cells)
                            - within.log_weight)
                 by_text = lambda x: np.bincount(t.text, x, minlength=m)
                 # The other words of each text, with their numbers.

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -152,3 +153,118 @@ def test_without_weights_a_leaf_has_its_share_of_the_counts():
     inner = kind > maxent.OWN_CLASSES
     assert np.allclose(got[inner], ((c + 1) / total[kind])[inner], rtol=1e-4)
     assert (got[~inner] == 1).all()
+
+
+def plain_draw(e, random):
+    groups = e.reshape(len(e), -1, 8)
+    upto = np.cumsum(groups.sum(axis=2), axis=1)
+    at = random.random((len(e), 1), dtype=np.float32) * upto[:, -1:]
+    group = np.minimum((upto <= at).sum(axis=1), 7)
+    row = np.arange(len(e))
+    inner = np.cumsum(groups[row, group], axis=1)
+    rest = at[:, 0] - (upto[row, group] - inner[:, -1])
+    return group * 8 + np.minimum((inner <= rest[:, None]).sum(axis=1), 7)
+
+
+def weights_and_rows(n, scale=1.0):
+    rng = np.random.default_rng(3)
+    weights = (scale * rng.standard_normal((maxent._ROWS, maxent.CLASSES))).astype(np.float32)
+    rows = rng.integers(0, maxent.BUCKETS, (maxent.KINDS, n)) + np.arange(maxent.KINDS)[:, None] * maxent.BUCKETS
+    return weights, rows.astype(np.int32), rng.integers(0, maxent.CLASSES, n).astype(np.int32)
+
+
+def test_a_draw_is_the_plain_one_and_cheap_beside_the_exponentials_it_draws_from():
+    weights, rows, _ = weights_and_rows(8192)
+    e = maxent.class_exponentials(weights, rows)
+    assert (maxent.draw(e, np.random.default_rng(5)) == plain_draw(e, np.random.default_rng(5))).all()
+
+    def seconds(f):
+        best = math.inf
+        for _ in range(9):
+            t = time.thread_time()
+            f()
+            best = min(best, time.thread_time() - t)
+        return best
+
+    rng = np.random.default_rng(0)
+    assert seconds(lambda: maxent.draw(e, rng)) < 0.28 * seconds(lambda: maxent.class_exponentials(weights, rows))
+
+
+def test_steps_on_the_classes_match_plain_ones():
+    weights, rows, cls = weights_and_rows(3000, 0.1)
+    rows[0] = rows[0] % 7  # few rows, many tokens each
+    trainer, want = maxent.Trainer(weights, 11), weights.copy()
+    power, random = np.full((maxent._ROWS, 1), 1e-6, dtype=np.float32), np.random.default_rng(11)
+    for a, b in ((0, 2000), (2000, 3000)):
+        r, k = rows[:, a:b], cls[a:b]
+        drawn = plain_draw(maxent.class_exponentials(want, r), random)
+        seen, g = np.zeros(maxent._ROWS), np.zeros_like(weights)
+        for x in [*r, np.full(b - a, maxent._ROWS - 1)]:
+            np.add.at(seen, x, 1)
+            np.add.at(g, (x, drawn), 1)
+            np.add.at(g, (x, k), -1)
+        used = seen > 0
+        g[used] /= np.sqrt(seen[used])[:, None]
+        power[used] += (g[used] ** 2).sum(axis=1)[:, None]
+        want[used] -= maxent.RATE * g[used] / np.sqrt(power[used])
+        trainer.step(r, k)
+    assert np.allclose(trainer.weights, want, rtol=1e-5, atol=1e-6)
+    untouched = (want == weights).all(axis=1)
+    assert (trainer.weights == weights)[untouched].all() and untouched.any() and not trainer.gap.any()
+
+
+def test_steps_on_the_decisions_match_plain_ones():
+    rng = np.random.default_rng(4)
+    trainer = maxent.Trainer(np.zeros((maxent._ROWS, maxent.CLASSES), np.float32), 0)
+    cells, right = rng.integers(0, 500, (maxent.KINDS, 4000)) * 2000, rng.random(4000) < 0.3
+    logit = rng.standard_normal(4000).astype(np.float32)
+    want, power = np.zeros(maxent.CELLS), np.full(maxent.CELLS, maxent.CELL_PRIOR)
+    for _ in range(3):
+        gap = 1 / (1 + np.exp(-(logit + want[cells].sum(axis=0)))) - right
+        g = np.zeros(maxent.CELLS)
+        for c in cells:
+            np.add.at(g, c, gap)
+            np.add.at(power, c, maxent.KINDS * gap * gap)
+        want -= g / power
+        trainer.decide(cells, logit, right)
+    assert np.allclose(trainer.cells, want, atol=1e-4) and trainer.cells.any()
+
+
+def test_products_of_factors_are_the_exponentials():
+    weights, rows, _ = weights_and_rows(5000, 3.0)
+    factors = maxent.class_factors(weights)
+    want = maxent.class_exponentials(weights, rows)
+    assert np.allclose(maxent.class_products(factors, rows), want, rtol=1e-5)
+    weights *= 0.3
+    weights[3, 5], weights[rows[1, 0], 5], weights[4, 6] = 30, 12, -45  # logits beyond the safe range
+    rows[0, :2] = 3, 4
+    assert (maxent.class_exponentials(weights, rows)[:2] == np.exp(np.float32([[40], [-40]]))).any(axis=1).all()
+    assert np.allclose(maxent.class_products(maxent.class_factors(weights), rows),
+                       maxent.class_exponentials(weights, rows), rtol=1e-5)
+    weights[3, 5] = 70  # products beyond the range of floats: scored by exponentials
+    assert maxent.class_factors(weights) is None
+
+
+def test_large_weights_are_scored_by_exponentials(spark):
+    model, common = in_one_class(spark)
+    docs = spark.createDataFrame([(1, f"{common} red aqq"), (2, None)], "doc_id long, text string")
+    model.weights[7] = 90  # of no word here
+    far = maxent.score(docs, model).orderBy("doc_id").toPandas()
+    model.weights[7] = 0
+    near = maxent.score(docs, model).orderBy("doc_id").toPandas()
+    assert np.allclose(far.score, near.score, rtol=1e-6)
+
+
+def test_classes_of_short_and_empty_words():
+    names = [b"", b"a", b"\x00", b"\x00a", b"ab", b"xxab", b"\xc3\xa9", b"a\x00"]
+    last = [int.from_bytes(w[-2:], "big") for w in names]
+    want = [(x * int(maxent._MIX[0]) % 2 ** 64 >> 40) % (maxent.CLASSES - 1 - maxent.OWN_CLASSES) + 1
+            + maxent.OWN_CLASSES for x in last]
+    assert maxent.word_classes(names).tolist() == want and not len(maxent.word_classes([]))
+
+
+def test_places_are_those_of_searchsorted():
+    rng = np.random.default_rng(2)
+    of, keys = np.sort(rng.integers(-50, 50, 40)), rng.integers(-60, 60, 300)
+    assert (maxent.places(of, keys) == np.searchsorted(of, keys)).all()
+    assert not len(maxent.places(of, keys[:0])) and not maxent.places(of[:0], keys).any()
