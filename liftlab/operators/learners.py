@@ -26,6 +26,7 @@ slightly while the fitted model is the same optimum.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -55,10 +56,12 @@ from liftlab.spec import ExperimentSpec
 REGULARIZATION_CANDIDATES = (1e-5, 1e-4)
 DEFAULT_MAX_ITERATIONS = 20
 TOLERANCE = 1e-4
-PREDICTABILITY_SAMPLE = 200_000
 PREDICTABILITY_C = 1.0
 PREDICTABILITY_MAX_ITERATIONS = 200
 
+#: A number of rows to fit on that leaves none out.
+ALL_ROWS = math.inf
+
 #: Rows on which a classifier outside Spark ML is fitted, at most.
 LOCAL_FIT_ROWS = 2_000_000
 
@@ -540,21 +543,26 @@ def candidates_frame(spark, reports: Sequence[ModelReport]) -> DataFrame:
 # ---- M15: treatment predictability ---------------------------------------------------
 
 def treatment_predictability(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
-                             sample_size: int = PREDICTABILITY_SAMPLE, seed: int = 42,
+                             sample_size: float = ALL_ROWS, seed: int = 42,
                              test_share: float = 0.25) -> DataFrame:
     """Randomisation diagnostic: can the features predict assignment?
 
     75/25 split of all rows, stratified by treatment; L2 logistic regression
     with ``regParam = 1 / (C * n_train)``, fitted with its preprocessing on
-    at most ``sample_size`` training rows (an exact seeded sample); AUC and log
-    loss on every held-out row, against a constant base-rate prediction.
+    every training row; AUC and log loss on every held-out row, against a
+    constant base-rate prediction. A caller may bound the rows to fit by
+    ``sample_size`` (an exact seeded sample); ``maximum_training_rows`` is
+    that bound, null without one.
     """
     cols = [spec.id, *spec.features, spec.treatment]
     split = split_rows(df.select(*cols), seed, spec=spec, stratum=F.col(spec.treatment).cast("int"),
                        holdout=test_share, second=1.0, names=("train", "unused", "test"))
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     test = split.where(F.col("split") == "test")
-    train = sample_rows(split.where(F.col("split") == "train"), sample_size, seed, id_col=spec.id)
+    train = split.where(F.col("split") == "train")
+    bound = None if sample_size == ALL_ROWS else sample_size
+    if bound is not None:
+        train = sample_rows(train, bound, seed, id_col=spec.id)
     y = F.col(spec.treatment)
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.avg(y.cast("double")).alias("base")).first()
     n_train, base = int(stats["n"]), float(stats["base"])
@@ -578,7 +586,7 @@ def treatment_predictability(df: DataFrame, spec: ExperimentSpec = ExperimentSpe
         "roc_auc", F.lit(0.5).alias("baseline_roc_auc"), "log_loss", "baseline_log_loss",
         (F.col("baseline_log_loss") - F.col("log_loss")).alias("log_loss_improvement"),
         F.lit(_iterations(model)).alias("iterations"),
-        F.lit(sample_size).cast("bigint").alias("maximum_training_rows"),
+        F.lit(bound).cast("bigint").alias("maximum_training_rows"),
         F.lit(seed).alias("random_seed")))
     scored.unpersist()
     split.unpersist()

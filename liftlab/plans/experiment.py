@@ -40,7 +40,7 @@ LIMITATIONS = (
 
 def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *,
                        by: Sequence[str] = (), alpha: float = 0.05,
-                       predictability_sample_size: int | None = learners.PREDICTABILITY_SAMPLE,
+                       predictability_sample_size: float | None = learners.ALL_ROWS,
                        seed: int = 42) -> dict[str, DataFrame]:
     """Randomisation audit, balance, ITT effects, sensitivity and exposure.
 
@@ -49,6 +49,9 @@ def analyze_experiment(df: DataFrame, spec: ExperimentSpec = ExperimentSpec(), *
     distributed, as do all tables with ``by``; they rest on the cached aggregates
     ``population``, ``continuous_balance`` and ``categorical_levels``:
     ``unpersist()`` those when the report is no longer needed.
+
+    The predictability diagnostic fits on every training row, or on at most
+    ``predictability_sample_size`` of them; None leaves it out.
     """
     spec.require_columns(df)
     df = with_row_id(df, spec.id)

@@ -1,5 +1,7 @@
 """Experiment and uplift reports end to end on the sf0.001 overlay."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,53 @@ def test_experiment_report_is_consistent(table):
     assert pred.test_observations == 369  # every held-out row: ceil(1473 / 4)
 
 
+MANY = 280_000  # units, of which 210,000 train
+
+
+def _baseline(treated: int, control: int) -> tuple[int, int, float]:
+    """Training rows, test rows and base-rate log loss of the 75/25 split by arm."""
+    sizes = sampling.split_sizes({1: treated, 0: control}, 0.25, 1.0)
+    train, test = (sum(s[i] for s in sizes.values()) for i in (0, 2))
+    base = sizes[1][0] / train
+    return train, test, -(sizes[1][2] * math.log(base) + sizes[0][2] * math.log(1 - base)) / test
+
+
+def test_predictability_fits_on_every_training_row(spark):
+    df = spark.range(MANY).selectExpr(
+        "id", "cast(id % 5 < 4 as int) as treatment", "cast(id % 3 = 0 as int) as visit", "0 as conversion", "0 as exposure",
+        "cast(id % 101 as double) as x", "cast(id % 7 as string) as level")
+    spec = ExperimentSpec(features=("x", "level"), continuous=("x",), categorical=("level",))
+    rep = analyze_experiment(df, spec)
+    rep["categorical_levels"].unpersist()
+    got = rep["treatment_predictability"].first()
+    train, test, loss = _baseline(MANY * 4 // 5, MANY // 5)
+    assert (got.training_observations, got.test_observations, got.maximum_training_rows) == (train, test, None)
+    assert train == 210_000 and got.baseline_log_loss == pytest.approx(loss, rel=1e-12)
+    bounded = learners.treatment_predictability(df.where("id < 2000"), spec, sample_size=500).first()
+    assert (bounded.training_observations, bounded.maximum_training_rows) == (500, 500)
+
+
+def test_predictability_baseline_query_counts_every_training_row(spark, tmp_path):
+    for name, rows in {
+            "orders": spark.range(MANY).selectExpr(
+                "id as o_orderkey", "id % 50 as o_custkey", "if(id % 2 = 0, 'F', 'O') as o_orderstatus",
+                "cast(id % 977 as double) as o_totalprice",
+                "cast(date_add(date'1995-01-01', cast(id % 900 as int)) as timestamp) as o_orderdate",
+                "if(id % 3 = 0, '1-URGENT', '5-LOW') as o_orderpriority"),
+            "lineitem": spark.range(MANY).selectExpr(
+                "id as l_orderkey", "cast(id % 13 as double) as l_quantity", "cast(id % 89 as double) as l_extendedprice"),
+            "customer": spark.range(50).selectExpr(
+                "id as c_custkey", "cast(id % 5 as int) as c_nationkey", "cast(id as double) as c_acctbal",
+                "if(id % 4 = 0, 'BUILDING', 'MACHINERY') as c_mktsegment"),
+            "nation": spark.range(5).selectExpr("cast(id as int) as n_nationkey", "cast(id % 2 as int) as n_regionkey")}.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    arms = {r.treatment: r["count"] for r in experiment_table(spark, str(tmp_path)).groupBy("treatment").count().collect()}
+    got = __spark_entry__.queries()["treatment_predictability_baseline"](spark, str(tmp_path)).first()
+    train, test, loss = _baseline(arms[1], arms[0])
+    assert (got.training_observations, got.test_observations) == (train, test) == (210_000, 70_000)
+    assert got.baseline_log_loss == pytest.approx(loss, rel=1e-9)
+
+
 def test_uplift_report_parallel_equals_serial(table):
     kw = dict(outcomes=["visit"], learner_names=("s_learner", "t_learner"), max_iterations=10)
     serial = analyze_uplift(table, ExperimentSpec(), **kw)
